@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from strandline.llm import near_dedup
+from strandline.llm import bpe, lm, near_dedup
 
 QUERIES = {
+    "op1_backoff_lm_scores": lm.op1,
+    "op5_bpe_round_trip": bpe.op5,
     "op9_minhash_near_dedup": near_dedup.op9,
 }
 

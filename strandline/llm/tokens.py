@@ -19,6 +19,7 @@ _RNG = np.random.default_rng(20240607)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_FOLDED = _BYTE[_LOWER]
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
 _R = 0x9E3779B97F4A7C15 | 1
@@ -62,14 +63,14 @@ def word_spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[0::2], edge[1::2]
 
 
-def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of raw[start:end] after lower-casing A-Z; spans may overlap."""
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
+    """64-bit hashes of raw[start:end], after lower-casing A-Z if fold; spans may overlap."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     power, inverse = _powers(len(raw) + 1)
     total = np.empty(len(raw) + 1, np.uint64)
     total[0] = 0
-    np.cumsum(_BYTE[_LOWER[raw]] * power[: len(raw)], dtype=np.uint64, out=total[1:])
+    np.cumsum((_FOLDED if fold else _BYTE)[raw] * power[: len(raw)], dtype=np.uint64, out=total[1:])
     return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
