@@ -9,11 +9,13 @@ their own (optimal densification).  Equal sets are one class from here on.
 Classes that share a band's bucket are candidates.  A bucket of n classes gives
 n - 1 star edges to its smallest member instead of all pairs.  Each edge is
 confirmed on the full sets.  A class that its centre does not confirm may still
-be linked to another member, so buckets that hold more than one component after
-a round go on with the next centre, against members of other components only,
-until the pairs left are few against the number of classes; those are then all
-checked.  So no candidate pair goes unchecked but those inside one component,
-which cannot change it.
+be linked to another member, so buckets that hold more than one component go on.
+Members that provably link to nothing there leave first: the items of a set that
+no other open set has bound its intersections from above.  The next centre then
+meets members of other components only, until the pairs left are few against the
+number of classes; those are then all checked.  So no candidate pair goes
+unchecked but those inside one component, which cannot change it, and those whose
+bound rules a link out.
 
 Defined cases: null or wordless texts have an empty set and link with nothing; a
 text of fewer than k words is one shingle; repeated rows are members of one
@@ -31,7 +33,7 @@ from strandline.llm import common, tokens
 
 BANDS, ROWS = 40, 6
 BINS = 256
-_PROBES = 64
+_PROBES = 24
 _rng = np.random.default_rng(77)
 #: The order in which bin b looks at other bins when it is empty.
 _PROBE = _rng.integers(0, BINS, (_PROBES, BINS))
@@ -153,21 +155,25 @@ def components(edges: DataFrame) -> DataFrame:
         if state == before:
             break
         before = state
-    if before[0] == 0:
-        return spark.createDataFrame([], "node long, root long")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
 
 
-def confirmed(edges: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) of class representatives whose full sets have 100 * intersection >= percent * union."""
-    ids = edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct()
-    some = common.may_hit(docs.select("doc_id", "text"), "doc_id", ids, "id")
-    # Rows that repeat a doc_id count once for each different text; one shuffle by id serves this and the join.
-    sets = some.mapInArrow(_sets(k), "id long, set_id long, items array<long>").repartition("id").groupBy("id", "set_id").agg(F.first("items").alias("items"))
     with_a = edges.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
     with_b = with_a.join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
-    common_size = F.size(F.array_intersect("x", "y"))
-    return with_b.where(100 * common_size >= percent * (F.size("x") + F.size("y") - common_size)).select("a", "b")
+    both = F.size(F.array_intersect("x", "y"))
+    return with_b.where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
+
+
+def reach(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, size and most: how many of a set's items any other set among ids has, so a bound on its intersections."""
+    some = sets.join(ids, "id", "left_semi")
+    items = some.select("id", F.explode("items").alias("item"))
+    alone = items.groupBy("item").agg(F.min("id").alias("id"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("n = 1")
+    alone = alone.groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
+    sizes = some.groupBy("id").agg(F.min(F.size("items")).alias("least"), F.max(F.size("items")).alias("size"))
+    return sizes.join(alone, "id", "left").select("id", "least", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("most"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -180,39 +186,48 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     stars = members.groupBy("key").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1")
     # Only buckets with two classes or more go on; this is the one table that later rounds read.
     crowded = common.written(members.join(stars, "key").select("key", "rep", "centre"), "buckets")
-    n_classes = None
+    # Full sets of the classes in them.  A doc_id that rows repeat with other texts has a set for each; one shuffle by id serves this and the joins.
+    ids = crowded.select(F.col("rep").alias("id")).distinct()
+    sets = common.may_hit(docs, "doc_id", ids, "id").mapInArrow(_sets(k), "id long, set_id long, items array<long>").repartition("id")
+    sets = common.written(sets.join(ids, "id", "left_semi").groupBy("id", "set_id").agg(F.first("items").alias("items")), "sets")
     edges = common.written(crowded.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "edges")
-    links = common.written(confirmed(edges, docs, k, percent), "confirmed")
+    links = common.written(confirmed(edges, sets, percent), "confirmed")
+    bounds = None
     while True:
         roots = components(links)
-        if roots.isEmpty():
-            roots = spark.createDataFrame([], "node long, root long")
         # Members other than the centre, which has met everyone in its bucket.
-        left = (
-            crowded.where("rep <> centre").join(roots, crowded["rep"] == roots["node"], "left")
-            .select("key", "rep", F.coalesce("root", "rep").alias("root"))
-        )
-        spread = left.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("rep").alias("centre"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
-        open_ = common.written(left.join(spread, "key").select("key", "rep", "root", "centre", "n"), "open")
-        row = open_.agg(F.count(F.lit(1)), F.sum(F.col("n") - 1)).first()
-        if not row[0]:
+        left = crowded.where("rep <> centre").join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
+        spread = left.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+        open_ = left.join(spread, "key", "left_semi")
+        if bounds is None:
+            open_ = common.written(open_, "open")
+            bounds = common.written(reach(sets, open_.select(F.col("rep").alias("id")).distinct()), "reach")
+        # Sets of sizes m and n link only if (100 + percent) * intersection >= percent * (m + n).  So a set with too many items
+        # that no other open set has could link only to a smaller set than its bucket holds.
+        open_ = open_.join(bounds, F.col("rep") == F.col("id")).drop("id")
+        smallest = open_.groupBy("key").agg(F.min("least").alias("smallest"))
+        open_ = open_.join(smallest, "key").where(f"most * {100 + percent} >= {percent} * (least + greatest(smallest, least * {percent} / 100))")
+        open_ = common.written(open_.select("key", "rep", "root", "least", "size", "most"), "open")
+        pairs = open_.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs")).agg(F.sum("pairs")).first()[0]
+        if not pairs:
             break
-        if n_classes is None:
-            n_classes = classes.count()
-        if row[1] / 2 <= FINISH_PAIRS_PER_CLASS * n_classes:
-            x, y = open_.select("key", F.col("rep").alias("a"), F.col("root").alias("ra")), open_.select("key", F.col("rep").alias("b"), F.col("root").alias("rb"))
-            more, done = x.join(y, "key").where("a < b and ra <> rb").select("a", "b").distinct(), True
+        if pairs <= FINISH_PAIRS_PER_CLASS * classes.count():
+            x = open_.select("key", F.col("rep").alias("a"), F.col("root").alias("ra"), F.col("least").alias("sa"), F.col("most").alias("ma"))
+            y = open_.select("key", F.col("rep").alias("b"), F.col("root").alias("rb"), F.col("least").alias("sb"), F.col("most").alias("mb"))
+            fits = f"a < b and ra <> rb and least(ma, mb) * {100 + percent} >= {percent} * (sa + sb)"
+            more, last = x.join(y, "key").where(fits).select("a", "b").distinct(), True
         else:
-            mine = open_.where("rep = centre").select("key", F.col("root").alias("centre_root"))
-            more = open_.where("rep <> centre").join(mine, "key").where("root <> centre_root").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
-            crowded, done = open_.select("key", "rep", "centre"), False
+            centres = open_.groupBy("key").agg(F.min("rep").alias("centre"))
+            crowded = common.written(open_.join(centres, "key").select("key", "rep", "root", "centre"), "buckets")
+            mine = crowded.where("rep = centre").select("key", F.col("root").alias("centre_root"))
+            more = crowded.where("rep <> centre").join(mine, "key").where("root <> centre_root").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
+            crowded, last = crowded.select("key", "rep", "centre"), False
         more = common.written(more.join(edges, ["a", "b"], "left_anti"), "edges")
-        fresh = confirmed(more, docs, k, percent)
-        links = common.written(links.union(fresh), "confirmed")
-        edges = edges.union(more)
-        if done:
+        links = common.written(links.union(confirmed(more, sets, percent)), "confirmed")
+        if last:
             roots = components(links)
             break
+        edges = common.written(edges.union(more), "edges")
     by_set = classes.select("set_id", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("set_id", F.coalesce("root", "rep").alias("component"))
     # The copies of one text may be a third of all rows: their side is dealt by set_id and split by adaptive execution.
     out = signed.drop("bands").join(by_set, "set_id", "left")
