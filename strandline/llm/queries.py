@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from strandline.llm import bpe, lm, near_dedup
+from strandline.llm import bpe, exact_dedup, lm, near_dedup, toxicity
 
 QUERIES = {
     "op1_backoff_lm_scores": lm.op1,
+    "op3_exact_dedup_stream": exact_dedup.op3,
     "op5_bpe_round_trip": bpe.op5,
+    "op7_toxicity_cnn": toxicity.op7,
     "op9_minhash_near_dedup": near_dedup.op9,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op3_exact_dedup_stream": exact_dedup.OP3_SQL,
+}

@@ -63,15 +63,21 @@ def word_spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[0::2], edge[1::2]
 
 
+class Hasher:
+    """64-bit hashes of byte spans of one buffer, after lower-casing A-Z if fold; spans may overlap."""
+
+    def __init__(self, raw: np.ndarray, fold: bool = True):
+        power, self._inverse = _powers(len(raw) + 1)
+        self._total = np.empty(len(raw) + 1, np.uint64)
+        self._total[0] = 0
+        np.cumsum((_FOLDED if fold else _BYTE)[raw] * power[: len(raw)], dtype=np.uint64, out=self._total[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self._total[ends] - self._total[starts]) * self._inverse[starts] + (ends - starts).astype(np.uint64))
+
+
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
-    """64-bit hashes of raw[start:end], after lower-casing A-Z if fold; spans may overlap."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    power, inverse = _powers(len(raw) + 1)
-    total = np.empty(len(raw) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum((_FOLDED if fold else _BYTE)[raw] * power[: len(raw)], dtype=np.uint64, out=total[1:])
-    return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    return Hasher(raw, fold)(starts, ends) if len(starts) else np.zeros(0, np.uint64)
 
 
 def hash_word(word: str) -> int:
