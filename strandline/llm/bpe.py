@@ -37,10 +37,11 @@ from pyspark.sql import functions as F
 from strandline.llm import common, tokens
 
 #: Units in the lexicon; the automaton's size is bounded by it.
-LEXICON_UNITS = 1 << 16
+LEXICON_UNITS = 1 << 18
 #: Longest unit in bytes that the lexicon takes.
 LEXICON_UNIT_BYTES = 48
-MEMO_UNITS = 250_000
+#: Units, and pieces, that a Python worker remembers.
+MEMO_UNITS = 150_000
 
 _WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: The pattern that the byte-level pre-tokenizer fixes.
@@ -60,6 +61,9 @@ def _byte_names() -> dict[int, str]:
     return names
 
 
+_NONE = 1 << 30
+
+
 class Merger:
     """The vocabulary of one tokenizer file: merges bytes to ids, and ids back to bytes."""
 
@@ -74,38 +78,91 @@ class Merger:
             self.bytes_of[i] = bytes(byte[c] for c in text) if text not in self.special else text.encode()
         for text, i in self.special.items():
             self.bytes_of[i] = text.encode()
-        self.of_byte = [vocab.get(c, -1) for _, c in sorted(_byte_names().items())]
+        self.of_byte = np.array([vocab.get(c, -1) for _, c in sorted(_byte_names().items())], np.int64)
         self.ranks = {}
         for rank, merge in enumerate(model["merges"]):
             a, b = merge if isinstance(merge, list) else merge.split(" ")
             self.ranks[vocab[a], vocab[b]] = (rank, vocab[a + b])
         self.split_special = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.memo: dict[bytes, list[int]] = {}
-
-    def merge(self, piece: bytes) -> list[int]:
-        ids = [self.of_byte[b] for b in piece]
-        if len(ids) > 48:
-            return self._merge_long(ids)
-        ranks = self.ranks
-        none = (1 << 60, 0)
-        while len(ids) > 1:
-            found = [ranks.get(p, none) for p in pairwise(ids)]
-            rank, new = best = min(found)
-            if best is none:
+        self.memo: dict[str, bytes] = {}
+        self._table()
+
+    def _table(self) -> None:
+        """The merges as an open hash table, to look many pairs up at once."""
+        self._bits = max(4, (4 * len(self.ranks)).bit_length())
+        size = 1 << self._bits
+        self._key, self._rank, self._new = np.full(size, -1, np.int64), np.full(size, _NONE, np.int64), np.zeros(size, np.int64)
+        pairs = np.array(list(self.ranks) or np.zeros((0, 2)), np.int64).reshape(-1, 2)
+        keys = pairs[:, 0] << 24 | pairs[:, 1]
+        self._probes = 1
+        for key, slot, (rank, new) in zip(keys.tolist(), self._slot(keys).tolist(), self.ranks.values(), strict=True):
+            probe = 1
+            while self._key[slot] >= 0:
+                slot, probe = (slot + 1) & (size - 1), probe + 1
+            self._probes = max(self._probes, probe)
+            self._key[slot], self._rank[slot], self._new[slot] = key, rank, new
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self._bits)).astype(np.int64)
+
+    def _find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank (_NONE without one) and table slot of each pair; negative ids are padding."""
+        key = left << 24 | right
+        slot = self._slot(key)
+        seen = self._key[slot]
+        rank = np.where(seen == key, self._rank[slot], _NONE)
+        open_ = (seen != key) & (seen >= 0) & (right >= 0)
+        for _ in range(self._probes - 1):
+            at = np.nonzero(open_)
+            if not len(at[0]):
                 break
-            out, i, n = [], 0, len(ids)
-            while i < n:
-                if i < n - 1 and found[i][0] == rank:
-                    out.append(new)
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
-        return ids
+            slot[at] = (slot[at] + 1) & (len(self._key) - 1)
+            seen = self._key[slot[at]]
+            hit = seen == key[at]
+            rank[at] = np.where(hit, self._rank[slot[at]], _NONE)
+            open_[at] = ~hit & (seen >= 0)
+        rank[right < 0] = _NONE
+        return rank, slot
+
+    def merge_all(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each piece as little-endian 32-bit integers: all pieces of like length go through their merges together."""
+        out: list[bytes] = [b""] * len(pieces)
+        groups: dict[int, list[int]] = {}
+        for i, p in enumerate(pieces):
+            n = len(p)
+            groups.setdefault(4 if n <= 4 else 8 if n <= 8 else 12 if n <= 12 else 16 if n <= 16 else 32 if n <= 32 else 0, []).append(i)
+        for width, members in groups.items():
+            if not width:
+                for i in members:
+                    out[i] = np.array(self._merge_long([int(self.of_byte[b]) for b in pieces[i]]), "<u4").tobytes()
+                continue
+            raw = np.frombuffer(b"".join([pieces[i].ljust(width, b"\0") for i in members]), np.uint8).reshape(-1, width)
+            sizes = np.array([len(pieces[i]) for i in members])
+            ids = np.where(np.arange(width) < sizes[:, None], self.of_byte[raw], -1)
+            done = np.empty_like(ids)
+            live = np.arange(len(ids))
+            while len(live):
+                rank, slot = self._find(ids[:, :-1], ids[:, 1:])
+                best = rank.argmin(axis=1)
+                row = np.arange(len(ids))
+                go = rank[row, best] < _NONE
+                done[live[~go]] = ids[~go]
+                ids, live, best = ids[go], live[go], best[go]
+                if not len(live):
+                    break
+                # The leftmost pair of the lowest rank becomes one id; what stands behind it moves up.
+                ids[np.arange(len(ids)), best] = self._new[slot[go][np.arange(len(ids)), best]]
+                step = np.arange(width - 1)
+                ids[:, :-1] = np.take_along_axis(ids, step + (step > best[:, None]), axis=1)
+                ids[np.arange(len(ids)), -1] = -1
+            lengths = (done >= 0).sum(axis=1).tolist()
+            flat = done.astype("<u4")
+            for j, i in enumerate(members):
+                out[i] = flat[j, : lengths[j]].tobytes()
+        return out
 
     def _merge_long(self, ids: list[int]) -> list[int]:
-        """The same by a heap and a linked list, for runs of any length."""
+        """The same by a heap and a linked list, for a run of any length."""
         n = len(ids)
         right, left = [*range(1, n), -1], [*range(-1, n - 1)]
         heap = [(*self.ranks[p][:1], i, p) for i, p in enumerate(pairwise(ids)) if p in self.ranks]
@@ -124,37 +181,50 @@ class Merger:
                     heapq.heappush(heap, (self.ranks[ids[a], ids[b]][0], a, (ids[a], ids[b])))
         return [x for x in ids if x >= 0]
 
-    def pieces(self, text: str) -> list[int]:
-        out: list[int] = []
-        for piece in PATTERN.findall(text):
-            raw = piece.encode()
-            ids = self.memo.get(raw)
-            if ids is None:
-                ids = self.merge(raw)
-                if len(raw) <= LEXICON_UNIT_BYTES:
-                    if len(self.memo) >= MEMO_UNITS:
-                        self.memo.clear()
-                    self.memo[raw] = ids
-            out += ids
-        return out
-
-    def encode(self, text: str) -> list[int]:
+    def _know(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of all these pieces, from the memo or merged now."""
+        if len(self.memo) > MEMO_UNITS:
+            self.memo.clear()
+        missing = [p for p in dict.fromkeys(pieces) if p not in self.memo]
+        new = dict(zip(missing, self.merge_all([p.encode() for p in missing]), strict=True))
+        self.memo |= {p: ids for p, ids in new.items() if len(ids) <= 4 * LEXICON_UNIT_BYTES}
+        return new
+
+    def pieces(self, text: str) -> bytes:
+        found = PATTERN.findall(text)
+        new = self._know(found)
+        return b"".join([new[p] if p in new else self.memo[p] for p in found])
+
+    def units(self, units: list[bytes]) -> list[bytes]:
+        """Ids of each unit, all cut by one pass of the pattern: a line feed between two units is a piece of its own."""
+        found = PATTERN.findall(b"\n".join(units).decode())
+        new = self._know(found)
+        memo, out, own = self.memo, [], []
+        for p in found:
+            if p == "\n":
+                out.append(b"".join(own))
+                own = []
+            else:
+                own.append(new[p] if p in new else memo[p])
+        return [*out, b"".join(own)]
+
+    def encode(self, text: str) -> bytes:
         """Ids of a whole text, special tokens' strings included."""
         if not self.split_special:
             return self.pieces(text)
-        out: list[int] = []
+        out = []
         for part in self.split_special.split(text):
             if part in self.special:
-                out.append(self.special[part])
+                out.append(self.special[part].to_bytes(4, "little"))
             elif part:
-                out += self.pieces(part)
-        return out
+                out.append(self.pieces(part))
+        return b"".join(out)
 
-    def decode(self, ids) -> bytes:
-        return b"".join([self.bytes_of[i] for i in ids])
+    def decode(self, ids: bytes) -> bytes:
+        return b"".join([self.bytes_of[i] for i in memoryview(ids).cast("I")])
 
 
-def compile_lexicon(units: list[bytes], outputs: list[list[int]]) -> dict[str, np.ndarray]:
+def compile_lexicon(units: list[bytes], outputs: list[bytes]) -> dict[str, np.ndarray]:
     """The minimal acyclic transducer of sorted, distinct units, as flat arrays.
 
     Built unit by unit: once the next unit leaves a branch, its states are
@@ -209,13 +279,31 @@ def compile_lexicon(units: list[bytes], outputs: list[list[int]]) -> dict[str, n
             targets.append(new[t])
             adds.append(add)
             add += count[t]
-    return {
-        "keys": np.array(keys, np.int64), "targets": np.array(targets, np.int32), "adds": np.array(adds, np.int32),
+    # Arcs lie in an open hash table by (state, byte), which a walk over many units probes at once.
+    size = 1 << max(4, (3 * len(keys)).bit_length())
+    table = {"keys": np.full(size, -1, np.int64), "targets": np.zeros(size, np.int32), "adds": np.zeros(size, np.int32)}
+    spot = _arc_slots(np.array(keys, np.int64), size)
+    left = np.arange(len(keys))
+    while len(left):  # arcs that meet in a slot: one takes it, the others go on
+        free = table["keys"][spot[left]] < 0
+        _, first = np.unique(spot[left], return_index=True)
+        take = np.zeros(len(left), bool)
+        take[first] = True
+        put = left[take & free]
+        for name, values in (("keys", keys), ("targets", targets), ("adds", adds)):
+            table[name][spot[put]] = np.array(values)[put]
+        left = left[~(take & free)]
+        spot[left] = (spot[left] + 1) & (size - 1)
+    return table | {
         "final": np.array([final[s] for s in sorted(order)], np.uint8),
-        "at": np.cumsum([0, *map(len, outputs)], dtype=np.int32), "ids": np.array([i for x in outputs for i in x], np.uint32),
+        "at": np.cumsum([0, *map(len, outputs)], dtype=np.int64), "ids": np.frombuffer(b"".join(outputs), np.uint8),
     }
 
 
+def _arc_slots(keys: np.ndarray, size: int) -> np.ndarray:
+    return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - size.bit_length())).astype(np.int64)
+
+
 def save_lexicon(arrays: dict[str, np.ndarray], path: str) -> None:
     at, head, body = 0, {}, []
     for name, a in arrays.items():
@@ -243,8 +331,6 @@ class Lexicon:
     def places(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The place of each unit raw[start:end] among the lexicon's units, -1 where it has none."""
         out = np.full(len(starts), -1, np.int64)
-        if not len(self.keys):
-            return out
         live = np.flatnonzero(ends - starts <= LEXICON_UNIT_BYTES)
         state, place, at = np.zeros(len(live), np.int64), np.zeros(len(live), np.int64), starts[live]
         while len(live):
@@ -256,8 +342,12 @@ class Lexicon:
                 if not len(live):
                     break
             key = state << 8 | raw[at]
-            arc = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            go = self.keys[arc] == key
+            arc = _arc_slots(key, len(self.keys))
+            seen = self.keys[arc]
+            while len(on := np.flatnonzero((seen != key) & (seen >= 0))):
+                arc[on] = (arc[on] + 1) & (len(self.keys) - 1)
+                seen[on] = self.keys[arc[on]]
+            go = seen == key
             live, arc = live[go], arc[go]
             state, place, at = self.targets[arc].astype(np.int64), place[go] + self.adds[arc], at[go] + 1
         return out
@@ -295,7 +385,7 @@ def _distinct_units(raw, ends):
 
 def _count_units(batches):
     for batch in batches:
-        for _, raw, ends in tokens.joined(batch.column(0), 8 << 20):
+        for _, raw, ends in tokens.joined(batch.column(0)):
             starts, stops, _, first, inverse = _distinct_units(raw, ends)
             counts = np.bincount(inverse, minlength=len(first))
             data = raw.tobytes()
@@ -305,10 +395,22 @@ def _count_units(batches):
 
 
 def frequent_units(docs: DataFrame, most: int = LEXICON_UNITS) -> list[bytes]:
-    """The most frequent units of all texts, ties by bytes: at most `most`, whatever the corpus."""
-    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_count_units, "unit binary, n long")
-    top = counted.groupBy("unit").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "unit").limit(most)
-    return sorted(bytes(r.unit) for r in top.select("unit").collect())
+    """The units of all texts that occur most often: at most `most`, whatever the corpus.
+
+    A histogram of counts with at most some 500 bars tells from which count on
+    the units are few enough, so no task sends the driver more than its share.
+    """
+    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_count_units, "unit binary, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    counted = common.written(counted.withColumn("bar", F.floor(8 * F.log2(F.col("n").cast("double"))).cast("int")), "units")
+    total, least = 0, None
+    for bar, n in sorted(counted.groupBy("bar").count().collect(), reverse=True):
+        total += n
+        if total > most:
+            break
+        least = bar
+    if least is None:
+        return []
+    return sorted(bytes(r.unit) for r in counted.where(F.col("bar") >= least).select("unit").toLocalIterator())
 
 
 class Encoder:
@@ -318,6 +420,9 @@ class Encoder:
 
     def __init__(self, spec: str, lexicon: str):
         self.merger, self.lexicon = Merger(spec), Lexicon(lexicon)
+        flat, at = self.lexicon.ids.tobytes(), self.lexicon.at.tolist()
+        self.ids = [flat[a:b] for a, b in pairwise(at)]
+        self.back = [self.merger.decode(x) for x in self.ids]
         self.memo: dict[int, tuple[bytes, bytes]] = {}
         self.specials = [x.encode() for x in self.merger.special]
 
@@ -328,32 +433,41 @@ class Encoder:
             cls._kept[name] = cls(spec, SparkFiles.get(name))
         return cls._kept[name]
 
-    def _learn(self, data: bytes, raw, names, starts, ends) -> None:
-        """Puts units into the memo: from the automaton, else by merging."""
-        if len(self.memo) > MEMO_UNITS:
-            self.memo.clear()
-        memo, merger, lex = self.memo, self.merger, self.lexicon
-        at, flat = lex.at, lex.ids
-        for name, a, b, place in zip(names, starts.tolist(), ends.tolist(), lex.places(raw, starts, ends).tolist(), strict=True):
-            ids = flat[at[place] : at[place + 1]].tolist() if place >= 0 else merger.pieces(data[a:b].decode())
-            memo[name] = (np.array(ids, "<u4").tobytes(), merger.decode(ids))
+    def _learn(self, data: bytes, names, starts, ends) -> None:
+        """Puts units that the automaton lacks into the memo."""
+        memo, merger = self.memo, self.merger
+        units = [data[a:b] for a, b in zip(starts, ends, strict=True)]
+        white = [u[-1:].isspace() for u in units]
+        rest = [i for i, w in enumerate(white) if not w]
+        for i, ids in zip(rest, merger.units([units[i] for i in rest]) if rest else [], strict=True):
+            memo[names[i]] = (ids, merger.decode(ids))
+        for i, w in enumerate(white):
+            if w:
+                ids = merger.pieces(units[i].decode())
+                memo[names[i]] = (ids, merger.decode(ids))
 
     def encode(self, texts: pa.Array):
         """(ids as little-endian 32-bit integers, decoded bytes) of each text, in order."""
         for _, raw, ends in tokens.joined(texts):
             data = raw.tobytes()
             starts, stops, names, first, inverse = _distinct_units(raw, ends)
-            names = names.tolist()
             odd = bool(_WIDE_SPACE.search(data)) or any(x in data for x in self.specials) or not _is_utf8(data)
-            if not odd or len(ends) > 1:
-                missing = [i for i, x in enumerate(names) if x not in self.memo]
-                if odd:  # units of odd texts may not be text of their own
-                    missing = [i for i in missing if _is_utf8(data[starts[first[i]] : stops[first[i]]])]
-                if missing:
-                    f = first[missing]
-                    self._learn(data, raw, [names[i] for i in missing], starts[f], stops[f])
-                got = [self.memo.get(x, (b"", b"")) for x in names]
-                ids, back = [x[0] for x in got], [x[1] for x in got]
+            a, b = starts[first], stops[first]
+            places = self.lexicon.places(raw, a, b)
+            known = places.tolist()
+            ids = [self.ids[p] if p >= 0 else b"" for p in known]
+            back = [self.back[p] if p >= 0 else b"" for p in known]
+            lacking = np.flatnonzero(places < 0)
+            lacking = list(zip(lacking.tolist(), names[lacking].tolist(), a[lacking].tolist(), b[lacking].tolist(), strict=True))
+            if len(self.memo) > MEMO_UNITS:
+                self.memo.clear()
+            missing = [x for x in lacking if x[1] not in self.memo]
+            if odd:  # such units are met in texts that take the other path alone
+                missing = [x for x in missing if _is_utf8(u := data[x[2] : x[3]]) and not _WIDE_SPACE.search(u)]
+            if missing:
+                self._learn(data, *zip(*[x[1:] for x in missing], strict=True))
+            for i, name, *_ in lacking:
+                ids[i], back[i] = self.memo.get(name, (b"", b""))
             offsets = np.concatenate(([0], np.searchsorted(starts, ends))).tolist()
             inverse = inverse.tolist()
             begin = 0
@@ -362,7 +476,7 @@ class Encoder:
                 begin = end
                 if odd and (_WIDE_SPACE.search(text) or any(x in text for x in self.specials) or not _is_utf8(text)):
                     out = self.merger.encode(text.decode("utf-8", "replace"))
-                    yield np.array(out, "<u4").tobytes(), self.merger.decode(out)
+                    yield out, self.merger.decode(out)
                 else:
                     use = inverse[offsets[i] : offsets[i + 1]]
                     yield b"".join([ids[j] for j in use]), b"".join([back[j] for j in use])
@@ -385,7 +499,13 @@ def prepare(docs: DataFrame, tokenizer_path: str, units: int = LEXICON_UNITS):
     words = [w for w in frequent_units(docs, units) if _is_utf8(w) and not _WIDE_SPACE.search(w) and not any(s.encode() in w for s in merger.special)]
     name = f"lexicon-{uuid.uuid4().hex[:12]}"
     path = os.path.join(tempfile.mkdtemp(prefix="strandline-"), name)
-    save_lexicon(compile_lexicon(words, [merger.pieces(w.decode()) for w in words]), path)
+    outputs = [merger.pieces(w.decode()) if tokens._SPACE[w[-1]] else b"" for w in words]
+    rest = [i for i, w in enumerate(words) if not outputs[i]]
+    for at in range(0, len(rest), 1 << 15):
+        own = rest[at : at + (1 << 15)]
+        for i, ids in zip(own, merger.units([words[i] for i in own]), strict=True):
+            outputs[i] = ids
+    save_lexicon(compile_lexicon(words, outputs), path)
     spark.sparkContext.addFile(path)
     return name, spark.sparkContext.broadcast(spec)
 
