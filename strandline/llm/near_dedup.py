@@ -9,13 +9,11 @@ their own (optimal densification).  Equal sets are one class from here on.
 Classes that share a band's bucket are candidates.  A bucket of n classes gives
 n - 1 star edges to its smallest member instead of all pairs.  Each edge is
 confirmed on the full sets.  A class that its centre does not confirm may still
-be linked to another member, so buckets that hold more than one component go on.
-Members that provably link to nothing there leave first: the items of a set that
-no other open set has bound its intersections from above.  The next centre then
-meets members of other components only, until the pairs left are few against the
-number of classes; those are then all checked.  So no candidate pair goes
-unchecked but those inside one component, which cannot change it, and those whose
-bound rules a link out.
+be linked to another member, so the members of buckets that hold more than one
+component are joined once more, by prefixes of their full sets (`prefix_pairs`),
+which misses no link, and those pairs are confirmed too.  So no candidate pair
+goes unchecked but those inside one component, which cannot change it, and those
+that share too few items to link.
 
 Defined cases: null or wordless texts have an empty set and link with nothing; a
 text of fewer than k words is one shingle; repeated rows are members of one
@@ -26,7 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.llm import common, tokens
@@ -40,8 +38,6 @@ _PROBE = _rng.integers(0, BINS, (_PROBES, BINS))
 _BAND_SALT = _rng.integers(0, 2**63, BANDS, dtype=np.uint64)
 #: The bins of each band; bands overlap in bins only as far as BANDS * ROWS exceeds BINS.
 _BAND_BINS = np.arange(BANDS * ROWS).reshape(BANDS, ROWS) % BINS
-#: Pairs left per class below which the rest is checked at once.
-FINISH_PAIRS_PER_CLASS = 1.0
 
 
 def shingle_sets(texts: pa.Array, k: int):
@@ -166,14 +162,32 @@ def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return with_b.where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
-def reach(sets: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, size and most: how many of a set's items any other set among ids has, so a bound on its intersections."""
-    some = sets.join(ids, "id", "left_semi")
-    items = some.select("id", F.explode("items").alias("item"))
-    alone = items.groupBy("item").agg(F.min("id").alias("id"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("n = 1")
-    alone = alone.groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
-    sizes = some.groupBy("id").agg(F.min(F.size("items")).alias("least"), F.max(F.size("items")).alias("size"))
-    return sizes.join(alone, "id", "left").select("id", "least", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("most"))
+def prefix_pairs(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of open classes of different components that may link: none that does is missing.
+
+    open_: key, rep, root.  With the items of all open sets in one order, rare
+    ones first, two sets that have at least m items in common share one among the
+    first size - m + 1 of each.  m follows from the least size of a partner in
+    the set's buckets.  Edits that only one copy has come first and meet nobody,
+    so a large group of near copies does not become all of its pairs.
+    """
+    sized = open_.join(sets.select(F.col("id").alias("rep"), "set_id", F.size("items").alias("size")), "rep")
+    smallest = sized.groupBy("key").agg(F.min("size").alias("smallest"))
+    nodes = sized.join(smallest, "key").groupBy("rep", "set_id", "root", "size").agg(F.min("smallest").alias("smallest"))
+    partner = F.greatest(F.col("smallest").cast("double"), F.col("size") * percent / 100.0)
+    need = F.ceil((F.col("size") + partner) * percent / (100.0 + percent) - 1e-6)
+    nodes = nodes.withColumn("prefix", F.col("size") - need + 1)
+    items = nodes.join(sets.withColumnRenamed("id", "rep"), ["rep", "set_id"]).select("rep", "set_id", "root", "size", "prefix", F.explode("items").alias("item"))
+    often = items.groupBy("item").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    ranked = items.join(often, "item").withColumn("at", F.row_number().over(Window.partitionBy("rep", "set_id").orderBy("df", "item")))
+    shared = items.join(often, "item").groupBy("rep", "set_id").agg(F.count(F.lit(1)).alias("shared"))
+    posts = ranked.join(shared, ["rep", "set_id"]).where("at <= prefix - (size - shared)").select("item", "rep", "root", "size")
+    # Of each item's components one is the largest: pairs are its members' and the others' with the others, never its own.
+    per_root = posts.groupBy("item", "root").agg(F.count(F.lit(1)).alias("n"))
+    main = per_root.groupBy("item").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    others = posts.join(main, "item").where("root <> main").select("item", F.col("rep").alias("x"), F.col("root").alias("rx"), F.col("size").alias("sx"))
+    fits = f"root <> rx and least(size, sx) * 100 >= greatest(size, sx) * {percent}"
+    return others.join(posts, "item").where(fits).select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -192,42 +206,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     sets = common.written(sets.join(ids, "id", "left_semi").groupBy("id", "set_id").agg(F.first("items").alias("items")), "sets")
     edges = common.written(crowded.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "edges")
     links = common.written(confirmed(edges, sets, percent), "confirmed")
-    bounds = None
-    while True:
-        roots = components(links)
-        # Members other than the centre, which has met everyone in its bucket.
-        left = crowded.where("rep <> centre").join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
-        spread = left.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-        open_ = left.join(spread, "key", "left_semi")
-        if bounds is None:
-            open_ = common.written(open_, "open")
-            bounds = common.written(reach(sets, open_.select(F.col("rep").alias("id")).distinct()), "reach")
-        # Sets of sizes m and n link only if (100 + percent) * intersection >= percent * (m + n).  So a set with too many items
-        # that no other open set has could link only to a smaller set than its bucket holds.
-        open_ = open_.join(bounds, F.col("rep") == F.col("id")).drop("id")
-        smallest = open_.groupBy("key").agg(F.min("least").alias("smallest"))
-        open_ = open_.join(smallest, "key").where(f"most * {100 + percent} >= {percent} * (least + greatest(smallest, least * {percent} / 100))")
-        open_ = common.written(open_.select("key", "rep", "root", "least", "size", "most"), "open")
-        pairs = open_.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs")).agg(F.sum("pairs")).first()[0]
-        if not pairs:
-            break
-        if pairs <= FINISH_PAIRS_PER_CLASS * classes.count():
-            x = open_.select("key", F.col("rep").alias("a"), F.col("root").alias("ra"), F.col("least").alias("sa"), F.col("most").alias("ma"))
-            y = open_.select("key", F.col("rep").alias("b"), F.col("root").alias("rb"), F.col("least").alias("sb"), F.col("most").alias("mb"))
-            fits = f"a < b and ra <> rb and least(ma, mb) * {100 + percent} >= {percent} * (sa + sb)"
-            more, last = x.join(y, "key").where(fits).select("a", "b").distinct(), True
-        else:
-            centres = open_.groupBy("key").agg(F.min("rep").alias("centre"))
-            crowded = common.written(open_.join(centres, "key").select("key", "rep", "root", "centre"), "buckets")
-            mine = crowded.where("rep = centre").select("key", F.col("root").alias("centre_root"))
-            more = crowded.where("rep <> centre").join(mine, "key").where("root <> centre_root").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
-            crowded, last = crowded.select("key", "rep", "centre"), False
-        more = common.written(more.join(edges, ["a", "b"], "left_anti"), "edges")
-        links = common.written(links.union(confirmed(more, sets, percent)), "confirmed")
-        if last:
-            roots = components(links)
-            break
-        edges = common.written(edges.union(more), "edges")
+    roots = components(links)
+    # Members other than the centre, which has met everyone in its bucket.
+    left = crowded.where("rep <> centre").join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
+    spread = left.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    open_ = common.written(left.join(spread, "key", "left_semi"), "open")
+    more = common.written(prefix_pairs(open_, sets, percent).join(edges, ["a", "b"], "left_anti"), "edges")
+    fresh = common.written(confirmed(more, sets, percent), "confirmed")
+    if not fresh.isEmpty():
+        roots = components(links.union(fresh))
     by_set = classes.select("set_id", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("set_id", F.coalesce("root", "rep").alias("component"))
     # The copies of one text may be a third of all rows: their side is dealt by set_id and split by adaptive execution.
     out = signed.drop("bands").join(by_set, "set_id", "left")
