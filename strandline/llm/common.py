@@ -51,23 +51,42 @@ def shards_for(size: int, shard_bytes: int) -> int:
     return max(1, math.ceil(size / shard_bytes))
 
 
-def may_hit(df: DataFrame, key: str, hits: DataFrame, hit_key: str) -> DataFrame:
-    """Rows of df whose key may be among the hits, by a broadcast bitmap of fixed size.
-
-    The bitmap has FILTER_BITS bits however many hits there are: it lets every
-    true hit through and more of the others as it fills, so an exact join must
-    follow.  It keeps the texts of rows that cannot match out of that join's
-    shuffle.
-    """
+def _spotted(df: DataFrame, key: str, hits: DataFrame, hit_key: str, how: str) -> DataFrame:
+    """df with _bits of the broadcast bitmap that holds its key's place; how: inner, or left for rows without any."""
     spot = F.pmod(F.xxhash64(hit_key), F.lit(FILTER_BITS))
     bitmap = (
         hits.select(spot.alias("_spot")).distinct()
         .groupBy(F.expr("bitmap_bucket_number(_spot)").alias("_bucket"))
         .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(_spot))").alias("_bits"))
     )
-    columns = df.columns
     seek = df.withColumn("_spot", F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))).withColumn("_bucket", F.expr("bitmap_bucket_number(_spot)"))
+    return seek.join(F.broadcast(bitmap), "_bucket", how)
+
+
+def _bit():
     position = F.expr("bitmap_bit_position(_spot)")
     byte = F.conv(F.hex(F.substring("_bits", (position / 8).cast("int") + 1, 1)), 16, 10).cast("int")
-    found = seek.join(F.broadcast(bitmap), "_bucket").where(F.getbit(byte, (position % 8).cast("int")) == 1)
-    return found.select(*[F.col(f"`{c}`") for c in columns])
+    return F.getbit(byte, (position % 8).cast("int")) == 1
+
+
+def may_hit(df: DataFrame, key: str, hits: DataFrame, hit_key: str) -> DataFrame:
+    """Rows of df whose key may be among the hits, by a broadcast bitmap of fixed size.
+
+    The bitmap has FILTER_BITS bits however many hits there are: it lets every
+    true hit through and more of the others as it fills, so an exact join must
+    follow.  It keeps the texts of rows that cannot match out of that join's
+    shuffle.
+    """
+    return _spotted(df, key, hits, hit_key, "inner").where(_bit()).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def without(df: DataFrame, key: str, dropped: DataFrame, dropped_key: str) -> DataFrame:
+    """Rows of df whose key is not among `dropped`; rows with a null key stay.
+
+    Rows that the bitmap clears stay where they are; only the others meet the
+    dropped keys in a join.
+    """
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    clear = _spotted(df, key, dropped, dropped_key, "left").where(F.col("_bits").isNull() | ~_bit()).select(*columns)
+    keys = dropped.select(F.col(dropped_key).alias("_dropped_key")).distinct()
+    return clear.union(may_hit(df, key, dropped, dropped_key).join(keys, F.col(key) == F.col("_dropped_key"), "left_anti"))

@@ -26,8 +26,11 @@ from pyspark.sql import functions as F
 
 from strandline.llm import common, tokens
 
-RANK = 128
+#: Latent dimensions: as many as items, within these bounds.
+RANK = (128, 512)
 OVERSAMPLE = 16
+#: Energy of the sampled passages in the decomposition against the items'.
+SAMPLE_WEIGHT = 0.1
 POWER_STEPS = 2
 #: Documents whose passages join the items in the decomposition, at most: the first by a hash of doc_id.
 SAMPLE_DOCS = 400
@@ -37,7 +40,7 @@ COMMON_SHARE = 0.05
 #: Words per block; windows are 2, 4 and 6 blocks.
 BLOCK = 12
 WINDOWS = (2, 4, 6)
-COSINE = 0.4
+COSINE = 0.25
 #: Shares of an item's words, in order, that a text must have: alone, or with most of its answer.
 LCS_ALONE, LCS_WITH_ANSWER, ANSWER = 0.8, 0.55, 0.75
 MIN_WORDS = 8
@@ -128,9 +131,12 @@ class Retriever:
 
     def fit(self, sample: np.ndarray, seed: int = 3) -> None:
         """Randomised SVD of the rows; sample is (passages, terms), TF-IDF, with the items in front."""
-        norm = np.linalg.norm(sample, axis=1, keepdims=True)
-        a = sample / np.maximum(norm, 1e-9)
-        k = min(RANK + OVERSAMPLE, *a.shape)
+        a = sample / np.maximum(np.linalg.norm(sample, axis=1, keepdims=True), 1e-9)
+        n = len(self.items)
+        if len(a) > n:
+            a[n:] *= np.sqrt(SAMPLE_WEIGHT * n / (len(a) - n))
+        rank = min(max(n, RANK[0]), RANK[1])
+        k = min(rank + OVERSAMPLE, *a.shape)
         rng = np.random.default_rng(seed)
         y = a @ rng.normal(size=(a.shape[1], k)).astype(np.float32)
         for _ in range(POWER_STEPS):
@@ -139,8 +145,11 @@ class Retriever:
             y = a @ z
         q, _ = np.linalg.qr(y)
         _, _, vt = np.linalg.svd(q.T @ a, full_matrices=False)
-        self.projection = np.ascontiguousarray(vt[:RANK].T, np.float32) * self.idf[:, None]
+        self.projection = np.ascontiguousarray(vt[:rank].T, np.float32) * self.idf[:, None]
         raw = np.stack([self.project(h) for _, h, _ in self.items]) if self.items else np.zeros((0, self.projection.shape[1]), np.float32)
+        # A foreign word would keep as small a share of its energy in the latent space as the items keep of theirs.
+        kept = (raw * raw).sum(axis=1) / np.maximum((sample[:n] * sample[:n]).sum(axis=1), 1e-9)
+        self.other = self.other * np.float32(np.median(kept)) if n else self.other
         self.latent = raw / np.maximum(np.linalg.norm(raw, axis=1, keepdims=True), 1e-9)
 
     def project(self, h: np.ndarray) -> np.ndarray:
@@ -313,7 +322,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs in which no item was found, with all their columns; rows with a null doc_id stay."""
     found = common.written(contaminated(docs, benchmark).select(F.col("doc_id").alias("_leaky")).distinct(), "leaks")
-    return docs.join(found, F.col("doc_id") == F.col("_leaky"), "left_anti")
+    return common.without(docs, "doc_id", found, "_leaky")
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

@@ -22,13 +22,34 @@ doc_id never stays unless all of its group are null.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import common
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: The state store is on disk; it does not reserve disk ahead for each of many partitions.
+SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
+
+
+@contextmanager
+def _settings(spark: SparkSession):
+    before = {k: spark.conf.get(k, None) for k in SETTINGS}
+    for k, v in SETTINGS.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def normalised(column: str = "text"):
@@ -53,16 +74,8 @@ def stream_states(spark: SparkSession, source: str, schema, files_per_batch: int
         # A folder a batch, overwritten if the batch is run again after a failure.
         batch.write.mode("overwrite").parquet(f"{folder}/log/batch={batch_id}")
 
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, ROCKSDB)
-    try:
-        query = keyed.writeStream.outputMode("update").foreachBatch(log).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-        query.awaitTermination()
-    finally:
-        if before is None:
-            spark.conf.unset(_PROVIDER)
-        else:
-            spark.conf.set(_PROVIDER, before)
+    with _settings(spark):
+        keyed.writeStream.outputMode("update").foreachBatch(log).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     kind = dict(schema_types(schema))["doc_id"]
     log_schema = f"digest binary, keep_id {kind}, locator string, group_size long, batch int"
     states = spark.read.schema(log_schema).parquet(f"{folder}/log")
@@ -73,30 +86,34 @@ def schema_types(schema):
     return [(f.name, f.dataType.simpleString()) for f in schema]
 
 
+def _sha(column: str = "text"):
+    return F.unhex(F.sha2(normalised(column), 256))
+
+
 def exact_groups(docs: DataFrame, files_per_batch: int | None = None) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 and the locator of the row that stays, for every row of docs."""
     spark = docs.sparkSession
-    text = normalised()
-    named = docs.select(F.col("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest"), F.octet_length(text).alias("bytes"), F.input_file_name().alias("locator"))
-    rows = common.new_folder(spark, "dedup-rows")
-    named.write.option("compression", "zstd").parquet(rows)
-    schema = named.schema
-    states = common.written(stream_states(spark, rows, schema, files_per_batch), "dedup-groups")
-    hits = states.where("group_size > 1")
-    # Full bytes of all rows whose digest was hit; the row that stays is looked up once a group.
-    content = docs.select(F.col("doc_id"), text.alias("bytes"), F.unhex(F.sha2(text, 256)).alias("digest"))
-    content = common.may_hit(content, "digest", hits.select(F.col("digest").alias("hit")), "hit")
-    first = content.join(hits.select("digest", "keep_id"), "digest").where("doc_id <=> keep_id").groupBy("digest").agg(F.min("bytes").alias("keep_bytes"))
-    clash = content.join(first, "digest").where("bytes <> keep_bytes")
+    source = common.new_folder(spark, "dedup-rows")
+    named = docs.select("doc_id", _sha().alias("digest"), F.input_file_name().alias("locator"))
+    named.write.option("compression", "zstd").parquet(source)
+    rows = spark.read.schema(named.schema).parquet(source)
+    states = common.written(stream_states(spark, source, named.schema, files_per_batch), "dedup-groups")
+    # Full bytes of the rows whose digest was hit, against those of the row that stays.
+    hits = states.where("group_size > 1").select(F.col("digest").alias("hit"), F.col("keep_id").alias("hit_keep"))
+    hit_ids = rows.join(hits, F.col("digest") == F.col("hit"), "left_semi").select(F.col("doc_id").alias("hit_id"))
+    content = common.may_hit(docs.select("doc_id", "text"), "doc_id", hit_ids, "hit_id").select("doc_id", normalised().alias("bytes"), _sha().alias("digest"))
+    content = common.written(content, "dedup-content")
+    first = content.join(hits, (F.col("digest") == F.col("hit")) & F.col("doc_id").eqNullSafe(F.col("hit_keep"))).groupBy("hit").agg(F.min("bytes").alias("keep_bytes"))
+    first = common.written(first, "dedup-first")
+    clash = content.join(first, F.col("digest") == F.col("hit")).where("bytes <> keep_bytes")
     # Texts that differ under one digest: none is known for this hash, but they stay apart if one comes up.
-    apart = clash.groupBy("digest", "bytes").agg(F.min("doc_id").alias("own_keep"), F.count(F.lit(1)).alias("own_size"), F.collect_list("doc_id").alias("ids"))
-    apart = common.written(apart, "dedup-clashes")
-    out = spark.read.schema(schema).parquet(rows).join(states.withColumnRenamed("locator", "keep_locator"), "digest", "left")
+    apart = common.written(clash.groupBy("digest", "bytes").agg(F.min("doc_id").alias("own_keep"), F.count(F.lit(1)).alias("own_size"), F.collect_set("doc_id").alias("ids")), "dedup-clashes")
+    out = rows.drop("locator").join(states.withColumnRenamed("locator", "keep_locator"), "digest", "left")
     if not apart.isEmpty():
-        lost = apart.groupBy("digest").agg(F.sum("own_size").alias("lost"))
-        own = apart.select("digest", F.explode("ids").alias("own_id"), "own_keep", "own_size").distinct()
+        lost = apart.groupBy(F.col("digest").alias("l")).agg(F.sum("own_size").alias("lost"))
+        own = apart.select(F.col("digest").alias("d"), F.explode("ids").alias("own_id"), "own_keep", "own_size")
         out = (
-            out.join(lost, "digest", "left").join(own.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("own_id")), "left")
+            out.join(lost, F.col("digest") == F.col("l"), "left").join(own, (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("own_id")), "left")
             .withColumn("keep_id", F.when(F.col("d").isNotNull(), F.col("own_keep")).otherwise(F.col("keep_id")))
             .withColumn("group_size", F.when(F.col("d").isNotNull(), F.col("own_size")).otherwise(F.col("group_size") - F.coalesce("lost", F.lit(0))))
         )
@@ -106,9 +123,20 @@ def exact_groups(docs: DataFrame, files_per_batch: int | None = None) -> DataFra
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
-    return docs.join(kept.distinct(), F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.sha2(normalised(), 256) == F.col("_kept_sha")), "left_semi")
+    """The rows of docs that stay, with all their columns; of rows that repeat a doc_id and text one stays.
+
+    Only rows that are copies, or repeat a doc_id, are shuffled with their texts.
+    """
+    groups = common.written(exact_groups(docs).select("doc_id", "kept", F.unhex("text_sha256").alias("digest")), "dedup-rows")
+    twice = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    moved = common.written(groups.where("not kept").select(F.xxhash64("doc_id").alias("_row")).union(twice.select(F.xxhash64("doc_id").alias("_row"))).distinct(), "dedup-moved")
+    columns = docs.columns
+    rows = docs.withColumn("_key", F.xxhash64("doc_id"))
+    still = common.without(rows, "_key", moved, "_row").select(*[F.col(f"`{c}`") for c in columns])
+    gone = groups.where("not kept").select(F.col("doc_id").alias("_gone"), F.col("digest").alias("_gone_sha")).distinct()
+    some = common.may_hit(rows, "_key", moved, "_row").join(moved, F.col("_key") == F.col("_row"), "left_semi").withColumn("_sha", _sha())
+    some = some.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.col("_sha") == F.col("_gone_sha")), "left_anti").dropDuplicates(["doc_id", "_sha"])
+    return still.union(some.select(*[F.col(f"`{c}`") for c in columns]))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

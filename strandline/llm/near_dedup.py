@@ -223,9 +223,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that stay, one document of each group; all columns, repeated doc_ids included once each."""
-    kept = near_duplicates(docs, k, percent).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_kept_id"), "left_semi")
+    """The rows of docs that stay, one document of each group, with all their columns; rows with a null doc_id stay."""
+    gone = common.written(near_duplicates(docs, k, percent).where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")), "near-copies")
+    return common.without(docs, "doc_id", gone, "_gone")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
