@@ -529,22 +529,36 @@ def encode(docs: DataFrame, tokenizer_path: str, units: int = LEXICON_UNITS) ->
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")
 
 
-def digests(docs: DataFrame, tokenizer_path: str, units: int = LEXICON_UNITS) -> DataFrame:
-    """doc_id, n_tokens and the digests of ids and of the decoded text: `encode` without its bulk."""
+def _digests(docs: DataFrame, tokenizer_path: str, units: int, with_ids: bool) -> DataFrame:
     name, spec = prepare(docs, tokenizer_path, units)
 
     def run(batches):
         encoder = Encoder.of(name, spec.value)
         for batch in batches:
-            n, a, b = [], [], []
+            n, a, b, kept = [], [], [], []
             for ids, back in encoder.encode(batch.column(1)):
                 n.append(len(ids) // 4)
                 a.append(hashlib.sha256(ids).hexdigest())
                 b.append(hashlib.sha256(back if _is_utf8(back) else back.decode("utf-8", "replace").encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                kept.append(ids if with_ids else b"")
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
+            if with_ids:
+                columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(np.frombuffer(b"".join(kept), np.int32))))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, schema + (", ids array<int>" if with_ids else ""))
+
+
+def digests(docs: DataFrame, tokenizer_path: str, units: int = LEXICON_UNITS) -> DataFrame:
+    """doc_id, n_tokens and the digests of ids and of the decoded text: `encode` without its bulk."""
+    return _digests(docs, tokenizer_path, units, False)
+
+
+def encode_with_digests(docs: DataFrame, tokenizer_path: str, units: int = LEXICON_UNITS) -> DataFrame:
+    """As `digests`, with the ids themselves (array<int>)."""
+    return _digests(docs, tokenizer_path, units, True)
 
 
 def default_tokenizer() -> str:
