@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from strandline.llm import bpe, decontaminate, exact_dedup, lm, near_dedup, pii, secret_scan, sharding, toxicity
+from strandline.llm import bpe, decontaminate, exact_dedup, extract, lm, near_dedup, pii, secret_scan, sharding, toxicity
 
 QUERIES = {
     "op1_backoff_lm_scores": lm.op1,
+    "op2_host_suffix_extraction": extract.op2,
     "op3_exact_dedup_stream": exact_dedup.op3,
     "op4_permutation_sharding": sharding.op4,
     "op5_bpe_round_trip": bpe.op5,
@@ -17,5 +18,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_host_suffix_extraction": extract.op2,
     "op3_exact_dedup_stream": exact_dedup.OP3_SQL,
 }
