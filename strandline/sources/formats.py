@@ -48,7 +48,7 @@ def gauges(lines: DataFrame, metrics: list[str] | None = None, column: str = "va
         .select("_line", "a", "b", "c", "m.name", F.posexplode("m.gauge.dataPoints").alias("d", "p"))
         .select(F.struct("_line", "a", "b", "c", "d").alias("at"), "name", F.col("p.timeUnixNano").try_cast("long").alias("nano"), F.coalesce("p.asDouble", F.col("p.asInt").try_cast("double")).alias("v"))
         .where("nano is not null")
-        .withColumn("timestamp", F.timestamp_add("MICROSECOND", F.floor(F.col("nano") / 1000), F.expr("timestamp_ntz'1970-01-01 00:00:00'")))
+        .withColumn("timestamp", F.timestamp_add("MICROSECOND", F.expr("nano div 1000"), F.expr("timestamp_ntz'1970-01-01 00:00:00'")))
     )
     last = points.groupBy("timestamp", "name").agg(F.max_by("v", "at").alias("v"))
     if metrics is None:
