@@ -18,6 +18,5 @@ QUERIES = {
 }
 
 ORACLES = {
-    "op2_host_suffix_extraction": extract.op2,
     "op3_exact_dedup_stream": exact_dedup.OP3_SQL,
 }
