@@ -233,11 +233,12 @@ def _events(spark, sf_dir):
 
 
 def _rounded(df, *names):
-    return df.withColumns({n: F.round(column(n), 4) for n in names})
+    # Averages of cents over up to a few hundred rows have exact halves at fewer digits, which engines round either way.
+    return df.withColumns({n: F.round(column(n), 9 if n.endswith("avg") else 4) for n in names})
 
 
 for _kind in reduce.AGGREGATES:
-    _e = f"round({_kind}(value), 4)" if _kind in ("avg", "sum") else f"{_kind}(value)"
+    _e = f"round({_kind}(value), {9 if _kind == 'avg' else 4})" if _kind in ("avg", "sum") else f"{_kind}(value)"
 
     def _one(spark, sf_dir, kind=_kind):
         out = reduce.single_pass(_events(spark, sf_dir), "ts", "1h", [{"type": kind, "columns": ["value"]}])
@@ -272,7 +273,7 @@ LEVELS = {"1h": "1 hour", "6h": "6 hours", "1d": "1 day"}
 
 def _level_sql(name):
     b = BUCKET.format(LEVELS[name])
-    return f"SELECT '{name}' AS resolution, {b} AS ts, count(*) AS \"timestamp.count\", round(avg(value), 4) AS \"value.avg\", round(sum(value), 4) AS \"value.sum\", min(value) AS \"value.min\", max(value) AS \"value.max\" FROM events GROUP BY {b}"
+    return f"SELECT '{name}' AS resolution, {b} AS ts, count(*) AS \"timestamp.count\", round(avg(value), 9) AS \"value.avg\", round(sum(value), 4) AS \"value.sum\", min(value) AS \"value.min\", max(value) AS \"value.max\" FROM events GROUP BY {b}"
 
 
 ALL_LEVELS = " UNION ALL ".join(_level_sql(n) for n in LEVELS)
@@ -298,7 +299,7 @@ def _(spark, sf_dir):
     return reduce.reconstruct(reduce.partials(_events(spark, sf_dir), "ts", "1h", wanted), wanted, "ts")
 
 
-@query("tr_merge", f"SELECT {BUCKET.format('6 hours')} AS ts, round(avg(value), 4) AS \"value.avg\" FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20' GROUP BY 1")
+@query("tr_merge", f"SELECT {BUCKET.format('6 hours')} AS ts, round(avg(value), 9) AS \"value.avg\" FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20' GROUP BY 1")
 def _(spark, sf_dir):
     wanted = [("avg", "value")]
     parts = [reduce.partials(_events(spark, sf_dir).where(f"user_id % 3 = {k}"), "ts", "1h", wanted) for k in range(3)]
@@ -323,12 +324,12 @@ def _(spark, sf_dir):
     return spark.createDataFrame(rows, "asked array<string>, ordered array<string>, error string")
 
 
-@query("legacy_union_reduce", " UNION ALL ".join(f"SELECT '{t}' AS site, {BUCKET.format('1 day')} AS ts, round(avg(value), 4) AS a, min(value) AS lo, max(value) AS hi FROM events WHERE event_type = '{t}' GROUP BY 2" for t in TYPES))
+@query("legacy_union_reduce", " UNION ALL ".join(f"SELECT '{t}' AS site, {BUCKET.format('1 day')} AS ts, round(avg(value), 9) AS a, min(value) AS lo, max(value) AS hi FROM events WHERE event_type = '{t}' GROUP BY 2" for t in TYPES))
 def _(spark, sf_dir):
     parts = []
     for t, df in by_type(spark, sf_dir, "ts", "value").items():
         out = reduce.single_pass(df, "ts", "1d", [{"type": k} for k in ("avg", "min", "max")])
-        parts.append(out.select(F.lit(t).alias("site"), "ts", F.round(column("value.avg"), 4).alias("a"), column("value.min").alias("lo"), column("value.max").alias("hi")))
+        parts.append(out.select(F.lit(t).alias("site"), "ts", F.round(column("value.avg"), 9).alias("a"), column("value.min").alias("lo"), column("value.max").alias("hi")))
     return transforms.union_by_name(parts)
 
 
