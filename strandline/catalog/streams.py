@@ -1 +1,83 @@
-"""To come."""
+"""Streaming queries; each must give what the batch query gives."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from strandline.catalog import query
+from strandline.plans import scratch
+from strandline.plans.scratch import table
+from strandline.streaming import fold, windows
+
+
+def _stream(spark, sf_dir, parts: int = 3):
+    """Events as files that arrive one after another."""
+    where = scratch.folder(spark, "arrivals")
+    table(spark, sf_dir, "events").repartitionByRange(parts, "ts").sortWithinPartitions("ts").write.parquet(where)
+    return windows.source(spark, where)
+
+
+
+
+@query("st_tumbling", "SELECT time_bucket(INTERVAL '4 hours', ts, TIMESTAMP '1970-01-01') AS ts, event_type, CAST(count(*) AS BIGINT) AS n, max(value) AS top FROM events GROUP BY 1, 2")
+def _(spark, sf_dir):
+    out = windows.tumbling(_stream(spark, sf_dir), "ts", "4 hours", [F.count(F.lit(1)).alias("n"), F.max("value").alias("top")], ["event_type"])
+    return windows.run(out, "complete")
+
+
+@query("st_tumbling_update", "SELECT time_bucket(INTERVAL '4 hours', ts, TIMESTAMP '1970-01-01') AS ts, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1")
+def _(spark, sf_dir):
+    out = windows.tumbling(_stream(spark, sf_dir), "ts", "4 hours", [F.count(F.lit(1)).alias("n")])
+    return windows.run(out, "update", ["ts"])
+
+
+@query("st_tumbling_append")
+def _(spark, sf_dir):
+    """Finished windows only: those behind the watermark when the input ends."""
+    out = windows.tumbling(_stream(spark, sf_dir), "ts", "4 hours", [F.count(F.lit(1)).alias("n")], lateness="1 day")
+    return windows.run(out, "append")
+
+
+@query("st_sliding", "SELECT w AS ts, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest([time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '1970-01-01') - INTERVAL 1 HOUR * i FOR i IN [0, 1, 2]]) AS w FROM events) GROUP BY 1")
+def _(spark, sf_dir):
+    return windows.tumbling(table(spark, sf_dir, "events"), "ts", "3 hours", [F.count(F.lit(1)).alias("n")], slide="1 hour")
+
+
+@query("st_sessions", "WITH e AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS brk FROM events), s AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT min(ts) AS first_time, user_id, CAST(count(*) AS BIGINT) AS n FROM s GROUP BY user_id, k")
+def _(spark, sf_dir):
+    return windows.sessions(table(spark, sf_dir, "events"), "ts", "6 hours", ["user_id"], [F.count(F.lit(1)).alias("n")])
+
+
+def _entries(spark, sf_dir):
+    return table(spark, sf_dir, "events").select(F.col("event_type").alias("key"), F.col("ts").alias("time"), F.col("props").alias("message"), F.day("ts").alias("version"))
+
+
+@query("st_status_fold", "SELECT event_type AS key, max(ts) AS time, arg_max(props, ts) AS message FROM events GROUP BY 1")
+def _(spark, sf_dir):
+    f = fold.StatusFold(spark, scratch.folder(spark, "status"))
+    e = _entries(spark, sf_dir)
+    for through in (10, 10, 20, 31):  # the second fold finds nothing new
+        f.fold(e.where(f"version <= {through}"))
+    return f.latest()
+
+
+@query("st_status_tail", "SELECT key, time, message FROM (SELECT event_type AS key, ts AS time, props AS message, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, props) AS n FROM events) WHERE n <= 5")
+def _(spark, sf_dir):
+    f = fold.StatusFold(spark, scratch.folder(spark, "status"))
+    for through in (15, 31):
+        f.fold(_entries(spark, sf_dir).where(f"version <= {through}"))
+    return f.newest()
+
+
+@query("st_log_tail")
+def _(spark, sf_dir):
+    cases = [(10, True, None), (10, True, 10), (15, True, 10), (5, True, 10), (10, False, 10)]
+    return spark.createDataFrame([(a, b, c, fold.tail_state(a, b, c)) for a, b, c in cases], "size int, prefix_equal boolean, old_size int, state string")
+
+
+@query("st_journal", "SELECT series, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE WHEN event_type = 'error' THEN 'kernel' WHEN event_type = 'view' THEN CASE WHEN user_id % 2 = 0 THEN 'own.service' ELSE 'user@1.service' END WHEN event_type = 'click' THEN 'web.service' WHEN event_type = 'signup' THEN 'ident' ELSE 'other' END AS series FROM events) GROUP BY 1")
+def _(spark, sf_dir):
+    t, u = F.col("event_type"), F.col("user_id")
+    unit = F.when(t == "view", "user@1.service").when(t == "click", "web.service")
+    series = fold.route(F.when(t == "error", "kernel").otherwise("journal"), unit, F.when(u % 2 == 0, "own.service"), F.when(t == "signup", "ident"))
+    return table(spark, sf_dir, "events").groupBy(series.alias("series")).agg(F.count(F.lit(1)).alias("n"))

@@ -91,7 +91,7 @@ def export_changed(df: DataFrame, folder: str, time_column: str, parts: list[str
     spark: SparkSession = df.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path
     fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    at = path(f"{folder}/_export.json")
+    at = path(f"{folder.rstrip('/')}.export.json")  # beside the folder, which readers list
     manifest = json.loads("".join(r[0] for r in spark.read.text(at.toString()).collect())) if fs.exists(at) else {}
     digests = partition_digests(df, time_column, parts)
     keep, write, remove = stale(manifest, digests, changed_since)
