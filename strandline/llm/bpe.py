@@ -304,7 +304,8 @@ def _arc_slots(keys: np.ndarray, size: int) -> np.ndarray:
     return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - size.bit_length())).astype(np.int64)
 
 
-def save_lexicon(arrays: dict[str, np.ndarray], path: str) -> None:
+def packed(arrays: dict[str, np.ndarray]) -> bytes:
+    """The arrays as one file."""
     at, head, body = 0, {}, []
     for name, a in arrays.items():
         data = a.tobytes()
@@ -314,8 +315,7 @@ def save_lexicon(arrays: dict[str, np.ndarray], path: str) -> None:
         at += len(data) + pad
     start = json.dumps(head).encode()
     start += b" " * (-len(start) % 8)
-    with open(path, "wb") as f:
-        f.write(len(start).to_bytes(8, "little") + start + b"".join(body))
+    return len(start).to_bytes(8, "little") + start + b"".join(body)
 
 
 class Lexicon:
@@ -394,7 +394,7 @@ def _count_units(batches):
             yield pa.RecordBatch.from_arrays([pa.array(units, pa.binary()), pa.array(counts[short], pa.int64())], names=["unit", "n"])
 
 
-def frequent_units(docs: DataFrame, most: int = LEXICON_UNITS) -> list[bytes]:
+def frequent_units(docs: DataFrame, most: int = LEXICON_UNITS) -> DataFrame:
     """The units of all texts that occur most often: at most `most`, whatever the corpus.
 
     A histogram of counts with at most some 500 bars tells from which count on
@@ -408,9 +408,19 @@ def frequent_units(docs: DataFrame, most: int = LEXICON_UNITS) -> list[bytes]:
         if total > most:
             break
         least = bar
-    if least is None:
-        return []
-    return sorted(bytes(r.unit) for r in counted.where(F.col("bar") >= least).select("unit").toLocalIterator())
+    return counted.where(F.col("bar") >= F.lit(least).cast("int")).select("unit")
+
+
+def lexicon_file(merger: Merger, words: list[bytes]) -> bytes:
+    """Units compiled with their ids as a file; units that whole texts decide on are left out."""
+    words = sorted(w for w in words if _is_utf8(w) and not _WIDE_SPACE.search(w) and not any(s.encode() in w for s in merger.special))
+    outputs = [merger.pieces(w.decode()) if tokens._SPACE[w[-1]] else b"" for w in words]
+    rest = [i for i, w in enumerate(words) if not outputs[i]]
+    for at in range(0, len(rest), 1 << 15):
+        own = rest[at : at + (1 << 15)]
+        for i, ids in zip(own, merger.units([words[i] for i in own]), strict=True):
+            outputs[i] = ids
+    return packed(compile_lexicon(words, outputs))
 
 
 class Encoder:
@@ -491,23 +501,27 @@ def _is_utf8(data: bytes) -> bool:
 
 
 def prepare(docs: DataFrame, tokenizer_path: str, units: int = LEXICON_UNITS):
-    """Compiles the lexicon of docs and hands it to the executors; (its name there, the tokenizer file's text)."""
+    """Compiles the lexicon of docs and hands it to the executors; (its name there, the tokenizer file's text).
+
+    One task compiles it: its input is bounded by `units`, not by the corpus.
+    """
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
-        spec = f.read()
-    merger = Merger(spec)
-    words = [w for w in frequent_units(docs, units) if _is_utf8(w) and not _WIDE_SPACE.search(w) and not any(s.encode() in w for s in merger.special)]
+        spec = spark.sparkContext.broadcast(f.read())
+
+    def compile_all(batches):
+        words = [u for batch in batches for u in batch.column(0).to_pylist()]
+        file = lexicon_file(Merger(spec.value), words)
+        yield pa.RecordBatch.from_arrays([pa.array([len(file)]), pa.array([pa.compress(file, "zstd", asbytes=True)], pa.binary())], names=["size", "file"])
+
+    made = frequent_units(docs, units).repartition(1).mapInArrow(compile_all, "size long, file binary").first()
+    file = pa.decompress(bytes(made.file), made.size, "zstd", asbytes=True) if made else packed(compile_lexicon([], []))
     name = f"lexicon-{uuid.uuid4().hex[:12]}"
     path = os.path.join(tempfile.mkdtemp(prefix="strandline-"), name)
-    outputs = [merger.pieces(w.decode()) if tokens._SPACE[w[-1]] else b"" for w in words]
-    rest = [i for i, w in enumerate(words) if not outputs[i]]
-    for at in range(0, len(rest), 1 << 15):
-        own = rest[at : at + (1 << 15)]
-        for i, ids in zip(own, merger.units([words[i] for i in own]), strict=True):
-            outputs[i] = ids
-    save_lexicon(compile_lexicon(words, outputs), path)
+    with open(path, "wb") as f:
+        f.write(file)
     spark.sparkContext.addFile(path)
-    return name, spark.sparkContext.broadcast(spec)
+    return name, spec
 
 
 def encode(docs: DataFrame, tokenizer_path: str, units: int = LEXICON_UNITS) -> DataFrame:

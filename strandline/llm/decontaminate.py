@@ -33,8 +33,8 @@ OVERSAMPLE = 16
 SAMPLE_WEIGHT = 0.1
 POWER_STEPS = 2
 #: Documents whose passages join the items in the decomposition, at most: the first by a hash of doc_id.
-SAMPLE_DOCS = 400
-SAMPLE_PASSAGES = 4000
+SAMPLE_DOCS = 200
+SAMPLE_PASSAGES = 1000
 #: A word in more than this share of documents carries no weight in retrieval.
 COMMON_SHARE = 0.05
 #: Words per block; windows are 2, 4 and 6 blocks.

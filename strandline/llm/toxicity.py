@@ -4,7 +4,7 @@ A word is a run of letters and digits.  It is embedded as the sum of hashed
 vectors of the word and of its first 4 to 7 bytes, so unseen forms of a known
 stem have a place.  Filters of widths 1 to 3 run over the words of a whole text;
 the three largest answers of each filter (k-max pooling) feed a logistic layer.
-Everything is trained by Adam on the driver from a bounded sample of labelled
+Everything is trained by Adam in one task from a bounded sample of labelled
 rows (TRAIN_ROWS), beginning with vectors whose first place is the shrunken
 log-odds of the bucket.  A quarter of the sample is kept from training and sets
 a threshold for each language, which is guessed from function words of the text;
@@ -17,6 +17,8 @@ rows are scored alike; extra columns are ignored.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -259,16 +261,9 @@ class Model:
         return np.concatenate(out)
 
 
-def train(docs: DataFrame, labels: DataFrame, may_learn, rows: int = TRAIN_ROWS) -> Model:
-    """Fits a model on at most `rows` labelled documents for which the column may_learn (of doc_id) holds."""
+def fit(sample: pa.Table) -> Model:
+    """A model of labelled texts (doc_id, text, toxic)."""
     model = Model()
-    some = (
-        labels.where("doc_id is not null and toxic is not null").where(may_learn).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(rows)
-    )
-    # The sample is bounded by `rows`, so it is what is broadcast; texts are not shuffled.
-    got = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id")
-    sample = got.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic")).toArrow()
     sample = sample.take(pc.sort_indices(sample["doc_id"]))
     y = sample["toxic"].to_numpy().astype(np.int64).clip(0, 1)
     if not len(y) or y.min() == y.max():
@@ -281,6 +276,28 @@ def train(docs: DataFrame, labels: DataFrame, may_learn, rows: int = TRAIN_ROWS)
     return model
 
 
+def train(docs: DataFrame, labels: DataFrame, may_learn, rows: int = TRAIN_ROWS) -> Model:
+    """Fits a model on at most `rows` labelled documents for which the column may_learn (of doc_id) holds.
+
+    One task fits it: its input is bounded by `rows`, and the driver gets the model alone.
+    """
+    some = (
+        labels.where("doc_id is not null and toxic is not null").where(may_learn).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+        .orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(rows)
+    )
+    # The sample is bounded by `rows`, so it is what is broadcast; texts are not shuffled.
+    got = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id")
+    sample = got.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic"))
+
+    def run(batches):
+        batches = list(batches)
+        if batches:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(pa.Table.from_batches(batches)))], pa.binary())], names=["model"])
+
+    made = sample.repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(bytes(made.model)) if made else Model()
+
+
 def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     """Columns keep, then score and predicted, of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
