@@ -16,8 +16,13 @@ def _events(spark, sf_dir):
     return table(spark, sf_dir, "events")
 
 
-#: A user's events in order; event_id makes the order total.
-W = Window.partitionBy("user_id").orderBy("ts", "event_id")
+
+
+def own():
+    """A user's events in order; event_id makes the order total."""
+    return Window.partitionBy("user_id").orderBy("ts", "event_id")
+
+
 _W = "(PARTITION BY user_id ORDER BY ts, event_id"
 
 
@@ -25,18 +30,18 @@ def _window(name, sql, expr):
     query(name, f"SELECT event_id, {sql} AS x FROM events")(lambda spark, sf_dir: _events(spark, sf_dir).select("event_id", expr().alias("x")))
 
 
-_window("win_row_number", f"row_number() OVER {_W})", lambda: F.row_number().over(W).cast("long"))
-_window("win_lag", f"lag(value) OVER {_W})", lambda: F.lag("value").over(W))
-_window("win_lead", f"lead(event_id, 2) OVER {_W})", lambda: F.lead("event_id", 2).over(W))
-_window("win_running_sum", f"CAST(sum(CASE WHEN value > 42 THEN 1 ELSE 0 END) OVER {_W} ROWS UNBOUNDED PRECEDING) AS BIGINT)", lambda: F.sum(F.when(F.col("value") > 42, 1).otherwise(0)).over(W.rowsBetween(Window.unboundedPreceding, 0)))
-_window("win_first_value", f"first_value(value) OVER {_W})", lambda: F.first_value("value").over(W))
+_window("win_row_number", f"row_number() OVER {_W})", lambda: F.row_number().over(own()).cast("long"))
+_window("win_lag", f"lag(value) OVER {_W})", lambda: F.lag("value").over(own()))
+_window("win_lead", f"lead(event_id, 2) OVER {_W})", lambda: F.lead("event_id", 2).over(own()))
+_window("win_running_sum", f"CAST(sum(CASE WHEN value > 42 THEN 1 ELSE 0 END) OVER {_W} ROWS UNBOUNDED PRECEDING) AS BIGINT)", lambda: F.sum(F.when(F.col("value") > 42, 1).otherwise(0)).over(own().rowsBetween(Window.unboundedPreceding, 0)))
+_window("win_first_value", f"first_value(value) OVER {_W})", lambda: F.first_value("value").over(own()))
 _window("win_first_full_frame", "first_value(event_id) OVER (PARTITION BY user_id ORDER BY value, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)", lambda: F.first_value("event_id").over(Window.partitionBy("user_id").orderBy("value", "event_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
 _window("win_partition_max", "max(value) OVER (PARTITION BY user_id)", lambda: F.max("value").over(Window.partitionBy("user_id")))
-_window("win_moving_avg", f"round(avg(value) OVER {_W} ROWS BETWEEN 20 PRECEDING AND 10 PRECEDING), 9)", lambda: F.round(F.avg("value").over(W.rowsBetween(-20, -10)), 9))
+_window("win_moving_avg", f"round(avg(value) OVER {_W} ROWS BETWEEN 20 PRECEDING AND 10 PRECEDING), 9)", lambda: F.round(F.avg("value").over(own().rowsBetween(-20, -10)), 9))
 _window("win_rank", "rank() OVER (PARTITION BY event_type ORDER BY floor(value))", lambda: F.rank().over(Window.partitionBy("event_type").orderBy(F.floor("value"))).cast("long"))
 _window("win_dense_rank", "dense_rank() OVER (PARTITION BY event_type ORDER BY floor(value))", lambda: F.dense_rank().over(Window.partitionBy("event_type").orderBy(F.floor("value"))).cast("long"))
-_window("win_ntile", f"ntile(4) OVER {_W})", lambda: F.ntile(4).over(W).cast("long"))
-_window("win_nth_value", f"nth_value(event_id, 3) OVER {_W})", lambda: F.nth_value("event_id", 3).over(W))
+_window("win_ntile", f"ntile(4) OVER {_W})", lambda: F.ntile(4).over(own()).cast("long"))
+_window("win_nth_value", f"nth_value(event_id, 3) OVER {_W})", lambda: F.nth_value("event_id", 3).over(own()))
 _window("win_range", "CAST(count(*) OVER (PARTITION BY user_id ORDER BY event_id RANGE BETWEEN 500 PRECEDING AND CURRENT ROW) AS BIGINT)", lambda: F.count(F.lit(1)).over(Window.partitionBy("user_id").orderBy("event_id").rangeBetween(-500, 0)))
 
 
@@ -123,8 +128,8 @@ def cycles(spark, sf_dir, threshold=42):
     """Events numbered by the cycle that the last rise over the threshold began."""
     drawing = F.when(F.col("value") > threshold, 1).otherwise(0)
     e = _events(spark, sf_dir).select("user_id", "event_id", "ts", "value", epoch_seconds(F.col("ts")).alias("s"), drawing.alias("drawing"))
-    e = e.withColumn("edge", F.when((F.col("drawing") == 1) & (F.coalesce(F.lag("drawing").over(W), F.lit(0)) == 0), 1).otherwise(0))
-    return e.withColumn("cycle", F.sum("edge").over(W.rowsBetween(Window.unboundedPreceding, 0)))
+    e = e.withColumn("edge", F.when((F.col("drawing") == 1) & (F.coalesce(F.lag("drawing").over(own()), F.lit(0)) == 0), 1).otherwise(0))
+    return e.withColumn("cycle", F.sum("edge").over(own().rowsBetween(Window.unboundedPreceding, 0)))
 
 
 @query("q_drawdown_by_month", _CYCLES + """, a AS (SELECT *, first_value(s) OVER (PARTITION BY user_id, cycle ORDER BY ts, event_id) AS s0, first_value(value) OVER (PARTITION BY user_id, cycle ORDER BY ts, event_id) AS v0 FROM c WHERE cycle > 0)
@@ -140,9 +145,9 @@ def _(spark, sf_dir):
 b AS (SELECT month(ts) AS month, floor(log10((s - s0) * 1.0 / (s - trough)) / 0.05) AS bin, value FROM a WHERE s > trough AND s > s0)
 SELECT month, CAST(bin AS BIGINT) AS bin, CAST(count(*) AS BIGINT) AS n, round(quantile_cont(value, 0.5), 4) AS p50 FROM b GROUP BY 1, 2""")
 def _(spark, sf_dir):
-    own = Window.partitionBy("user_id", "cycle")
-    full = own.orderBy("value", "event_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    a = cycles(spark, sf_dir).where("cycle > 0").withColumns({"trough": F.first_value("s").over(full), "s0": F.min("s").over(own)}).where("s > trough and s > s0")
+    cycle = Window.partitionBy("user_id", "cycle")
+    full = cycle.orderBy("value", "event_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    a = cycles(spark, sf_dir).where("cycle > 0").withColumns({"trough": F.first_value("s").over(full), "s0": F.min("s").over(cycle)}).where("s > trough and s > s0")
     bin_ = F.floor(F.log10((F.col("s") - F.col("s0")) * 1.0 / (F.col("s") - F.col("trough"))) / 0.05)
     return a.groupBy(F.month("ts").cast("long").alias("month"), bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.round(F.percentile("value", 0.5), 4).alias("p50"))
 

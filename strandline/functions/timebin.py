@@ -7,24 +7,24 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_UNITS = {"s": 1, "sec": 1, "second": 1, "m": 60, "min": 60, "minute": 60, "h": 3600, "hour": 3600, "d": 86400, "day": 86400, "w": 604800, "week": 604800}
+_UNITS = {
+    1e-9: "ns nanosecond nanoseconds", 1e-6: "us microsecond microseconds", 1e-3: "ms millisecond milliseconds", 1: "s sec secs second seconds", 60: "m min mins minute minutes",
+    3600: "h hr hrs hour hours", 86400: "d day days", 604800: "w week weeks",
+}
+_LENGTH = {name: length for length, names in _UNITS.items() for name in names.split()}
+_PART = r"(\d+(?:\.\d+)?)\s*([a-zA-Z]+)\s*"
 
 
 def seconds(duration: str) -> int:
     """Whole seconds of a duration such as 1h, 90s, 15min or `4 hours`; parts below a second are cut off."""
-    parts = re.findall(r"(\d+(?:\.\d+)?)\s*([a-zA-Z]+)", duration)
-    if not parts or re.sub(r"(\d+(?:\.\d+)?)\s*([a-zA-Z]+)|\s", "", duration):
+    if not re.fullmatch(rf"\s*(?:{_PART})+", duration):
         raise ValueError(f"not a duration: {duration!r}")
     total = 0.0
-    for number, unit in parts:
-        unit = unit.lower()
-        unit = unit if unit in _UNITS else unit.removesuffix("s")
-        if unit in ("ms", "us", "ns") or unit not in _UNITS:
-            if unit in ("m", "ms", "us", "ns"):
-                continue
+    for number, unit in re.findall(_PART, duration):
+        if unit.lower() not in _LENGTH:
             raise ValueError(f"unknown unit in {duration!r}")
-        total += float(number) * _UNITS[unit]
-    return int(total)
+        total += float(number) * _LENGTH[unit.lower()]
+    return int(total + 1e-9)
 
 
 def bucket(ts: Column, duration: str) -> Column:
