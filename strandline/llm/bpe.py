@@ -492,6 +492,11 @@ class Encoder:
                     yield b"".join([ids[j] for j in use]), b"".join([back[j] for j in use])
 
 
+    def forget(self) -> None:
+        """Lets go of the memos: an idle worker keeps the lexicon alone."""
+        self.memo, self.merger.memo = {}, {}
+
+
 def _is_utf8(data: bytes) -> bool:
     try:
         data.decode()
@@ -538,6 +543,7 @@ def encode(docs: DataFrame, tokenizer_path: str, units: int = LEXICON_UNITS) ->
                 [batch.column(0), pa.ListArray.from_arrays(pa.array(sizes), flat), pa.array([y.decode("utf-8", "replace") for _, y in got], pa.string())],
                 names=["doc_id", "ids", "decoded"],
             )
+        encoder.forget()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")
@@ -559,6 +565,7 @@ def _digests(docs: DataFrame, tokenizer_path: str, units: int, with_ids: bool) -
             if with_ids:
                 columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(np.frombuffer(b"".join(kept), np.int32))))
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
+        encoder.forget()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"

@@ -30,17 +30,22 @@ from pyspark.sql import functions as F
 from strandline.llm import common
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: The state store is on disk; it does not reserve disk ahead for each of many partitions.
+#: The state store is on disk: all its partitions on an executor share one bounded cache, and none reserves disk ahead.
 SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
 }
+#: Rows that a partition of the state is meant for: a key and its state are about 100 bytes on disk.
+STATE_ROWS = 1_000_000
 
 
 @contextmanager
-def _settings(spark: SparkSession):
-    before = {k: spark.conf.get(k, None) for k in SETTINGS}
-    for k, v in SETTINGS.items():
+def _settings(spark: SparkSession, partitions: int):
+    settings = SETTINGS | {"spark.sql.shuffle.partitions": str(partitions)}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
         spark.conf.set(k, v)
     try:
         yield
@@ -74,7 +79,10 @@ def stream_states(spark: SparkSession, source: str, schema, files_per_batch: int
         # A folder a batch, overwritten if the batch is run again after a failure.
         batch.write.mode("overwrite").parquet(f"{folder}/log/batch={batch_id}")
 
-    with _settings(spark):
+    # As many state partitions as the rows need, and no fewer than there are cores; a kept state keeps its own number.
+    rows = spark.read.schema(schema).parquet(source).count()
+    partitions = max(spark.sparkContext.defaultParallelism, -(-rows // STATE_ROWS))
+    with _settings(spark, partitions):
         keyed.writeStream.outputMode("update").foreachBatch(log).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     kind = dict(schema_types(schema))["doc_id"]
     log_schema = f"digest binary, keep_id {kind}, locator string, group_size long, batch int"
