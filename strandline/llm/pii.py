@@ -33,7 +33,7 @@ RAISE = [
     "mail|contact|write to|kontakt|correo|courriel", "\\bip\\b|address|host|server|login|adresse|dirección",
     "card|visa|credit|debit|payment|karte|carte|tarjeta", "phone|call|tel|mobile|fax|ruf|llam|appel", "iban|account|bank|konto|compte|cuenta",
 ]
-LOWER = ["example\\.|noreply|no-reply", "version|release|chapter|section", "order|invoice|serial|tracking|isbn", "555", "example|sample"]
+LOWER = ["example\\.|noreply|no-reply", "version|release|chapter|section", "order|invoice|serial|tracking|isbn", "order|invoice|serial|version", "example|sample"]
 
 
 def luhn(digits: Column) -> Column:

@@ -108,15 +108,14 @@ class Model:
         self.shift = np.zeros(len(LANGS), np.float64)
         self.ready = False
 
-    def pooled(self, rows: np.ndarray, offsets: np.ndarray, track: bool = False):
-        """k-max pooled answers of each text; with track also where each came from."""
+    def pooled(self, rows: np.ndarray, offsets: np.ndarray):
+        """k-max pooled answers of each text, the words' vectors, and where each answer came from."""
         emb = self.p["emb"]
         x = emb[rows[:, 0]]
         for j in range(1, rows.shape[1]):
             x += emb[rows[:, j]]
         outs, places = [], []
-        starts = offsets[:-1]
-        counts = np.diff(offsets)
+        starts, counts = offsets[:-1], np.diff(offsets)
         for w in WIDTHS:
             conv = self.p[f"conv{w}"]
             z = x @ conv[w - 1]
@@ -125,19 +124,16 @@ class Model:
             z += self.p[f"shift{w}"]
             for _ in range(TOP):
                 best = np.maximum.reduceat(z, starts, axis=0)
-                hit = z == np.repeat(best, counts, axis=0)
-                if track:
-                    r, f = np.nonzero(hit)
-                    text = np.searchsorted(offsets, r, side="right") - 1
-                    where = np.zeros(best.shape, np.int64)
-                    where[text, f] = r
-                    places.append(where)
+                r, f = np.nonzero(z == np.repeat(best, counts, axis=0))
+                where = np.zeros(best.shape, np.int64)
+                where[np.searchsorted(offsets, r, side="right") - 1, f] = r  # one place of equal answers
+                places.append(where)
                 outs.append(best)
-                z[hit] = -30.0
+                z[where, np.arange(FILTERS)] = -30.0
         return np.maximum(np.concatenate(outs, axis=1), -5.0), x, places
 
     def logits(self, rows, offsets) -> np.ndarray:
-        """As `pooled` and the logistic layer, without tracking and so by selection."""
+        """As `pooled` and the logistic layer, but by selection instead of tracking places."""
         emb = self.p["emb"]
         x = emb[rows[:, 0]]
         for j in range(1, rows.shape[1]):
@@ -193,7 +189,7 @@ class Model:
     def _step(self, sets, labels, ids, moments, step) -> None:
         rows = np.concatenate(sets)
         offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
-        v, x, places = self.pooled(rows, offsets, track=True)
+        v, x, places = self.pooled(rows, offsets)
         y = labels[ids].astype(np.float32)
         z = v @ self.p["out"] + self.p["bias"][0]
         d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(ids)
