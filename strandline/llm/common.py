@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Bits of the hit filter (2 MB when broadcast, whatever the size of the input).
@@ -43,6 +44,19 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def measured(df: DataFrame, what: str, *aggregates) -> tuple[DataFrame, dict]:
+    """As `written`, with aggregates over the rows, which the writing job takes along."""
+    seen = Observation()
+    out = written(df.observe(seen, *aggregates), what)
+    return out, seen.get
+
+
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffles and broadcasts of finished steps: it acts when the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def text_bytes(df: DataFrame, column: str = "text") -> int:
     return df.agg(F.sum(F.octet_length(column))).first()[0] or 0
 

@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import common
@@ -61,11 +61,12 @@ def normalised(column: str = "text"):
     return F.regexp_replace(F.coalesce(F.col(column).cast("string"), F.lit("")), "[\\x20\\x09-\\x0D]+", " ")
 
 
-def stream_states(spark: SparkSession, source: str, schema, files_per_batch: int | None = None, state: str | None = None) -> DataFrame:
+def stream_states(spark: SparkSession, source: str, schema, files_per_batch: int | None = None, state: str | None = None, rows: int = 0) -> DataFrame:
     """(digest, keep_id, locator, group_size) of all rows under `source`, by a stream that stops when it has read them.
 
     state: a folder kept from an earlier call; rows that have arrived since are
-    then all that is read.
+    then all that is read.  rows: how many to expect, for the number of state
+    partitions.
     """
     folder = state or common.new_folder(spark, "dedup-state")
     reader = spark.readStream.schema(schema)
@@ -80,7 +81,6 @@ def stream_states(spark: SparkSession, source: str, schema, files_per_batch: int
         batch.write.mode("overwrite").parquet(f"{folder}/log/batch={batch_id}")
 
     # As many state partitions as the rows need, and no fewer than there are cores; a kept state keeps its own number.
-    rows = spark.read.schema(schema).parquet(source).count()
     partitions = max(spark.sparkContext.defaultParallelism, -(-rows // STATE_ROWS))
     with _settings(spark, partitions):
         keyed.writeStream.outputMode("update").foreachBatch(log).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
@@ -101,11 +101,12 @@ def _sha(column: str = "text"):
 def exact_groups(docs: DataFrame, files_per_batch: int | None = None) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 and the locator of the row that stays, for every row of docs."""
     spark = docs.sparkSession
-    source = common.new_folder(spark, "dedup-rows")
+    source, seen = common.new_folder(spark, "dedup-rows"), Observation()
     named = docs.select("doc_id", _sha().alias("digest"), F.input_file_name().alias("locator"))
-    named.write.option("compression", "zstd").parquet(source)
+    named.observe(seen, F.count(F.lit(1)).alias("n")).write.option("compression", "zstd").parquet(source)
     rows = spark.read.schema(named.schema).parquet(source)
-    states = common.written(stream_states(spark, source, named.schema, files_per_batch), "dedup-groups")
+    states = common.written(stream_states(spark, source, named.schema, files_per_batch, rows=seen.get.get("n", 0)), "dedup-groups")
+    common.tidy(spark)
     # Full bytes of the rows whose digest was hit, against those of the row that stays.
     hits = states.where("group_size > 1").select(F.col("digest").alias("hit"), F.col("keep_id").alias("hit_keep"))
     hit_ids = rows.join(hits, F.col("digest") == F.col("hit"), "left_semi").select(F.col("doc_id").alias("hit_id"))
@@ -115,9 +116,12 @@ def exact_groups(docs: DataFrame, files_per_batch: int | None = None) -> DataFra
     first = common.written(first, "dedup-first")
     clash = content.join(first, F.col("digest") == F.col("hit")).where("bytes <> keep_bytes")
     # Texts that differ under one digest: none is known for this hash, but they stay apart if one comes up.
-    apart = common.written(clash.groupBy("digest", "bytes").agg(F.min("doc_id").alias("own_keep"), F.count(F.lit(1)).alias("own_size"), F.collect_set("doc_id").alias("ids")), "dedup-clashes")
+    apart, clashes = common.measured(
+        clash.groupBy("digest", "bytes").agg(F.min("doc_id").alias("own_keep"), F.count(F.lit(1)).alias("own_size"), F.collect_set("doc_id").alias("ids")), "dedup-clashes", F.count(F.lit(1)).alias("n")
+    )
+    common.tidy(spark)
     out = rows.drop("locator").join(states.withColumnRenamed("locator", "keep_locator"), "digest", "left")
-    if not apart.isEmpty():
+    if clashes.get("n"):
         lost = apart.groupBy(F.col("digest").alias("l")).agg(F.sum("own_size").alias("lost"))
         own = apart.select(F.col("digest").alias("d"), F.explode("ids").alias("own_id"), "own_keep", "own_size")
         out = (

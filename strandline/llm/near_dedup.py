@@ -146,8 +146,7 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
-        now = common.written(small, "links")
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        now, state = common.measured(small, "links", F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum"))
         if state == before:
             break
         before = state
@@ -206,14 +205,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     sets = common.written(sets.join(ids, "id", "left_semi").groupBy("id", "set_id").agg(F.first("items").alias("items")), "sets")
     edges = common.written(crowded.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "edges")
     links = common.written(confirmed(edges, sets, percent), "confirmed")
+    common.tidy(spark)
     roots = components(links)
     # Members other than the centre, which has met everyone in its bucket.
     left = crowded.where("rep <> centre").join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
     spread = left.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
     open_ = common.written(left.join(spread, "key", "left_semi"), "open")
     more = common.written(prefix_pairs(open_, sets, percent).join(edges, ["a", "b"], "left_anti"), "edges")
-    fresh = common.written(confirmed(more, sets, percent), "confirmed")
-    if not fresh.isEmpty():
+    fresh, found = common.measured(confirmed(more, sets, percent), "confirmed", F.count(F.lit(1)).alias("n"))
+    common.tidy(spark)
+    if found.get("n"):
         roots = components(links.union(fresh))
     by_set = classes.select("set_id", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("set_id", F.coalesce("root", "rep").alias("component"))
     # The copies of one text may be a third of all rows: their side is dealt by set_id and split by adaptive execution.

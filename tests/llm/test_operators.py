@@ -420,6 +420,12 @@ def test_extraction_by_repeated_runs(spark):
     assert extract.main_text(df.where("false")).count() == 0
 
 
+def test_names_of_elements():
+    page = "<body class='has-sidebar'><div class='layout-with-sidebar'><article><div class='entry-header'><h1>Head</h1></div><p>Body</p><div id='respond'>no</div><ul class='post-share'><li>no</ul></article></div>"
+    assert extract.blocks(page)[0] == ["Head", "Body"]
+    assert extract.blocks("<div class='siteHeader'>no</div><div id=cookieNotice>no</div><div>yes<script>if (a < b) no</script></div>")[0] == ["yes"]
+
+
 def test_suffix_array_classes():
     rng = np.random.default_rng(4)
     seq, owner = rng.integers(0, 3, 200), np.repeat([0, 1], 100)
