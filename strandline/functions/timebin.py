@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 
 from pyspark.sql import Column
@@ -39,3 +40,8 @@ def epoch_seconds(ts: Column) -> Column:
 
 def from_epoch_seconds(seconds_: Column) -> Column:
     return F.timestamp_add("SECOND", seconds_, F.expr("timestamp_ntz'1970-01-01 00:00:00'"))
+
+
+def at(epoch: int) -> Column:
+    """The literal time of an epoch second, which scans can compare with."""
+    return F.expr(f"timestamp_ntz'{dt.datetime.fromtimestamp(epoch, dt.UTC):%Y-%m-%d %H:%M:%S}'")

@@ -11,7 +11,7 @@ from functools import reduce as fold
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.functions.timebin import epoch_seconds, seconds
+from strandline.functions.timebin import at, seconds
 from strandline.operators import transforms
 from strandline.operators.transforms import column
 
@@ -89,9 +89,9 @@ def merge(parts: DataFrame, resolution: str, wanted: list[tuple[str, str]], low:
     """Partials of a finer resolution folded to a coarser one; low and high (epoch seconds, high excluded) cut before grouping."""
     out = parts
     if low is not None:
-        out = out.where(epoch_seconds(F.col("_bucket")) >= low)
+        out = out.where(F.col("_bucket") >= at(low))
     if high is not None:
-        out = out.where(epoch_seconds(F.col("_bucket")) < high)
+        out = out.where(F.col("_bucket") < at(high))
     how = {"sum": F.sum, "count": F.sum, "rows": F.sum, "min": F.min, "max": F.max}
     exprs = [how[k](column(_partial_name(k, n))).alias(_partial_name(k, n)) for k, n in partial_columns(wanted)]
     return out.withColumn("_b", F.window("_bucket", f"{seconds(resolution)} seconds")["start"]).groupBy("_b").agg(*exprs).withColumnRenamed("_b", "_bucket")

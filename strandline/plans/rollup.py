@@ -62,12 +62,16 @@ class Rollup:
         return json.loads("\n".join(r[0] for r in self.spark.read.text(f"{self.folder}/manifest.json").collect()))
 
     def _save(self, manifest: dict) -> None:
+        """Writes the manifest beside the old one and takes its place in one step."""
         target, new = self._path(f"{self.folder}/manifest.json"), self._path(f"{self.folder}/manifest.new")
         out = self._fs.create(new, True)
         out.write(json.dumps(manifest, indent=1).encode())
         out.close()
-        self._fs.delete(target, False)
-        self._fs.rename(new, target)
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        rename = getattr(hadoop, "Options$Rename")
+        how = self.spark.sparkContext._gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        hadoop.FileContext.getFileContext(target.toUri(), self.spark._jsc.hadoopConfiguration()).rename(self._fs.makeQualified(new), self._fs.makeQualified(target), how)
 
     def drop(self) -> None:
         self._fs.delete(self._path(self.folder), True)
@@ -96,8 +100,9 @@ class Rollup:
         finest = self.levels[0]
         for v in fresh:
             reduce.partials(versions[v], self.time, finest, wanted).write.mode("overwrite").parquet(f"{self.folder}/{self._version_file(v)}")
-        every = reduce.merge(self._read([self._version_file(v) for v in versions]), finest, wanted)
         sealed = manifest["levels"].get(finest, {}).get("sealed_hi")
+        # From the watermark on; what lies before is sealed, and the bound reaches the scan.
+        every = reduce.merge(self._read([self._version_file(v) for v in versions]), finest, wanted, low=sealed)
         if sealed is not None and fresh:
             first = self._read([self._version_file(v) for v in fresh]).agg(F.min(epoch_seconds(F.col("_bucket")))).first()[0]
             if first is not None and first < sealed:
