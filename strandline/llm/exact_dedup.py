@@ -114,14 +114,14 @@ def exact_groups(docs: DataFrame, files_per_batch: int | None = None) -> DataFra
     content = common.written(content, "dedup-content")
     first = content.join(hits, (F.col("digest") == F.col("hit")) & F.col("doc_id").eqNullSafe(F.col("hit_keep"))).groupBy("hit").agg(F.min("bytes").alias("keep_bytes"))
     first = common.written(first, "dedup-first")
-    clash = content.join(first, F.col("digest") == F.col("hit")).where("bytes <> keep_bytes")
-    # Texts that differ under one digest: none is known for this hash, but they stay apart if one comes up.
-    apart, clashes = common.measured(
-        clash.groupBy("digest", "bytes").agg(F.min("doc_id").alias("own_keep"), F.count(F.lit(1)).alias("own_size"), F.collect_set("doc_id").alias("ids")), "dedup-clashes", F.count(F.lit(1)).alias("n")
-    )
+    differ = content.join(first, F.col("digest") == F.col("hit")).where("bytes <> keep_bytes").select("doc_id", "digest", "bytes")
+    # Written before it is grouped, so that adaptive execution may split the copies of one text in the join.
+    clash, clashes = common.measured(differ, "dedup-clashes", F.count(F.lit(1)).alias("n"))
     common.tidy(spark)
     out = rows.drop("locator").join(states.withColumnRenamed("locator", "keep_locator"), "digest", "left")
     if clashes.get("n"):
+        # Texts that differ under one digest: none is known for this hash, but they stay apart if one comes up.
+        apart = clash.groupBy("digest", "bytes").agg(F.min("doc_id").alias("own_keep"), F.count(F.lit(1)).alias("own_size"), F.collect_set("doc_id").alias("ids"))
         lost = apart.groupBy(F.col("digest").alias("l")).agg(F.sum("own_size").alias("lost"))
         own = apart.select(F.col("digest").alias("d"), F.explode("ids").alias("own_id"), "own_keep", "own_size")
         out = (

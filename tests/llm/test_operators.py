@@ -108,6 +108,13 @@ def test_exact_groups(odd, none):
     assert Counter(norm(r.text or "") for r in kept.collect()) == Counter(set(groups))
 
 
+def test_texts_under_one_digest_stay_apart(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "_sha", lambda column="text": F.unhex(F.sha2(F.lit("same"), 256)))
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, "b"), (5, "c")], "doc_id long, text string")
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(df).collect()}
+    assert got == {1: (1, 2, True), 2: (2, 2, True), 3: (1, 2, False), 4: (2, 2, False), 5: (5, 1, True)}
+
+
 def test_stream_state_is_kept_between_runs(spark):
     state, source = common.new_folder(spark, "s"), common.new_folder(spark, "d")
     schema = "digest binary, doc_id long, locator string"
