@@ -5,6 +5,7 @@ import html
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -433,6 +434,14 @@ def test_names_of_elements():
     assert extract.blocks("<div class='siteHeader'>no</div><div id=cookieNotice>no</div><div>yes<script>if (a < b) no</script></div>")[0] == ["yes"]
 
 
+def test_broken_markup_takes_no_long():
+    began = time.time()
+    for page in ("<a " + "'" * 5000, "<a " * 30_000, "<p title=\"x" * 20_000, "<" * 50_000, "<div>" * 20_000 + "x", "<b>" * 20_000 + "</p>" * 2000, "<!-- " * 20_000, "<li>" * 20_000):
+        extract.blocks(page)
+    assert time.time() - began < 20
+    assert extract.blocks("<p>a <button>no<p>b")[0] == ["a"] and extract.blocks("<p>1 < 2</p> & <p>3 > 2")[0] == ["1 < 2", "&", "3 > 2"]
+
+
 def test_suffix_array_classes():
     rng = np.random.default_rng(4)
     seq, owner = rng.integers(0, 3, 200), np.repeat([0, 1], 100)
