@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Bits of the hit filter (2 MB when broadcast, whatever the size of the input).
 FILTER_BITS = 1 << 24
+#: Bytes of texts that go to a Python worker at once.
+BATCH_BYTES = "4m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +59,11 @@ def tidy(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def text_batches(spark: SparkSession) -> None:
+    """Arrow batches by their bytes: rows of text are long, and a batch is in memory on both sides at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def text_bytes(df: DataFrame, column: str = "text") -> int:
     return df.agg(F.sum(F.octet_length(column))).first()[0] or 0
 

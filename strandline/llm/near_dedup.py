@@ -192,6 +192,7 @@ def prefix_pairs(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id long, text string)."""
     spark = docs.sparkSession
+    common.text_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = common.written(docs.mapInArrow(_signatures(k), "doc_id long, n_shingles long, set_id long, bands array<long>"), "sketch")
     classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))

@@ -33,7 +33,7 @@ CHUNK_BYTES = 1 << 20
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     have = _POWERS.get("r")
     if have is None or len(have) < n:
-        size = max(2 * n, 4096)
+        size = n if n > CHUNK_BYTES else max(n + n // 8, 4096)
         for name, base in (("r", _R), ("i", _R_INV)):
             steps = np.full(size, base, dtype=np.uint64)
             steps[0] = 1
