@@ -511,7 +511,7 @@ def prepare(docs: DataFrame, tokenizer_path: str, units: int = LEXICON_UNITS):
     One task compiles it: its input is bounded by `units`, not by the corpus.
     """
     spark = docs.sparkSession
-    common.text_batches(spark)
+    common.settings(spark)
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())
 

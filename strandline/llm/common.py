@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 FILTER_BITS = 1 << 24
 #: Bytes of texts that go to a Python worker at once.
 BATCH_BYTES = "4m"
+#: Characters of a plan's text that the driver keeps.
+PLAN_TEXT = "8192"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,9 +61,15 @@ def tidy(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def text_batches(spark: SparkSession) -> None:
-    """Arrow batches by their bytes: rows of text are long, and a batch is in memory on both sides at once."""
+def settings(spark: SparkSession) -> None:
+    """What jobs over texts need of a session.
+
+    Arrow batches by their bytes: rows of text are long, and a batch is in memory
+    on both sides at once.  Short plan texts: the driver keeps those of a thousand
+    executions, each as often as adaptive execution plans anew.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    spark.conf.set("spark.sql.maxPlanStringLength", PLAN_TEXT)
 
 
 def text_bytes(df: DataFrame, column: str = "text") -> int:

@@ -306,7 +306,7 @@ def prepare(docs: DataFrame, benchmark: DataFrame) -> Retriever | None:
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, first_word, cosine, lcs_share, answer_share of every item found in every document."""
     spark = docs.sparkSession
-    common.text_batches(spark)
+    common.settings(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, item_id long, first_word long, cosine double, lcs_share double, answer_share double"
     out = spark.createDataFrame([], schema)

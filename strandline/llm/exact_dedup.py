@@ -101,6 +101,7 @@ def _sha(column: str = "text"):
 def exact_groups(docs: DataFrame, files_per_batch: int | None = None) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 and the locator of the row that stays, for every row of docs."""
     spark = docs.sparkSession
+    common.settings(spark)
     source, seen = common.new_folder(spark, "dedup-rows"), Observation()
     named = docs.select("doc_id", _sha().alias("digest"), F.input_file_name().alias("locator"))
     named.observe(seen, F.count(F.lit(1)).alias("n")).write.option("compression", "zstd").parquet(source)

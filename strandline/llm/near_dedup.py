@@ -192,7 +192,7 @@ def prefix_pairs(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id long, text string)."""
     spark = docs.sparkSession
-    common.text_batches(spark)
+    common.settings(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = common.written(docs.mapInArrow(_signatures(k), "doc_id long, n_shingles long, set_id long, bands array<long>"), "sketch")
     classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
@@ -204,6 +204,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     ids = crowded.select(F.col("rep").alias("id")).distinct()
     sets = common.may_hit(docs, "doc_id", ids, "id").mapInArrow(_sets(k), "id long, set_id long, items array<long>").repartition("id")
     sets = common.written(sets.join(ids, "id", "left_semi").groupBy("id", "set_id").agg(F.first("items").alias("items")), "sets")
+    common.tidy(spark)
     edges = common.written(crowded.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "edges")
     links = common.written(confirmed(edges, sets, percent), "confirmed")
     common.tidy(spark)

@@ -277,7 +277,7 @@ def train(docs: DataFrame, labels: DataFrame, may_learn, rows: int = TRAIN_ROWS)
 
     One task fits it: its input is bounded by `rows`, and the driver gets the model alone.
     """
-    common.text_batches(docs.sparkSession)
+    common.settings(docs.sparkSession)
     some = (
         labels.where("doc_id is not null and toxic is not null").where(may_learn).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(rows)
