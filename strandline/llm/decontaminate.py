@@ -4,7 +4,10 @@ Passages are windows of whole texts, half overlapping, in several sizes.  Their
 TF-IDF vectors over the benchmark's words are projected to a latent space found
 by a randomised singular value decomposition of the benchmark's items and a
 bounded sample of passages; every passage of every document is then held against
-every item by cosine.  Candidates are confirmed by the longest common
+every item by cosine.  Beside it an exact search takes every run of a text that
+holds as many of an item's word pairs as a copy with the words that LCS_ALONE lets
+go changed or left out, for a short item of common words among rare ones has a low
+cosine, copies included.  Candidates are confirmed by the longest common
 subsequence of words between the item and the text around the passage, and,
 for looser matches, by the item's answer (its last sentence).
 
@@ -35,8 +38,8 @@ POWER_STEPS = 2
 #: Documents whose passages join the items in the decomposition, at most: the first by a hash of doc_id.
 SAMPLE_DOCS = 200
 SAMPLE_PASSAGES = 1000
-#: A word in more than this share of documents carries no weight in retrieval.
-COMMON_SHARE = 0.05
+#: Terms in more than this share of documents are summed as a matrix product, the others one by one.
+FREQUENT_SHARE = 0.05
 #: Words per block; windows are 2, 4 and 6 blocks.
 BLOCK = 12
 WINDOWS = (2, 4, 6)
@@ -45,6 +48,8 @@ COSINE = 0.25
 LCS_ALONE, LCS_WITH_ANSWER, ANSWER = 0.8, 0.55, 0.75
 MIN_WORDS = 8
 MAX_ITEMS = 20_000
+#: Pairs of a text's word pair and an item with it that are held at once, and rows of a matrix of counts.
+_POSTINGS, _ROWS = 1 << 21, 2048
 _TABLE_BITS = 20
 
 
@@ -112,13 +117,78 @@ def blocks(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return first, text, start
 
 
+def pairs(h: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the runs of size (1 or 2) words, by first word."""
+    return h if size == 1 else tokens.mix(h[:-1]) + h[1:]
+
+
+class Copies:
+    """The items of each word pair (of each word, for items of one word), for the exact search."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray, np.ndarray]]):
+        size = np.array([len(h) for _, h, _ in items], np.int64)
+        changed = np.where(size < MIN_WORDS, 0, np.floor((1 - LCS_ALONE) * size + 1e-9).astype(np.int64))
+        #: A changed word breaks two pairs; the others are within twice the item's length.
+        self.need, self.span = np.maximum(size - 1 - 2 * changed, 1), 2 * size
+        self.tables = []
+        for n in (1, 2):
+            having = [(i, np.unique(pairs(h, n))) for i, (_, h, _) in enumerate(items) if min(len(h), 2) == n]
+            if having:
+                keys, item = np.concatenate([k for _, k in having]), np.repeat([i for i, _ in having], [len(k) for _, k in having])
+                order = np.argsort(keys, kind="stable")
+                vocabulary, cut = np.unique(keys[order], return_index=True)
+                self.tables.append((n, Terms(vocabulary), np.append(cut, len(keys)), item[order]))
+
+    def runs(self, h: np.ndarray, offsets: np.ndarray):
+        """(text, item, first word, end) of the runs that may hold a copy."""
+        for n, terms, cut, items in self.tables:
+            at, term = terms.find(pairs(h, n))
+            text = np.searchsorted(offsets, at, side="right") - 1
+            whole = at + n <= offsets[text + 1]
+            at, term = at[whole], term[whole]
+            total = np.cumsum(cut[term + 1] - cut[term])
+            reach = int(self.span.max())
+            lo = 0
+            while lo < len(at):
+                held = total[lo - 1] if lo else 0
+                hi = max(np.searchsorted(total, held + _POSTINGS), np.searchsorted(at, at[lo] + 2 * reach), lo + 1)
+                yield from self._runs(at[lo:hi], term[lo:hi], cut, items, offsets)
+                if hi >= len(at):
+                    break
+                lo = max(lo + 1, np.searchsorted(at, at[hi] - reach))  # a run that the cut went through is seen whole in the next
+
+    def _runs(self, at, term, cut, items, offsets):
+        n = cut[term + 1] - cut[term]
+        posting = np.repeat(cut[term] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        item, pos = items[posting], np.repeat(at, n)
+        order = np.lexsort((pos, item))
+        item, pos = item[order], pos[order]
+        text = np.searchsorted(offsets, pos, side="right") - 1
+        end = np.arange(len(pos)) + self.need[item] - 1
+        last = np.minimum(end, len(pos) - 1)
+        ok = np.flatnonzero((end < len(pos)) & (item[last] == item) & (text[last] == text) & (pos[last] - pos <= self.span[item]))
+        item, pos, text = item[ok], pos[ok], text[ok]
+        # Of the runs that begin within half an item's length one stands for all, as long as any of them.
+        step = np.maximum(self.span[item] // 4, 1)
+        place = pos // step
+        new = np.ones(len(ok), bool)
+        new[1:] = (item[1:] != item[:-1]) | (text[1:] != text[:-1]) | (place[1:] != place[:-1])
+        item, pos, text, step = item[new], pos[new], text[new], step[new]
+        stop = np.minimum(pos + self.span[item] + step + 2, offsets[text + 1])
+        yield from zip(text.tolist(), item.tolist(), pos.tolist(), stop.tolist(), strict=True)
+
+
 class Retriever:
     """Vocabulary, idf, projection and items: what the executors need."""
 
     def __init__(self, items: list[tuple[int, np.ndarray, np.ndarray]], df: np.ndarray, n: int, terms: Terms):
         self.items, self.terms = items, terms
-        share = df / max(n, 1)
-        self.idf = np.where((share > COMMON_SHARE) & (df > 2), 0.0, np.log((n + 1) / (df + 1)) + 1).astype(np.float32)
+        self.copies = Copies(items)
+        #: Above zero for every word, for a passage that many documents share has only words that many documents have.
+        self.idf = (np.log((n + 1) / (df + 1)) + 1).astype(np.float32)
+        self.frequent = np.flatnonzero(df > FREQUENT_SHARE * n)
+        self.slot = np.full(len(self.idf), -1, np.int64)
+        self.slot[self.frequent] = np.arange(len(self.frequent))
         self.other = np.float32(np.log(n + 1) + 1) ** 2
         self.projection = np.zeros((len(self.idf), 1), np.float32)
         self.latent = np.zeros((len(items), 1), np.float32)
@@ -156,23 +226,41 @@ class Retriever:
         _, term = self.terms.find(h)
         return self.projection[term].sum(axis=0)
 
+    def sums(self, term: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+        """Latent vectors of n rows; row, sorted, names the row of each term."""
+        out = np.zeros((n, self.projection.shape[1]), np.float32)
+        slot = self.slot[term]
+        rare = slot < 0
+        if rare.any():
+            used, cut = np.unique(row[rare], return_index=True)
+            out[used] = np.add.reduceat(self.projection[term[rare]], cut, axis=0)
+        row, slot, k = row[~rare], slot[~rare], len(self.frequent)
+        for at in range(0, n if len(row) else 0, _ROWS):
+            a, b = np.searchsorted(row, (at, at + _ROWS))
+            size = min(_ROWS, n - at)
+            counts = np.bincount((row[a:b] - at) * k + slot[a:b], minlength=size * k).reshape(size, k)
+            out[at : at + size] += counts.astype(np.float32) @ self.projection[self.frequent]
+        return out
+
+    def cosine(self, h: np.ndarray, item: int) -> float:
+        """Latent cosine of the words h and an item."""
+        vector = self.project(h)
+        others = len(h) - len(self.terms.find(h)[0])
+        return float(vector @ self.latent[item] / max(np.sqrt(vector @ vector + others * self.other), 1e-6))
+
     def windows(self, h: np.ndarray, offsets: np.ndarray):
-        """For each window size: latent vectors of all windows with any weighted term, their lengths with
+        """For each window size: latent vectors of all windows with any term, their lengths with
         the words that no item has, their texts, and the words they begin and end at."""
         at, term = self.terms.find(h)
-        inside_vocabulary = at
-        weighted = self.idf[term] > 0
-        at, term = at[weighted], term[weighted]
         first, text, start = blocks(h, offsets)
         if not len(at):
             return
         text_of = np.searchsorted(offsets, at, side="right") - 1
         block = first[text_of] + (at - offsets[text_of]) // BLOCK
-        used, cut = np.unique(block, return_index=True)
-        sums = np.add.reduceat(self.projection[term], cut, axis=0)
+        used, row = np.unique(block, return_inverse=True)
+        sums = self.sums(term, row, len(used))
         # Words outside the vocabulary have no place in the latent space, but count as rare ones in a window's length.
-        text_of = np.searchsorted(offsets, inside_vocabulary, side="right") - 1
-        inside_block = np.bincount(first[text_of] + (inside_vocabulary - offsets[text_of]) // BLOCK, minlength=first[-1])
+        inside_block = np.bincount(block, minlength=first[-1])
         foreign = np.concatenate(([0], np.cumsum(np.minimum(BLOCK, offsets[text + 1] - start) - inside_block)))
         place = np.full(first[-1], -1, np.int64)
         place[used] = np.arange(len(used))
@@ -235,29 +323,43 @@ def leaks(share: float, answered: float, size: int) -> bool:
     return share >= LCS_ALONE or (share >= LCS_WITH_ANSWER and answered >= ANSWER)
 
 
+def may_leak(item: np.ndarray, text: np.ndarray) -> bool:
+    """Whether text has enough of the item's words in any order, without which no order of them leaks it."""
+    have = set(text.tolist())
+    return sum(x in have for x in item.tolist()) >= (1.0 if len(item) < MIN_WORDS else LCS_WITH_ANSWER) * len(item) - 1e-9
+
+
 def _search(shared, kind):
     def run(batches):
         r = shared.value
         for batch in batches:
             out = []
             for first, h, offsets in tokens.words(batch.column(1)):
-                spans: dict[tuple[int, int], list] = {}
-                for text, i, a, b, cos in r.candidates(h, offsets):
-                    spans.setdefault((text, i), []).append((a, b, cos))
-                for (text, i), found in spans.items():
-                    item_id, words, answer = r.items[i]
-                    reach = len(words)
-                    best = (0.0, 0.0, 0.0, 0)
-                    done = -1
-                    for a, b, cos in sorted(found):
-                        lo, hi = max(offsets[text], a - reach // 2), min(offsets[text + 1], b + reach // 2)
-                        if hi <= done:
-                            continue
-                        done = hi
-                        near = h[lo:hi]
-                        best = max(best, (*verdict(words, answer, near), cos, int(lo - offsets[text])))
-                    if leaks(best[0], best[1], len(words)):
-                        out.append((first + text, item_id, best[3], best[2], best[0], best[1]))
+                leaked: set[tuple[int, int]] = set()
+                # The exact search is asked only about what the latent one has not found.
+                for found_by in (r.candidates(h, offsets), ((*run, None) for run in r.copies.runs(h, offsets))):
+                    spans: dict[tuple[int, int], list] = {}
+                    for text, i, a, b, cos in found_by:
+                        if (text, i) not in leaked:
+                            spans.setdefault((text, i), []).append((a, b, cos))
+                    for (text, i), found in spans.items():
+                        item_id, words, answer = r.items[i]
+                        reach = len(words)
+                        best = (0.0, 0.0, 0.0, 0)
+                        done = -1
+                        for a, b, cos in sorted(found):
+                            lo, hi = max(offsets[text], a - reach // 2), min(offsets[text + 1], b + reach // 2)
+                            if hi <= done:
+                                continue
+                            done = hi
+                            near = h[lo:hi]
+                            if not may_leak(words, near):
+                                continue
+                            cos = r.cosine(h[a:b], i) if cos is None else cos
+                            best = max(best, (*verdict(words, answer, near), cos, int(lo - offsets[text])))
+                        if leaks(best[0], best[1], len(words)):
+                            leaked.add((text, i))
+                            out.append((first + text, item_id, best[3], best[2], best[0], best[1]))
             rows = pa.array([x[0] for x in out], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(rows), *(pa.array([x[j] for x in out], t) for j, t in ((1, pa.int64()), (2, pa.int64()), (3, pa.float64()), (4, pa.float64()), (5, pa.float64())))],

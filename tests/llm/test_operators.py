@@ -270,6 +270,55 @@ def test_decontamination_finds_planted_items(spark, odd, none):
     assert decontaminate.contaminated(df, bench.where("false")).count() == 0
 
 
+def test_decontamination_finds_items_that_many_documents_share(spark):
+    """Items in a third of the documents, short and long, copied and with words changed, and an item of common words alone."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    common_words = [word() for _ in range(60)]
+    items = [(i, " ".join(word() for _ in range(n)) + f". Answer {word()}.") for i, n in enumerate((10, 10, 45, 3))]
+    items += [(4, " ".join(common_words[:12])), *((i, " ".join(word() for _ in range(20))) for i in range(5, 25))]
+    docs, planted = [], set()
+    for d in range(300):
+        text = [word() if rng.random() < 0.7 else rng.choice(common_words) for _ in range(rng.randint(60, 300))]
+        put = [d % 3] if d % 3 < 2 else [2, 3]
+        for item in [*put, 4] if d == 17 else put:
+            w = items[item][1].split()
+            if item == 1:
+                w[rng.randrange(len(w))] = word()
+            at = rng.randint(0, len(text)) if item == put[0] else 0
+            text[at:at] = w
+            planted.add((d, item))
+        docs.append((d, " ".join(text)))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(df, bench).collect()} == planted
+
+
+def test_exact_search_offers_every_copy_across_cuts(monkeypatch):
+    """No copy with up to a fifth of its words changed or left out is lost, however small the parts that are held at once."""
+    rng = np.random.default_rng(4)
+    items = [(i, rng.integers(0, 50 if i % 2 else 2**63, n, dtype=np.uint64), None) for i, n in enumerate((1, 2, 5, 8, 10, 10, 30, 60))]
+    texts, want = [], []
+    for t in range(60):
+        i = t % len(items)
+        w = items[i][1].copy()
+        lose = rng.choice(len(w), int(0.2 * len(w)) if len(w) >= 8 else 0, replace=False)
+        w[lose] = rng.integers(2**62, 2**63, len(lose), dtype=np.uint64)
+        if t % 3 == 0:
+            w = np.delete(w, lose)
+        before = rng.integers(0, 50, rng.integers(0, 90), dtype=np.uint64)
+        texts.append(np.concatenate((before, w, rng.integers(0, 50, rng.integers(0, 90), dtype=np.uint64))))
+        want.append((t, i, len(before), len(before) + len(w)))
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in texts])))
+    for held in (decontaminate._POSTINGS, 1):
+        monkeypatch.setattr(decontaminate, "_POSTINGS", held)
+        runs = defaultdict(list)
+        for t, i, a, b in decontaminate.Copies(items).runs(np.concatenate(texts), offsets):
+            assert offsets[t] <= a < b <= offsets[t + 1]
+            runs[t, i].append((a - offsets[t] - len(items[i][1]) // 2, b - offsets[t] + len(items[i][1]) // 2))
+        for t, i, a, b in want:
+            assert any(lo <= a and b <= hi for lo, hi in runs[t, i]), (held, t, i)
+
+
 def test_latent_search_recalls_what_brute_force_finds(spark):
     """Cosine candidates of all passages that hold an item, measured against a plain search over all texts."""
     docs, bench = common.table(spark, "/root/testdata/sf0.01", "documents"), common.table(spark, "/root/testdata/sf0.01", "benchmark")
