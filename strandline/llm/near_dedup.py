@@ -3,8 +3,9 @@
 Every text becomes the set of its distinct k-word shingles (64-bit hashes).  One
 sorted pass over a set fills all bins of a one-permutation sketch, because the
 leading bits of a hash name its bin and the first hash of a bin is its minimum;
-empty bins borrow from a full bin picked by a fixed random probing sequence of
-their own (optimal densification).  Equal sets are one class from here on.
+an empty bin borrows from the first full bin in a fixed random order of all bins of
+its own (optimal densification, so that bins of a short text agree or differ on
+their own too).  Equal sets are one class from here on.
 
 Classes that share a band's bucket are candidates.  A bucket of n classes gives
 n - 1 star edges to its smallest member instead of all pairs.  Each edge is
@@ -31,10 +32,9 @@ from strandline.llm import common, tokens
 
 BANDS, ROWS = 40, 6
 BINS = 256
-_PROBES = 24
 _rng = np.random.default_rng(77)
-#: The order in which bin b looks at other bins when it is empty.
-_PROBE = _rng.integers(0, BINS, (_PROBES, BINS))
+#: The places of all bins in the order in which bin b looks at them when it is empty.
+_PLACE = _rng.permuted(np.tile(np.arange(BINS, dtype=np.uint8), (BINS, 1)), axis=1)
 _BAND_SALT = _rng.integers(0, 2**63, BANDS, dtype=np.uint64)
 #: The bins of each band; bands overlap in bins only as far as BANDS * ROWS exceeds BINS.
 _BAND_BINS = np.arange(BANDS * ROWS).reshape(BANDS, ROWS) % BINS
@@ -67,21 +67,12 @@ def sketch(s: np.ndarray) -> np.ndarray:
     bins = (s >> np.uint64(64 - 8)).astype(np.int64)
     first = np.flatnonzero(np.concatenate(([True], bins[1:] != bins[:-1])))
     out = np.zeros(BINS, np.uint64)
-    full = np.zeros(BINS, bool)
-    out[bins[first]] = s[first]
-    full[bins[first]] = True
-    if len(first) < BINS:
-        empty = np.flatnonzero(~full)
-        probes = _PROBE[:, empty]
-        hit = full[probes]
-        at = hit.argmax(axis=0)
-        found = hit[at, np.arange(len(empty))]
-        out[empty[found]] = out[probes[at, np.arange(len(empty))][found]]
-        left = empty[~found]
-        if len(left):  # so few full bins that no probe met one: the next full bin after a fixed random spot
-            where = np.sort(bins[first])
-            spot = _PROBE[0, left]
-            out[left] = out[where[np.searchsorted(where, spot) % len(where)]]
+    where = bins[first]
+    out[where] = s[first]
+    if 0 < len(where) < BINS:
+        empty = np.ones(BINS, bool)
+        empty[where] = False
+        out[empty] = out[where[_PLACE[empty][:, where].argmin(axis=1)]]
     return out
 
 

@@ -186,6 +186,27 @@ def test_drop_near_duplicates_keeps_columns(odd):
     assert {r.doc_id for r in kept.collect()} == {i for i, c in want.items() if i == c} | {None}
 
 
+def test_sketches_of_small_sets_share_a_band():
+    """Pairs with 4 of 5, 8 of 10 and 40 of 50 items in common."""
+    rng = np.random.default_rng(12)
+    for size, both in ((5, 4), (10, 8), (50, 40)):
+        missed = 0
+        for _ in range(3000):
+            s = rng.integers(0, 2**64, size, dtype=np.uint64)
+            missed += not np.intersect1d(near_dedup.band_keys(np.sort(s)), near_dedup.band_keys(np.sort(s[:both]))).size
+        assert missed == 0, (size, both)
+
+
+def test_near_copies_of_short_texts(spark):
+    """Texts of 8 words and the same without the last one: 4 of 5 shingles."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    full = [[word() for _ in range(8)] for _ in range(1500)]
+    rows = [(2 * i + j, " ".join(w[: 8 - j])) for i, w in enumerate(full) for j in (0, 1)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4).collect()
+    assert {r.doc_id: r.component_id for r in got} == {d: d - d % 2 for d, _ in rows}
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     t = Tokenizer.from_file(bpe.default_tokenizer())
