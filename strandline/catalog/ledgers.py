@@ -121,7 +121,7 @@ def _(spark, sf_dir):
 
 @query("ac_allocate")
 def _(spark, sf_dir):
-    weights = [float(r.s_suppkey % 5 + 1) for r in table(spark, sf_dir, "supplier").select("s_suppkey").orderBy("s_suppkey").limit(20).collect()]
+    weights = [float(r.s_suppkey % 5 + 1) for r in table(spark, sf_dir, "supplier").select("s_suppkey").orderBy("s_suppkey").collect()]
     shares = ledger.ShareByWeight(margin=0.1).allocate(1_234_567, weights, 820454400000000000)
     return spark.createDataFrame(list(zip(range(len(shares)), weights, shares, strict=True)), "place int, weight double, share_cents long")
 

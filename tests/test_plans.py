@@ -52,3 +52,10 @@ def test_pushed_bound_of_a_merge(spark):
     text = plan(reduce.merge(spark.read.parquet(where), "6h", wanted, low=1705000000))
     assert "GreaterThanOrEqual(_bucket" in text
     assert reduce.merge(spark.read.parquet(where), "6h", wanted, low=4_000_000_000).agg(F.count(F.lit(1))).first()[0] == 0
+
+
+def test_allocation_covers_every_supplier(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = QUERIES["ac_allocate"](spark, sf).collect()
+    assert len(rows) == scratch.table(spark, sf, "supplier").count() > 20
+    assert sum(r.share_cents for r in rows) == 1_234_567 + 123_456
