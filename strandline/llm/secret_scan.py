@@ -11,6 +11,9 @@ aggregated by (value, repository, owner) before they meet, so a value that a
 third of all texts hold is a row per repository and owner; its spans' side of
 the join back is dealt by value and split by adaptive execution.
 
+`documents` offers one column, source, for repository and owner alike, so the two
+counts of the registered query always agree.
+
 Defined cases: a null or empty text has no spans; a null repository or owner
 counts as one of its own name; repeated rows each have their row in the result;
 other columns of the table are not read.
