@@ -11,6 +11,9 @@ it, and a failure arc of weight mu / (c(u .) + mu) to the root, whose arcs carry
 p1.  A text is read once from left to right: the state moves along the arc of
 the next word, or falls to the root first and goes on from there.
 
+No states or arcs are built.  The automaton, of order two, is evaluated by looking
+up the counts of each token's bigram and unigrams, which gives the same scores.
+
 Nothing that grows with the corpus is broadcast or collected.  Texts are dealt
 to shards by doc_id.  Each shard sorts its distinct n-grams and sends them, cut
 into ranges of hashes and packed by differences, to the owners of the ranges
