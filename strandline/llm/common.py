@@ -7,7 +7,8 @@ import math
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Bits of the hit filter (2 MB when broadcast, whatever the size of the input).
@@ -23,9 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one of our own (tests, local mode)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else one of our own.
+
+    Our own is a folder of this machine, so it serves local mode alone.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="strandline-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -55,6 +61,37 @@ def measured(df: DataFrame, what: str, *aggregates) -> tuple[DataFrame, dict]:
     return out, seen.get
 
 
+class Scratch:
+    """Tables of one operator's run: those that its result doesn't read go when it is done.
+
+    with Scratch(spark) as scratch: table = scratch.written(df, "name")
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self._folders = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def folder(self, what: str) -> str:
+        self._folders.append(new_folder(self.spark, what))
+        return self._folders[-1]
+
+    def written(self, df: DataFrame, what: str) -> DataFrame:
+        path = self.folder(what)
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def measured(self, df: DataFrame, what: str, *aggregates) -> tuple[DataFrame, dict]:
+        seen = Observation()
+        out = self.written(df.observe(seen, *aggregates), what)
+        return out, seen.get
+
+    def __exit__(self, *_) -> None:
+        for path in self._folders:
+            remove_folder(self.spark, path)
+
+
 def tidy(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffles and broadcasts of finished steps: it acts when the driver collects its garbage."""
     gc.collect()
@@ -72,50 +109,78 @@ def settings(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.maxPlanStringLength", PLAN_TEXT)
 
 
+def plain_memory() -> None:
+    """In a Python worker: Arrow's buffers from the system's allocator, which gives free ones back."""
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
 def text_bytes(df: DataFrame, column: str = "text") -> int:
-    return df.agg(F.sum(F.octet_length(column))).first()[0] or 0
+    return df.agg(F.sum(F.octet_length(F.col(column).cast("string")))).first()[0] or 0
 
 
 def shards_for(size: int, shard_bytes: int) -> int:
     return max(1, math.ceil(size / shard_bytes))
 
 
-def _spotted(df: DataFrame, key: str, hits: DataFrame, hit_key: str, how: str) -> DataFrame:
-    """df with _bits of the broadcast bitmap that holds its key's place; how: inner, or left for rows without any."""
-    spot = F.pmod(F.xxhash64(hit_key), F.lit(FILTER_BITS))
+def column(name: str) -> Column:
+    return F.col(f"`{name}`")
+
+
+def whole(df: DataFrame) -> Column:
+    """All columns of df as one: beside it an operator's own columns may have any name."""
+    return F.struct(*[column(c) for c in df.columns]).alias("row")
+
+
+def unpacked(df: DataFrame, like: DataFrame, *more: Column) -> DataFrame:
+    """The columns of `like` out of column row, then more."""
+    return df.select(*[F.col("row").getField(c).alias(c) for c in like.columns], *more)
+
+
+def _spotted(df: DataFrame, hits: DataFrame, hit_key: str, how: str) -> DataFrame:
+    """df (row, key) with bits of the broadcast bitmap that holds its key's place; how: inner, or left for rows without any."""
     bitmap = (
-        hits.select(spot.alias("_spot")).distinct()
-        .groupBy(F.expr("bitmap_bucket_number(_spot)").alias("_bucket"))
-        .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(_spot))").alias("_bits"))
+        hits.select(F.pmod(F.xxhash64(hit_key), F.lit(FILTER_BITS)).alias("spot")).distinct()
+        .groupBy(F.expr("bitmap_bucket_number(spot)").alias("bucket"))
+        .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(spot))").alias("bits"))
     )
-    seek = df.withColumn("_spot", F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))).withColumn("_bucket", F.expr("bitmap_bucket_number(_spot)"))
-    return seek.join(F.broadcast(bitmap), "_bucket", how)
+    seek = df.withColumn("spot", F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS))).withColumn("bucket", F.expr("bitmap_bucket_number(spot)"))
+    return seek.join(F.broadcast(bitmap), "bucket", how)
 
 
 def _bit():
-    position = F.expr("bitmap_bit_position(_spot)")
-    byte = F.conv(F.hex(F.substring("_bits", (position / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    position = F.expr("bitmap_bit_position(spot)")
+    byte = F.conv(F.hex(F.substring("bits", (position / 8).cast("int") + 1, 1)), 16, 10).cast("int")
     return F.getbit(byte, (position % 8).cast("int")) == 1
 
 
-def may_hit(df: DataFrame, key: str, hits: DataFrame, hit_key: str) -> DataFrame:
-    """Rows of df whose key may be among the hits, by a broadcast bitmap of fixed size.
+def keyed(df: DataFrame, key: Column) -> DataFrame:
+    """df as (row, key)."""
+    return df.select(whole(df), key.alias("key"))
+
+
+def may_hit(packed: DataFrame, hits: DataFrame, hit_key: str) -> DataFrame:
+    """Rows of packed (row, key) whose key may be among the hits, by a broadcast bitmap of fixed size.
 
     The bitmap has FILTER_BITS bits however many hits there are: it lets every
     true hit through and more of the others as it fills, so an exact join must
     follow.  It keeps the texts of rows that cannot match out of that join's
     shuffle.
     """
-    return _spotted(df, key, hits, hit_key, "inner").where(_bit()).select(*[F.col(f"`{c}`") for c in df.columns])
+    return _spotted(packed, hits, hit_key, "inner").where(_bit()).select("row", "key")
+
+
+def cannot_hit(packed: DataFrame, hits: DataFrame, hit_key: str) -> DataFrame:
+    """The other rows: their key is not among the hits."""
+    return _spotted(packed, hits, hit_key, "left").where(F.col("bits").isNull() | ~_bit()).select("row", "key")
 
 
 def without(df: DataFrame, key: str, dropped: DataFrame, dropped_key: str) -> DataFrame:
-    """Rows of df whose key is not among `dropped`; rows with a null key stay.
+    """Rows of df, all columns as they were, whose key is not among `dropped`; rows with a null key stay.
 
     Rows that the bitmap clears stay where they are; only the others meet the
     dropped keys in a join.
     """
-    columns = [F.col(f"`{c}`") for c in df.columns]
-    clear = _spotted(df, key, dropped, dropped_key, "left").where(F.col("_bits").isNull() | ~_bit()).select(*columns)
-    keys = dropped.select(F.col(dropped_key).alias("_dropped_key")).distinct()
-    return clear.union(may_hit(df, key, dropped, dropped_key).join(keys, F.col(key) == F.col("_dropped_key"), "left_anti"))
+    packed = keyed(df, column(key))
+    keys = dropped.select(F.col(dropped_key).alias("gone")).distinct()
+    some = may_hit(packed, dropped, dropped_key).join(keys, F.col("key") == F.col("gone"), "left_anti")
+    return unpacked(cannot_hit(packed, dropped, dropped_key).union(some.select("row", "key")), df)

@@ -1,30 +1,32 @@
 """Exact deduplication by a stateful stream.
 
-A narrow table of (digest, doc_id, locator, bytes) is streamed through a keyed
-aggregation whose state lies in RocksDB on disk and in the shared checkpoint
-folder: no watermark, so no key ever expires.  The state of a digest is its
-smallest doc_id, the locator of that row's content (its input file) and the
-number of rows.  Within a batch, rows are aggregated before the shuffle, so a
-text that is a third of the corpus reaches its state as a row per task.  Each
-batch's updates are appended to a log; the newest entry of a digest is its state.
-
-A digest only names candidates.  On every hit the full normalised bytes are held
-against those of the row that stays, and rows that differ from it under one
-digest are told apart by their text.  A bitmap of fixed size keeps texts without
-a hit out of that join.
+A narrow table of (digest, doc_id, locator) is streamed through a keyed aggregation
+whose state lies in RocksDB on disk and in the shared checkpoint folder: no
+watermark, so no key ever expires.  The state of a digest is its smallest doc_id,
+the locator of that row's content and the number of rows.  A locator is the file
+that a row lies in and its place there; rows that don't come from Parquet files as
+they are get theirs from a copy in the shared folder.  Within a batch, rows are
+aggregated before the shuffle, so a text that is a third of the corpus reaches its
+state as a row per task.  Each batch's updates are appended to a log; the newest
+entry of a digest is its state.
+
+A digest only names candidates.  On every hit the full normalised bytes, fetched
+by locator, are held against those of the row that stays, and rows that differ
+from it under one digest are told apart by their text.  A bitmap of fixed size
+keeps texts without a hit out of that join.
 
 Texts are equal when they are identical after each run of space and \\x09-\\x0D
 became one space.  Defined cases: a null text counts as empty, and empty texts
 are copies of each other; rows that repeat a doc_id and text are members of one
 group, each with its row in the result and `kept` true for each of them; a null
-doc_id never stays unless all of its group are null.
+doc_id never stays unless all of its group are null; other columns may have any name.
 """
 
 from __future__ import annotations
 
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import common
@@ -57,99 +59,117 @@ def _settings(spark: SparkSession, partitions: int):
                 spark.conf.set(k, v)
 
 
-def normalised(column: str = "text"):
-    return F.regexp_replace(F.coalesce(F.col(column).cast("string"), F.lit("")), "[\\x20\\x09-\\x0D]+", " ")
+LOCATOR = "struct<file:string,at:bigint>"
 
 
-def stream_states(spark: SparkSession, source: str, schema, files_per_batch: int | None = None, state: str | None = None, rows: int = 0) -> DataFrame:
+def normalised(text: Column) -> Column:
+    return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), "[\\x20\\x09-\\x0D]+", " ")
+
+
+def _digest(text: Column) -> Column:
+    return F.unhex(F.sha2(normalised(text), 256))
+
+
+def _is_scan(df: DataFrame) -> bool:
+    """Whether df is Parquet files read as they are, so that a row's place in them names it."""
+    plan = df._jdf.queryExecution().analyzed()
+    if not plan.deterministic():
+        return False
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation" and "parquet" in plan.toString().lower() and not any(c.lower() == "_metadata" for c in df.columns)
+
+
+def located(docs: DataFrame) -> DataFrame:
+    """docs as (row, key): all its columns, and the locator of each row."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")).alias("key")
+    if _is_scan(docs):
+        return docs.select(common.whole(docs), place)
+    return common.written(docs.select(common.whole(docs)), "dedup-copy").select("row", place)
+
+
+def stream_states(spark: SparkSession, source: str, kind: str, files_per_batch: int | None = None, state: str | None = None, rows: int = 0) -> DataFrame:
     """(digest, keep_id, locator, group_size) of all rows under `source`, by a stream that stops when it has read them.
 
-    state: a folder kept from an earlier call; rows that have arrived since are
-    then all that is read.  rows: how many to expect, for the number of state
-    partitions.
+    kind: the type of doc_id.  state: a folder kept from an earlier call; rows that
+    have arrived since are then all that is read.  rows: how many to expect, for the
+    number of state partitions.
     """
     folder = state or common.new_folder(spark, "dedup-state")
-    reader = spark.readStream.schema(schema)
+    reader = spark.readStream.schema(f"doc_id {kind}, digest binary, locator {LOCATOR}")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    keyed = reader.parquet(source).groupBy("digest").agg(
-        F.min("doc_id").alias("keep_id"), F.min_by("locator", "doc_id").alias("locator"), F.count(F.lit(1)).alias("group_size")
-    )
+    stays = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "locator")).alias("stays")
+    keyed = reader.parquet(source).groupBy("digest").agg(stays, F.count(F.lit(1)).alias("group_size"))
 
     def log(batch: DataFrame, batch_id: int) -> None:
         # A folder a batch, overwritten if the batch is run again after a failure.
-        batch.write.mode("overwrite").parquet(f"{folder}/log/batch={batch_id}")
+        batch.select("digest", F.col("stays.doc_id").alias("keep_id"), "stays.locator", "group_size").write.mode("overwrite").parquet(f"{folder}/log/batch={batch_id}")
 
     # As many state partitions as the rows need, and no fewer than there are cores; a kept state keeps its own number.
     partitions = max(spark.sparkContext.defaultParallelism, -(-rows // STATE_ROWS))
     with _settings(spark, partitions):
         keyed.writeStream.outputMode("update").foreachBatch(log).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    kind = dict(schema_types(schema))["doc_id"]
-    log_schema = f"digest binary, keep_id {kind}, locator string, group_size long, batch int"
-    states = spark.read.schema(log_schema).parquet(f"{folder}/log")
+    states = spark.read.schema(f"digest binary, keep_id {kind}, locator {LOCATOR}, group_size long, batch int").parquet(f"{folder}/log")
     return states.groupBy("digest").agg(F.max_by(F.struct("keep_id", "locator", "group_size"), "batch").alias("s")).select("digest", "s.*")
 
 
-def schema_types(schema):
-    return [(f.name, f.dataType.simpleString()) for f in schema]
-
-
-def _sha(column: str = "text"):
-    return F.unhex(F.sha2(normalised(column), 256))
-
-
-def exact_groups(docs: DataFrame, files_per_batch: int | None = None) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 and the locator of the row that stays, for every row of docs."""
+def _groups(docs: DataFrame, files_per_batch: int | None = None, digest=_digest) -> tuple[DataFrame, DataFrame]:
+    """(docs as `located`, and for every row its locator, doc_id, digest, and keep_id, keep_locator and group_size of its group)."""
     spark = docs.sparkSession
     common.settings(spark)
+    packed = located(docs)
+    kind = docs.schema["doc_id"].dataType.simpleString()
     source, seen = common.new_folder(spark, "dedup-rows"), Observation()
-    named = docs.select("doc_id", _sha().alias("digest"), F.input_file_name().alias("locator"))
+    named = packed.select(F.col("row.doc_id").alias("doc_id"), digest(F.col("row.text")).alias("digest"), F.col("key").alias("locator"))
     named.observe(seen, F.count(F.lit(1)).alias("n")).write.option("compression", "zstd").parquet(source)
     rows = spark.read.schema(named.schema).parquet(source)
-    states = common.written(stream_states(spark, source, named.schema, files_per_batch, rows=seen.get.get("n", 0)), "dedup-groups")
-    common.tidy(spark)
-    # Full bytes of the rows whose digest was hit, against those of the row that stays.
-    hits = states.where("group_size > 1").select(F.col("digest").alias("hit"), F.col("keep_id").alias("hit_keep"))
-    hit_ids = rows.join(hits, F.col("digest") == F.col("hit"), "left_semi").select(F.col("doc_id").alias("hit_id"))
-    content = common.may_hit(docs.select("doc_id", "text"), "doc_id", hit_ids, "hit_id").select("doc_id", normalised().alias("bytes"), _sha().alias("digest"))
-    content = common.written(content, "dedup-content")
-    first = content.join(hits, (F.col("digest") == F.col("hit")) & F.col("doc_id").eqNullSafe(F.col("hit_keep"))).groupBy("hit").agg(F.min("bytes").alias("keep_bytes"))
-    first = common.written(first, "dedup-first")
-    differ = content.join(first, F.col("digest") == F.col("hit")).where("bytes <> keep_bytes").select("doc_id", "digest", "bytes")
-    # Written before it is grouped, so that adaptive execution may split the copies of one text in the join.
-    clash, clashes = common.measured(differ, "dedup-clashes", F.count(F.lit(1)).alias("n"))
-    common.tidy(spark)
-    out = rows.drop("locator").join(states.withColumnRenamed("locator", "keep_locator"), "digest", "left")
-    if clashes.get("n"):
-        # Texts that differ under one digest: none is known for this hash, but they stay apart if one comes up.
-        apart = clash.groupBy("digest", "bytes").agg(F.min("doc_id").alias("own_keep"), F.count(F.lit(1)).alias("own_size"), F.collect_set("doc_id").alias("ids"))
-        lost = apart.groupBy(F.col("digest").alias("l")).agg(F.sum("own_size").alias("lost"))
-        own = apart.select(F.col("digest").alias("d"), F.explode("ids").alias("own_id"), "own_keep", "own_size")
-        out = (
-            out.join(lost, F.col("digest") == F.col("l"), "left").join(own, (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("own_id")), "left")
-            .withColumn("keep_id", F.when(F.col("d").isNotNull(), F.col("own_keep")).otherwise(F.col("keep_id")))
-            .withColumn("group_size", F.when(F.col("d").isNotNull(), F.col("own_size")).otherwise(F.col("group_size") - F.coalesce("lost", F.lit(0))))
-        )
-    return out.select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "keep_locator"
-    )
+    with common.Scratch(spark) as scratch:
+        states = common.written(stream_states(spark, source, kind, files_per_batch, scratch.folder("dedup-state"), seen.get.get("n", 0)), "dedup-groups")
+        common.tidy(spark)
+        # Full bytes of the rows whose digest was hit, against those of the row that stays.
+        hits = states.where("group_size > 1").select(F.col("digest").alias("hit"), F.col("locator").alias("hit_locator"))
+        members = rows.join(hits, F.col("digest") == F.col("hit"), "left_semi").select("locator")
+        texts = packed.select(F.struct(F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text")).alias("row"), "key")
+        content = common.may_hit(texts, members, "locator").select(F.col("row.doc_id").alias("doc_id"), F.col("key").alias("locator"), digest(F.col("row.text")).alias("digest"), normalised(F.col("row.text")).alias("bytes"))
+        # Written before it is joined, so that adaptive execution may split the copies of one text.
+        content = scratch.written(content, "dedup-content")
+        first = content.join(hits, (F.col("digest") == F.col("hit")) & (F.col("locator") == F.col("hit_locator"))).select("hit", F.col("bytes").alias("keep_bytes"))
+        differ = content.join(scratch.written(first, "dedup-first"), F.col("digest") == F.col("hit")).where("bytes <> keep_bytes").select("doc_id", "locator", "digest", "bytes")
+        clash, clashes = scratch.measured(differ, "dedup-clashes", F.count(F.lit(1)).alias("n"))
+        common.tidy(spark)
+        out = rows.join(states.withColumnRenamed("locator", "keep_locator"), "digest", "left")
+        if clashes.get("n"):
+            # Texts that differ under one digest: none is known for this hash, but they stay apart if one comes up.
+            stays = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "locator")).alias("stays")
+            apart = scratch.written(clash.groupBy(F.col("digest").alias("d"), F.col("bytes").alias("b")).agg(stays, F.count(F.lit(1)).alias("own_size")), "dedup-apart")
+            lost = apart.groupBy(F.col("d").alias("l")).agg(F.sum("own_size").alias("lost"))
+            own = clash.join(apart, (F.col("digest") == F.col("d")) & (F.col("bytes") == F.col("b"))).select(F.col("locator").alias("own"), "stays", "own_size")
+            out = common.written(
+                out.join(lost, F.col("digest") == F.col("l"), "left").join(own, F.col("locator") == F.col("own"), "left").select(
+                    "doc_id", "digest", "locator", F.when(F.col("own").isNotNull(), F.col("stays.doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+                    F.when(F.col("own").isNotNull(), F.col("stays.locator")).otherwise(F.col("keep_locator")).alias("keep_locator"),
+                    F.when(F.col("own").isNotNull(), F.col("own_size")).otherwise(F.col("group_size") - F.coalesce("lost", F.lit(0))).alias("group_size"),
+                ), "dedup-groups",
+            )
+    return packed, out
+
+
+def exact_groups(docs: DataFrame, files_per_batch: int | None = None, digest=_digest) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 and the locator of the row that stays, for every row of docs."""
+    out = _groups(docs, files_per_batch, digest)[1]
+    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "keep_locator")
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns; of rows that repeat a doc_id and text one stays.
 
-    Only rows that are copies, or repeat a doc_id, are shuffled with their texts.
+    Rows are named by their locators; of the others only copies are ever shuffled.
     """
-    groups = common.written(exact_groups(docs).select("doc_id", "kept", F.unhex("text_sha256").alias("digest")), "dedup-rows")
-    twice = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
-    moved = common.written(groups.where("not kept").select(F.xxhash64("doc_id").alias("_row")).union(twice.select(F.xxhash64("doc_id").alias("_row"))).distinct(), "dedup-moved")
-    columns = docs.columns
-    rows = docs.withColumn("_key", F.xxhash64("doc_id"))
-    still = common.without(rows, "_key", moved, "_row").select(*[F.col(f"`{c}`") for c in columns])
-    gone = groups.where("not kept").select(F.col("doc_id").alias("_gone"), F.col("digest").alias("_gone_sha")).distinct()
-    some = common.may_hit(rows, "_key", moved, "_row").join(moved, F.col("_key") == F.col("_row"), "left_semi").withColumn("_sha", _sha())
-    some = some.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.col("_sha") == F.col("_gone_sha")), "left_anti").dropDuplicates(["doc_id", "_sha"])
-    return still.union(some.select(*[F.col(f"`{c}`") for c in columns]))
+    packed, groups = _groups(docs)
+    gone = common.written(groups.where("locator <> keep_locator").select("locator"), "dedup-gone")
+    some = common.may_hit(packed, gone, "locator").join(gone, F.col("key") == F.col("locator"), "left_anti").select("row", "key")
+    return common.unpacked(common.cannot_hit(packed, gone, "locator").union(some), docs)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

@@ -58,13 +58,14 @@ def slot(key: Column, size: int = TABLE_SIZE) -> Column:
 
 
 def place(df: DataFrame, key: str, names: list[str], size: int = TABLE_SIZE) -> DataFrame:
-    """df with its rows' slot and shard (int) appended, in place of columns of these names."""
+    """df with its rows' slot and shard (int) appended, in place of columns of these names; all others keep their values."""
     table = fill(names, size)
-    lookup = df.sparkSession.createDataFrame(list(enumerate(table)), "_slot int, _shard int")
-    kept = df.drop("slot", "shard") if key not in ("slot", "shard") else df
     # The table has `size` rows of two integers by construction, so it is broadcast.
-    out = kept.withColumn("_at", slot(F.col(f"`{key}`"), size)).join(F.broadcast(lookup), F.col("_at") == F.col("_slot"))
-    return out.select(*[F.col(f"`{c}`") for c in kept.columns if c not in ("slot", "shard")], F.col("_at").alias("slot"), F.col("_shard").alias("shard"))
+    lookup = df.sparkSession.createDataFrame(list(enumerate(table)), "spot int, name int")
+    packed = df.select(common.whole(df), slot(common.column(key), size).alias("at"))
+    out = packed.join(F.broadcast(lookup), F.col("at") == F.col("spot"))
+    kept = df.select(*[common.column(c) for c in df.columns if c.lower() not in ("slot", "shard")])
+    return common.unpacked(out, kept, F.col("at").alias("slot"), F.col("name").alias("shard"))
 
 
 def write_shards(df: DataFrame, key: str, names: list[str], path: str, rows_per_file: int = 1_000_000) -> None:

@@ -1,44 +1,36 @@
 """Vectorised word hashing shared by the corpus operators.
 
 A word is a maximal run of bytes other than space and \\x09-\\x0D, taken after
-lower-casing A-Z, of the UTF-8 text.  Every word gets a 64-bit hash: the sum of
-a random value per byte times a power of an odd number, mod 2**64, brought to
-the same power by the inverse, then mixed.  All of it is array arithmetic over a
-whole chunk of texts, so no Python object is made for a word.
+lower-casing A-Z, of the UTF-8 text.  Every word gets a 64-bit hash: its bytes are
+read in lanes of eight, and each lane is put into the state and mixed by a bijection,
+so words of equal length up to eight bytes never collide, and no sum or product over
+places can cancel out.  Spans over LONG bytes are hashed by BLAKE2b.  All of it is
+array arithmetic over a whole chunk of texts, so no Python object is made for a word.
+
+Where equality of two spans decides a result, `distinct` compares their bytes.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 _U = np.uint64
-_RNG = np.random.default_rng(20240607)
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_FOLDED = _BYTE[_LOWER]
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
-_R = 0x9E3779B97F4A7C15 | 1
-_R_INV = pow(_R, -1, 1 << 64)
-_POWERS: dict[str, np.ndarray] = {}
+#: The bytes of a lane that a span of n bytes has.
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_SEED = _U(0x9E3779B97F4A7C15)
 
 #: Bytes of text that are hashed at once; a longer text is a chunk of its own.
 CHUNK_BYTES = 1 << 20
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _POWERS.get("r")
-    if have is None or len(have) < n:
-        size = n if n > CHUNK_BYTES else max(n + n // 8, 4096)
-        for name, base in (("r", _R), ("i", _R_INV)):
-            steps = np.full(size, base, dtype=np.uint64)
-            steps[0] = 1
-            _POWERS[name] = np.cumprod(steps, dtype=np.uint64)
-    return _POWERS["r"][:n], _POWERS["i"][:n]
+#: Longer spans than this are hashed one by one.
+LONG = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -67,19 +59,66 @@ class Hasher:
     """64-bit hashes of byte spans of one buffer, after lower-casing A-Z if fold; spans may overlap."""
 
     def __init__(self, raw: np.ndarray, fold: bool = True):
-        power, self._inverse = _powers(len(raw) + 1)
-        self._total = np.empty(len(raw) + 1, np.uint64)
-        self._total[0] = 0
-        np.cumsum((_FOLDED if fold else _BYTE)[raw] * power[: len(raw)], dtype=np.uint64, out=self._total[1:])
+        padded = np.zeros((len(raw) // 8 + 2) * 8, np.uint8)
+        padded[: len(raw)] = _LOWER[raw] if fold else raw
+        self._raw, self._lanes = padded, padded.view("<u8")
+
+    def _lane(self, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """The next eight bytes from each place on, or as many as are left."""
+        place, shift = at >> 3, ((at & 7) << 3).astype(np.uint64)
+        lane = self._lanes[place] >> shift | (self._lanes[place + 1] << (_U(63) - shift)) << _U(1)
+        return lane & _MASK[np.minimum(left, 8)]
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self._total[ends] - self._total[starts]) * self._inverse[starts] + (ends - starts).astype(np.uint64))
+        size = ends - starts
+        out = mix(mix(size.astype(np.uint64) + _SEED) ^ self._lane(starts, size))
+        live = np.flatnonzero((size > 8) & (size <= LONG))
+        for at in range(8, LONG, 8):
+            if not len(live):
+                break
+            out[live] = mix(out[live] ^ self._lane(starts[live] + at, size[live] - at))
+            live = live[size[live] > at + 8]
+        for i in np.flatnonzero(size > LONG).tolist():
+            out[i] = int.from_bytes(hashlib.blake2b(self._raw[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+        return out
+
+    def same(self, starts: np.ndarray, ends: np.ndarray, like: np.ndarray) -> bool:
+        """Whether each span has the bytes of the span whose number `like` gives."""
+        size = ends - starts
+        if (size != size[like]).any():
+            return False
+        live, at = np.flatnonzero((size <= LONG) & (like != np.arange(len(like)))), 0
+        while len(live):
+            left = size[live] - at
+            if (self._lane(starts[live] + at, left) != self._lane(starts[like[live]] + at, left)).any():
+                return False
+            at += 8
+            live = live[left > 8]
+        long = np.flatnonzero((size > LONG) & (like != np.arange(len(like)))).tolist()
+        return all(np.array_equal(self._raw[starts[i] : ends[i]], self._raw[starts[like[i]] : ends[like[i]]]) for i in long)
 
 
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
     return Hasher(raw, fold)(starts, ends) if len(starts) else np.zeros(0, np.uint64)
 
 
+def distinct(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the first span of each different content, the content of each span).
+
+    Spans are grouped by their hashes, then every one is held against the first of
+    its group byte by byte; if any differs, all are told apart by their bytes.
+    """
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    hasher = Hasher(raw, fold)
+    _, first, inverse = np.unique(hasher(starts, ends), return_index=True, return_inverse=True)
+    if not hasher.same(starts, ends, first[inverse]):
+        data, seen = (_LOWER[raw] if fold else raw).tobytes(), {}
+        inverse = np.array([seen.setdefault(data[a:b], len(seen)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+        first = np.unique(inverse, return_index=True)[1]
+    return first, inverse
+
+
 def hash_word(word: str) -> int:
     raw = np.frombuffer(word.encode(), np.uint8)
     return int(span_hashes(raw, np.array([0]), np.array([len(raw)]))[0])
