@@ -10,6 +10,8 @@ number of words that sort before it, so a walk adds up to the word's place in a
 table of id outputs.  The arrays lie in one file that the executors memory-map.
 A unit that the automaton does not accept is cut by the pattern and merged pair
 by pair, which is exact for any text; units met before are kept in a bounded memo.
+Units are told apart by their bytes, here and in the memo, and a text is decoded
+from its ids alone.
 
 Defined cases: a null or empty text has no tokens; the special token's string in
 a text is its id; texts with white space beyond ASCII or bytes that are not UTF-8
@@ -18,11 +20,13 @@ take the pattern over the whole text instead of units.
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import heapq
 import json
 import mmap
 import os
+import shutil
 import tempfile
 import uuid
 from itertools import pairwise
@@ -41,7 +45,7 @@ LEXICON_UNITS = 1 << 18
 #: Longest unit in bytes that the lexicon takes.
 LEXICON_UNIT_BYTES = 48
 #: Units, and pieces, that a Python worker remembers.
-MEMO_UNITS = 150_000
+MEMO_UNITS = 50_000
 
 _WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: The pattern that the byte-level pre-tokenizer fixes.
@@ -220,84 +224,102 @@ class Merger:
                 out.append(self.pieces(part))
         return b"".join(out)
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join([self.bytes_of[i] for i in memoryview(ids).cast("I")])
+def _trie(units: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Parent, byte and depth of each node but the root (number 0, parent -1), by prefix; and the nodes where units end."""
+    n = len(units)
+    sizes = np.diff(np.frombuffer(units.buffers()[1], np.int32, n + 1, 4 * units.offset))
+    begin = np.frombuffer(units.buffers()[1], np.int32, n + 1, 4 * units.offset)[:-1]
+    data = np.frombuffer(units.buffers()[2] or b"", np.uint8)
+    width = int(sizes.max(initial=0))
+    fits = np.arange(width) < sizes[:, None]
+    letters = np.zeros((n, width), np.uint8)
+    letters[fits] = data[(begin[:, None] + np.arange(width))[fits]]
+    # Letters that a unit shares with the one before it.
+    same = np.zeros((n, width), bool)
+    same[1:] = (letters[1:] == letters[:-1]) & fits[1:] & fits[:-1]
+    shared = np.logical_and.accumulate(same, axis=1).sum(axis=1)
+    fresh = fits & (np.arange(width) >= shared[:, None])
+    node = np.cumsum(fresh.ravel()).reshape(n, width)  # numbers in the order of the sorted units, from 1 on
+    parent, byte, depth = [np.array([-1])], [np.array([0])], [np.array([0])]
+    above = np.zeros(n, np.int64)
+    where = [np.array([0])]
+    for d in range(width):
+        own = np.where(fresh[:, d], node[:, d], 0)
+        here = np.maximum.accumulate(own)  # the node of a prefix is that of the last unit that began it
+        new = fresh[:, d]
+        where.append(own[new])
+        parent.append(above[new])
+        byte.append(letters[new, d].astype(np.int64))
+        depth.append(np.full(int(new.sum()), d + 1))
+        above = here
+    order = np.argsort(np.concatenate(where))
+    return np.concatenate(parent)[order], np.concatenate(byte)[order], np.concatenate(depth)[order], node[np.arange(n), sizes - 1] if width else np.zeros(0, np.int64)
 
 
 def compile_lexicon(units: list[bytes], outputs: list[bytes]) -> dict[str, np.ndarray]:
-    """The minimal acyclic transducer of sorted, distinct units, as flat arrays.
+    """The minimal acyclic transducer of sorted, distinct, non-empty units, as flat arrays.
 
-    Built unit by unit: once the next unit leaves a branch, its states are
-    replaced from the tail by equal ones already in the register.
+    The trie of the units is minimised from its leaves up: nodes of one height are
+    one state if they end units alike and have the same bytes to the same states.
     """
-    final: list[bool] = [False]
-    arcs: list[dict[int, int]] = [{}]
-    register: dict[tuple, int] = {}
-    path = [0]  # states along the last unit
-    last = b""
-
-    def settle(depth: int) -> None:
-        for d in range(len(path) - 1, depth, -1):
-            state = path[d]
-            key = (final[state], tuple(arcs[state].items()))
-            same = register.setdefault(key, state)
-            if same != state:
-                arcs[path[d - 1]][last[d - 1]] = same
-            path.pop()
-
-    for unit in units:
-        shared = 0
-        while shared < min(len(last), len(unit)) and last[shared] == unit[shared]:
-            shared += 1
-        settle(shared)
-        for b in unit[shared:]:
-            arcs.append({})
-            final.append(False)
-            arcs[path[-1]][b] = len(arcs) - 1
-            path.append(len(arcs) - 1)
-        final[path[-1]] = True
-        last = unit
-    settle(0)
+    parent, byte, depth, ends = _trie(pa.array(units, pa.binary()))
+    n = len(parent)
+    final = np.zeros(n, np.int64)
+    final[ends] = 1
+    height = np.zeros(n, np.int64)
+    for d in range(int(depth.max()), 0, -1):
+        at = np.flatnonzero(depth == d)
+        np.maximum.at(height, parent[at], height[at] + 1)
+    child = np.argsort(parent, kind="stable")[1:]  # by parent, then byte: numbers follow the order of the units
+    fan = np.bincount(parent[1:], minlength=n)
+    first = np.concatenate(([0], np.cumsum(fan)[:-1]))
+    state, used, heads = np.zeros(n, np.int64), 0, []
+    for h in range(int(height.max()) + 1):
+        nodes = np.flatnonzero(height == h)
+        sign = final[nodes].copy()
+        fresh = 2
+        for k in range(int(fan[nodes].max())):
+            on = np.flatnonzero(fan[nodes] > k)
+            arc = child[first[nodes[on]] + k]
+            _, own = np.unique(sign[on] * (256 * max(used, 1)) + byte[arc] * max(used, 1) + state[arc], return_inverse=True)
+            sign[on] = own + fresh
+            fresh += int(own.max()) + 1
+        _, head, own = np.unique(sign, return_index=True, return_inverse=True)
+        state[nodes] = own + used
+        heads.append(nodes[head])
+        used += len(head)
+    heads = np.concatenate(heads)
+    heads, state = heads[::-1], used - 1 - state  # the root is state 0
+    arcs = np.repeat(first[heads], fan[heads]) + np.arange(fan[heads].sum()) - np.repeat(np.cumsum(fan[heads]) - fan[heads], fan[heads])
+    arcs, source = child[arcs], np.repeat(np.arange(used), fan[heads])
+    targets = state[arcs]
     # Number of units accepted from a state on, and so what each arc adds to the place of a unit.
-    order, seen, stack = [], set(), [(0, False)]
-    while stack:
-        state, over = stack.pop()
-        if over:
-            order.append(state)
-        elif state not in seen:
-            seen.add(state)
-            stack += [(state, True), *((t, False) for t in arcs[state].values() if t not in seen)]
-    count: dict[int, int] = {}
-    for state in order:
-        count[state] = final[state] + sum(count[t] for t in arcs[state].values())
-    new = {state: i for i, state in enumerate(sorted(order))}
-    keys, targets, adds = [], [], []
-    for state in sorted(order):
-        add = int(final[state])
-        for b, t in sorted(arcs[state].items()):
-            keys.append(new[state] << 8 | b)
-            targets.append(new[t])
-            adds.append(add)
-            add += count[t]
+    count, cut = final[heads].copy(), np.concatenate(([0], np.cumsum(fan[heads])))
+    level = height[heads]
+    for h in range(1, int(level.max()) + 1):
+        own = np.flatnonzero(level == h)
+        among = np.flatnonzero(level[source] == h)
+        count[own] += np.bincount(source[among], weights=count[targets[among]], minlength=used)[own].astype(np.int64)
+    total = np.concatenate(([0], np.cumsum(count[targets])))
+    adds = total[:-1] - total[cut[source]] + final[heads][source]
     # Arcs lie in an open hash table by (state, byte), which a walk over many units probes at once.
+    keys = source << 8 | byte[arcs]
     size = 1 << max(4, (3 * len(keys)).bit_length())
     table = {"keys": np.full(size, -1, np.int64), "targets": np.zeros(size, np.int32), "adds": np.zeros(size, np.int32)}
-    spot = _arc_slots(np.array(keys, np.int64), size)
+    spot = _arc_slots(keys, size)
     left = np.arange(len(keys))
     while len(left):  # arcs that meet in a slot: one takes it, the others go on
         free = table["keys"][spot[left]] < 0
-        _, first = np.unique(spot[left], return_index=True)
+        _, one = np.unique(spot[left], return_index=True)
         take = np.zeros(len(left), bool)
-        take[first] = True
+        take[one] = True
         put = left[take & free]
         for name, values in (("keys", keys), ("targets", targets), ("adds", adds)):
-            table[name][spot[put]] = np.array(values)[put]
+            table[name][spot[put]] = values[put]
         left = left[~(take & free)]
         spot[left] = (spot[left] + 1) & (size - 1)
-    return table | {
-        "final": np.array([final[s] for s in sorted(order)], np.uint8),
-        "at": np.cumsum([0, *map(len, outputs)], dtype=np.int64), "ids": np.frombuffer(b"".join(outputs), np.uint8),
-    }
+    ids = np.frombuffer(b"".join(outputs), np.uint8)
+    return table | {"final": final[heads].astype(np.uint8), "at": np.cumsum([0, *map(len, outputs)], dtype=np.int64) // 4, "ids": ids}
 
 
 def _arc_slots(keys: np.ndarray, size: int) -> np.ndarray:
@@ -376,32 +398,27 @@ def unit_spans(raw: np.ndarray, text_ends: np.ndarray) -> tuple[np.ndarray, np.n
     return starts[order], ends[order]
 
 
-def _distinct_units(raw, ends):
-    starts, stops = unit_spans(raw, ends)
-    h = tokens.span_hashes(raw, starts, stops, fold=False)
-    names, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-    return starts, stops, names, first, inverse
-
-
 def _count_units(batches):
+    common.plain_memory()
     for batch in batches:
         for _, raw, ends in tokens.joined(batch.column(0)):
-            starts, stops, _, first, inverse = _distinct_units(raw, ends)
-            counts = np.bincount(inverse, minlength=len(first))
+            starts, stops = unit_spans(raw, ends)
+            first, which = tokens.distinct(raw, starts, stops, fold=False)
+            counts = np.bincount(which, minlength=len(first))
             data = raw.tobytes()
             short = stops[first] - starts[first] <= LEXICON_UNIT_BYTES
             units = [data[a:b] for a, b in zip(starts[first[short]].tolist(), stops[first[short]].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(units, pa.binary()), pa.array(counts[short], pa.int64())], names=["unit", "n"])
 
 
-def frequent_units(docs: DataFrame, most: int = LEXICON_UNITS) -> DataFrame:
+def frequent_units(docs: DataFrame, scratch: common.Scratch, most: int = LEXICON_UNITS) -> DataFrame:
     """The units of all texts that occur most often: at most `most`, whatever the corpus.
 
     A histogram of counts with at most some 500 bars tells from which count on
     the units are few enough, so no task sends the driver more than its share.
     """
     counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_count_units, "unit binary, n long").groupBy("unit").agg(F.sum("n").alias("n"))
-    counted = common.written(counted.withColumn("bar", F.floor(8 * F.log2(F.col("n").cast("double"))).cast("int")), "units")
+    counted = scratch.written(counted.withColumn("bar", F.floor(8 * F.log2(F.col("n").cast("double"))).cast("int")), "units")
     total, least = 0, None
     for bar, n in sorted(counted.groupBy("bar").count().collect(), reverse=True):
         total += n
@@ -423,6 +440,12 @@ def lexicon_file(merger: Merger, words: list[bytes]) -> bytes:
     return packed(compile_lexicon(words, outputs))
 
 
+def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs flat[start : start + size] one after the other, and the end of each."""
+    ends = np.cumsum(sizes)
+    return flat[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+
 class Encoder:
     """Encodes columns of texts; one is kept by each Python worker."""
 
@@ -430,11 +453,12 @@ class Encoder:
 
     def __init__(self, spec: str, lexicon: str):
         self.merger, self.lexicon = Merger(spec), Lexicon(lexicon)
-        flat, at = self.lexicon.ids.tobytes(), self.lexicon.at.tolist()
-        self.ids = [flat[a:b] for a, b in pairwise(at)]
-        self.back = [self.merger.decode(x) for x in self.ids]
-        self.memo: dict[int, tuple[bytes, bytes]] = {}
+        self.lexicon_ids = self.lexicon.ids.view("<u4")
+        self.memo: dict[bytes, bytes] = {}
         self.specials = [x.encode() for x in self.merger.special]
+        self.letters = np.frombuffer(b"".join(self.merger.bytes_of), np.uint8)
+        self.letter_count = np.array([len(x) for x in self.merger.bytes_of], np.int64)
+        self.letter_start = np.cumsum(self.letter_count) - self.letter_count
 
     @classmethod
     def of(cls, name: str, spec: str) -> Encoder:
@@ -443,60 +467,79 @@ class Encoder:
             cls._kept[name] = cls(spec, SparkFiles.get(name))
         return cls._kept[name]
 
-    def _learn(self, data: bytes, names, starts, ends) -> None:
+    def _learn(self, units: list[bytes]) -> None:
         """Puts units that the automaton lacks into the memo."""
-        memo, merger = self.memo, self.merger
-        units = [data[a:b] for a, b in zip(starts, ends, strict=True)]
         white = [u[-1:].isspace() for u in units]
-        rest = [i for i, w in enumerate(white) if not w]
-        for i, ids in zip(rest, merger.units([units[i] for i in rest]) if rest else [], strict=True):
-            memo[names[i]] = (ids, merger.decode(ids))
-        for i, w in enumerate(white):
-            if w:
-                ids = merger.pieces(units[i].decode())
-                memo[names[i]] = (ids, merger.decode(ids))
+        rest = [u for u, w in zip(units, white, strict=True) if not w]
+        self.memo |= zip(rest, self.merger.units(rest) if rest else [], strict=True)
+        self.memo |= {u: self.merger.pieces(u.decode()) for u, w in zip(units, white, strict=True) if w}
+
+    def _decoded(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all these ids, and the end of each id's."""
+        return _gather(self.letters, self.letter_start[ids], self.letter_count[ids])
+
+    def _is_odd(self, data: bytes) -> bool:
+        """Whether units don't decide on a text: special tokens, wide white space, or bytes that are not UTF-8."""
+        return bool(_WIDE_SPACE.search(data)) or any(x in data for x in self.specials) or not _is_utf8(data)
 
     def encode(self, texts: pa.Array):
-        """(ids as little-endian 32-bit integers, decoded bytes) of each text, in order."""
+        """(ids as 32-bit integers, decoded bytes) of each text, in order."""
         for _, raw, ends in tokens.joined(texts):
             data = raw.tobytes()
-            starts, stops, names, first, inverse = _distinct_units(raw, ends)
-            odd = bool(_WIDE_SPACE.search(data)) or any(x in data for x in self.specials) or not _is_utf8(data)
+            starts, stops = unit_spans(raw, ends)
+            first, which = tokens.distinct(raw, starts, stops, fold=False)
+            odd = self._is_odd(data)
             a, b = starts[first], stops[first]
             places = self.lexicon.places(raw, a, b)
-            known = places.tolist()
-            ids = [self.ids[p] if p >= 0 else b"" for p in known]
-            back = [self.back[p] if p >= 0 else b"" for p in known]
             lacking = np.flatnonzero(places < 0)
-            lacking = list(zip(lacking.tolist(), names[lacking].tolist(), a[lacking].tolist(), b[lacking].tolist(), strict=True))
+            units = [data[x:y] for x, y in zip(a[lacking].tolist(), b[lacking].tolist(), strict=True)]
             if len(self.memo) > MEMO_UNITS:
                 self.memo.clear()
-            missing = [x for x in lacking if x[1] not in self.memo]
+            missing = [u for u in units if u not in self.memo]
             if odd:  # such units are met in texts that take the other path alone
-                missing = [x for x in missing if _is_utf8(u := data[x[2] : x[3]]) and not _WIDE_SPACE.search(u)]
+                missing = [u for u in missing if _is_utf8(u) and not _WIDE_SPACE.search(u)]
             if missing:
-                self._learn(data, *zip(*[x[1:] for x in missing], strict=True))
-            for i, name, *_ in lacking:
-                ids[i], back[i] = self.memo.get(name, (b"", b""))
-            offsets = np.concatenate(([0], np.searchsorted(starts, ends))).tolist()
-            inverse = inverse.tolist()
-            begin = 0
+                self._learn(missing)
+            merged = [self.memo.get(u, b"") for u in units]
+            # Ids of each different unit: a stretch of the lexicon's ids, or of those merged here.
+            at = self.lexicon.at
+            known = np.maximum(places, 0)
+            begin, size = (at[known], at[known + 1] - at[known]) if len(at) > 1 else (np.zeros(len(first), np.int64), np.zeros(len(first), np.int64))
+            size[lacking] = [len(x) // 4 for x in merged]
+            begin[lacking] = len(self.lexicon_ids) + np.cumsum(size[lacking]) - size[lacking]
+            ids, token_ends = _gather(_Joined(self.lexicon_ids, np.frombuffer(b"".join(merged), "<u4")), begin[which], size[which])
+            letters, letter_ends = self._decoded(ids)
+            cut = np.concatenate(([0], token_ends))[np.concatenate(([0], np.searchsorted(starts, ends)))].tolist()
+            letter_cut = np.concatenate(([0], letter_ends))[cut].tolist()
+            done = 0
             for i, end in enumerate(ends.tolist()):
-                text = data[begin : end - 1] if odd else b""
-                begin = end
-                if odd and (_WIDE_SPACE.search(text) or any(x in text for x in self.specials) or not _is_utf8(text)):
-                    out = self.merger.encode(text.decode("utf-8", "replace"))
-                    yield out, self.merger.decode(out)
+                text = data[done : end - 1] if odd else b""
+                done = end
+                if odd and self._is_odd(text):
+                    out = np.frombuffer(self.merger.encode(text.decode("utf-8", "replace")), "<u4")
+                    yield out, self._decoded(out)[0].tobytes()
                 else:
-                    use = inverse[offsets[i] : offsets[i + 1]]
-                    yield b"".join([ids[j] for j in use]), b"".join([back[j] for j in use])
-
+                    yield ids[cut[i] : cut[i + 1]], letters[letter_cut[i] : letter_cut[i + 1]].tobytes()
 
     def forget(self) -> None:
         """Lets go of the memos: an idle worker keeps the lexicon alone."""
         self.memo, self.merger.memo = {}, {}
 
 
+class _Joined:
+    """Two arrays addressed as one, without copying the first."""
+
+    def __init__(self, one: np.ndarray, two: np.ndarray):
+        self.one, self.two = one, two
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        out = np.empty(len(at), self.one.dtype)
+        here = at < len(self.one)
+        out[here] = self.one[at[here]]
+        out[~here] = self.two[at[~here] - len(self.one)]
+        return out
+
+
 def _is_utf8(data: bytes) -> bool:
     try:
         data.decode()
@@ -505,6 +548,13 @@ def _is_utf8(data: bytes) -> bool:
     return True
 
 
+def _kept_folder() -> str:
+    """A folder of the driver from which Spark's file server hands the lexicon to executors; it goes with the driver."""
+    path = tempfile.mkdtemp(prefix="strandline-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def prepare(docs: DataFrame, tokenizer_path: str, units: int = LEXICON_UNITS):
     """Compiles the lexicon of docs and hands it to the executors; (its name there, the tokenizer file's text).
 
@@ -520,10 +570,11 @@ def prepare(docs: DataFrame, tokenizer_path: str, units: int = LEXICON_UNITS):
         file = lexicon_file(Merger(spec.value), words)
         yield pa.RecordBatch.from_arrays([pa.array([len(file)]), pa.array([pa.compress(file, "zstd", asbytes=True)], pa.binary())], names=["size", "file"])
 
-    made = frequent_units(docs, units).repartition(1).mapInArrow(compile_all, "size long, file binary").first()
+    with common.Scratch(spark) as scratch:
+        made = frequent_units(docs, scratch, units).repartition(1).mapInArrow(compile_all, "size long, file binary").first()
     file = pa.decompress(bytes(made.file), made.size, "zstd", asbytes=True) if made else packed(compile_lexicon([], []))
     name = f"lexicon-{uuid.uuid4().hex[:12]}"
-    path = os.path.join(tempfile.mkdtemp(prefix="strandline-"), name)
+    path = os.path.join(_kept_folder(), name)
     with open(path, "wb") as f:
         f.write(file)
     spark.sparkContext.addFile(path)
@@ -535,14 +586,12 @@ def encode(docs: DataFrame, tokenizer_path: str, units: int = LEXICON_UNITS) ->
     name, spec = prepare(docs, tokenizer_path, units)
 
     def run(batches):
+        common.plain_memory()
         encoder = Encoder.of(name, spec.value)
         for batch in batches:
             got = list(encoder.encode(batch.column(1)))
-            sizes = np.cumsum([0] + [len(x) // 4 for x, _ in got]).astype(np.int32)
-            flat = pa.array(np.frombuffer(b"".join(x for x, _ in got), np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.ListArray.from_arrays(pa.array(sizes), flat), pa.array([y.decode("utf-8", "replace") for _, y in got], pa.string())],
-                names=["doc_id", "ids", "decoded"],
+                [batch.column(0), _lists([x for x, _ in got]), pa.array([y.decode("utf-8", "replace") for _, y in got], pa.string())], names=["doc_id", "ids", "decoded"]
             )
         encoder.forget()
 
@@ -550,21 +599,28 @@ def encode(docs: DataFrame, tokenizer_path: str, units: int = LEXICON_UNITS) ->
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")
 
 
+def _lists(ids: list[np.ndarray]) -> pa.Array:
+    flat = np.concatenate([*ids, np.zeros(0, "<u4")]).astype("<u4").view(np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(flat))
+
+
 def _digests(docs: DataFrame, tokenizer_path: str, units: int, with_ids: bool) -> DataFrame:
     name, spec = prepare(docs, tokenizer_path, units)
 
     def run(batches):
+        common.plain_memory()
         encoder = Encoder.of(name, spec.value)
         for batch in batches:
             n, a, b, kept = [], [], [], []
             for ids, back in encoder.encode(batch.column(1)):
-                n.append(len(ids) // 4)
+                n.append(len(ids))
                 a.append(hashlib.sha256(ids).hexdigest())
                 b.append(hashlib.sha256(back if _is_utf8(back) else back.decode("utf-8", "replace").encode()).hexdigest())
-                kept.append(ids if with_ids else b"")
+                if with_ids:
+                    kept.append(ids)
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
             if with_ids:
-                columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(np.frombuffer(b"".join(kept), np.int32))))
+                columns.append(_lists(kept))
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
         encoder.forget()
 

@@ -300,6 +300,7 @@ def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        common.plain_memory()
         for batch in batches:
             s = shared.value.scores(batch.column(batch.num_columns - 1))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*batch.schema.names[:-1], "score", "predicted"])
@@ -316,6 +317,7 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        common.plain_memory()
         for batch in batches:
             yield batch.filter(pa.array(shared.value.scores(batch.column(at).cast(pa.string())) < 0.5))
 
