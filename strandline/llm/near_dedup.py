@@ -1,28 +1,33 @@
 """Near-duplicate documents: one-permutation MinHash, banded buckets, star candidates, exact confirmation.
 
-Every text becomes the set of its distinct k-word shingles (64-bit hashes).  One
-sorted pass over a set fills all bins of a one-permutation sketch, because the
-leading bits of a hash name its bin and the first hash of a bin is its minimum;
-an empty bin borrows from the first full bin in a fixed random order of all bins of
-its own (optimal densification, so that bins of a short text agree or differ on
-their own too).  Equal sets are one class from here on.
+Every text becomes the set of its distinct k-word shingles (64-bit hashes of the
+words' lanes, tokens.Hasher).  One sorted pass over a set fills all bins of a
+one-permutation sketch, because the leading bits of a hash name its bin and the
+first hash of a bin is its minimum; an empty bin borrows from the first full bin in
+a fixed random order of all bins of its own (optimal densification, so that bins of
+a short text agree or differ on their own too).  Equal sets, by a 128-bit digest of
+all their shingles, are one class from here on.
 
 Classes that share a band's bucket are candidates.  A bucket of n classes gives
-n - 1 star edges to its smallest member instead of all pairs.  Each edge is
-confirmed on the full sets.  A class that its centre does not confirm may still
-be linked to another member, so the members of buckets that hold more than one
-component are joined once more, by prefixes of their full sets (`prefix_pairs`),
-which misses no link, and those pairs are confirmed too.  So no candidate pair
-goes unchecked but those inside one component, which cannot change it, and those
-that share too few items to link.
+n - 1 star edges instead of all pairs; its centre is the class that meets most
+others in all of its buckets, which of a group of edited copies is one of the least
+edited.  Each edge is confirmed on the full sets.  A class that its centre does not
+confirm may still be linked to another member, so the members of buckets that hold
+more than one component are joined once more, by prefixes of their full sets and the
+places of the shared shingle in both (`prefix_pairs`), which misses no link, and
+those pairs are confirmed too.  So no candidate pair goes unchecked but those inside
+one component, which cannot change it, and those that share too few items to link.
 
 Defined cases: null or wordless texts have an empty set and link with nothing; a
 text of fewer than k words is one shingle; repeated rows are members of one
-class; a null doc_id keeps its row, gets its class's component and is not kept.
+class; a null doc_id keeps its row, gets its class's component and is not kept;
+other columns of docs may have any name.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -84,14 +89,14 @@ def band_keys(s: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def digest(s: np.ndarray) -> int:
-    """A 64-bit name of a set."""
-    n = np.uint64(len(s))
-    return int(tokens.mix(s + n).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0
+def digest(s: np.ndarray) -> bytes:
+    """A 128-bit name of a set."""
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else b""
 
 
 def _signatures(k: int):
     def run(batches):
+        common.plain_memory()
         for batch in batches:
             sizes, digests, keys = [], [], []
             for s in shingle_sets(batch.column(1), k):
@@ -101,7 +106,7 @@ def _signatures(k: int):
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in keys]))).astype(np.int32)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
                 names=["doc_id", "n_shingles", "set_id", "bands"],
             )
 
@@ -110,38 +115,41 @@ def _signatures(k: int):
 
 def _sets(k: int):
     def run(batches):
+        common.plain_memory()
         for batch in batches:
             sets = list(shingle_sets(batch.column(1), k))
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
             flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([digest(x) for x in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["id", "set_id", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([digest(x) for x in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["id", "set_id", "items"])
 
     return run
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, keep: common.Scratch) -> DataFrame:
     """(node, root): the smallest node reachable, for every node on an edge (a, b).
 
     Alternating large-star and small-star steps, each written to the shared
     folder; links never leave the executors.
     """
     spark = edges.sparkSession
-    now = common.written(edges.select("a", "b").where("a <> b").distinct(), "links")
-    before = None
-    while True:
-        # Large star: neighbours above a node hang on the smallest neighbour or itself.
-        both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("m").alias("b"), F.col("v").alias("a")).where("a <> b").distinct()
-        # Small star: a node and its smaller neighbours hang on the smallest of them.
-        down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
-        now, state = common.measured(small, "links", F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum"))
-        if state == before:
-            break
-        before = state
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+    with common.Scratch(spark) as scratch:
+        now = scratch.written(edges.select("a", "b").where("a <> b").distinct(), "links")
+        before = None
+        while True:
+            # Large star: neighbours above a node hang on the smallest neighbour or itself.
+            both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
+            low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+            large = both.join(low, "u").where("v > u").select(F.col("m").alias("b"), F.col("v").alias("a")).where("a <> b").distinct()
+            # Small star: a node and its smaller neighbours hang on the smallest of them.
+            down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+            least = down.groupBy("u").agg(F.min("v").alias("m"))
+            small = down.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
+            now, state = scratch.measured(small, "links", F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum"))
+            if state == before:
+                break
+            before = state
+        roots = now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+        return keep.written(roots, "roots")
 
 
 def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -152,14 +160,22 @@ def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return with_b.where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
-def prefix_pairs(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of open classes of different components that may link: none that does is missing.
+def stars(crowded: DataFrame) -> DataFrame:
+    """(key, centre) of each bucket: the member that meets most others, of all members in all of their buckets.
 
-    open_: key, rep, root.  With the items of all open sets in one order, rare
-    ones first, two sets that have at least m items in common share one among the
-    first size - m + 1 of each.  m follows from the least size of a partner in
-    the set's buckets.  Edits that only one copy has come first and meet nobody,
-    so a large group of near copies does not become all of its pairs.
+    crowded: key, rep and n, the bucket's size.  Edges of a bucket are as many as its members.
+    """
+    weight = crowded.groupBy("rep").agg(F.sum("n").alias("weight"))
+    return crowded.join(weight, "rep").groupBy("key").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("centre"))
+
+
+def postings(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """item, rep, root, size and place of the items in the prefixes of open classes.
+
+    open_: key, rep, root.  The items of all open sets are in one order, rare ones
+    first; place counts from 1 in a set's own items.  Two sets that have at least m
+    items in common share one among the first size - m + 1 of each; m follows from
+    the least size of a partner in the set's buckets.
     """
     sized = open_.join(sets.select(F.col("id").alias("rep"), "set_id", F.size("items").alias("size")), "rep")
     smallest = sized.groupBy("key").agg(F.min("size").alias("smallest"))
@@ -169,15 +185,32 @@ def prefix_pairs(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     nodes = nodes.withColumn("prefix", F.col("size") - need + 1)
     items = nodes.join(sets.withColumnRenamed("id", "rep"), ["rep", "set_id"]).select("rep", "set_id", "root", "size", "prefix", F.explode("items").alias("item"))
     often = items.groupBy("item").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    ranked = items.join(often, "item").withColumn("at", F.row_number().over(Window.partitionBy("rep", "set_id").orderBy("df", "item")))
-    shared = items.join(often, "item").groupBy("rep", "set_id").agg(F.count(F.lit(1)).alias("shared"))
-    posts = ranked.join(shared, ["rep", "set_id"]).where("at <= prefix - (size - shared)").select("item", "rep", "root", "size")
-    # Of each item's components one is the largest: pairs are its members' and the others' with the others, never its own.
+    # Items that one set alone has come before all others, so they move the others' places.
+    mine = Window.partitionBy("rep", "set_id")
+    ranked = items.join(often, "item").withColumn("place", F.row_number().over(mine.orderBy("df", "item")) + F.col("size") - F.count(F.lit(1)).over(mine))
+    return ranked.where("place <= prefix").select("item", "rep", "root", "size", "place")
+
+
+def divided(posts: DataFrame) -> DataFrame:
+    """Postings of items that several components have, with `own`: whether the row is of the item's largest component."""
     per_root = posts.groupBy("item", "root").agg(F.count(F.lit(1)).alias("n"))
-    main = per_root.groupBy("item").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    others = posts.join(main, "item").where("root <> main").select("item", F.col("rep").alias("x"), F.col("root").alias("rx"), F.col("size").alias("sx"))
-    fits = f"root <> rx and least(size, sx) * 100 >= greatest(size, sx) * {percent}"
-    return others.join(posts, "item").where(fits).select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
+    main = per_root.groupBy("item").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("item", "main")
+    return posts.join(main, "item").select("item", "rep", "root", "size", "place", (F.col("root") == F.col("main")).alias("own"))
+
+
+def prefix_pairs(posts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes of different components that may link, out of `divided` postings: none that does is missing.
+
+    Of an item, rows outside its largest component meet all others, never that
+    component itself.  The first item that two sets share, at places p and q, leaves
+    them at most 1 + min(size - p, size - q) in common.  A pair that links passes at
+    that item; what passes nowhere shares too little.  So a large group of edited
+    copies does not become all of its pairs: edits that few have come first and use
+    up the prefix.
+    """
+    others = posts.where("not own").select("item", F.col("rep").alias("x"), F.col("root").alias("rx"), F.col("size").alias("sx"), F.col("place").alias("px"))
+    fits = f"root <> rx and {100 + percent} * (1 + least(size - place, sx - px)) >= {percent} * (size + sx)"
+    return others.join(posts.drop("own"), "item").where(fits).select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -185,33 +218,41 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     spark = docs.sparkSession
     common.settings(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = common.written(docs.mapInArrow(_signatures(k), "doc_id long, n_shingles long, set_id long, bands array<long>"), "sketch")
-    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    members = classes.select("rep", F.explode("bands").alias("key"))
-    stars = members.groupBy("key").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    # Only buckets with two classes or more go on; this is the one table that later rounds read.
-    crowded = common.written(members.join(stars, "key").select("key", "rep", "centre"), "buckets")
-    # Full sets of the classes in them.  A doc_id that rows repeat with other texts has a set for each; one shuffle by id serves this and the joins.
-    ids = crowded.select(F.col("rep").alias("id")).distinct()
-    sets = common.may_hit(docs, "doc_id", ids, "id").mapInArrow(_sets(k), "id long, set_id long, items array<long>").repartition("id")
-    sets = common.written(sets.join(ids, "id", "left_semi").groupBy("id", "set_id").agg(F.first("items").alias("items")), "sets")
-    common.tidy(spark)
-    edges = common.written(crowded.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "edges")
-    links = common.written(confirmed(edges, sets, percent), "confirmed")
-    common.tidy(spark)
-    roots = components(links)
-    # Members other than the centre, which has met everyone in its bucket.
-    left = crowded.where("rep <> centre").join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
-    spread = left.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    open_ = common.written(left.join(spread, "key", "left_semi"), "open")
-    more = common.written(prefix_pairs(open_, sets, percent).join(edges, ["a", "b"], "left_anti"), "edges")
-    fresh, found = common.measured(confirmed(more, sets, percent), "confirmed", F.count(F.lit(1)).alias("n"))
-    common.tidy(spark)
-    if found.get("n"):
-        roots = components(links.union(fresh))
-    by_set = classes.select("set_id", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("set_id", F.coalesce("root", "rep").alias("component"))
+    with common.Scratch(spark) as scratch:
+        signed = scratch.written(docs.mapInArrow(_signatures(k), "doc_id long, n_shingles long, set_id binary, bands array<long>"), "sketch")
+        classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+        members = scratch.written(classes.select("rep", F.explode("bands").alias("key")), "members")
+        full = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        # Only buckets with two classes or more go on.
+        crowded = scratch.written(members.join(full, "key"), "crowded")
+        buckets = scratch.written(crowded.select("key", "rep").join(scratch.written(stars(crowded), "centres"), "key"), "buckets")
+        # Full sets of the classes in them.  A doc_id that rows repeat with other texts has a set for each; one shuffle by id serves this and the joins.
+        ids = buckets.select(F.col("rep").alias("id")).distinct()
+        some = common.may_hit(common.keyed(docs, F.col("doc_id")), ids, "id").select("row.doc_id", "row.text")
+        sets = some.mapInArrow(_sets(k), "id long, set_id binary, items array<long>").repartition("id")
+        sets = scratch.written(sets.join(ids, "id", "left_semi").groupBy("id", "set_id").agg(F.first("items").alias("items")), "sets")
+        common.tidy(spark)
+        ends = (F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b"))
+        edges = scratch.written(buckets.where("rep <> centre").select(*ends).distinct(), "edges")
+        links = scratch.written(confirmed(edges, sets, percent), "confirmed")
+        common.tidy(spark)
+        roots = components(links, scratch)
+        # Members other than the centre, which has met everyone in its bucket.
+        left = buckets.where("rep <> centre").join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
+        spread = left.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+        open_ = scratch.written(left.join(spread, "key", "left_semi"), "open")
+        # Written before they are joined: adaptive execution splits an item that many have only in a plain join of two tables.
+        posts = scratch.written(divided(scratch.written(postings(open_, sets, percent), "postings")), "posts")
+        more = scratch.written(prefix_pairs(posts, percent).distinct().join(edges, ["a", "b"], "left_anti"), "more")
+        fresh, found = scratch.measured(confirmed(more, sets, percent), "fresh", F.count(F.lit(1)).alias("n"))
+        common.tidy(spark)
+        if found.get("n"):
+            roots = components(links.union(fresh), scratch)
+        # One row for each class; the sketches' bands are not needed any more.
+        by_set = common.written(classes.select("set_id", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("set_id", F.coalesce("root", "rep").alias("component")), "classes")
+        rows = common.written(signed.drop("bands"), "rows")
     # The copies of one text may be a third of all rows: their side is dealt by set_id and split by adaptive execution.
-    out = signed.drop("bands").join(by_set, "set_id", "left")
+    out = rows.join(by_set, "set_id", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
@@ -224,5 +265,3 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> Data
 
 def op9(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "documents"), k=4, percent=80)
-
-
