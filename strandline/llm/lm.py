@@ -1,32 +1,33 @@
-"""N-gram scoring of whole texts by a weighted backoff automaton.
-
-The model is an interpolated n-gram model with Dirichlet smoothing:
-
-    p1(w)      = (c(w) + 0.1) / (N + 0.1 (V + 1))
-    p(w | u)   = (c(u w) + mu p1(w)) / (c(u .) + mu)
-
-which sums to one over the V known words and one unknown word.  As an automaton
-every word u seen in training is a state with an arc for each word that followed
-it, and a failure arc of weight mu / (c(u .) + mu) to the root, whose arcs carry
-p1.  A text is read once from left to right: the state moves along the arc of
-the next word, or falls to the root first and goes on from there.
-
-No states or arcs are built.  The automaton, of order two, is evaluated by looking
-up the counts of each token's bigram and unigrams, which gives the same scores.
-
-Nothing that grows with the corpus is broadcast or collected.  Texts are dealt
-to shards by doc_id.  Each shard sorts its distinct n-grams and sends them, cut
-into ranges of hashes and packed by differences, to the owners of the ranges
-(one blob per shard and range, so a word in every text weighs no more than one
-entry a shard).  An owner adds up the training counts and answers each shard in
-the shard's own order, so answers are bare counts.  A shard then holds exactly
-the part of the automaton its texts can reach, and runs them through it.  Texts
-are shuffled once: both passes read the same exchange.
+"""N-gram scoring of whole texts by a weighted backoff automaton of order three.
+
+The model interpolates n-grams with Dirichlet smoothing:
+
+    p1(w)       = (c(w) + 0.1) / (N + 0.1 (V + 1))
+    p2(w | v)   = (c(v w) + MU[0] p1(w)) / (c(v) + MU[0])
+    p3(w | u v) = (c(u v w) + MU[1] p2(w | v)) / (c(u v) + MU[1])
+
+which sums to one over the V known words and one unknown word.  As an automaton,
+every history seen in training (a word, the start of a text, or a pair of these) is a
+state.  It has an arc for each word that followed it, weighted with that word's
+probability, to the longest history that the arc leads to; and a failure arc,
+weighted with MU / (c + MU), to the history without its first word, and from single
+words to the root, whose arcs carry p1.  A text is read once from left to right: the
+state takes the arc of the next word or falls back until there is one, and log
+weights add up.  Long texts are read as segments side by side; a segment's first
+state is found by reading the two words before it, which is all a state remembers.
+
+Nothing that grows with the corpus is broadcast or collected.  Texts are dealt to
+shards by their place in the input, whatever their ids and contents.  Each shard
+sends its distinct words, cut into ranges of hashes (one blob for each shard and
+range, so a word in every text weighs no more than one entry a shard), to the ranges'
+owners, who tell words apart by their bytes, number them, and answer with numbers
+and training counts.  Then the shards ask for counts of pairs and triples of numbers
+in the same way.  So every shard holds exactly the part of the automaton that its
+texts can reach, compiles it and runs its texts through it.
 
 Defined cases: null or empty texts consist of the end token alone; repeated rows
-count each time they occur; an empty table gives no rows; a null doc_id hashes
-as the empty text.  Words are told apart by 64-bit hashes, n-grams of higher
-order by KEY_BITS bits.
+count each time they occur; an empty table gives no rows; a null doc_id hashes as
+the empty text; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -38,183 +39,412 @@ from pyspark.sql import functions as F
 
 from strandline.llm import common, tokens
 
-#: Strength of the back-off distribution against a state's own counts.
-MU = 100.0
-#: Text bytes of a shard.  A shard's texts and its part of the model are in one task's memory.
+#: Strength of the back-off distribution against the counts of a word's and a pair's state.
+MU = (400.0, 2.0)
+#: Text bytes of a shard.  A shard's texts and its part of the automaton are in one task's memory.
 SHARD_BYTES = 10 << 20
-KEY_BITS = 56
-
-END = np.uint64(0x5EED_0F_E4D)
-START = np.uint64(0x5EED_57A27)
+#: Tokens that a segment reads.
+SEGMENT = 64
+#: Shards whose words one owner numbers for each shard of n-grams.
+WORDS_SHARE = 8
 
-_BLOB = "shard int, part int, kind int, size long, blob binary, counts binary"
 _U = np.uint64
+_ASK = "shard int, part int, size long, blob binary, counts binary"
+#: A range's answer about words: how many, their numbers and counts, and the totals of all its words.
+_KNOWN = "w_size long, w_ids binary, w_counts binary, n_range long, v_range long"
+
+
+class Shard:
+    """The texts of one shard as tokens: words and one end (a word without bytes) after each text."""
+
+    def __init__(self, texts: pa.ChunkedArray, held: pa.ChunkedArray):
+        (_, raw, ends), = tokens.joined(texts, 1 << 62)
+        starts, stops = tokens.word_spans(raw)
+        per_text = np.searchsorted(starts, ends)
+        n = len(ends)
+        at = per_text + np.arange(n)
+        word = np.ones(len(starts) + n, bool)
+        word[at] = False
+        begin, end = np.empty(len(word), np.int64), np.empty(len(word), np.int64)
+        begin[word], end[word] = starts, stops
+        begin[at] = end[at] = ends - 1
+        #: The first token of each text, and the number of tokens.
+        self.offsets = np.concatenate(([0], at + 1))
+        self.text_of = np.repeat(np.arange(n), np.diff(self.offsets))
+        held = np.asarray(held.combine_chunks().to_numpy(zero_copy_only=False), bool)
+        self.trained = np.repeat(~held, np.diff(self.offsets))
+        first, which = tokens.distinct(raw, begin, end)
+        # Words in the order of their hashes, and of their bytes should hashes be equal: the same whatever order the texts come in.
+        self.raw = tokens._LOWER[raw]
+        hashes = tokens.span_hashes(raw, begin[first], end[first])
+        order = np.argsort(hashes, kind="stable")
+        if (hashes[order][1:] == hashes[order][:-1]).any():
+            order = np.array(sorted(range(len(first)), key=lambda i: (int(hashes[i]), self.raw[begin[first[i]] : end[first[i]]].tobytes())))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.hashes, self.begin, self.end = hashes[order], begin[first[order]], end[first[order]]
+        self.words = place[which]
+
+    def number(self, ids: np.ndarray, counts: np.ndarray) -> None:
+        """Takes the owners' numbers and counts: words are now in the order of their numbers, from 1 on; 0 is the start of a text."""
+        order = np.argsort(ids)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(1, len(order) + 1)
+        self.ids, self.counts = np.concatenate(([0], ids[order])), np.concatenate(([0], counts[order]))
+        end = int(np.flatnonzero(self.begin == self.end)[0])
+        self.end_word = int(place[end])
+        self.counts[0] = self.counts[self.end_word]  # as many starts as ends
+        self.words = place[self.words]
+        self.size = len(self.ids)
+        before = np.empty_like(self.words)
+        before[1:] = self.words[:-1]
+        before[self.offsets[:-1]] = 0
+        self.pairs, self.pair_of = np.unique(before * self.size + self.words, return_inverse=True)
+        inner = np.ones(len(self.words), bool)
+        inner[self.offsets[:-1]] = False
+        #: Places that have two tokens or a start and a token before them.
+        self.inner = np.flatnonzero(inner)
+        triple = self.pair_of[self.inner - 1] * self.size + self.words[self.inner]
+        self.triples, first, self.triple_of = np.unique(triple, return_index=True, return_inverse=True)
+        #: The pair that ends each triple.
+        self.triple_tail = self.pair_of[self.inner[first]]
+
+    def columns(self) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Pairs and triples as columns of the owners' numbers, sorted."""
+        pairs = [self.ids[self.pairs // self.size], self.ids[self.pairs % self.size]]
+        head = self.triples // self.size
+        return pairs, [pairs[0][head], pairs[1][head], self.ids[self.triples % self.size]]
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Values from 0 on as compressed byte planes."""
+    width = next(w for w in range(1, 9) if w == 8 or not len(values) or int(values.max()) < 1 << (8 * w))
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    blob = pa.compress(planes.tobytes(), "zstd", asbytes=True)
+    return bytes([width]) + len(blob).to_bytes(4, "little") + blob
+
+
+def _from_planes(blob: bytes, n: int, at: int = 0) -> tuple[np.ndarray, int]:
+    width, size = blob[at], int.from_bytes(blob[at + 1 : at + 5], "little")
+    planes = np.frombuffer(pa.decompress(blob[at + 5 : at + 5 + size], n * width, "zstd", asbytes=True), np.uint8).reshape(width, n)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view("<i8")[:, 0], at + 5 + size
+
+
+def pack(columns: list[np.ndarray]) -> bytes:
+    """Sorted, distinct rows: each column as differences, from 0 again where a column before it changes."""
+    n = len(columns[0])
+    fresh, out = np.zeros(n, bool), []
+    fresh[:1] = True
+    for c in columns:
+        step = np.diff(c, prepend=0)
+        out.append(_planes(np.where(fresh, c, step)))
+        fresh = fresh | (step != 0)
+    return b"".join(out)
+
+
+def unpack(blob: bytes, n: int, columns: int) -> list[np.ndarray]:
+    out, at, fresh = [], 0, np.zeros(n, bool)
+    fresh[:1] = True
+    for _ in range(columns):
+        d, at = _from_planes(blob, n, at)
+        total = np.cumsum(d)
+        head = np.flatnonzero(fresh)
+        c = total - np.repeat((total - d)[head], np.diff(np.append(head, n)))
+        out.append(c)
+        fresh = fresh | (np.diff(c, prepend=-1) != 0)
+    return out
+
+
+def _cuts(parts: int) -> np.ndarray:
+    return np.array([(i << 64) // parts for i in range(1, parts)], dtype=np.uint64)
+
+
+_TYPES = {"shard": pa.int32(), "part": pa.int32(), "blob": pa.binary(), "counts": pa.binary(), "w_ids": pa.binary(), "w_counts": pa.binary()}
+
+
+def _rows(rows: list[dict], schema: str) -> pa.Table:
+    names = [x.split()[0] for x in schema.split(", ")]
+    return pa.table({n: pa.array([r.get(n) for r in rows], _TYPES.get(n, pa.int64())) for n in names})
+
+
+def _ask_words(parts: int):
+    """A shard's distinct words with their training counts, a blob for each range of hashes."""
 
+    def run(table: pa.Table) -> pa.Table:
+        common.plain_memory()
+        shard = Shard(table["text"], table["held_out"])
+        counts = np.bincount(shard.words[shard.trained], minlength=len(shard.hashes))
+        sizes, data = shard.end - shard.begin, shard.raw.tobytes()
+        edges = [0, *np.searchsorted(shard.hashes, _cuts(parts)).tolist(), len(sizes)]
+        rows = []
+        for part, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            letters = pa.compress(b"".join([data[x:y] for x, y in zip(shard.begin[a:b].tolist(), shard.end[a:b].tolist(), strict=True)]), "zstd", asbytes=True)
+            rows.append({"shard": table["shard"][0].as_py(), "part": part, "size": b - a, "blob": _planes(sizes[a:b]) + letters, "counts": _planes(counts[a:b])})
+        return _rows(rows, _ASK)
 
-def _sequence(texts: pa.ChunkedArray):
-    """All words with an end after each text, and each text's offsets."""
-    parts, sizes = [], []
-    for _, h, offsets in tokens.words(texts):
-        n = len(offsets) - 1
-        out = np.empty(len(h) + n, np.uint64)
-        ends = offsets[1:] + np.arange(n)
-        word = np.ones(len(out), bool)
-        word[ends] = False
-        out[word] = h
-        out[ends] = END
-        parts.append(out)
-        sizes.append(np.diff(offsets) + 1)
-    if not parts:
-        return np.zeros(0, np.uint64), np.zeros(1, np.int64)
-    return np.concatenate(parts), np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
-
-
-def _pairs(seq: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A key for each token with the token before it (START at the head of a text)."""
-    before = np.empty_like(seq)
-    before[1:] = seq[:-1]
-    before[offsets[:-1]] = START
-    return tokens.mix(tokens.mix(before) + seq) >> _U(64 - KEY_BITS)
-
+    return run
 
-def _pack(values: np.ndarray) -> bytes:
-    """Sorted values as differences in byte planes, compressed."""
-    d = np.diff(values, prepend=_U(0))
-    width = next(w for w in (1, 2, 3, 4, 5, 6, 7, 8) if w == 8 or not len(d) or int(d.max()) < 1 << (8 * w))
-    planes = d.view(np.uint8).reshape(-1, 8)[:, :width].T
-    return bytes([width]) + pa.compress(np.ascontiguousarray(planes).tobytes(), "zstd", asbytes=True)
 
+def _number_words(parts: int):
+    """An owner's answer to each shard: the numbers and training counts of its words, and the range's totals.
 
-def _unpack(blob: bytes, n: int) -> np.ndarray:
-    width = blob[0]
-    planes = np.frombuffer(pa.decompress(blob[1:], n * width, "zstd", asbytes=True), np.uint8).reshape(width, n)
-    d = np.zeros((n, 8), np.uint8)
-    d[:, :width] = planes.T
-    return np.cumsum(d.view(np.uint64)[:, 0], dtype=np.uint64)
+    Frequent words get small numbers; 0 is no word's.
+    """
 
+    def run(table: pa.Table) -> pa.Table:
+        common.plain_memory()
+        table = table.sort_by("shard")  # numbers don't depend on the order in which blobs arrive
+        asked = table["size"].to_pylist()
+        sizes, letters, counts = [], [], []
+        for n, blob, c in zip(asked, table["blob"].to_pylist(), table["counts"].to_pylist(), strict=True):
+            size, at = _from_planes(blob, n)
+            sizes.append(size)
+            letters.append(pa.decompress(blob[at:], int(size.sum()), "zstd", asbytes=True) if n and size.sum() else b"")
+            counts.append(_from_planes(c, n)[0])
+        raw, ends = np.frombuffer(b"".join(letters), np.uint8), np.cumsum(np.concatenate(sizes))
+        first, which = tokens.distinct(raw, ends - np.concatenate(sizes), ends, fold=False)
+        total = np.bincount(which, weights=np.concatenate(counts), minlength=len(first)).astype(np.int64)
+        rank = np.empty(len(first), np.int64)
+        rank[np.lexsort((first, -total))] = np.arange(len(first))
+        ids = 1 + rank * parts + (table["part"][0].as_py() if len(asked) else 0)
+        totals = {"n_range": int(total.sum()), "v_range": int((total > 0).sum())}
+        rows, at = [], 0
+        for shard, part, n in zip(table["shard"].to_pylist(), table["part"].to_pylist(), asked, strict=True):
+            own = which[at : at + n]
+            rows.append({"shard": shard, "part": part, "w_size": n, "w_ids": _planes(ids[own]), "w_counts": _planes(total[own])} | totals)
+            at += n
+        return _rows(rows, f"shard int, part int, {_KNOWN}")
 
-def _pack_counts(counts: np.ndarray) -> bytes:
-    width = next(w for w in (1, 2, 4, 8) if w == 8 or not len(counts) or int(counts.max()) < 1 << (8 * w))
-    return bytes([width]) + pa.compress(counts.astype(f"u{width}").tobytes(), "zstd", asbytes=True)
+    return run
 
 
-def _unpack_counts(blob: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(pa.decompress(blob[1:], n * blob[0], "zstd", asbytes=True), f"u{blob[0]}").astype(np.int64)
+def _answered(table: pa.Table) -> list[dict]:
+    return sorted(table.to_pylist(), key=lambda r: r["part"])
 
 
-def _distinct(keys: np.ndarray, trained: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys and how often each occurs in training texts."""
-    order = np.argsort(keys)
-    s = keys[order]
-    first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))) if len(s) else np.zeros(0, np.int64)
-    return s[first], np.add.reduceat(trained[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+def _numbered(texts: pa.Table, answers: list[dict]) -> Shard:
+    shard = Shard(texts["text"], texts["held_out"])
+    shard.number(*(np.concatenate([_from_planes(r[c], r["w_size"])[0] for r in answers if r["w_size"] is not None]) for c in ("w_ids", "w_counts")))
+    return shard
 
 
-def _cuts(parts: int, bits: int) -> np.ndarray:
-    return np.array([(i << bits) // parts for i in range(1, parts)], dtype=np.uint64)
+def _owner(columns: list[np.ndarray], parts: int) -> np.ndarray:
+    key = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        key = tokens.mix(key + c.astype(np.uint64))
+    return (key % _U(parts)).astype(np.int64)
 
 
-def _ask(parts: dict[int, int]):
-    """A shard's distinct n-grams with their training counts, one blob for each kind and range."""
+def _ask_grams(parts: int):
+    """A shard's distinct pairs and triples with their training counts, a blob for each owner."""
 
-    def run(table: pa.Table) -> pa.Table:
-        seq, offsets = _sequence(table["text"])
-        held = np.asarray(table["held_out"].combine_chunks().to_numpy(zero_copy_only=False), bool)
-        trained = np.repeat(~held, np.diff(offsets))
-        shard = table["shard"][0].as_py()
+    def run(texts: pa.Table, words: pa.Table) -> pa.Table:
+        known = _answered(words)
+        common.plain_memory()
+        shard = _numbered(texts, known)
+        blobs, counts, sizes = [[] for _ in range(parts)], [[] for _ in range(parts)], [[] for _ in range(parts)]
+        trained = (np.bincount(shard.pair_of[shard.trained], minlength=len(shard.pairs)), np.bincount(shard.triple_of[shard.trained[shard.inner]], minlength=len(shard.triples)))
+        for columns, count in zip(shard.columns(), trained, strict=True):
+            owner = _owner(columns, parts)
+            order = np.argsort(owner, kind="stable")
+            edges = np.searchsorted(owner[order], np.arange(parts + 1))
+            for part in range(parts):
+                own = order[edges[part] : edges[part + 1]]
+                sizes[part].append(len(own))
+                blobs[part].append(pack([c[own] for c in columns]))
+                counts[part].append(_planes(count[own]))
         rows = []
-        for kind, keys, bits in ((1, seq, 64), (2, _pairs(seq, offsets), KEY_BITS)):
-            distinct, counts = _distinct(keys, trained)
-            edges = np.concatenate(([0], np.searchsorted(distinct, _cuts(parts[kind], bits)), [len(distinct)]))
-            for part in range(parts[kind]):
-                a, b = edges[part], edges[part + 1]
-                rows.append((shard, part, kind, int(b - a), _pack(distinct[a:b]), _pack_counts(counts[a:b])))
-        return pa.Table.from_arrays(
-            [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))],
-            names=["shard", "part", "kind", "size", "blob", "counts"],
-        )
+        for part in range(parts):
+            # What is known of words goes along, a range with each of the first blobs, and comes back with the answers.
+            own = known[part] if part < len(known) else {"shard": texts["shard"][0].as_py()}
+            blob = len(blobs[part][0]).to_bytes(8, "little") + b"".join(blobs[part])
+            rows.append(own | {"part": part, "size": sizes[part][0] << 32 | sizes[part][1], "blob": blob, "counts": b"".join(counts[part])})
+        return _rows(rows, f"{_ASK}, {_KNOWN}")
 
     return run
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    """The whole corpus's count for each n-gram a shard asked about, in its order; with the range's token and word totals."""
-    sizes = table["size"].to_pylist()
-    keys = [_unpack(b, n) for b, n in zip(table["blob"].to_pylist(), sizes, strict=True)]
-    counts = [_unpack_counts(b, n) for b, n in zip(table["counts"].to_pylist(), sizes, strict=True)]
-    known, where = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(where, weights=np.concatenate(counts), minlength=len(known)).astype(np.int64)
-    answers, at = [], 0
-    for n in sizes:
-        answers.append(_pack_counts(total[where[at : at + n]]))
-        at += n
-    rows = len(sizes)
-    return pa.Table.from_arrays(
-        [table["shard"], table["part"], table["kind"], table["size"], pa.array(answers, pa.binary()), pa.array([int(total.sum())] * rows, pa.int64()), pa.array([int((total > 0).sum())] * rows, pa.int64())],
-        names=["shard", "part", "kind", "size", "counts", "n_range", "v_range"],
-    )
-
-
-def traverse(seq, offsets, unigram, pair, state, n_total, v_total, mu=MU):
-    """log10 probabilities of each text, base and model, from the counts along its path.
-
-    unigram: c of each token; pair: c of the arc from the state before it;
-    state: training occurrences of the state it is read from.
+def _count_grams(table: pa.Table) -> pa.Table:
+    """An owner's answer to each shard: the training counts of its pairs and triples, in its order."""
+    common.plain_memory()
+    asked, grams, counts = [], ([], []), ([], [])
+    for size, blob, c in zip(table["size"].to_pylist(), table["blob"].to_pylist(), table["counts"].to_pylist(), strict=True):
+        n = size >> 32, size & 0xFFFFFFFF
+        cut = 8 + int.from_bytes(blob[:8], "little")
+        grams[0].append(unpack(blob[8:cut], n[0], 2))
+        grams[1].append(unpack(blob[cut:], n[1], 3))
+        one, at = _from_planes(c, n[0])
+        counts[0].append(one)
+        counts[1].append(_from_planes(c, n[1], at)[0])
+        asked.append(n)
+    totals = []
+    for kind in (0, 1):
+        key, room = None, 1
+        for column in range(kind + 2):
+            c = np.concatenate([g[column] for g in grams[kind]])
+            names, rank = np.unique(c, return_inverse=True)
+            # A pair of ranks is one number; it is ranked again before a third is put to it.
+            key = rank if key is None else np.unique(key * len(names) + rank, return_inverse=True)[1]
+        total = np.bincount(key, weights=np.concatenate(counts[kind])).astype(np.int64) if len(key) else np.zeros(0, np.int64)
+        totals.append(total[key])
+    answers, at = [], [0, 0]
+    for n in asked:
+        answers.append(b"".join(_planes(totals[k][at[k] : at[k] + n[k]]) for k in (0, 1)))
+        at = [at[0] + n[0], at[1] + n[1]]
+    return table.drop_columns(["blob", "counts"]).append_column("counts", pa.array(answers, pa.binary()))
+
+
+class Automaton:
+    """States, arcs and failure arcs of the part of the model that one shard's texts can reach.
+
+    State 0 is the root, 1 + word a history of one word (word 0: the start of a text),
+    then come the pairs.  Weights are log10 probabilities.
     """
-    p1 = (unigram + 0.1) / (n_total + 0.1 * (v_total + 1))
-    p = (pair + mu * p1) / (state + mu)
-    starts = offsets[:-1]
-    return np.add.reduceat(np.log10(p1), starts), np.add.reduceat(np.log10(p), starts)
-
-
-def _score(mu: float):
-    def run(key, texts: pa.Table, answers: pa.Table) -> pa.Table:
-        seq, offsets = _sequence(texts["text"])
-        got: dict[int, np.ndarray] = {}
-        totals = [0, 0]
-        starts_count = 0
-        for kind in (1, 2):
-            rows = sorted((p, i) for i, (k, p) in enumerate(zip(answers["kind"].to_pylist(), answers["part"].to_pylist(), strict=True)) if k == kind)
-            sizes, blobs = answers["size"], answers["counts"]
-            got[kind] = np.concatenate([_unpack_counts(blobs[i].as_py(), sizes[i].as_py()) for _, i in rows] or [np.zeros(0, np.int64)])
-            if kind == 1:
-                totals = [sum(answers[c][i].as_py() for _, i in rows) for c in ("n_range", "v_range")]
-        distinct = np.unique(seq)
-        where = np.searchsorted(distinct, seq)
-        unigram = got[1][where]
-        pairs = _pairs(seq, offsets)
-        pair = got[2][np.searchsorted(np.unique(pairs), pairs)]
-        # Every occurrence of a word is followed by one token, so c(u .) = c(u); START occurs once per training text, as END does.
-        state = np.empty_like(unigram)
-        state[1:] = unigram[:-1]
-        starts_count = got[1][np.searchsorted(distinct, END)]
-        state[offsets[:-1]] = starts_count
-        base, model = traverse(seq, offsets, unigram, pair, state, totals[0], totals[1], mu)
-        n = len(offsets) - 1
-        known = np.add.reduceat((unigram > 0).astype(np.int64), offsets[:-1])
+
+    def __init__(self, shard: Shard, pair_counts: np.ndarray, triple_counts: np.ndarray, n_total: int, v_total: int, mu=MU):
+        size, c1 = shard.size, shard.counts
+        p1 = (c1 + 0.1) / (n_total + 0.1 * (v_total + 1))
+        head, tail = shard.pairs // size, shard.pairs % size
+        p2 = (pair_counts + mu[0] * p1[tail]) / (c1[head] + mu[0])
+        pair = shard.triples // size
+        p3 = (triple_counts + mu[1] * p2[shard.triple_tail]) / (pair_counts[pair] + mu[1])
+        goes_on = np.ones(size, bool)
+        goes_on[shard.end_word] = False
+        word_state = np.where((c1 > 0) & goes_on, 1 + np.arange(size), 0)
+        # A pair that training has not seen is no state: its last word is.
+        pair_state = np.where((pair_counts > 0) & goes_on[tail], 1 + size + np.arange(len(tail)), word_state[tail])
+        self.size, self.start = size, 1
+        self.root_weight, self.root_target = np.log10(p1), word_state
+        self.fail = np.concatenate(([0], np.zeros(size, np.int64), word_state[tail]))
+        self.fail_weight = np.concatenate(([0.0], np.log10(mu[0] / (c1 + mu[0])), np.log10(mu[1] / (pair_counts + mu[1]))))
+        two, three = np.flatnonzero(pair_counts > 0), np.flatnonzero(triple_counts > 0)
+        key = np.concatenate(((1 + head[two]) * size + tail[two], (1 + size + pair[three]) * size + shard.triples[three] % size))
+        bits = max(4, int(len(key)).bit_length())
+        self._shift = _U(64 - bits)
+        slot = self._slot(key)
+        order = np.argsort(slot, kind="stable")
+        self._key = key[order]
+        self._weight = np.concatenate((np.log10(p2[two]), np.log10(p3[three])))[order]
+        self._target = np.concatenate((pair_state[two], pair_state[shard.triple_tail[three]]))[order]
+        self._first = np.concatenate(([0], np.cumsum(np.bincount(slot, minlength=1 << bits))))
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * _U(0x9E3779B97F4A7C15)) >> self._shift).astype(np.int64)
+
+    def arcs(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The arc of each state for a word, -1 without one."""
+        key = state * self.size + word
+        slot = self._slot(key)
+        at, end = self._first[slot], self._first[slot + 1]
+        out = np.full(len(key), -1, np.int64)
+        live = np.flatnonzero(at < end)
+        while len(live):
+            hit = self._key[at[live]] == key[live]
+            out[live[hit]] = at[live[hit]]
+            live = live[~hit]
+            at[live] += 1
+            live = live[at[live] < end[live]]
+        return out
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(next state, log10 weight) of each state for a word."""
+        weight, target = np.zeros(len(state)), np.zeros(len(state), np.int64)
+        state = state.copy()
+        live = np.arange(len(state))
+        while len(live):
+            rooted = state[live] == 0
+            at = live[rooted]
+            weight[at] += self.root_weight[word[at]]
+            target[at] = self.root_target[word[at]]
+            live = live[~rooted]
+            arc = self.arcs(state[live], word[live])
+            found = arc >= 0
+            at = live[found]
+            weight[at] += self._weight[arc[found]]
+            target[at] = self._target[arc[found]]
+            live = live[~found]
+            weight[live] += self.fail_weight[state[live]]
+            state[live] = self.fail[state[live]]
+        return target, weight
+
+    def read(self, words: np.ndarray, offsets: np.ndarray, segment: int = SEGMENT) -> np.ndarray:
+        """log10 probability of each text, words[offsets[i] : offsets[i + 1]]."""
+        sizes = np.diff(offsets)
+        per_text = -(-sizes // segment)
+        first = np.concatenate(([0], np.cumsum(per_text)))
+        text = np.repeat(np.arange(len(sizes)), per_text)
+        begin = offsets[text] + (np.arange(first[-1]) - first[text]) * segment
+        length = np.minimum(segment, offsets[text + 1] - begin)
+        state = np.full(len(begin), self.start)
+        later = np.flatnonzero(begin > offsets[text])
+        state[later] = 0
+        for back in (2, 1):
+            state[later] = self.step(state[later], words[begin[later] - back])[0]
+        order = np.argsort(-length, kind="stable")  # the longest first: those that go on are in front
+        state, begin, total = state[order], begin[order], np.zeros(len(order))
+        on = np.searchsorted(-length[order], -np.arange(segment), side="left")
+        for i in range(segment):
+            n = on[i]
+            if not n:
+                break
+            state[:n], weight = self.step(state[:n], words[begin[:n] + i])
+            total[:n] += weight
+        out = np.empty(len(order))
+        out[order] = total
+        return np.add.reduceat(out, first[:-1])
+
+
+def _score(mu):
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        common.plain_memory()
+        grams = _answered(answers)
+        shard = _numbered(texts, grams)
+        words = [r for r in grams if r["w_size"] is not None]
+        n_total, v_total = (sum(r[c] for r in words) for c in ("n_range", "v_range"))
+        counts = []
+        owners = [_owner(c, len(grams)) for c in shard.columns()]
+        at = [0] * len(grams)
+        for kind, owner in enumerate(owners):
+            order, got = np.argsort(owner, kind="stable"), np.empty(len(owner), np.int64)
+            parts = []
+            for part, r in enumerate(grams):
+                one, at[part] = _from_planes(r["counts"], r["size"] >> 32 if kind == 0 else r["size"] & 0xFFFFFFFF, at[part])
+                parts.append(one)
+            got[order] = np.concatenate(parts)
+            counts.append(got)
+        automaton = Automaton(shard, *counts, n_total, v_total, mu)
+        score = automaton.read(shard.words, shard.offsets)
+        starts = shard.offsets[:-1]
+        base = np.add.reduceat(automaton.root_weight[shard.words], starts)
+        known = np.add.reduceat((shard.counts[shard.words] > 0).astype(np.int64), starts)
+        n = len(starts)
         return pa.Table.from_arrays(
-            [texts["doc_id"], texts["held_out"], pa.array(np.diff(offsets)), pa.array(known), pa.array(np.full(n, totals[0], np.int64)), pa.array(base), pa.array(model)],
+            [texts["doc_id"], texts["held_out"], pa.array(np.diff(shard.offsets)), pa.array(known), pa.array(np.full(n, n_total, np.int64)), pa.array(base), pa.array(score)],
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
     return run
 
 
-def backoff_scores(docs: DataFrame, held_out, mu: float = MU, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def backoff_scores(docs: DataFrame, held_out, mu: tuple[float, float] = MU, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row.
 
     held_out: a boolean column; texts where it is true are scored but not learnt from.
     """
     shards = common.shards_for(common.text_bytes(docs), shard_bytes)
-    parts = {1: max(1, shards // 8), 2: shards}
+    word_parts = max(1, shards // WORDS_SHARE)
     texts = docs.select(
         F.col("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
         held_out.alias("held_out"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"),
+        # By place: no doc_id or text, however often it occurs, makes a shard larger than others.
+        F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int").alias("shard"),
     ).repartition(shards, "shard")
-    asked = texts.groupBy("shard").applyInArrow(_ask(parts), _BLOB)
-    answers = asked.groupBy("kind", "part").applyInArrow(_answer, "shard int, part int, kind int, size long, counts binary, n_range long, v_range long")
+    words = texts.groupBy("shard").applyInArrow(_ask_words(word_parts), _ASK).groupBy("part").applyInArrow(_number_words(word_parts), f"shard int, part int, {_KNOWN}")
+    asked = texts.groupBy("shard").cogroup(words.groupBy("shard")).applyInArrow(_ask_grams(shards), f"{_ASK}, {_KNOWN}")
+    answers = asked.groupBy("part").applyInArrow(_count_grams, f"shard int, part int, size long, {_KNOWN}, counts binary")
     doc_type = docs.schema["doc_id"].dataType.simpleString()
     return texts.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(
         _score(mu), f"doc_id {doc_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
