@@ -1,19 +1,25 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Passages are windows of whole texts, half overlapping, in several sizes.  Their
-TF-IDF vectors over the benchmark's words are projected to a latent space found
-by a randomised singular value decomposition of the benchmark's items and a
-bounded sample of passages; every passage of every document is then held against
-every item by cosine.  Beside it an exact search takes every run of a text that
-holds as many of an item's word pairs as a copy with the words that LCS_ALONE lets
-go changed or left out, for a short item of common words among rare ones has a low
-cosine, copies included.  Candidates are confirmed by the longest common
-subsequence of words between the item and the text around the passage, and,
-for looser matches, by the item's answer (its last sentence).
-
-Document frequencies are counted over all documents.  What is broadcast has the
-size of the benchmark: its vocabulary, idf and projection, and its items, which
-are counted first (MAX_ITEMS a pass; a larger benchmark takes several passes).
+TF-IDF vectors over the benchmark's words, hashed to a fixed number of features, are
+projected to a latent space found by a randomised singular value decomposition of
+the benchmark's items and all passages of all documents.  The decomposition is
+distributed: with A the passages' matrix and R a random one, each task adds up its
+own share of A'(A R), which has the size of features times rank; the sum's
+orthonormal basis, made on the driver, spans the latent space.  Every passage is
+then held against every item by cosine, in blocks: the items are the query set.
+
+Beside it an exact search takes every run of a text that holds as many of an item's
+word pairs as a copy with the words that LCS_ALONE lets go changed or left out, for
+a short item of common words among rare ones has a low cosine, copies included.
+Candidates are confirmed by the longest common subsequence of words between the
+item and the text around the passage, and, for looser matches, by the item's
+answer (its last sentence).
+
+Document frequencies are counted over all documents.  What the driver and the
+executors hold has a fixed size (a bitmap of the benchmark's words, idf, basis) but
+for the items, of which MAX_ITEMS are searched for in a pass; all passes share one
+latent space, so a result does not depend on how many there are.
 
 Defined cases: null or empty texts and items match nothing; items under MIN_WORDS
 words are matched word for word only; repeated rows give repeated results; an
@@ -29,17 +35,10 @@ from pyspark.sql import functions as F
 
 from strandline.llm import common, tokens
 
-#: Latent dimensions: as many as items, within these bounds.
-RANK = (128, 512)
-OVERSAMPLE = 16
-#: Energy of the sampled passages in the decomposition against the items'.
-SAMPLE_WEIGHT = 0.1
-POWER_STEPS = 2
-#: Documents whose passages join the items in the decomposition, at most: the first by a hash of doc_id.
-SAMPLE_DOCS = 200
-SAMPLE_PASSAGES = 1000
-#: Terms in more than this share of documents are summed as a matrix product, the others one by one.
-FREQUENT_SHARE = 0.05
+#: Features that words are hashed to, and latent dimensions.
+FEATURES, RANK = 1 << 14, 208
+#: Words of a passage in the decomposition, and the passages' energy in it against the items'.
+PASSAGE, PASSAGE_WEIGHT = 48, 0.1
 #: Words per block; windows are 2, 4 and 6 blocks.
 BLOCK = 12
 WINDOWS = (2, 4, 6)
@@ -48,9 +47,14 @@ COSINE = 0.25
 LCS_ALONE, LCS_WITH_ANSWER, ANSWER = 0.8, 0.55, 0.75
 MIN_WORDS = 8
 MAX_ITEMS = 20_000
-#: Pairs of a text's word pair and an item with it that are held at once, and rows of a matrix of counts.
-_POSTINGS, _ROWS = 1 << 21, 2048
-_TABLE_BITS = 20
+#: Bytes of texts that a task of the decomposition takes at once.
+_SKETCH_BYTES = 1 << 18
+#: Pairs of a text's word pair and an item with it that are held at once, and bits of the bitmap of the benchmark's words.
+_POSTINGS = 1 << 21
+_TABLE_BITS = 24
+#: Rows of the basis that travel together, and the step to which partial sums are rounded, so that their order changes nothing.
+_ROWS, _STEP = 256, 2.0**-16
+_U = np.uint64
 
 
 def item_words(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -63,16 +67,16 @@ def item_words(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Terms:
-    """Membership of hashes in a sorted vocabulary, by a bit table before the search."""
+    """A sorted vocabulary of hashes, with a bit table before the search."""
 
     def __init__(self, vocabulary: np.ndarray):
         self.vocabulary = vocabulary
-        self.table = np.zeros(1 << _TABLE_BITS, bool)
-        self.table[(vocabulary >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
+        self.table = np.zeros(1 << 20, bool)
+        self.table[(vocabulary >> _U(44)).astype(np.int64)] = True
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(positions in h, their terms)."""
-        at = np.flatnonzero(self.table[(h >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)])
+        at = np.flatnonzero(self.table[(h >> _U(44)).astype(np.int64)])
         if not len(at) or not len(self.vocabulary):
             return at[:0], at[:0]
         term = np.minimum(np.searchsorted(self.vocabulary, h[at]), len(self.vocabulary) - 1)
@@ -80,33 +84,132 @@ class Terms:
         return at[ok], term[ok]
 
 
-def _frequencies(terms: Terms):
+class Features:
+    """The features of words that some item has, by a bitmap of fixed size: as it fills, other words have theirs too."""
+
+    def __init__(self):
+        self.bits = np.zeros(1 << (_TABLE_BITS - 3), np.uint8)
+
+    def add(self, h: np.ndarray) -> None:
+        place = h >> _U(64 - _TABLE_BITS)
+        np.bitwise_or.at(self.bits, (place >> _U(3)).astype(np.int64), (_U(1) << (place & _U(7))).astype(np.uint8))
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(positions in h of words that have one, their features)."""
+        place = h >> _U(64 - _TABLE_BITS)
+        at = np.flatnonzero((self.bits[(place >> _U(3)).astype(np.int64)] >> (place & _U(7)).astype(np.uint8)) & 1)
+        return at, (h[at] & _U(FEATURES - 1)).astype(np.int64)
+
+
+def _frequencies(shared):
     def run(batches):
-        df, n = np.zeros(len(terms.vocabulary), np.int64), 0
+        common.plain_memory()
+        features, df, n = shared.value, np.zeros(FEATURES, np.int64), 0
         for batch in batches:
             for _, h, offsets in tokens.words(batch.column(0)):
-                at, term = terms.find(h)
+                at, feature = features.find(h)
                 text = np.searchsorted(offsets, at, side="right") - 1
-                df += np.bincount(np.unique(text * len(df) + term) % max(len(df), 1), minlength=len(df))
+                df += np.bincount(np.unique(text * FEATURES + feature) % FEATURES, minlength=FEATURES)
                 n += len(offsets) - 1
         used = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(df[used], n))], names=["term", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(df[used], n))], names=["feature", "n"])
 
     return run
 
 
-def document_frequencies(docs: DataFrame, terms: Terms) -> tuple[np.ndarray, int]:
-    """How many texts each vocabulary term is in, over all texts, and how many texts there are."""
-    rows = docs.select(F.col("text").cast("string")).mapInArrow(_frequencies(terms), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    df, n = np.zeros(len(terms.vocabulary), np.int64), 0
+def document_frequencies(docs: DataFrame, shared) -> tuple[np.ndarray, int]:
+    """How many texts each feature is in, over all texts, and how many texts there are."""
+    rows = docs.select(F.col("text").cast("string")).mapInArrow(_frequencies(shared), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
+    df, n = np.zeros(FEATURES, np.int64), 0
     for r in rows:
-        if r.term < 0:
+        if r.feature < 0:
             n = r.n
         else:
-            df[r.term] = r.n
+            df[r.feature] = r.n
     return df, n
 
 
+def weights(df: np.ndarray, n: int) -> np.ndarray:
+    """idf, above zero for every feature, for a passage that many documents share has only words that many documents have."""
+    return (np.log((n + 1) / (df + 1)) + 1).astype(np.float32)
+
+
+def _random(seed: int = 3) -> np.ndarray:
+    return np.random.default_rng(seed).normal(size=(FEATURES, RANK)).astype(np.float32)
+
+
+def sketched(passage: np.ndarray, feature: np.ndarray, n: int, idf: np.ndarray, other: float, foreign: np.ndarray, test: np.ndarray, out: np.ndarray) -> None:
+    """Adds A'(A test) to out, for n passages of unit length; passage, sorted, names the one of each feature.
+
+    foreign: words of each passage without a feature, which count in its length alone.
+    """
+    used, cut = np.unique(passage, return_index=True)
+    if not len(used):
+        return
+    weight = idf[feature]
+    y = np.add.reduceat(test[feature] * weight[:, None], cut, axis=0)
+    # Squared lengths: a feature that a passage repeats counts with its square.
+    key, inverse = np.unique(passage * FEATURES + feature, return_inverse=True)
+    count = np.bincount(inverse)
+    square = np.bincount(np.searchsorted(used, key // FEATURES), weights=(count * idf[key % FEATURES]) ** 2) + foreign[used] * other
+    y /= square[:, None].astype(np.float32)  # once for each of the two factors
+    row = np.repeat(np.arange(len(used)), np.diff(np.append(cut, len(passage))))
+    order = np.argsort(feature, kind="stable")
+    names, first = np.unique(feature[order], return_index=True)
+    out[names] += np.add.reduceat(y[row[order]], first, axis=0) * idf[names][:, None]
+
+
+def _sketch(shared, other: float):
+    """Each task's share of A'(A R) as rows (block, n passages, part of the matrix)."""
+
+    def run(batches):
+        common.plain_memory()
+        features, idf = shared.value
+        out, total, test = np.zeros((FEATURES, RANK), np.float32), 0, None
+        for batch in batches:
+            for _, h, offsets in tokens.words(batch.column(0), _SKETCH_BYTES):
+                test = _random() if test is None else test
+                at, feature = features.find(h)
+                text = np.searchsorted(offsets, at, side="right") - 1
+                per_text = -(-np.diff(offsets) // PASSAGE)
+                first = np.concatenate(([0], np.cumsum(per_text)))
+                passage = first[text] + (at - offsets[text]) // PASSAGE
+                owner = np.repeat(np.arange(len(per_text)), per_text)
+                begin = offsets[owner] + (np.arange(first[-1]) - first[owner]) * PASSAGE
+                foreign = np.minimum(PASSAGE, offsets[owner + 1] - begin) - np.bincount(passage, minlength=first[-1])
+                sketched(passage, feature, int(first[-1]), idf, other, foreign, test, out)
+                total += int(first[-1])
+        if total:
+            out = np.round(out / _STEP) * np.float32(_STEP)
+            for block in range(0, FEATURES, _ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([total]), pa.array([out[block : block + _ROWS].tobytes()], pa.binary())], names=["block", "n", "part"])
+
+    return run
+
+
+def _added(batches):
+    """Sums of the parts of each block: exact, for all are multiples of one step."""
+    sums: dict[int, list] = {}
+    for batch in batches:
+        for block, n, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            own = sums.setdefault(block, [0, np.zeros(_ROWS * RANK)])
+            own[0] += n
+            own[1] += np.frombuffer(part.as_buffer(), np.float32)
+    for block, (n, total) in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([n]), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["block", "n", "part"])
+
+
+def passages_sketch(docs: DataFrame, shared, other: float) -> tuple[np.ndarray, int]:
+    """A'(A R) over all passages of all documents, and their number."""
+    schema = "block long, n long, part binary"
+    parts = docs.select(F.col("text").cast("string")).mapInArrow(_sketch(shared, other), schema)
+    out, n = np.zeros((FEATURES, RANK), np.float32), 0
+    for r in parts.repartition(FEATURES // _ROWS, "block").mapInArrow(_added, schema).collect():
+        out[r.block : r.block + _ROWS] = np.frombuffer(r.part, np.float32).reshape(-1, RANK)
+        n = r.n
+    return out, n
+
+
 def blocks(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Cuts each text's words into blocks of BLOCK: (block of each text's first word, text of each block, first word of each block)."""
     counts = np.diff(offsets)
@@ -178,87 +281,65 @@ class Copies:
         yield from zip(text.tolist(), item.tolist(), pos.tolist(), stop.tolist(), strict=True)
 
 
+class Space:
+    """The latent space: features, idf and projection, all of fixed size."""
+
+    def __init__(self, features: Features, df: np.ndarray, n: int):
+        self.features, self.idf = features, weights(df, n)
+        self.foreign = float(np.log(n + 1) + 1) ** 2
+        self.projection = np.zeros((FEATURES, 1), np.float32)
+        self.other = np.float32(self.foreign)
+
+    def vector(self, h: np.ndarray) -> np.ndarray:
+        return self.projection[self.features.find(h)[1]].sum(axis=0)
+
+    def energy(self, h: np.ndarray) -> float:
+        _, feature = self.features.find(h)
+        return float(((np.bincount(feature, minlength=FEATURES) * self.idf) ** 2).sum())
+
+    def fit(self, passages: np.ndarray, n: int, items: np.ndarray, n_items: int) -> None:
+        """The span of the items' and the passages' A'(A R), the passages with PASSAGE_WEIGHT of the items' energy."""
+        passages *= np.float32(PASSAGE_WEIGHT * n_items / max(n, 1))
+        passages += items
+        # An orthonormal basis of the columns out of their inner products, which are RANK by RANK; directions without energy go.
+        inner = np.zeros((RANK, RANK))
+        for at in range(0, FEATURES, _ROWS):
+            part = passages[at : at + _ROWS].astype(np.float64)
+            inner += part.T @ part
+        values, vectors = np.linalg.eigh(inner)
+        kept = values > 1e-9 * values[-1]
+        turn = np.where(kept, 1 / np.sqrt(np.where(kept, values, 1)), 0) * vectors
+        for at in range(0, FEATURES, _ROWS):
+            passages[at : at + _ROWS] = passages[at : at + _ROWS] @ turn * self.idf[at : at + _ROWS, None]
+        self.projection = passages
+
+
 class Retriever:
-    """Vocabulary, idf, projection and items: what the executors need."""
+    """A space and the items of one pass: what the executors need."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray, np.ndarray]], df: np.ndarray, n: int, terms: Terms):
-        self.items, self.terms = items, terms
+    def __init__(self, space: Space, items: list[tuple[int, np.ndarray, np.ndarray]]):
+        self.space, self.items = space, items
         self.copies = Copies(items)
-        #: Above zero for every word, for a passage that many documents share has only words that many documents have.
-        self.idf = (np.log((n + 1) / (df + 1)) + 1).astype(np.float32)
-        self.frequent = np.flatnonzero(df > FREQUENT_SHARE * n)
-        self.slot = np.full(len(self.idf), -1, np.int64)
-        self.slot[self.frequent] = np.arange(len(self.frequent))
-        self.other = np.float32(np.log(n + 1) + 1) ** 2
-        self.projection = np.zeros((len(self.idf), 1), np.float32)
-        self.latent = np.zeros((len(items), 1), np.float32)
-
-    def rows(self, h: np.ndarray) -> np.ndarray:
-        v = np.zeros(len(self.idf), np.float32)
-        _, term = self.terms.find(h)
-        np.add.at(v, term, self.idf[term])
-        return v
-
-    def fit(self, sample: np.ndarray, seed: int = 3) -> None:
-        """Randomised SVD of the rows; sample is (passages, terms), TF-IDF, with the items in front."""
-        a = sample / np.maximum(np.linalg.norm(sample, axis=1, keepdims=True), 1e-9)
-        n = len(self.items)
-        if len(a) > n:
-            a[n:] *= np.sqrt(SAMPLE_WEIGHT * n / (len(a) - n))
-        rank = min(max(n, RANK[0]), RANK[1])
-        k = min(rank + OVERSAMPLE, *a.shape)
-        rng = np.random.default_rng(seed)
-        y = a @ rng.normal(size=(a.shape[1], k)).astype(np.float32)
-        for _ in range(POWER_STEPS):
-            q, _ = np.linalg.qr(y)
-            z, _ = np.linalg.qr(a.T @ q)
-            y = a @ z
-        q, _ = np.linalg.qr(y)
-        _, _, vt = np.linalg.svd(q.T @ a, full_matrices=False)
-        self.projection = np.ascontiguousarray(vt[:rank].T, np.float32) * self.idf[:, None]
-        raw = np.stack([self.project(h) for _, h, _ in self.items]) if self.items else np.zeros((0, self.projection.shape[1]), np.float32)
-        # A foreign word would keep as small a share of its energy in the latent space as the items keep of theirs.
-        kept = (raw * raw).sum(axis=1) / np.maximum((sample[:n] * sample[:n]).sum(axis=1), 1e-9)
-        self.other = self.other * np.float32(np.median(kept)) if n else self.other
+        raw = np.stack([space.vector(h) for _, h, _ in items])
         self.latent = raw / np.maximum(np.linalg.norm(raw, axis=1, keepdims=True), 1e-9)
 
-    def project(self, h: np.ndarray) -> np.ndarray:
-        _, term = self.terms.find(h)
-        return self.projection[term].sum(axis=0)
-
-    def sums(self, term: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
-        """Latent vectors of n rows; row, sorted, names the row of each term."""
-        out = np.zeros((n, self.projection.shape[1]), np.float32)
-        slot = self.slot[term]
-        rare = slot < 0
-        if rare.any():
-            used, cut = np.unique(row[rare], return_index=True)
-            out[used] = np.add.reduceat(self.projection[term[rare]], cut, axis=0)
-        row, slot, k = row[~rare], slot[~rare], len(self.frequent)
-        for at in range(0, n if len(row) else 0, _ROWS):
-            a, b = np.searchsorted(row, (at, at + _ROWS))
-            size = min(_ROWS, n - at)
-            counts = np.bincount((row[a:b] - at) * k + slot[a:b], minlength=size * k).reshape(size, k)
-            out[at : at + size] += counts.astype(np.float32) @ self.projection[self.frequent]
-        return out
-
     def cosine(self, h: np.ndarray, item: int) -> float:
         """Latent cosine of the words h and an item."""
-        vector = self.project(h)
-        others = len(h) - len(self.terms.find(h)[0])
-        return float(vector @ self.latent[item] / max(np.sqrt(vector @ vector + others * self.other), 1e-6))
+        vector = self.space.vector(h)
+        others = len(h) - len(self.space.features.find(h)[0])
+        return float(vector @ self.latent[item] / max(np.sqrt(vector @ vector + others * self.space.other), 1e-6))
 
     def windows(self, h: np.ndarray, offsets: np.ndarray):
         """For each window size: latent vectors of all windows with any term, their lengths with
         the words that no item has, their texts, and the words they begin and end at."""
-        at, term = self.terms.find(h)
+        at, term = self.space.features.find(h)
         first, text, start = blocks(h, offsets)
         if not len(at):
             return
         text_of = np.searchsorted(offsets, at, side="right") - 1
         block = first[text_of] + (at - offsets[text_of]) // BLOCK
         used, row = np.unique(block, return_inverse=True)
-        sums = self.sums(term, row, len(used))
+        sums = np.add.reduceat(self.space.projection[term], np.unique(row, return_index=True)[1], axis=0)
         # Words outside the vocabulary have no place in the latent space, but count as rare ones in a window's length.
         inside_block = np.bincount(block, minlength=first[-1])
         foreign = np.concatenate(([0], np.cumsum(np.minimum(BLOCK, offsets[text + 1] - start) - inside_block)))
@@ -282,13 +363,16 @@ class Retriever:
                 vector += sums[index[:, j]]
             end = np.minimum(start[begin] + size * BLOCK, offsets[text[begin] + 1])
             others = foreign[np.minimum(begin + size, last[begin] + 1)] - foreign[begin]
-            yield vector, np.sqrt((vector * vector).sum(axis=1) + others * self.other), text[begin], start[begin], end
+            yield vector, np.sqrt((vector * vector).sum(axis=1) + others * self.space.other), text[begin], start[begin], end
 
     def candidates(self, h: np.ndarray, offsets: np.ndarray):
         """(text, item, first word, end) of every window and item whose latent cosine reaches COSINE."""
         if not self.items:
             return
         for vector, norm, text, start, end in self.windows(h, offsets):
+            # No cosine is above the share of a window's length that lies in the latent space.
+            may = np.flatnonzero((vector * vector).sum(axis=1) >= (COSINE * norm) ** 2)
+            vector, norm, text, start, end = vector[may], norm[may], text[may], start[may], end[may]
             for at in range(0, len(vector), 8192):
                 part = slice(at, at + 8192)
                 cos = vector[part] @ self.latent.T
@@ -331,6 +415,7 @@ def may_leak(item: np.ndarray, text: np.ndarray) -> bool:
 
 def _search(shared, kind):
     def run(batches):
+        common.plain_memory()
         r = shared.value
         for batch in batches:
             out = []
@@ -369,40 +454,41 @@ def _search(shared, kind):
     return run
 
 
-def prepare(docs: DataFrame, benchmark: DataFrame) -> Retriever | None:
-    """The retriever for one benchmark: idf over all documents, the decomposition over items and a bounded sample."""
-    items, seen = [], set()
-    for row in benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct().orderBy("item_id", "text").collect():
-        h, answer = item_words(row.text)
-        if len(h) and (row.item_id, h.tobytes()) not in seen:
-            seen.add((row.item_id, h.tobytes()))
-            items.append((row.item_id, h, answer if len(answer) else h))
-    if not items:
+def _parts(benchmark: DataFrame):
+    """The benchmark's items, MAX_ITEMS or so at a time: (item_id, words, words of the answer)."""
+    rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
+    passes = max(1, -(-rows.count() // MAX_ITEMS))
+    for i in range(passes):
+        items, seen = [], set()
+        for row in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == i).orderBy("item_id", "text").collect():
+            h, answer = item_words(row.text)
+            if len(h) and (row.item_id, h.tobytes()) not in seen:
+                seen.add((row.item_id, h.tobytes()))
+                items.append((row.item_id, h, answer if len(answer) else h))
+        if items:
+            yield items
+
+
+def latent_space(docs: DataFrame, benchmark: DataFrame) -> Space | None:
+    """The space of one benchmark and all documents: a pass for document frequencies, one for the decomposition."""
+    context, features, n_items = docs.sparkSession.sparkContext, Features(), 0
+    for items in _parts(benchmark):
+        features.add(np.unique(np.concatenate([h for _, h, _ in items])))
+        n_items += len(items)
+    if not n_items:
         return None
-    terms = Terms(np.unique(np.concatenate([h for _, h, _ in items])))
-    df, n = document_frequencies(docs, terms)
-    r = Retriever(items, df, n, terms)
-    some = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // SAMPLE_DOCS))) == 0).limit(4 * SAMPLE_DOCS)
-    rows = [r.rows(h) for _, h, _ in items]
-
-    def passages(batches):
-        for batch in batches:
-            out = []
-            for _, h, offsets in tokens.words(batch.column(1)):
-                for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-                    for at in range(a, b, 4 * BLOCK):
-                        _, term = terms.find(h[at : min(b, at + 4 * BLOCK)])
-                        if len(term):
-                            out.append(term.tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int64()))], names=["terms"])
-
-    for p in some.mapInArrow(passages, "terms array<long>").limit(SAMPLE_PASSAGES).toLocalIterator():
-        v = np.zeros(len(terms.vocabulary), np.float32)
-        np.add.at(v, p.terms, r.idf[p.terms])
-        if v.any():
-            rows.append(v)
-    r.fit(np.stack(rows))
-    return r
+    space = Space(features, *document_frequencies(docs, context.broadcast(features)))
+    passages, n = passages_sketch(docs, context.broadcast((features, space.idf)), space.foreign)
+    own, test = np.zeros((FEATURES, RANK), np.float32), _random()
+    for items in _parts(benchmark):
+        h, sizes = np.concatenate([h for _, h, _ in items]), [len(h) for _, h, _ in items]
+        at, feature = features.find(h)
+        sketched(np.repeat(np.arange(len(items)), sizes)[at], feature, len(items), space.idf, 0.0, np.zeros(len(items)), test, own)
+    space.fit(passages, n, own, n_items)
+    # A foreign word would keep as small a share of its energy in the latent space as the items keep of theirs.
+    kept = np.concatenate([[float(v @ v) / max(space.energy(h), 1e-9) for _, h, _ in items for v in (space.vector(h),)] for items in _parts(benchmark)])
+    space.other = np.float32(space.foreign * np.median(kept))
+    return space
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -411,15 +497,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     common.settings(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, item_id long, first_word long, cosine double, lcs_share double, answer_share double"
-    out = spark.createDataFrame([], schema)
-    passes = max(1, -(-benchmark.count() // MAX_ITEMS))
-    for i in range(passes):
-        part = benchmark if passes == 1 else benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == i)
-        r = prepare(docs, part)
-        if r is not None:
-            found = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_search(spark.sparkContext.broadcast(r), kind), schema)
-            out = found if passes == 1 else out.union(found)
-    return out
+    space, out = latent_space(docs, benchmark), None
+    for items in _parts(benchmark) if space else ():
+        shared = spark.sparkContext.broadcast(Retriever(space, items))
+        found = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_search(shared, kind), schema)
+        out = found if out is None else out.union(found)
+    return spark.createDataFrame([], schema) if out is None else out
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
