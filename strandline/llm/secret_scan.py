@@ -11,8 +11,10 @@ aggregated by (value, repository, owner) before they meet, so a value that a
 third of all texts hold is a row per repository and owner; its spans' side of
 the join back is dealt by value and split by adaptive execution.
 
-`documents` offers one column, source, for repository and owner alike, so the two
-counts of the registered query always agree.
+A value in several repositories of one owner is that owner's alone, and so may be
+live; a value in one repository each of several owners is an example that went
+around.  In `documents` the owner is the source, and a source's documents of one
+language are a repository.
 
 Defined cases: a null or empty text has no spans; a null repository or owner
 counts as one of its own name; repeated rows each have their row in the result;
@@ -21,7 +23,7 @@ other columns of the table are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm import common, spans
@@ -54,11 +56,16 @@ def find_spans(text):
     return spans.sorted_by(F.concat(assign, access, hexes, *added), "start", "kind")
 
 
-def scan(docs: DataFrame, repository: str = "source", owner: str = "source") -> DataFrame:
-    """doc_id, counts and digest of the base spans, all spans, and how many spans hold copied and live-looking values."""
+def scan(docs: DataFrame, repository: str | Column = "source", owner: str | Column = "source") -> DataFrame:
+    """doc_id, counts and digest of the base spans, all spans, and how many spans hold copied and live-looking values.
+
+    repository, owner: columns of docs, by name or as expressions; repositories of
+    the same name count apart if their owners differ.
+    """
+    repository, owner = (F.coalesce((common.column(c) if isinstance(c, str) else c).cast("string"), F.lit("")) for c in (repository, owner))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     found = docs.select(
-        F.col("doc_id"), F.coalesce(F.col(repository).cast("string"), F.lit("")).alias("repository"), F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"), find_spans(text).alias("found")
+        F.col("doc_id"), repository.alias("repository"), owner.alias("owner"), find_spans(text).alias("found")
     )
     slim = F.transform(
         "found",
@@ -70,9 +77,9 @@ def scan(docs: DataFrame, repository: str = "source", owner: str = "source") ->
     found = common.written(found.select(F.monotonically_increasing_id().alias("row"), "doc_id", "repository", "owner", slim.alias("found")), "secrets")
     held = found.where(F.size("found") > 0).select("row", "repository", "owner", F.explode("found").alias("s")).select("row", "repository", "owner", "s.value", "s.random")
     per_place = held.groupBy("value", "repository", "owner").agg(F.count(F.lit(1)).alias("n"))
-    owners = per_place.groupBy("value", "owner").agg(F.sum("n").alias("n")).groupBy("value").agg(F.count(F.lit(1)).alias("owners"))
-    repositories = per_place.groupBy("value", "repository").agg(F.sum("n").alias("n")).groupBy("value").agg(F.count(F.lit(1)).alias("repositories"), F.sum("n").alias("occurrences"))
-    ownership = common.written(owners.join(repositories, "value"), "ownership")
+    per_owner = per_place.groupBy("value", "owner").agg(F.count(F.lit(1)).alias("repositories"), F.sum("n").alias("n"))
+    counts = per_owner.groupBy("value").agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"), F.sum("n").alias("occurrences"))
+    ownership = common.written(counts, "ownership")
     per_row = held.join(ownership, "value").groupBy("row").agg(
         F.count_if(F.col("owners") >= COPIED_OWNERS).alias("n_copied"),
         F.count_if((F.col("owners") < COPIED_OWNERS) & F.col("random")).alias("n_live"),
@@ -87,4 +94,5 @@ def scan(docs: DataFrame, repository: str = "source", owner: str = "source") ->
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
-    return scan(common.table(spark, sf_dir, "documents"))
+    docs = common.table(spark, sf_dir, "documents")
+    return scan(docs, repository=F.concat_ws("/", "source", "lang"), owner="source")
