@@ -95,22 +95,27 @@ def stream_states(spark: SparkSession, source: str, kind: str, files_per_batch:
     have arrived since are then all that is read.  rows: how many to expect, for the
     number of state partitions.
     """
-    folder = state or common.new_folder(spark, "dedup-state")
-    reader = spark.readStream.schema(f"doc_id {kind}, digest binary, locator {LOCATOR}")
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    stays = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "locator")).alias("stays")
-    keyed = reader.parquet(source).groupBy("digest").agg(stays, F.count(F.lit(1)).alias("group_size"))
-
-    def log(batch: DataFrame, batch_id: int) -> None:
-        # A folder a batch, overwritten if the batch is run again after a failure.
-        batch.select("digest", F.col("stays.doc_id").alias("keep_id"), "stays.locator", "group_size").write.mode("overwrite").parquet(f"{folder}/log/batch={batch_id}")
-
-    # As many state partitions as the rows need, and no fewer than there are cores; a kept state keeps its own number.
-    partitions = max(spark.sparkContext.defaultParallelism, -(-rows // STATE_ROWS))
-    with _settings(spark, partitions):
-        keyed.writeStream.outputMode("update").foreachBatch(log).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    states = spark.read.schema(f"digest binary, keep_id {kind}, locator {LOCATOR}, group_size long, batch int").parquet(f"{folder}/log")
+    with common.Scratch(spark) as scratch:
+        folder = state or scratch.folder("dedup-state")
+        log_folder, batches = f"{state}/log" if state else common.new_folder(spark, "dedup-log"), []
+        reader = spark.readStream.schema(f"doc_id {kind}, digest binary, locator {LOCATOR}")
+        if files_per_batch:
+            reader = reader.option("maxFilesPerTrigger", files_per_batch)
+        stays = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "locator")).alias("stays")
+        keyed = reader.parquet(source).groupBy("digest").agg(stays, F.count(F.lit(1)).alias("group_size"))
+
+        def log(batch: DataFrame, batch_id: int) -> None:
+            # A folder a batch, overwritten if the batch is run again after a failure.
+            batch.select("digest", F.col("stays.doc_id").alias("keep_id"), "stays.locator", "group_size").write.mode("overwrite").parquet(f"{log_folder}/batch={batch_id}")
+            batches.append(batch_id)
+
+        # As many state partitions as the rows need, and no fewer than there are cores; a kept state keeps its own number.
+        partitions = max(spark.sparkContext.defaultParallelism, -(-rows // STATE_ROWS))
+        with _settings(spark, partitions):
+            keyed.writeStream.outputMode("update").foreachBatch(log).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    states = spark.read.schema(f"digest binary, keep_id {kind}, locator {LOCATOR}, group_size long, batch int").parquet(log_folder)
+    if state is None and set(batches) == {0}:
+        return states.drop("batch")  # one batch has each digest once
     return states.groupBy("digest").agg(F.max_by(F.struct("keep_id", "locator", "group_size"), "batch").alias("s")).select("digest", "s.*")
 
 
@@ -124,32 +129,28 @@ def _groups(docs: DataFrame, files_per_batch: int | None = None, digest=_digest)
     named = packed.select(F.col("row.doc_id").alias("doc_id"), digest(F.col("row.text")).alias("digest"), F.col("key").alias("locator"))
     named.observe(seen, F.count(F.lit(1)).alias("n")).write.option("compression", "zstd").parquet(source)
     rows = spark.read.schema(named.schema).parquet(source)
+    states = stream_states(spark, source, kind, files_per_batch, rows=seen.get.get("n", 0))
+    out = common.written(rows.join(states.withColumnRenamed("locator", "keep_locator"), "digest", "left"), "dedup-groups")
+    common.tidy(spark)
+    # Full bytes of all rows whose digest was hit: they are one text if the least and the greatest of them are.
+    members = out.where("group_size > 1").select("locator")
+    texts = packed.select(F.struct(F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text")).alias("row"), "key")
+    content = common.may_hit(texts, members, "locator").select(F.col("row.doc_id").alias("doc_id"), F.col("key").alias("locator"), digest(F.col("row.text")).alias("digest"), normalised(F.col("row.text")).alias("bytes"))
     with common.Scratch(spark) as scratch:
-        states = common.written(stream_states(spark, source, kind, files_per_batch, scratch.folder("dedup-state"), seen.get.get("n", 0)), "dedup-groups")
-        common.tidy(spark)
-        # Full bytes of the rows whose digest was hit, against those of the row that stays.
-        hits = states.where("group_size > 1").select(F.col("digest").alias("hit"), F.col("locator").alias("hit_locator"))
-        members = rows.join(hits, F.col("digest") == F.col("hit"), "left_semi").select("locator")
-        texts = packed.select(F.struct(F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text")).alias("row"), "key")
-        content = common.may_hit(texts, members, "locator").select(F.col("row.doc_id").alias("doc_id"), F.col("key").alias("locator"), digest(F.col("row.text")).alias("digest"), normalised(F.col("row.text")).alias("bytes"))
-        # Written before it is joined, so that adaptive execution may split the copies of one text.
-        content = scratch.written(content, "dedup-content")
-        first = content.join(hits, (F.col("digest") == F.col("hit")) & (F.col("locator") == F.col("hit_locator"))).select("hit", F.col("bytes").alias("keep_bytes"))
-        differ = content.join(scratch.written(first, "dedup-first"), F.col("digest") == F.col("hit")).where("bytes <> keep_bytes").select("doc_id", "locator", "digest", "bytes")
-        clash, clashes = scratch.measured(differ, "dedup-clashes", F.count(F.lit(1)).alias("n"))
+        several = content.groupBy("digest").agg(F.min("bytes").alias("least"), F.max("bytes").alias("greatest")).where("least <> greatest").select(F.col("digest").alias("several"))
+        several, clashes = scratch.measured(several, "dedup-clashes", F.count(F.lit(1)).alias("n"))
         common.tidy(spark)
-        out = rows.join(states.withColumnRenamed("locator", "keep_locator"), "digest", "left")
         if clashes.get("n"):
             # Texts that differ under one digest: none is known for this hash, but they stay apart if one comes up.
+            clash = scratch.written(content.join(several, F.col("digest") == F.col("several")).drop("several"), "dedup-clash")
             stays = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "locator")).alias("stays")
             apart = scratch.written(clash.groupBy(F.col("digest").alias("d"), F.col("bytes").alias("b")).agg(stays, F.count(F.lit(1)).alias("own_size")), "dedup-apart")
-            lost = apart.groupBy(F.col("d").alias("l")).agg(F.sum("own_size").alias("lost"))
             own = clash.join(apart, (F.col("digest") == F.col("d")) & (F.col("bytes") == F.col("b"))).select(F.col("locator").alias("own"), "stays", "own_size")
+            mine = F.col("own").isNotNull()
             out = common.written(
-                out.join(lost, F.col("digest") == F.col("l"), "left").join(own, F.col("locator") == F.col("own"), "left").select(
-                    "doc_id", "digest", "locator", F.when(F.col("own").isNotNull(), F.col("stays.doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
-                    F.when(F.col("own").isNotNull(), F.col("stays.locator")).otherwise(F.col("keep_locator")).alias("keep_locator"),
-                    F.when(F.col("own").isNotNull(), F.col("own_size")).otherwise(F.col("group_size") - F.coalesce("lost", F.lit(0))).alias("group_size"),
+                out.join(own, F.col("locator") == F.col("own"), "left").select(
+                    "doc_id", "digest", "locator", F.when(mine, F.col("stays.doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+                    F.when(mine, F.col("stays.locator")).otherwise(F.col("keep_locator")).alias("keep_locator"), F.when(mine, F.col("own_size")).otherwise(F.col("group_size")).alias("group_size"),
                 ), "dedup-groups",
             )
     return packed, out

@@ -19,7 +19,7 @@ import corpus_pipeline
 from strandline.llm import bpe, common, decontaminate, exact_dedup, extract, lm, near_dedup, pii, queries, secret_scan, sharding, tokens, toxicity
 
 SF = "/root/testdata/sf0.001"
-CLASH = "digest, row, key, rep, root, slot, shard, score, found, held_out, id, _key, _sha, bytes, host"
+CLASH = "digest, row, key, rep, root, slot, shard, score, found, held_out, id, _key, _sha, _bits, _row, _spot, _bucket, _at, _slot, _shard, _dropped_key, _leaky, _gone, spot, bucket, bits, gone, at, file, locator, bytes, host"
 
 
 def lower(text):
@@ -47,6 +47,13 @@ def none(odd):
     return odd.where("false")
 
 
+def same_rows(kept, docs):
+    """Every row that an operator keeps is a row of docs, in each column's value."""
+    assert kept.columns == docs.columns
+    have = Counter(map(tuple, docs.collect()))
+    assert not Counter(map(tuple, kept.collect())) - have
+
+
 def rows_of(df):
     return [(r.doc_id, r.text or "") for r in df.collect()]
 
@@ -64,32 +71,116 @@ def test_word_hashes():
     assert tokens.hash_word("the") in by["the"]
 
 
-def test_lm_matches_brute_force(odd):
+def swapped(n):
+    """A word whose n-th letter is the parity of n's bits, and the same with its letters swapped: sums of powers don't tell them apart."""
+    word = "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_swapped_words_are_different(spark, tokenizer):
+    for n in (8, 16, 64, 512, 1024, 2048, 4096):
+        assert len({tokens.hash_word(w) for w in swapped(n)}) == 2
+    docs = [(i, w) for i, w in enumerate(swapped(1024), 1)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r for r in lm.backoff_scores(df, F.col("doc_id") == 2).collect()}
+    assert (got[1].n_known, got[2].n_known) == (2, 1) and got[1].base_score > got[2].base_score
+    assert all(r.kept for r in near_dedup.near_duplicates(df, k=4).collect())
+    for units in (1, 1000):
+        for r in bpe.encode(df, bpe.default_tokenizer(), units).collect():
+            assert r.decoded == dict(docs)[r.doc_id] and r.ids == tokenizer.encode(r.decoded, add_special_tokens=False).ids
+
+
+def test_distinct_spans_by_bytes(monkeypatch):
+    rng = random.Random(1)
+    text = " ".join("".join(rng.choice("abAB") for _ in range(rng.choice([1, 2, 7, 8, 9, 16, 17, 63, 64, 65, 100]))) for _ in range(2000)).encode()
+    raw = np.frombuffer(text, np.uint8)
+    starts, ends = tokens.word_spans(raw)
+    want = [text[a:b].lower() for a, b in zip(starts, ends, strict=True)]
+    for _ in range(2):
+        first, which = tokens.distinct(raw, starts, ends)
+        assert len(first) == len(set(want)) and all(want[first[j]] == w for j, w in zip(which, want, strict=True))
+        monkeypatch.setattr(tokens.Hasher, "__call__", lambda self, a, b: np.zeros(len(a), np.uint64))
+
+
+class BruteModel:
+    """The three-word model in dictionaries, straight from its definition."""
+
+    def __init__(self, seqs, mu=lm.MU):
+        self.one, self.two, self.three, self.mu = Counter(), Counter(), Counter(), mu
+        for s in seqs:
+            h = ["<s>", *s]
+            self.one.update(s)
+            self.two.update(zip(h, s, strict=False))
+            self.three.update(zip(h, s, s[1:], strict=False))
+        self.n, self.v = sum(self.one.values()), len(self.one)
+        self.one["<s>"] = len(seqs)
+
+    def p1(self, w):
+        return (self.one[w] + 0.1) / (self.n + 0.1 * (self.v + 1))
+
+    def p2(self, v, w):
+        return (self.two[v, w] + self.mu[0] * self.p1(w)) / (self.one[v] + self.mu[0])
+
+    def p3(self, u, v, w):
+        return (self.three[u, v, w] + self.mu[1] * self.p2(v, w)) / (self.two[u, v] + self.mu[1])
+
+    def score(self, s):
+        h = ["<s>", *s]
+        return math.log10(self.p2("<s>", s[0])) + sum(math.log10(self.p3(u, v, w)) for u, v, w in zip(h, s, s[1:], strict=False))
+
+
+def test_lm_matches_brute_force(odd, none, monkeypatch):
     held = F.coalesce(F.col("doc_id") % 4 == 0, F.lit(False))
-    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in lm.backoff_scores(odd, held, shard_bytes=4000).collect())
     seqs = [(i, i is not None and i % 4 == 0, [*words(t), "</s>"]) for i, t in rows_of(odd)]
-    one, two, starts = Counter(), Counter(), 0
-    for _, out, s in seqs:
-        if not out:
-            one.update(s)
-            two.update(zip(["<s>", *s], s, strict=False))
-            starts += 1
-    n, v = sum(one.values()), len(one)
-    want = []
-    for i, _, s in seqs:
-        p1 = [(one[w] + 0.1) / (n + 0.1 * (v + 1)) for w in s]
-        p2 = [(two[u, w] + lm.MU * p) / ((starts if u == "<s>" else one[u]) + lm.MU) for u, w, p in zip(["<s>", *s], s, p1, strict=False)]
-        want.append((i is None, i or 0, len(s), sum(one[w] > 0 for w in s), n, round(sum(map(math.log10, p1)), 6), round(sum(map(math.log10, p2)), 6)))
-    assert got == sorted(want)
-
-
-def test_lm_is_a_distribution():
-    """Over the known words and one unknown, the probabilities of any state sum to one."""
-    one = np.array([5, 3, 2, 0])
-    pair = np.array([2, 1, 0, 0])
-    ends = np.arange(5)
-    _, model = lm.traverse(None, ends, one, pair, np.full(4, 3), 10, 3, mu=2.0)
-    assert abs(sum(10**model) - 1) < 1e-9
+    model = BruteModel([s for _, out, s in seqs if not out])
+    want = sorted((i is None, i or 0, len(s), sum(model.one[w] > 0 for w in s), model.n, round(sum(math.log10(model.p1(w)) for w in s), 6), round(model.score(s), 6)) for i, _, s in seqs)
+    for size, segment in ((4000, 64), (1 << 20, 3)):
+        monkeypatch.setattr(lm.Automaton.read, "__defaults__", (segment,))
+        got = sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in lm.backoff_scores(odd, held, shard_bytes=size).collect())
+        assert got == want
+    assert lm.backoff_scores(none, held).count() == 0
+
+
+def automaton_of(texts, trained):
+    """The whole automaton of a few texts, as one shard makes it."""
+    shard = lm.Shard(pa.chunked_array([texts]), pa.chunked_array([[not x for x in trained]]))
+    counts = np.bincount(shard.words[shard.trained], minlength=len(shard.hashes))
+    shard.number(np.arange(1, len(counts) + 1), counts)
+    grams = (np.bincount(shard.pair_of[shard.trained], minlength=len(shard.pairs)), np.bincount(shard.triple_of[shard.trained[shard.inner]], minlength=len(shard.triples)))
+    return shard, lm.Automaton(shard, *grams, int(counts.sum()), int((counts > 0).sum()))
+
+
+def test_automaton_is_a_distribution():
+    """From any state, the probabilities of all known words, the end and one unknown word sum to one; failure arcs end in the root."""
+    shard, automaton = automaton_of(["a b c a b", "b a c", "c a b b", "zz"], [True, True, True, False])
+    every = np.arange(1, shard.size)
+    states = [0, automaton.start, *sorted({int(s) for s in automaton._target} - {0})]
+    assert len(states) > 8
+    for state in states:
+        _, weight = automaton.step(np.full(len(every), state), every)
+        assert abs(sum(10**weight) - 1) < 1e-9
+        for _ in range(3):
+            state = int(automaton.fail[state])
+        assert state == 0
+
+
+def test_packed_ngrams_come_back():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 500):
+        for k in (1, 2, 3):
+            rows = np.unique(rng.integers(0, 12 if k > 1 else 10**12, (n, k)), axis=0)
+            back = lm.unpack(lm.pack(list(rows.T)), len(rows), k)
+            assert all(np.array_equal(a, b) for a, b in zip(rows.T, back, strict=True))
+
+
+def test_repeated_texts_score_apart(spark):
+    """A held-out text that training has too is far likelier than a new one of the same words."""
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(300)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(80)) for _ in range(200)]
+    rows = [*enumerate(texts), *((1000 + i, texts[i]) for i in range(20)), *((2000 + i, " ".join(rng.choice(vocabulary) for _ in range(80))) for i in range(20))]
+    got = {r.doc_id: (r.score - r.base_score) / r.n_tokens for r in lm.backoff_scores(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") >= 1000, shard_bytes=9000).collect()}
+    assert min(got[1000 + i] for i in range(20)) > 0.5 + max(got[2000 + i] for i in range(20))
 
 
 def test_exact_groups(odd, none):
@@ -105,30 +196,40 @@ def test_exact_groups(odd, none):
         assert all(r.kept == (r.doc_id == r.keep_id) for r in got)
     assert exact_dedup.exact_groups(none).count() == 0
     kept = exact_dedup.drop_exact_duplicates(odd)
-    assert kept.columns == odd.columns
+    same_rows(kept, odd)
     assert Counter(norm(r.text or "") for r in kept.collect()) == Counter(set(groups))
 
 
-def test_texts_under_one_digest_stay_apart(spark, monkeypatch):
-    monkeypatch.setattr(exact_dedup, "_sha", lambda column="text": F.unhex(F.sha2(F.lit("same"), 256)))
+def test_texts_under_one_digest_stay_apart(spark):
+    same = lambda text: F.unhex(F.sha2(F.lit("same"), 256))
     df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, "b"), (5, "c")], "doc_id long, text string")
-    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(df).collect()}
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(df, digest=same).collect()}
     assert got == {1: (1, 2, True), 2: (2, 2, True), 3: (1, 2, False), 4: (2, 2, False), 5: (5, 1, True)}
 
 
 def test_stream_state_is_kept_between_runs(spark):
     state, source = common.new_folder(spark, "s"), common.new_folder(spark, "d")
-    schema = "digest binary, doc_id long, locator string"
+    schema = f"digest binary, doc_id long, locator {exact_dedup.LOCATOR}"
 
     def arrive(ids):
-        spark.createDataFrame([(bytearray(b"k%d" % (i % 3)), i, f"f{i}") for i in ids], schema).write.mode("append").parquet(source)
-        kind = spark.read.parquet(source).schema
-        return {bytes(r.digest): (r.keep_id, r.locator, r.group_size) for r in exact_dedup.stream_states(spark, source, kind, state=state).collect()}
+        spark.createDataFrame([(bytearray(b"k%d" % (i % 3)), i, (f"f{i}", i)) for i in ids], schema).write.mode("append").parquet(source)
+        return {bytes(r.digest): (r.keep_id, r.locator.file, r.group_size) for r in exact_dedup.stream_states(spark, source, "long", state=state).collect()}
 
     assert arrive([4, 5])[b"k1"] == (4, "f4", 1)
     assert arrive([1, 7, 9]) == {b"k0": (9, "f9", 1), b"k1": (1, "f1", 3), b"k2": (5, "f5", 1)}
 
 
+def test_located_rows(spark, tmp_path):
+    """A plain scan is named by its files; anything else by a copy."""
+    docs = common.table(spark, SF, "documents")
+    assert exact_dedup._is_scan(docs) and exact_dedup._is_scan(docs.where("doc_id > 3").select("text", "doc_id"))
+    for other in (docs.union(docs), docs.withColumn("_metadata", F.lit(1)), docs.where(F.rand() > 0.5), docs.withColumn("x", F.explode(F.array(F.lit(1), F.lit(2))))):
+        assert not exact_dedup._is_scan(other)
+    twice = exact_dedup.exact_groups(docs.union(docs).repartition(3)).collect()
+    assert len(twice) == 2 * docs.count() and all(r.group_size % 2 == 0 and r.keep_locator.file.startswith("file:") for r in twice)
+    assert exact_dedup.drop_exact_duplicates(docs.union(docs)).count() == exact_dedup.drop_exact_duplicates(docs).count()
+
+
 def shingles(text, k):
     w = words(text)
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
@@ -179,9 +280,34 @@ def test_near_duplicate_chains_and_crowds(spark):
     assert got == brute_components(rows, 4, 80)
 
 
+def test_pairs_of_a_crowd_grow_with_it(spark, monkeypatch):
+    """Edited copies of one text, many too far from all others to link: pairs that meet in the join follow their number, not its square."""
+    met = {}
+    plain = near_dedup.prefix_pairs
+
+    def counted(posts, percent):
+        out = plain(posts, percent)
+        met[size] = out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup, "prefix_pairs", counted)
+    for size in (150, 600):
+        rng = random.Random(9)
+        base = [f"w{rng.randint(0, 10**6)}" for _ in range(150)]
+        rows = []
+        for i in range(size):
+            w = list(base)
+            for _ in range(rng.randint(0, 14)):
+                w[rng.randrange(150)] = f"e{rng.randint(0, 500)}"
+            rows.append((i, " ".join(w)))
+        got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4).collect()}
+        assert got == brute_components(rows, 4, 80)
+    assert met[600] < 8 * max(met[150], 150)
+
+
 def test_drop_near_duplicates_keeps_columns(odd):
     kept = near_dedup.drop_near_duplicates(odd, k=4)
-    assert kept.columns == odd.columns
+    same_rows(kept, odd)
     want = brute_components([(i, t) for i, t in rows_of(odd) if i is not None], 4, 80)
     assert {r.doc_id for r in kept.collect()} == {i for i, c in want.items() if i == c} | {None}
 
@@ -370,7 +496,8 @@ def test_toxicity_learns_and_ignores_other_columns(spark, odd, none):
     assert {r.doc_id: r.score for r in other} == {i: r.score for i, r in got.items()}
     assert toxicity.score(odd, model, "doc_id").count() == odd.count()
     kept = toxicity.drop_toxic(odd, model)
-    assert kept.columns == odd.columns and kept.count() > 0 and toxicity.drop_toxic(none, model).count() == 0
+    same_rows(kept, odd)
+    assert kept.count() > 0 and toxicity.drop_toxic(none, model).count() == 0
     assert {r.score for r in toxicity.score(docs, toxicity.train(docs, labels.where("false"), F.lit(True)), "doc_id").collect()} == {0.0}
 
 
@@ -444,6 +571,10 @@ def test_ownership_parts_examples_from_live_secrets(spark):
     assert (got[0].n_copied, got[0].n_live, got[0].most_owners) == (1, 0, 5)
     assert (got[9].n_copied, got[9].n_live, got[9].most_owners) == (0, 1, 1)
     assert got[10].most_owners == 0
+    rows = [(i, "token = Zk3v9QpLm2Xc8RtYw1", f"r{i}", "one") for i in range(4)] + [(i, "token = Qk3v9QpLm2Xc8RtYw7", "same", f"o{i}") for i in range(4, 8)]
+    got = {r.doc_id: r for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, repo string, org string"), "repo", "org").collect()}
+    assert all((got[i].n_live, got[i].n_copied, got[i].most_repositories, got[i].most_owners) == (1, 0, 4, 1) for i in range(4))
+    assert all((got[i].n_live, got[i].n_copied, got[i].most_repositories, got[i].most_owners) == (0, 1, 4, 4) for i in range(4, 8))
 
 
 def test_native_plans_have_no_python(noisy):
@@ -464,6 +595,7 @@ def test_sharding(spark, odd, none):
     for r in got.select("doc_id", "slot", "shard").collect():
         want = int(hashlib.md5((str(r.doc_id) if r.doc_id is not None else "").encode()).hexdigest()[:15], 16) % 1009
         assert (r.slot, r.shard) == (want, table[want])
+    same_rows(got.drop("slot", "shard"), odd.drop("slot", "shard"))
     assert got.count() == odd.count() and sharding.place(none, "doc_id", names).count() == 0
     with pytest.raises(ValueError):
         sharding.fill([])
@@ -504,6 +636,44 @@ def test_names_of_elements():
     assert extract.blocks("<div class='siteHeader'>no</div><div id=cookieNotice>no</div><div>yes<script>if (a < b) no</script></div>")[0] == ["yes"]
 
 
+def test_article_text_is_not_lost_by_names():
+    """Ids made from headings, and names that only hold a word of a menu's, are no reason to drop what an article has."""
+    page = "<article><h1>T</h1><h2 id='related-work'>Related work</h2><h2 id='search'>Search</h2><div id='login'>How to log in</div><p class='notice-of-sale'>Sold</p><div class='post-share'>no</div><section id='comments'>no</section></article>"
+    kept, _, marked, suspect = extract.blocks(page)
+    assert marked and kept == ["T", "Related work", "Search", "How to log in", "Sold"] and suspect == [False, False, False, True, True]
+    page = "<body><div class=content><h1>Real</h1><p>Body</p></div><ul><li><article>teaser</article></li></ul>"
+    assert extract.blocks(page)[0] == ["Real", "Body"] and extract.blocks("<ul><li><article>only</article></ul>")[0] == ["only"]
+
+
+def test_suspect_blocks_go_if_the_host_repeats_them(spark):
+    rows = [(k, f"http://a.com/{k}", f"<article><h1>Head {k}</h1><p class='notice-of-sale'>Buy it now</p><div id='login'>Log in to read all that we have on page {'x' * (k + 1)}</div><p>Body {k}</p></article>") for k in range(4)]
+    rows += [(10, "http://b.com/", "<article><p class='notice-of-sale'>Buy it now</p><p>end</p></article>"), (11, "http://c.com/1", "<article><p class='notice-of-sale'>Copy</p></article>"), (12, "http://c.com/2", "<article><p class='notice-of-sale'>Copy</p></article>")]
+    got = {r.page_id: r.text for r in extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"Head {k} Log in to read all that we have on page {'x' * (k + 1)} Body {k}" for k in range(4))
+    assert got[10] == "Buy it now end" and got[11] == got[12] == "Copy"  # one article twice is no repetition
+
+
+def test_repeated_runs_match_brute_force(spark):
+    """Streams of few words, several hosts, repeated pages: each place at which RUN words are those of another page."""
+    rng = random.Random(7)
+    rows = [(i, hash_ % 3, " ".join(rng.choice("abc") for _ in range(rng.randint(0, 25)))) for i, hash_ in enumerate(rng.choices(range(9), k=80))]
+    rows += [rows[3], rows[4]]
+    parsed = spark.createDataFrame([(n, f"h{h}", i, t) for n, (i, h, t) in enumerate(rows)], "row long, host string, page long, stream string").repartition(3)
+    got = {r.row: sorted(r.covered) for r in extract.repeated_runs(parsed, parsed).collect()}
+    where = defaultdict(set)
+    for i, h, t in rows:
+        w = t.split()
+        for a in range(len(w) - extract.RUN + 1):
+            where[h, tuple(w[a : a + extract.RUN])].add(i)
+    want = {}
+    for n, (_, h, t) in enumerate(rows):
+        w = t.split()
+        at = [a for a in range(len(w) - extract.RUN + 1) if len(where[h, tuple(w[a : a + extract.RUN])]) > 1]
+        if at:
+            want[n] = at
+    assert got == want and extract.longer([9, 3, 4, 20]) == [(3, 15), (20, 26)]
+
+
 def test_broken_markup_takes_no_long():
     began = time.time()
     for page in ("<a " + "'" * 5000, "<a " * 30_000, "<p title=\"x" * 20_000, "<" * 50_000, "<div>" * 20_000 + "x", "<b>" * 20_000 + "</p>" * 2000, "<!-- " * 20_000, "<li>" * 20_000):
