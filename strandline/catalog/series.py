@@ -313,15 +313,15 @@ def _(spark, sf_dir):
     return _rounded(reduce.reconstruct(reduce.partials(_events(spark, sf_dir), "ts", "1d", wanted), wanted, "ts"), "value.avg", "value.sum")
 
 
-@query("tr_nesting_check")
+@query("tr_nesting_check", "SELECT * FROM (VALUES ('1h,6h,1d', '1h,6h,1d', NULL), ('1h,90m', NULL, '90m isn''t a multiple of 1h'), ('0s', NULL, 'resolutions must be a second or more')) t(asked, ordered, error)")
 def _(spark, sf_dir):
     rows = []
     for names in (["1h", "6h", "1d"], ["1h", "90m"], ["0s"]):
         try:
-            rows.append((names, reduce.check_nesting(names), None))
+            rows.append((",".join(names), ",".join(reduce.check_nesting(names)), None))
         except ValueError as e:
-            rows.append((names, None, str(e)))
-    return spark.createDataFrame(rows, "asked array<string>, ordered array<string>, error string")
+            rows.append((",".join(names), None, str(e)))
+    return spark.createDataFrame(rows, "asked string, ordered string, error string")
 
 
 @query("legacy_union_reduce", " UNION ALL ".join(f"SELECT '{t}' AS site, {BUCKET.format('1 day')} AS ts, round(avg(value), 9) AS a, min(value) AS lo, max(value) AS hi FROM events WHERE event_type = '{t}' GROUP BY 2" for t in TYPES))
@@ -380,68 +380,106 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     v = _versions(spark, sf_dir)
     r, _ = _rolled(spark, v)
-    return transforms.union_by_name([r._read([r._version_file(f"v{k}")]).agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).cast("long").alias("version"), "n") for k in range(len(v))])
+    known = r.manifest()["versions"]
+    return transforms.union_by_name([r._read([known[f"v{k}"]]).agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).cast("long").alias("version"), "n") for k in range(len(v))])
 
 
-@query("st_watermark")
+@query("st_watermark", "SELECT newest, lateness, step, (newest - lateness) // step * step AS sealed FROM (VALUES (100000::BIGINT, 86400::BIGINT, 3600::BIGINT), (7200, 0, 3600), (7199, 3600, 3600)) t(newest, lateness, step)")
 def _(spark, sf_dir):
     rows = [(a, b, c, rollup.watermark(a, b, c)) for a, b, c in ((100000, 86400, 3600), (7200, 0, 3600), (7199, 3600, 3600))]
     return spark.createDataFrame(rows, "newest long, lateness long, step long, sealed long")
 
 
-@query("st_late_reject")
+_SEALED = "(SELECT epoch(max(" + HOUR + "))::BIGINT - {0} FROM events WHERE day(ts) BETWEEN 17 AND 24)"
+
+
+@query(
+    "st_late_reject",
+    "SELECT lateness, CASE WHEN (SELECT epoch(min(" + HOUR + "))::BIGINT FROM events WHERE day(ts) <= 8) < " + _SEALED.format("s") + " THEN 'refused' ELSE 'incremental' END AS outcome FROM (VALUES ('1d', 86400), ('60d', 5184000)) t(lateness, s)",
+)
 def _(spark, sf_dir):
-    v = _versions(spark, sf_dir)
-    r, _ = _rolled(spark, {"a": v["v2"]})
-    try:
-        r.build({"a": v["v2"], "b": v["v0"]})
-        said = "accepted"
-    except rollup.LateData:
-        said = "refused"
-    patient, done = _rolled(spark, {"a": v["v2"], "b": v["v0"]}, "60d", [["a"], ["a", "b"]])
-    return spark.createDataFrame([("1d", said), ("60d", done[-1])], "lateness string, outcome string")
+    """Older data after newer: behind the watermark it is refused, with more lateness it is taken in."""
+    v, rows = _versions(spark, sf_dir), []
+    for lateness in ("1d", "60d"):
+        r, _ = _rolled(spark, {"a": v["v2"]}, lateness)
+        try:
+            rows.append((lateness, r.build({"a": v["v2"], "b": v["v0"]})))
+        except rollup.LateData:
+            rows.append((lateness, "refused"))
+    return spark.createDataFrame(rows, "lateness string, outcome string")
 
 
-@query("st_plan")
+@query("st_plan", "SELECT * FROM (VALUES (0, 'rebuild'), (1, 'reuse'), (2, 'incremental'), (3, 'rebuild'), (4, 'rebuild'), (5, 'rebuild')) t(build, outcome)")
 def _(spark, sf_dir):
+    """The same members, more of them, others; then another aggregate, and another resolution, on the same folder."""
     v = _versions(spark, sf_dir)
-    _, done = _rolled(spark, v, steps=[["v0"], ["v0"], ["v0", "v1"], ["v1", "v2"]])
+    r, done = _rolled(spark, v, steps=[["v0"], ["v0"], ["v0", "v1"], ["v1", "v2"]])
+    most = [{"type": "max", "columns": ["value"]}]
+    for levels, spec in ((list(LEVELS), most), (["2h"], most)):
+        other = rollup.Rollup(spark, r.folder, "ts", levels, spec)
+        done.append(other.build({k: v[k] for k in ("v1", "v2")}))
+        assert other.read(levels[-1]).columns == ["ts", "value.max"]
     return spark.createDataFrame(list(enumerate(done)), "build int, outcome string")
 
 
-@query("st_frontier")
+@query("st_frontier", "SELECT * FROM (VALUES ('series', 'incremental'), ('snapshot that restates', 'refused'), ('snapshot that goes on', 'incremental')) t(versions, outcome)")
 def _(spark, sf_dir):
-    r, _ = _rolled(spark, _versions(spark, sf_dir))
-    return spark.createDataFrame([(n, x["low"], x["high"]) for n, lv in r.manifest()["levels"].items() for x in lv["runs"]], "resolution string, low long, high long")
+    """Versions of a series add up in any order; a version that restates its file must begin where the last one ended."""
+    e, rows = _events(spark, sf_dir), []
+    first, again, on = (e.where(f"day(ts) between {a} and {b}") for a, b in ((1, 8), (8, 16), (10, 16)))
+    for what, snapshots, second in (("series", False, again), ("snapshot that restates", True, again), ("snapshot that goes on", True, on)):
+        r = rollup.Rollup(spark, scratch.folder(spark, "rollup"), "ts", ["1h"], SPEC, "20d", snapshots)
+        r.build({"a": first})
+        try:
+            rows.append((what, r.build({"a": first, "b": second})))
+        except rollup.OverlappingVersion:
+            rows.append((what, "refused"))
+    return spark.createDataFrame(rows, "versions string, outcome string")
 
 
-@query("st_rollup_preconditions", _level_sql("1d"))
+@query("st_rollup_preconditions", _level_sql("1d") + " UNION ALL " + _level_sql("1d"))
 def _(spark, sf_dir):
-    """With a transform in the way there is no rollup: one pass, the same answer."""
-    e = transforms.chain(_events(spark, sf_dir), [lambda d: transforms.rename(d, [])])
-    return _levels({"1d": reduce.single_pass(e, "ts", "1d", SPEC)})
+    """With a transform in the way, or without a folder, there is no rollup: one pass, the same answer as the rollup's."""
+    v = _versions(spark, sf_dir)
+    folder = scratch.folder(spark, "rollup")
+    rolled = rollup.reduced(spark, v, "ts", "1d", SPEC, folder, scheme="csv")
+    plain = rollup.reduced(spark, v, "ts", "1d", SPEC, f"{folder}-none", [lambda d: transforms.rename(d, [])], "csv")
+    store = scratch.Store(spark, folder)
+    assert store.exists("manifest.json") and not scratch.Store(spark, f"{folder}-none").exists("manifest.json")
+    return _levels({"1d": rolled}).union(_levels({"1d": plain}))
 
 
-@query("st_manifest")
+@query(
+    "st_manifest",
+    "SELECT 2 AS format, 86400::BIGINT AS lateness, resolution, (newest - 86400) // step * step AS sealed_hi, n AS rows FROM (SELECT resolution, step, epoch(max(b))::BIGINT AS newest, count(DISTINCT b)::BIGINT AS n FROM (SELECT r.resolution, r.step, time_bucket(to_seconds(r.step), ts, TIMESTAMP '1970-01-01') AS b FROM events, (VALUES ('1h', 3600), ('6h', 21600), ('1d', 86400)) r(resolution, step)) GROUP BY 1, 2)",
+)
 def _(spark, sf_dir):
-    r, _ = _rolled(spark, _versions(spark, sf_dir))
+    """What the manifest says of each level after builds with one version more each."""
+    v = _versions(spark, sf_dir)
+    r, _ = _rolled(spark, v, steps=[list(v)[: k + 1] for k in range(len(v))])
     m = r.manifest()
-    return spark.createDataFrame([(m["format"], m["lateness"], m["versions"], sorted(m["levels"]))], "format int, lateness long, versions array<string>, levels array<string>")
+    rows = [(m["format"], m["lateness"], n, lv["sealed_hi"], sum(x["rows"] for x in r._parts(lv))) for n, lv in m["levels"].items()]
+    return spark.createDataFrame(rows, "format int, lateness long, resolution string, sealed_hi long, rows long")
 
 
-@query("st_corrupt_check")
+@query("st_corrupt_check", "SELECT * FROM (VALUES ('hot part lost', 'refused'), ('file of a run lost', 'refused')) t(damage, outcome)")
 def _(spark, sf_dir):
-    r, _ = _rolled(spark, {"a": _versions(spark, sf_dir)["v0"]})
-    r._fs.delete(r._path(f"{r.folder}/{r.manifest()['levels']['1h']['hot']}"), True)
-    try:
-        r.read("1h")
-        said = "read"
-    except rollup.CorruptRollup:
-        said = "refused"
-    return spark.createDataFrame([(said,)], "outcome string")
+    """A file that is gone is an error, never a hole."""
+    rows = []
+    for what in ("hot part lost", "file of a run lost"):
+        r, _ = _rolled(spark, {"a": _versions(spark, sf_dir)["v0"]})
+        level = r.manifest()["levels"]["1h"]
+        run = level["runs"][0]["file"]
+        r.store.delete(level["hot"]["file"] if what[0] == "h" else f"{run}/{r.store.files(run)[0][0]}")
+        try:
+            r.read("1h")
+            rows.append((what, "read"))
+        except rollup.CorruptRollup:
+            rows.append((what, "refused"))
+    return spark.createDataFrame(rows, "damage string, outcome string")
 
 
-@query("st_drop_cache")
+@query("st_drop_cache", "SELECT * FROM (VALUES (true)) t(gone)")
 def _(spark, sf_dir):
     r, _ = _rolled(spark, {"a": _versions(spark, sf_dir)["v0"]})
     r.drop()

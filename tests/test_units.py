@@ -1,6 +1,7 @@
 """Semantics that SQL over the tables doesn't reach."""
 
 import datetime as dt
+import decimal
 import random
 
 import pytest
@@ -121,6 +122,34 @@ def test_rollup_equals_single_pass_after_each_version(spark):
     assert r.build(versions) == "reuse"
 
 
+def test_rollup_is_keyed_by_its_configuration(spark):
+    where, versions = scratch.folder(spark, "t"), {"a": _points(spark, range(30))}
+    spec = lambda kind: [{"type": kind, "columns": ["v"]}]
+    rollup.Rollup(spark, where, "ts", ["1h"], spec("avg")).build(versions)
+    for levels, kind in ((["1h"], "max"), (["1h", "1d"], "max")):
+        r = rollup.Rollup(spark, where, "ts", levels, spec(kind))
+        with pytest.raises(rollup.CorruptRollup):
+            r.read("1h")
+        assert r.build(versions) == "rebuild" and r.build(versions) == "reuse"
+        assert r.read(levels[-1]).collect() == reduce.single_pass(versions["a"], "ts", levels[-1], spec(kind)).collect()
+
+
+def test_rollup_runs_stay_few(spark):
+    """Runs are merged as they pile up, and what a version has written is not read again once it is sealed."""
+    r, versions = rollup.Rollup(spark, scratch.folder(spark, "t"), "ts", ["1h"], SPEC, "2h"), {}
+    for k in range(9):
+        versions[f"v{k}"] = _points(spark, range(10 * k, 10 * k + 10))
+        r.build(versions)
+    level = r.manifest()["levels"]["1h"]
+    assert len(level["runs"]) <= 4 and all(a["high"] == b["low"] for a, b in zip(level["runs"], level["runs"][1:], strict=False))
+    assert r.read("1h").collect() == reduce.single_pass(transforms.union_by_name(list(versions.values())), "ts", "1h", SPEC).collect()
+    files = {x["file"].split("/")[0] + "/" + x["file"].split("/")[1] for x in r._parts(level)}
+    assert all(r.store.files(x) or r.store.exists(x) for x in files)
+    r.store.delete(f"{r._version_file('v0')}")  # sealed long ago
+    versions["v9"] = _points(spark, range(90, 100))
+    assert r.build(versions) == "incremental" and r.read("1h").count() == reduce.single_pass(transforms.union_by_name(list(versions.values())), "ts", "1h", SPEC).count()
+
+
 def test_rollup_refuses_late_data(spark):
     r = rollup.Rollup(spark, scratch.folder(spark, "t"), "ts", ["1h"], SPEC, "1h")
     first = {"a": _points(spark, range(10, 20))}
@@ -128,7 +157,7 @@ def test_rollup_refuses_late_data(spark):
     with pytest.raises(rollup.LateData):
         r.build(first | {"b": _points(spark, [3])})
     assert r.build(first) == "reuse"
-    r._fs.delete(r._path(f"{r.folder}/{r.manifest()['levels']['1h']['hot']}"), True)
+    r.store.delete(r.manifest()["levels"]["1h"]["hot"]["file"])
     with pytest.raises(rollup.CorruptRollup):
         r.read("1h")
 
@@ -152,6 +181,12 @@ def test_fifo_loses_credit_without_open_bills(spark):
 
 def test_money(spark):
     assert sum(money.allocate(1001, [1.0, 2.0, 3.0], 6.0, 5)) == 1001
+    exact = spark.createDataFrame([(1_999_999_999, 1, 2_000_000_000), (-7, 1, 2), (7, -1, 2), (2**62, 3, 4), (9_007_199_254_740_993, 1, 1)], "a long, o long, u long")
+    assert [r[0] for r in exact.select(money.scale_ratio(F.col("a"), F.col("o"), F.col("u"))).collect()] == [0, -3, -3, 3 * 2**60, 9_007_199_254_740_993]
+    big = spark.createDataFrame([(9_007_199_254_740_993, i) for i in range(2)], "t long, p int").select(money.split(F.col("t"), F.lit(2), F.col("p")))
+    assert [r[0] for r in big.collect()] == [4_503_599_627_370_497, 4_503_599_627_370_496]
+    prices = spark.createDataFrame([(decimal.Decimal("90071992547409.93"),)], "d decimal(20,2)").select(money.cents(F.col("d"))).first()
+    assert prices[0] == 9_007_199_254_740_993
     assert sorted(money.shuffled(50, 9)) == list(range(50)) and money.shuffled(50, 9) == money.shuffled(50, 9)
     df = spark.createDataFrame([(-100, i) for i in range(3)], "t long, p int").select(money.split(F.col("t"), F.lit(3), F.col("p")).alias("s"))
     assert [r.s for r in df.collect()] == [-34, -33, -33]
