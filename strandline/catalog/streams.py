@@ -11,14 +11,13 @@ from strandline.streaming import fold, windows
 
 
 def _stream(spark, sf_dir, parts: int = 3):
-    """Events as files that arrive one after another."""
-    where = scratch.folder(spark, "arrivals")
-    table(spark, sf_dir, "events").repartitionByRange(parts, "ts").sortWithinPartitions("ts").write.parquet(where)
+    """Events as files that arrive one after another, in the order of their times."""
+    where, e = scratch.folder(spark, "arrivals"), table(spark, sf_dir, "events")
+    for k in range(parts):
+        e.where(f"(day(ts) - 1) * {parts} div 31 = {k}").coalesce(1).write.mode("append").parquet(where)
     return windows.source(spark, where)
 
 
-
-
 @query("st_tumbling", "SELECT time_bucket(INTERVAL '4 hours', ts, TIMESTAMP '1970-01-01') AS ts, event_type, CAST(count(*) AS BIGINT) AS n, max(value) AS top FROM events GROUP BY 1, 2")
 def _(spark, sf_dir):
     out = windows.tumbling(_stream(spark, sf_dir), "ts", "4 hours", [F.count(F.lit(1)).alias("n"), F.max("value").alias("top")], ["event_type"])
@@ -54,11 +53,10 @@ def _entries(spark, sf_dir):
 
 @query("st_status_fold", "SELECT event_type AS key, max(ts) AS time, arg_max(props, ts) AS message FROM events GROUP BY 1")
 def _(spark, sf_dir):
-    f = fold.StatusFold(spark, scratch.folder(spark, "status"))
-    e = _entries(spark, sf_dir)
-    for through in (10, 10, 20, 31):  # the second fold finds nothing new
-        f.fold(e.where(f"version <= {through}"))
-    return f.latest()
+    where, e = scratch.folder(spark, "status"), _entries(spark, sf_dir)
+    for through in (10, 10, 20, 31):  # the second fold finds nothing new; each is by an object of its own
+        fold.StatusFold(spark, where).fold(e.where(f"version <= {through}"))
+    return fold.StatusFold(spark, where).latest()
 
 
 @query("st_status_tail", "SELECT key, time, message FROM (SELECT event_type AS key, ts AS time, props AS message, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, props) AS n FROM events) WHERE n <= 5")
@@ -69,15 +67,43 @@ def _(spark, sf_dir):
     return f.newest()
 
 
-@query("st_log_tail")
+@query(
+    "st_log_tail",
+    "SELECT line, CAST(count(*) AS BIGINT) AS n FROM (SELECT 'r' || r_regionkey || ' ' || r_name AS line FROM region UNION ALL SELECT 'n' || n_nationkey || ' ' || n_name FROM nation UNION ALL SELECT 'r' || r_regionkey || ' ' || r_name || ' again' FROM region) GROUP BY 1",
+)
 def _(spark, sf_dir):
-    cases = [(10, True, None), (10, True, 10), (15, True, 10), (5, True, 10), (10, False, 10)]
-    return spark.createDataFrame([(a, b, c, fold.tail_state(a, b, c)) for a, b, c in cases], "size int, prefix_equal boolean, old_size int, state string")
-
-
-@query("st_journal", "SELECT series, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE WHEN event_type = 'error' THEN 'kernel' WHEN event_type = 'view' THEN CASE WHEN user_id % 2 = 0 THEN 'own.service' ELSE 'user@1.service' END WHEN event_type = 'click' THEN 'web.service' WHEN event_type = 'signup' THEN 'ident' ELSE 'other' END AS series FROM events) GROUP BY 1")
+    """A log that grows, grows and rotates, and begins anew: every line once, the last ones before the rotation from the archive."""
+    where = scratch.folder(spark, "logs")
+    files, tail = scratch.Store(spark, where), fold.LogTail(spark, f"{where}-tail")
+    one = [f"r{r.r_regionkey} {r.r_name}" for r in table(spark, sf_dir, "region").orderBy("r_regionkey").collect()]
+    two = [f"n{r.n_nationkey} {r.n_name}" for r in table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()]
+    three = [f"{x} again" for x in one]
+    text = lambda lines: "".join(f"{x}\n" for x in lines)
+    steps = [
+        {"app.log": text(one[:3]) + "half a li"},
+        {"app.log": text(one + two[:4])},
+        {"app.log": text(one + two[:4])},
+        {"app.log": text(three), "app.log.1": text(one + two)},
+        {"app.log": text(three), "app.log.1": text(one + two)},
+    ]
+    for step in steps:
+        for name, content in step.items():
+            files.put(name, content)
+        tail.ingest(f"{where}/app.log", f"{where}/app.log.[0-9]*" if len(step) > 1 else None)
+    return tail.lines().groupBy("line").agg(F.count(F.lit(1)).alias("n"))
+
+
+_UNIT = "CASE WHEN event_type = 'error' THEN 'kernel' WHEN event_type = 'view' THEN CASE WHEN user_id % 2 = 0 THEN 'own.service' ELSE 'user@1.service' END WHEN event_type = 'click' THEN 'web.service' WHEN event_type = 'signup' THEN 'ident' ELSE 'other' END"
+
+
+@query("st_journal", f"SELECT {_UNIT} AS series, CAST(count(*) AS BIGINT) AS n, min(ts) AS first_time, max(ts) AS last_time FROM events GROUP BY 1")
 def _(spark, sf_dir):
+    """Entries routed to a series a unit, in runs that overlap, each by an object of its own: the cursor lets an entry in once."""
     t, u = F.col("event_type"), F.col("user_id")
     unit = F.when(t == "view", "user@1.service").when(t == "click", "web.service")
     series = fold.route(F.when(t == "error", "kernel").otherwise("journal"), unit, F.when(u % 2 == 0, "own.service"), F.when(t == "signup", "ident"))
-    return table(spark, sf_dir, "events").groupBy(series.alias("series")).agg(F.count(F.lit(1)).alias("n"))
+    entries = table(spark, sf_dir, "events").select(F.col("event_id").alias("cursor"), F.col("ts").alias("time"), series.alias("series"), "props")
+    last, where = entries.agg(F.max("cursor")).first()[0] or 0, scratch.folder(spark, "journal")
+    for share in (0.4, 0.7, 0.7, 1.0):
+        fold.JournalIngest(spark, where).ingest(entries.where(F.col("cursor") <= int(last * share)))
+    return fold.JournalIngest(spark, where).spans()
