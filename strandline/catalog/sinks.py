@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strandline.catalog import query
 from strandline.operators import transforms
-from strandline.plans import export, scratch
+from strandline.plans import export, scratch, tablelog, views
 from strandline.plans.scratch import table
 
 
@@ -14,7 +14,10 @@ def _events(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", "ts", "value")
 
 
-@query("snk_table")
+@query(
+    "snk_table",
+    "SELECT 0 AS line, 'r_regionkey int | r_name string' AS text UNION ALL SELECT CAST(row_number() OVER (ORDER BY r_regionkey) AS INTEGER), r_regionkey || ' | ' || r_name FROM region UNION ALL SELECT CAST(count(*) + 1 AS INTEGER), count(*) || ' rows' FROM region",
+)
 def _(spark, sf_dir):
     """What a terminal shows: header with types, rows, and their number."""
     df = table(spark, sf_dir, "region").orderBy("r_regionkey")
@@ -26,7 +29,7 @@ def _(spark, sf_dir):
 @query("snk_parquet_stdout", "SELECT r_regionkey, r_name FROM region")
 def _(spark, sf_dir):
     where = scratch.folder(spark, "parquet")
-    table(spark, sf_dir, "region").coalesce(1).write.parquet(where)
+    table(spark, sf_dir, "region").write.parquet(where)
     return spark.read.parquet(where)
 
 
@@ -44,11 +47,19 @@ def _(spark, sf_dir):
     return spark.read.parquet(where).groupBy("day").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("snk_export_reuse")
+@query(
+    "snk_export_reuse",
+    "WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS x FROM events), n AS (SELECT CAST(count(*) AS INTEGER) AS every, CAST(count(*) FILTER (day(x) < 20) AS INTEGER) AS early, CAST(count(*) FILTER (day(x) = 3) AS INTEGER) AS third FROM d) "
+    "SELECT 0 AS export, 0 AS kept, early AS written, 0 AS removed FROM n UNION ALL SELECT 1, early, every - early, 0 FROM n UNION ALL SELECT 2, every - third, 0, third FROM n UNION ALL SELECT 3, every - third - 1, third + 1, 0 FROM n",
+)
 def _(spark, sf_dir):
+    """Three exports with more days, fewer days, and again all after a partition's files were lost: only what differs is written."""
     where = scratch.folder(spark, "export")
-    e = _events(spark, sf_dir)
-    steps = [export.export_changed(df, where, "ts", ["year", "month", "day"]) for df in (e.where("day(ts) < 20"), e, e.where("day(ts) <> 3"))]
+    e, steps = _events(spark, sf_dir), []
+    for df in (e.where("day(ts) < 20"), e, e.where("day(ts) <> 3"), e):
+        if len(steps) == 3:
+            scratch.Store(spark, where).delete("year=2024/month=1/day=5")
+        steps.append(export.export_changed(df, where, "ts", ["year", "month", "day"]))
     return spark.createDataFrame([(i, len(k), len(w), len(r)) for i, (k, w, r) in enumerate(steps)], "export int, kept int, written int, removed int")
 
 
@@ -70,7 +81,7 @@ def _(spark, sf_dir):
     return spark.createDataFrame(rows, "field string, instrument string, name string, unit string, agg string")
 
 
-@query("snk_export_set")
+@query("snk_export_set", "SELECT DISTINCT event_type AS capture, 'year=' || year(ts) || '/month=' || month(ts) AS partition FROM events WHERE event_type IN ('click', 'view')")
 def _(spark, sf_dir):
     where = scratch.folder(spark, "set")
     rows = []
@@ -87,10 +98,11 @@ def _(spark, sf_dir):
     return spark.read.schema("n_nationkey int, n_name string").option("header", True).csv(where)
 
 
-@query("snk_series_write", "SELECT event_id, value FROM events WHERE event_id % 10 < 2")
+@query("snk_series_write", "SELECT event_id, value FROM events")
 def _(spark, sf_dir):
+    """Ten appends to one series."""
     where = scratch.folder(spark, "series")
-    for k in range(2):
+    for k in range(10):
         table(spark, sf_dir, "events").where(f"event_id % 10 = {k}").select("event_id", "value").write.mode("append").parquet(where)
     return spark.read.parquet(where)
 
@@ -112,7 +124,7 @@ def _(spark, sf_dir):
     for k in range(3):
         e.where(f"event_id % 3 = {k}").write.parquet(f"{where}/v{k}")
     merged = transforms.union_by_name([spark.read.parquet(f"{where}/v{k}") for k in range(3)])
-    merged.coalesce(1).write.parquet(f"{where}/collapsed")
+    merged.hint("rebalance").write.parquet(f"{where}/collapsed")  # as few files as their size allows
     return spark.read.parquet(f"{where}/collapsed")
 
 
@@ -123,19 +135,48 @@ def _(spark, sf_dir):
     return spark.read.parquet(where)
 
 
-@query("delta_maint")
+@query("delta_maint", "SELECT step, rows FROM (SELECT CAST(count(*) AS BIGINT) AS rows FROM events), (VALUES ('twelve appends'), ('compacted'), ('from the checkpoint'), ('vacuumed'), ('a version before')) t(step)")
 def _(spark, sf_dir):
-    """Small files packed to a target size; files before and after."""
-    where = scratch.folder(spark, "files")
-    _events(spark, sf_dir).repartition(12).write.parquet(f"{where}/many")
-    many = spark.read.parquet(f"{where}/many")
-    many.coalesce(max(1, len(many.inputFiles()) // 6)).write.parquet(f"{where}/few")
-    few = spark.read.parquet(f"{where}/few")
-    return spark.createDataFrame([(len(many.inputFiles()), len(few.inputFiles()), many.count() == few.count())], "before int, after int, same_rows boolean")
+    """A table of many small files packed to a target size, checkpointed and cleared of what no version needs: the rows stay."""
+    log = tablelog.TableLog(spark, scratch.folder(spark, "log"))
+    e, rows = _events(spark, sf_dir), []
+    for k in range(12):
+        log.append(e.where(f"event_id % 12 = {k}"))
+    rows.append(("twelve appends", log.read().count()))
+    before, many = log.version(), len(log.live())
+    log.compact()
+    assert len(log.live()) < many and log.compact() is None
+    rows.append(("compacted", log.read().count()))
+    log.checkpoint()
+    rows.append(("from the checkpoint", log.read().count()))
+    rows.append(("a version before", log.read(before).count()))
+    assert len(log.vacuum()) == many and not log.vacuum()
+    rows.append(("vacuumed", log.read().count()))
+    return spark.createDataFrame(rows, "step string, rows long")
 
 
-@query("ext_exec_modes")
+@query("src_delta_log", "SELECT * FROM (VALUES ('append', true, 3::BIGINT, 2::BIGINT), ('compact', true, 1, 3), ('compact', false, 3, 3)) t(action, added, files, last_version)")
 def _(spark, sf_dir):
-    return spark.createDataFrame([("reader", "reads tables"), ("writer", "reads and writes tables"), ("transform", "table to table")], "mode string, may string")
+    """The log of a table as a table that SQL reads: files and newest version by action."""
+    log = tablelog.TableLog(spark, scratch.folder(spark, "log"))
+    for k in range(3):
+        log.append(_events(spark, sf_dir).where(f"event_id % 3 = {k}").coalesce(1))
+    log.compact()
+    return views.sql_view(spark, {"delta_table": log.history()}, "SELECT action, added, count(*) AS files, max(version) AS last_version FROM delta_table GROUP BY action, added")
 
 
+@query("ext_exec_modes", "SELECT * FROM (VALUES ('reader', 'read', true), ('reader', 'write', false), ('writer', 'read', true), ('writer', 'write', true), ('transform', 'read', true), ('transform', 'write', false)) t(mode, act, allowed)")
+def _(spark, sf_dir):
+    """What a step may do to a catalog in each mode, by trying."""
+    rows = []
+    for mode in views.MODES:
+        for act in ("read", "write"):
+            catalog = views.Catalog(spark)
+            catalog.add("tables/region", table(spark, sf_dir, "region"))
+            limited = views.limited(catalog, mode)
+            try:
+                limited.get("tables/region") if act == "read" else limited.add("tables/other", table(spark, sf_dir, "nation"))
+                rows.append((mode, act, True))
+            except PermissionError:
+                rows.append((mode, act, False))
+    return spark.createDataFrame(rows, "mode string, act string, allowed boolean")

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
-import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.operators import transforms
 from strandline.operators.transforms import column
+from strandline.plans.scratch import Store
 
 PARTS = ("year", "quarter", "month", "day", "hour", "minute")
 #: Lengths in seconds of a minute, hour, day, month, quarter and year as a viewer counts them.
@@ -21,20 +21,27 @@ def with_parts(df: DataFrame, time_column: str, parts: list[str]) -> DataFrame:
     return df.withColumns({p: F.date_part(F.lit(p), column(time_column)).cast("int") for p in parts})
 
 
+class CorruptExport(RuntimeError):
+    """Files of an export that is to be reused aren't the ones that were written."""
+
+
 def export(df: DataFrame, folder: str, time_column: str, parts: list[str], begin=None, end=None) -> list[str]:
-    """Writes df as one file a calendar partition, sorted by time; the partitions written.  Rows without a time are an error."""
-    out = transforms.within(df, time_column, begin, end)
-    if out.where(column(time_column).isNull()).limit(1).count():
+    """Writes df in calendar partitions, sorted by time; the partitions written.  Rows without a time are an error.
+
+    One pass counts, one writes.  Rows are dealt by partition and split by size, so
+    a small partition is one file and no task holds a large one.
+    """
+    out = with_parts(transforms.within(df, time_column, begin, end), time_column, parts)
+    found = out.groupBy(*parts).agg(F.count_if(column(time_column).isNull()).alias("nulls")).collect()  # one row a partition
+    if any(r.nulls for r in found):
         raise ValueError(f"{time_column} has nulls")
-    out = with_parts(out, time_column, parts)
-    written = [tuple(r) for r in out.select(*parts).distinct().orderBy(*parts).collect()]  # one row a partition
-    if not written:
+    if not found:
         raise ValueError("nothing to export")
     (
-        out.repartition(*[F.col(p) for p in parts]).sortWithinPartitions(*parts, time_column)
+        out.hint("rebalance", *[F.col(p) for p in parts]).sortWithinPartitions(*parts, time_column)
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(folder)
     )
-    return ["/".join(f"{p}={v}" for p, v in zip(parts, row, strict=True)) for row in written]
+    return ["/".join(f"{p}={r[p]}" for p in parts) for r in sorted(found, key=lambda r: [r[p] for p in parts])]
 
 
 def partition_times(path: str) -> tuple[int, int]:
@@ -73,9 +80,18 @@ def field_parts(name: str) -> dict[str, str | None]:
     return {"instrument": ".".join(p[:-3]) or None, "name": p[-3], "unit": p[-2], "agg": p[-1]}
 
 
-def stale(manifest: dict[str, str], digests: dict[str, str], changed_since: int | None) -> tuple[list[str], list[str], list[str]]:
-    """(partitions to keep, to write, to remove) given the last export's digests and the present ones."""
+def stale(manifest: dict[str, str], digests: dict[str, str], changed_since: int | None, sound=lambda partition: True) -> tuple[list[str], list[str], list[str]]:
+    """(partitions to keep, to write, to remove) given the last export's digests and the present ones.
+
+    sound: whether a partition's files are the ones that were written.  If nothing
+    has changed at all, all are to be reused and unsound files are an error; else
+    unsound partitions are written again.
+    """
     keep = [p for p, d in digests.items() if manifest.get(p) == d and (changed_since is None or partition_times(p)[1] <= changed_since)]
+    lost = [p for p in keep if not sound(p)]
+    if lost and manifest == digests and len(keep) == len(digests):
+        raise CorruptExport(f"files of {', '.join(lost)} are missing or were changed")
+    keep = [p for p in keep if p not in lost]
     return keep, [p for p in digests if p not in keep], [p for p in manifest if p not in digests]
 
 
@@ -87,22 +103,20 @@ def partition_digests(df: DataFrame, time_column: str, parts: list[str]) -> dict
 
 
 def export_changed(df: DataFrame, folder: str, time_column: str, parts: list[str], changed_since: int | None = None) -> tuple[list[str], list[str], list[str]]:
-    """As `export`, but partitions whose rows are as they were stay, and those without rows go; (kept, written, removed)."""
+    """As `export`, but partitions whose rows and files are as they were stay, and those without rows go; (kept, written, removed)."""
     spark: SparkSession = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    at = path(f"{folder.rstrip('/')}.export.json")  # beside the folder, which readers list
-    manifest = json.loads("".join(r[0] for r in spark.read.text(at.toString()).collect())) if fs.exists(at) else {}
+    store = Store(spark, folder)
+    parent, base = folder.rstrip("/").rsplit("/", 1)
+    beside, name = Store(spark, parent), f"{base}.export.json"  # beside the folder, which readers list
+    last = beside.load(name) or {"rows": {}, "files": {}}
     digests = partition_digests(df, time_column, parts)
-    keep, write, remove = stale(manifest, digests, changed_since)
+    keep, write, remove = stale(last["rows"], digests, changed_since, lambda p: store.digest(p) == last["files"].get(p))
     for p in remove:
-        fs.delete(path(f"{folder}/{p}"), True)
+        store.delete(p)
     if write:
         values = [tuple(int(x.split("=")[1]) for x in p.split("/")) for p in write]
         chosen = F.broadcast(spark.createDataFrame(values, ", ".join(f"{p} int" for p in parts)))  # one row a partition
         rows = with_parts(df, time_column, parts).join(chosen, parts, "left_semi")
         export(rows.drop(*parts), folder, time_column, parts)
-    out = fs.create(at, True)
-    out.write(json.dumps(digests).encode())
-    out.close()
+    beside.save(name, {"rows": digests, "files": {p: store.digest(p) for p in digests}})
     return keep, write, remove

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -67,22 +69,52 @@ class Catalog:
         return self.tables[name]
 
 
+#: What steps of a mode may do to a catalog: transforms and readers only read, writers add tables.
+MODES = {"reader": ("read",), "writer": ("read", "write"), "transform": ("read",)}
+
+
+class _Limited:
+    def __init__(self, catalog: Catalog, may: tuple[str, ...]):
+        self._catalog, self._may = catalog, may
+
+    def __getattr__(self, name: str):
+        if name in ("add", "define") and "write" not in self._may:
+            raise PermissionError(f"{name} is for writers")
+        return getattr(self._catalog, name)
+
+
+def limited(catalog: Catalog, mode: str):
+    """The catalog as a step of this mode may use it."""
+    if mode not in MODES:
+        raise ValueError(f"unknown mode {mode!r}")
+    return _Limited(catalog, MODES[mode])
+
+
 def sql_view(spark: SparkSession, tables: dict[str, DataFrame], query: str | None = None) -> DataFrame:
     """The query over these tables by name, in a session of its own names; without a query the only table itself."""
     if query is None:
         if len(tables) != 1:
             raise ValueError("several tables need a query")
         return next(iter(tables.values()))
-    return spark.sql(_braced(query, tables), **tables) if tables else spark.sql(query)
-
-
-def _braced(query: str, tables: dict[str, DataFrame]) -> str:
-    """Tables become parameters of the query: no view is left behind, and names of other views don't collide."""
-    names = ", ".join(f"{n} AS (SELECT * FROM {{{n}}})" for n in tables)
+    # Each table has a view of a name that no one else uses, for as long as the query is analysed; the query's own names stand before it.
+    views = {name: f"strandline_{uuid.uuid4().hex}" for name in tables}
+    try:
+        for name, df in tables.items():
+            df.createOrReplaceTempView(views[name])
+        return spark.sql(_named(query, views))
+    finally:
+        for view in views.values():
+            spark.catalog.dropTempView(view)
+
+
+def _named(query: str, views: dict[str, str]) -> str:
+    """The query with its names for views, as far as text goes nothing else is touched."""
+    if not views:
+        return query
+    names = ", ".join(f"`{n}` AS (SELECT * FROM {v})" for n, v in views.items())
     body = query.strip()
-    if body[:5].lower() == "with ":
-        return f"WITH {names}, {body[5:]}"
-    return f"WITH {names} {body}"
+    own = re.match(r"with\s+(recursive\s+)?", body, re.I)
+    return f"WITH {own[1] or ''}{names}, {body[own.end():]}" if own else f"WITH {names} {body}"
 
 
 def query_source(df: DataFrame, query: str = "SELECT * FROM source") -> DataFrame:
@@ -95,6 +127,19 @@ def describe(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "position int, name string, type string, nullable boolean")
 
 
+def explain(df: DataFrame, query: str) -> DataFrame:
+    """what, name, type: columns of a query's source and result, columns that the scan reads, and columns of comparisons that reach it."""
+    out = query_source(df, query)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    rows = [(what, f.name, f.dataType.simpleString()) for what, d in (("source", df), ("result", out)) for f in d.schema]
+    read = re.search(r"ReadSchema: struct<(.*?)>(?:\n|$)", plan)
+    rows += [("read", *c.split(":", 1)) for c in (read[1].split(",") if read and read[1] else ())]
+    signs = {"GreaterThan": ">", "GreaterThanOrEqual": ">=", "LessThan": "<", "LessThanOrEqual": "<=", "EqualTo": "="}
+    pushed = re.search(r"PushedFilters: \[(.*?)\](?:,|\n|$)", plan)
+    rows += [("pushed", name, signs[kind]) for kind, name in re.findall(r"(\w+)\(([^,()]+),", pushed[1] if pushed else "") if kind in signs]
+    return df.sparkSession.createDataFrame(rows, "what string, name string, type string")
+
+
 def _patterns(catalog: Catalog, config: dict, many: bool) -> dict[str, DataFrame]:
     out = {}
     for name, pattern in config["patterns"].items():
