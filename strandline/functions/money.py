@@ -8,13 +8,19 @@ from pyspark.sql import functions as F
 _MASK = (1 << 64) - 1
 
 
+def _whole(a: Column, b: Column) -> Column:
+    """a / b cut towards zero, by integer division: nothing passes through a double."""
+    return F.call_function("div", a, b)
+
+
 def cents(amount: Column) -> Column:
+    """Whole cents of an amount; exact for decimals, and for doubles as long as they tell cents apart."""
     return F.round(amount * 100).cast("long")
 
 
 def split(total: Column, n: Column, place: Column) -> Column:
     """The share of the row at `place` (from 0) of total cents split n ways: odd cents go to the first rows, with total's sign."""
-    each = (total / n).cast("long")
+    each = _whole(total.cast("long"), n.cast("long"))
     left = total - each * n
     return each + F.when(place < F.abs(left), F.signum(left).cast("long")).otherwise(F.lit(0).cast("long"))
 
@@ -27,7 +33,7 @@ def scale(amount: Column, factor: Column) -> Column:
 def scale_ratio(amount: Column, over: Column, under: Column) -> Column:
     """amount * over / under in exact arithmetic, cut towards zero."""
     product = amount.cast("decimal(19,0)") * over.cast("decimal(19,0)")
-    return (F.signum(product.cast("double")) * F.signum(under.cast("double"))).cast("long") * F.floor(F.abs(product) / F.abs(under.cast("decimal(19,0)"))).cast("long")
+    return _whole(product, under.cast("decimal(19,0)"))
 
 
 def shuffled(n: int, seed: int) -> list[int]:

@@ -45,14 +45,19 @@ def series_join(inputs: list[dict], time_column: str = "timestamp", align: str =
 
 
 def series_pivot(sites: dict[str, DataFrame], columns: list[str], time_column: str = "timestamp") -> DataFrame:
-    """One row for each distinct time of any site, with `<site>.<column>`; what a site lacks is a null double."""
-    spine = reduce(DataFrame.union, [df.select(time_column) for df in sites.values()]).distinct()
-    out = spine
+    """One row for each distinct time of any site, with `<site>.<column>`; what a site lacks is a null double.
+
+    One shuffle whatever the number of sites.  Of rows that a site has twice at a
+    time the greatest values stay.
+    """
+    parts = []
     for site, df in sites.items():
         own = transforms.pad(df, {c: "double" for c in columns})
-        own = own.select(column(time_column).alias("_t"), *[column(c).alias(f"{site}.{c}") for c in columns])
-        out = out.join(own, F.col(time_column) == F.col("_t"), "left").drop("_t")
-    return out.orderBy(time_column)
+        own = own.select(column(time_column).alias(time_column), *[column(c).alias(f"{site}.{c}") for c in columns])
+        parts.append(own)
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    names = [f"{site}.{c}" for site in sites for c in columns]
+    return stacked.groupBy(time_column).agg(*[F.max(column(n)).alias(n) for n in names]).orderBy(time_column)
 
 
 def _days(first: Column, last: Column) -> Column:
@@ -90,9 +95,12 @@ def as_of(facts: DataFrame, date: str, rules: DataFrame, begin: str, end: str, i
 
 
 def overlapping(ranges: DataFrame, key: str, identity: str, begin: str, end: str) -> DataFrame:
-    """Pairs of a key's intervals that overlap; an open end never ends.  a_id < b_id."""
-    side = lambda p: ranges.select(F.col(key).alias(f"{p}_key"), F.col(identity).alias(f"{p}_id"), F.col(begin).alias(f"{p}_begin"), F.col(end).alias(f"{p}_end"))
-    a, b = side("a"), side("b")
-    starts = F.greatest("a_begin", "b_begin")
-    apart = (F.col("a_end").isNotNull() & (starts > F.col("a_end"))) | (F.col("b_end").isNotNull() & (starts > F.col("b_end")))
-    return a.join(b, (F.col("a_key") == F.col("b_key")) & (F.col("a_id") < F.col("b_id")) & ~apart).select(F.col("a_key").alias(key), "a_id", "b_id")
+    """Pairs of a key's intervals that overlap; an open end never ends.  a_id < b_id.
+
+    Two intervals overlap if the later one begins within the other, so beginnings
+    are looked up among the months that intervals touch.
+    """
+    starts = ranges.select(F.col(key).alias("_key"), F.col(identity).alias("_id"), F.col(begin).alias("_from"), F.col(end).alias("_to")).where(F.col("_to").isNull() | (F.col("_from") <= F.col("_to")))
+    spans = starts.select("_key", F.col("_id").alias("_other"), F.col("_from").alias("_begin"), F.col("_to").alias("_end"))
+    met = valid_on(starts, "_from", spans, "_begin", "_end", ["_key"], how="inner").where("_id <> _other")
+    return met.select(F.col("_key").alias(key), F.least("_id", "_other").alias("a_id"), F.greatest("_id", "_other").alias("b_id")).distinct()

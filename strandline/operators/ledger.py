@@ -126,6 +126,84 @@ def transfer(spark: SparkSession, txn_id: int, day, balance_cents: int, old: int
     return post(spark, txn_id, day, [{"account_code": RECEIVABLE, "customer_id": old, side[0]: amount}, {"account_code": RECEIVABLE, "customer_id": new, side[1]: amount}], "merge")
 
 
+def policy_faults(cycles: DataFrame, policies: DataFrame) -> DataFrame:
+    """Cycles whose policy doesn't exist, and issued ones whose bill date it doesn't hold on, with the fault."""
+    p = policies.select(F.col("policy_id").alias("_policy"), "effective_from", "effective_to")
+    found = cycles.join(p, F.col("policy_id") == F.col("_policy"), "left")
+    early = F.col("issued") & (F.col("bill_date") < F.col("effective_from"))
+    late = F.col("issued") & (F.col("bill_date") > F.col("effective_to"))
+    fault = F.when(F.col("_policy").isNull(), "no such policy").when(early, "not yet effective").when(late, "expired")
+    return found.withColumn("fault", fault).where("fault is not null").drop("_policy", "effective_from", "effective_to")
+
+
+def issue_faults(cycles: DataFrame, journal: DataFrame) -> DataFrame:
+    """Cycles that are issued without a transaction that has legs, and those with a transaction that aren't issued."""
+    legs = journal.select(F.col("txn_id").alias("_txn")).distinct()
+    found = cycles.join(legs, F.col("bill_txn_id") == F.col("_txn"), "left")
+    fault = (
+        F.when(F.col("issued") & F.col("bill_txn_id").isNull(), "issued without a transaction")
+        .when(~F.col("issued") & F.col("bill_txn_id").isNotNull(), "a transaction but not issued")
+        .when(F.col("issued") & F.col("_txn").isNull(), "no legs")
+    )
+    return found.withColumn("fault", fault).where("fault is not null").drop("_txn")
+
+
+class StaleTotals(ValueError):
+    """Stored totals aren't those that expenses and rules make now."""
+
+
+def fresh_cost(stored: DataFrame, fresh: DataFrame, cycle_id: int) -> int:
+    """A cycle's cost in cents out of stored totals (cycle_id, account_code, amount_cents), refused if these are behind."""
+    stored, fresh = (df.select("cycle_id", "account_code", "amount_cents") for df in (stored, fresh))
+    if not (stored.exceptAll(fresh).isEmpty() and fresh.exceptAll(stored).isEmpty()):
+        raise StaleTotals("stored cycle totals are behind: refresh them first")
+    return stored.where(F.col("cycle_id") == cycle_id).agg(F.coalesce(F.sum("amount_cents"), F.lit(0))).first()[0]
+
+
+def bill(connections: DataFrame, cost_cents: int, policy: Policy, seed: int) -> DataFrame:
+    """connection_id, customer_id and bill_cents of the connections (with weight) that share a cycle's cost.
+
+    Cents that whole shares leave go out in an order that is one for all
+    connections, so one cycle's connections, a row each, are shared on the driver.
+    """
+    rows = connections.select("connection_id", "customer_id", "weight").orderBy("connection_id").collect()
+    shares = policy.allocate(cost_cents, [r.weight for r in rows], seed)
+    schema = ", ".join(f"{c} {connections.schema[c].dataType.simpleString()}" for c in ("connection_id", "customer_id"))
+    return connections.sparkSession.createDataFrame([(r.connection_id, r.customer_id, s) for r, s in zip(rows, shares, strict=True)], f"{schema}, bill_cents long")
+
+
+def issue(bills: DataFrame, txn_id: int, day) -> DataFrame:
+    """The legs of one transaction that posts bills: each customer's receivable against revenue.  A bill that no one holds is an error."""
+    if not bills.where("customer_id is null").isEmpty():
+        raise ValueError("a connection has no customer")
+    zero, amount, nobody = F.lit(0).cast("long"), F.col("bill_cents"), F.lit(None).cast(bills.schema["customer_id"].dataType)
+
+    def leg(account, customer, debit, credit):
+        return F.struct(F.lit(account).alias("account_code"), customer.alias("customer_id"), debit.alias("debit_cents"), credit.alias("credit_cents"))
+
+    legs = F.array(leg(RECEIVABLE, F.col("customer_id"), amount, zero), leg(REVENUE, nobody, zero, amount))
+    # The legs of one transaction are numbered through, and it is one cycle's.
+    out = bills.withColumn("place", F.row_number().over(Window.orderBy("connection_id")) - 1).select("place", F.posexplode(legs).alias("side", "l"))
+    return out.select(F.lit(txn_id).cast("long").alias("txn_id"), F.lit(str(day)).cast("timestamp_ntz").alias("txn_date"), (2 * F.col("place") + F.col("side")).alias("leg_seq"), "l.*", F.lit("bill").alias("source"))
+
+
+def reverse(journal: DataFrame, txn_id: int, new_id: int, day) -> DataFrame:
+    """The legs that undo a transaction: the same with debit and credit changed over.  Without legs there is nothing to undo, an error."""
+    legs = journal.where(F.col("txn_id") == txn_id)
+    if legs.isEmpty():
+        raise ValueError(f"transaction {txn_id} has no legs")
+    return legs.withColumns({"txn_id": F.lit(new_id).cast("long"), "txn_date": F.lit(str(day)).cast("timestamp_ntz"), "debit_cents": F.col("credit_cents"), "credit_cents": F.col("debit_cents"), "source": F.lit("reversal")})
+
+
+def drift(recorded: DataFrame, computed: DataFrame) -> DataFrame:
+    """Bills that aren't recorded as the policy makes them now: other amounts, not recorded, or recorded without one."""
+    r = recorded.select(F.col("connection_id").alias("_r"), F.col("bill_cents").alias("recorded_cents"))
+    c = computed.select("connection_id", F.col("bill_cents").alias("computed_cents"))
+    both = c.join(r, F.col("connection_id") == F.col("_r"), "full")
+    fault = F.when(F.col("_r").isNull(), "not recorded").when(F.col("connection_id").isNull(), "no bill now").when(F.col("recorded_cents") != F.col("computed_cents"), "other amounts")
+    return both.select(F.coalesce("connection_id", "_r").alias("connection_id"), "recorded_cents", "computed_cents", fault.alias("fault")).where("fault is not null")
+
+
 def next_id(df: DataFrame, key: str) -> DataFrame:
     return df.agg((F.coalesce(F.max(key), F.lit(0)) + 1).alias("next_id"))
 
