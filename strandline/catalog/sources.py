@@ -19,7 +19,7 @@ def by_type(spark, sf_dir, *columns):
     return {t: events.where(F.col("event_type") == t).select(*columns) for t in TYPES}
 
 
-@query("src_url")
+@query("src_url", "SELECT * FROM (VALUES ('csv:///a/b.csv?delimiter=;', 'csv', '/a/b.csv', false, NULL, NULL, '[(''delimiter'', '';'')]', NULL), ('host+jsonlogs+zstd:///log/*.zst', 'jsonlogs', '/log/*.zst', true, 'zstd', NULL, '[]', NULL), ('series:///x', 'file', '/x', false, NULL, 'series', '[]', NULL), ('oteljson+gzip+series:///m', 'oteljson', '/m', false, 'gzip', 'series', '[]', NULL), ('/plain/path', 'file', '/plain/path', false, NULL, NULL, '[]', NULL), ('csv://user@host/x', NULL, NULL, NULL, NULL, NULL, NULL, 'an address has no authority: ''csv://user@host/x'''), ('weblog:///a#f', NULL, NULL, NULL, NULL, NULL, NULL, 'an address has no fragment: ''weblog:///a#f''')) t(url, format, path, host, compression, entry_type, options, error)")
 def _(spark, sf_dir):
     """How addresses are read."""
     texts = ["csv:///a/b.csv?delimiter=;", "host+jsonlogs+zstd:///log/*.zst", "series:///x", "oteljson+gzip+series:///m", "/plain/path", "csv://user@host/x", "weblog:///a#f"]
@@ -33,12 +33,12 @@ def _(spark, sf_dir):
     return spark.createDataFrame(rows, "url string, format string, path string, host boolean, compression string, entry_type string, options string, error string")
 
 
-@query("src_scheme_dispatch")
+@query("src_scheme_dispatch", "SELECT * FROM (VALUES ('csv', 'format'), ('excelhtml', 'format'), ('jsonlogs', 'format'), ('oteljson', 'format'), ('weblog', 'format'), ('data', 'builtin'), ('file', 'builtin'), ('series', 'builtin'), ('table', 'builtin')) t(scheme, kind)")
 def _(spark, sf_dir):
     return spark.createDataFrame([(n, urls.FORMATS.classify(n)) for n in [*urls.FORMATS.names(), *sorted(urls.BUILTIN)]], "scheme string, kind string")
 
 
-@query("src_format_registry")
+@query("src_format_registry", "SELECT * FROM (VALUES ('csv'), ('excelhtml'), ('jsonlogs'), ('oteljson'), ('weblog')) t(format)")
 def _(spark, sf_dir):
     return spark.createDataFrame([(n,) for n in urls.FORMATS.names()], "format string")
 
@@ -64,7 +64,7 @@ def _(spark, sf_dir):
     return formats.read(spark, f"file+table://{sf_dir}/part.parquet").select("p_partkey", "p_size")
 
 
-@query("src_csv")
+@query("src_csv", "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
 def _(spark, sf_dir):
     where = scratch.folder(spark, "csv")
     table(spark, sf_dir, "supplier").write.option("header", True).option("sep", ";").csv(where)
@@ -90,8 +90,8 @@ _GAUGE_LINE = (
     + ", ".join(f"max(CASE WHEN event_type = '{t}' THEN value END) AS \"{t}\"" for t in TYPES) + " FROM e WHERE rn = 1 GROUP BY ts",
 )
 def _(spark, sf_dir):
-    lines = table(spark, sf_dir, "events").coalesce(1).sortWithinPartitions("event_id").selectExpr(f"{_GAUGE_LINE} as value")
-    return formats.gauges(lines, list(TYPES))
+    lines = table(spark, sf_dir, "events").selectExpr("event_id", f"{_GAUGE_LINE} as value")
+    return formats.gauges(lines, list(TYPES), order="event_id")
 
 
 @query("src_weblog", "SELECT date_trunc('second', ts) AS timestamp, '10.0.0.' || (user_id % 256) AS remote_addr, '/' || event_type AS path, CAST(200 + event_id % 5 * 100 AS INTEGER) AS status, event_id AS body_bytes_sent FROM events")
@@ -101,11 +101,17 @@ def _(spark, sf_dir):
     return formats.web_log(lines).select(F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "remote_addr", "path", "status", "body_bytes_sent")
 
 
-@query("src_excel_html", "SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS \"Date Time\", value AS \"Level\", NULL::DOUBLE AS \"Note\" FROM events WHERE event_id % 50 = 0")
+@query("src_excel_html", "SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS \"Date Time\", CASE WHEN event_type <> 'view' THEN value END AS \"Level\", NULL::DOUBLE AS \"Note\", CASE WHEN event_type = 'view' THEN value END AS \"Flow\" FROM events")
 def _(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").where("event_id % 50 = 0")
-    page = F.format_string('<table><tr class="dataHeader"><td>Date Time</td><td>Level</td><td>Note</td></tr><tr class="data"><td>%s</td><td>%s</td><td>n/a</td></tr></table>', F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.col("value").cast("string"))
-    return formats.html_table(rows.select(page.alias("value")), ["Date Time", "Level", "Note"])
+    """Exports with different columns: each event is a page, and those of views have a column that the others lack."""
+    rows = table(spark, sf_dir, "events")
+    view = F.col("event_type") == "view"
+    page = F.format_string(
+        '<table><tr class="dataHeader"><td>Date Time</td><td>%s</td></tr><tr class="data"><td>%s</td><td>%s</td><td>n/a</td></tr></table>',
+        F.when(view, "Flow").otherwise("Level</td><td>Note"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.col("value").cast("string"),
+    )
+    pages = rows.select(page.alias("value"))
+    return formats.html_table(pages, formats.html_headers(pages))
 
 
 @query("src_line_clean", "SELECT event_id, trim(replace('  ' || event_type || chr(9731) || ' ', chr(9731), '')) AS line FROM events WHERE event_type <> 'view'")
@@ -114,11 +120,21 @@ def _(spark, sf_dir):
     return formats.clean_lines(lines, "line")
 
 
-@query("src_compression")
+@query("src_compression", "SELECT how, CAST(r_regionkey AS VARCHAR) AS r_regionkey, r_name FROM region, (VALUES ('by name'), ('by address'), ('csv')) t(how)")
 def _(spark, sf_dir):
-    where = scratch.folder(spark, "zipped")
-    table(spark, sf_dir, "region").select(F.to_json(F.struct("*")).alias("value")).write.option("compression", "gzip").text(where)
-    return formats.read(spark, urls.Url("jsonlogs", where, compression="gzip"))
+    """Compressed files named as such, files whose names say nothing, which the address alone tells to be compressed, and a table of the same kind."""
+    r = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    named, plain, sheet = (scratch.folder(spark, "zipped") for _ in range(3))
+    r.select(F.to_json(F.struct("*")).alias("value")).write.option("compression", "gzip").text(named)
+    r.write.option("compression", "gzip").option("header", True).csv(sheet)
+    frames = [("by name", formats.read(spark, urls.Url("jsonlogs", named, compression="gzip")))]
+    for source, target in ((named, plain), (sheet, f"{sheet}-plain")):
+        store = scratch.Store(spark, source)
+        for name, _ in store.files(""):
+            store.copy(name, f"{target}/{name.split('.')[0]}.dat")
+    frames.append(("by address", formats.read(spark, urls.Url("jsonlogs", plain, compression="gzip"))))
+    frames.append(("csv", formats.read(spark, urls.Url("csv", f"{sheet}-plain", compression="gzip", options={"schema": "r_regionkey string, r_name string"}))))
+    return transforms.union_by_name([df.select(F.lit(how).alias("how"), "r_regionkey", "r_name") for how, df in frames])
 
 
 _SERIES = """WITH t AS (SELECT i, TIMESTAMP '2024-01-01' + INTERVAL 15 MINUTE * i AS timestamp, CAST(i * 900 AS DOUBLE) AS s FROM range(0, 97) r(i))
@@ -161,16 +177,23 @@ def _(spark, sf_dir):
     return synthetic.generator(spark, 5000, 2)
 
 
-@query("src_object_store")
+@query("src_object_store", "SELECT owner, part, version, CAST(count(*) AS BIGINT) AS rows FROM (SELECT CASE WHEN event_id % 2 = 0 THEN 'a' ELSE 'b' END AS owner, event_type AS part, CAST(CASE WHEN day(ts) <= 15 THEN 1 ELSE 2 END AS INTEGER) AS version FROM events) WHERE part IN ('click', 'error') GROUP BY ALL")
 def _(spark, sf_dir):
-    """Objects below a folder by path and length, as any of Spark's stores lists them."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "[nr]*.parquet").load(sf_dir).select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "length")
+    """Objects under owner=/part=/version= paths of any store that Spark knows: a listing is pruned by the path, not read."""
+    where = scratch.folder(spark, "objects")
+    e = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 2 == 0, "a").otherwise("b").alias("owner"), F.col("event_type").alias("part"), F.when(F.day("ts") <= 15, 1).otherwise(2).alias("version"))
+    e.write.partitionBy("owner", "part", "version").parquet(where)
+    return spark.read.parquet(where).where("part in ('click', 'error')").groupBy("owner", "part", "version").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("src_git_tree")
+@query("src_git_tree", "SELECT folder, CAST(sum(length(r_name) + 1) AS BIGINT) AS length, sha256(string_agg(r_name || chr(10), '' ORDER BY r_regionkey)) AS digest FROM region, (VALUES ('a/leaf'), ('a/b/leaf')) t(folder) GROUP BY 1")
 def _(spark, sf_dir):
-    """A checked-out tree as a table of names, lengths and content digests."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "region.parquet").load(sf_dir).select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.sha2("content", 256).alias("digest"))
+    """A checked-out tree, folders and all, as a table of paths, lengths and content digests."""
+    where = scratch.folder(spark, "tree")
+    for folder in ("a", "a/b"):
+        table(spark, sf_dir, "region").orderBy("r_regionkey").select("r_name").coalesce(1).write.text(f"{where}/{folder}/leaf")
+    tree = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(where)
+    return tree.select(F.regexp_extract("path", "/tree-[^/]*/(.*)/[^/]*$", 1).alias("folder"), "length", F.sha2("content", 256).alias("digest"))
 
 
 @query("src_information_schema", "SELECT CAST(row_number() OVER () - 1 AS INTEGER) AS position, column_name AS name, CASE data_type WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' ELSE data_type END AS type FROM (DESCRIBE nation) t(column_name, data_type, a, b, c, d)")
@@ -178,13 +201,6 @@ def _(spark, sf_dir):
     return views.describe(table(spark, sf_dir, "nation")).drop("nullable")
 
 
-@query("src_delta_log", "SELECT o_orderstatus AS file_type, CAST(count(*) AS BIGINT) AS n, max(o_orderkey) AS last_version FROM orders GROUP BY 1")
-def _(spark, sf_dir):
-    """A log of changes as one table: entries and newest version by type."""
-    log = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("file_type"), F.col("o_orderkey").alias("version"))
-    return views.sql_view(spark, {"delta_table": log}, "SELECT file_type, count(*) AS n, max(version) AS last_version FROM delta_table GROUP BY file_type")
-
-
 @query("src_hostmount", "SELECT 'tables/region' AS path, CAST(count(*) AS BIGINT) AS n FROM region UNION ALL SELECT 'tables/nation', count(*) FROM nation")
 def _(spark, sf_dir):
     c = views.Catalog(spark)
@@ -196,9 +212,9 @@ def _(spark, sf_dir):
 _PATHS = ["/a/b.csv", "/a/b/c.csv", "/data/site1/temp.series", "/data/site2/temp.series", "/data/x/y/z.log"]
 
 
-@query("glob_parse")
+@query("glob_parse", "SELECT * FROM (VALUES ('/a/*.csv', 'a,*.csv'), ('/data/**/*.log', 'data,**,*.log'), ('/x/y', 'x,y')) t(pattern, parts)")
 def _(spark, sf_dir):
-    return spark.createDataFrame([(p, urls.glob_segments(p)) for p in ("/a/*.csv", "/data/**/*.log", "/x/y")], "pattern string, parts array<string>")
+    return spark.createDataFrame([(p, ",".join(urls.glob_segments(p))) for p in ("/a/*.csv", "/data/**/*.log", "/x/y")], "pattern string, parts string")
 
 
 @query("glob_match_captures", "SELECT url, regexp_extract(url, '^https?://([^/]*)/([a-z]+)/(.*)$', 1) AS host, regexp_extract(url, '^https?://([^/]*)/([a-z]+)/(.*)$', 2) AS lang FROM pages WHERE regexp_matches(url, '^https?://([^/]*)/([a-z]+)/(.*)$')")
@@ -207,35 +223,35 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "pages").where(F.col("url").rlike(rx)).select("url", F.regexp_extract("url", rx, 1).alias("host"), F.regexp_extract("url", rx, 2).alias("lang"))
 
 
-@query("glob_collect")
+@query("glob_collect", "SELECT * FROM (VALUES ('/a/b.csv', '/a/*.csv', 'b'), ('/a/b.csv', '/**', 'a/b.csv'), ('/a/b/c.csv', '/**', 'a/b/c.csv'), ('/data/site1/temp.series', '/data/*/temp.*', 'site1,series'), ('/data/site1/temp.series', '/**', 'data/site1/temp.series'), ('/data/site2/temp.series', '/data/*/temp.*', 'site2,series'), ('/data/site2/temp.series', '/**', 'data/site2/temp.series'), ('/data/x/y/z.log', '/data/**/*.log', 'x/y,z'), ('/data/x/y/z.log', '/**', 'data/x/y/z.log')) t(path, pattern, captures)")
 def _(spark, sf_dir):
-    rows = [(p, q, urls.glob_match(q, p)) for p in _PATHS for q in ("/a/*.csv", "/data/*/temp.*", "/data/**/*.log", "/**")]
-    return spark.createDataFrame(rows, "path string, pattern string, captures array<string>").where("captures is not null")
+    rows = [(p, q, ",".join(found)) for p in _PATHS for q in ("/a/*.csv", "/data/*/temp.*", "/data/**/*.log", "/**") if (found := urls.glob_match(q, p)) is not None]
+    return spark.createDataFrame(rows, "path string, pattern string, captures string")
 
 
-@query("glob_host")
+@query("glob_host", "SELECT * FROM (VALUES ('nation.parquet', ',')) t(name, captures)")
 def _(spark, sf_dir):
     root = sf_dir.removeprefix("file://")
     found = urls.glob_host(f"{root}/*nation*.parquet") if "://" not in root else []
-    return spark.createDataFrame([(p.rsplit("/", 1)[-1], c) for p, c in found], "name string, captures array<string>")
+    return spark.createDataFrame([(p.rsplit("/", 1)[-1], ",".join(c)) for p, c in found], "name string, captures string")
 
 
-@query("url_type_filter")
+@query("url_type_filter", "SELECT * FROM (VALUES ('table:///a', 'table'), ('series:///b', 'series'), ('csv:///c', 'format'), ('csv+series:///d', 'series'), ('file:///e', 'builtin')) t(url, admits)")
 def _(spark, sf_dir):
     rows = [(t, urls.Url.parse(t).entry_type or urls.FORMATS.classify(urls.Url.parse(t).format)) for t in ("table:///a", "series:///b", "csv:///c", "csv+series:///d", "file:///e")]
     return spark.createDataFrame(rows, "url string, admits string")
 
 
-@query("column_glob")
+@query("column_glob", "SELECT * FROM (VALUES ('l_*', 'l_orderkey,l_partkey,l_suppkey,l_linenumber,l_quantity,l_extendedprice,l_discount,l_tax,l_returnflag,l_linestatus,l_shipdate'), ('*date', 'l_shipdate'), ('l_*key', 'l_orderkey,l_partkey,l_suppkey'), ('l_tax', 'l_tax'), ('*a*', ''), ('l_sh*date', 'l_shipdate')) t(pattern, names)")
 def _(spark, sf_dir):
     names = table(spark, sf_dir, "lineitem").columns
-    return spark.createDataFrame([(p, transforms.column_glob(p, names)) for p in ("l_*", "*date", "l_*key", "l_tax", "*a*", "l_sh*date")], "pattern string, names array<string>")
+    return spark.createDataFrame([(p, ",".join(transforms.column_glob(p, names))) for p in ("l_*", "*date", "l_*key", "l_tax", "*a*", "l_sh*date")], "pattern string, names string")
 
 
-@query("out_pattern")
+@query("out_pattern", "SELECT * FROM (VALUES ('reduced/series/site1', '/data/site1/temp.series'), ('reduced/series/site2', '/data/site2/temp.series')) t(name, paths)")
 def _(spark, sf_dir):
     found = [(p, c) for p in _PATHS if (c := urls.glob_match("/data/*/temp.*", p)) is not None]
-    return spark.createDataFrame(sorted(urls.group_outputs("reduced/$1/$0", found).items()), "name string, paths array<string>")
+    return spark.createDataFrame([(name, ",".join(paths)) for name, paths in sorted(urls.group_outputs("reduced/$1/$0", found).items())], "name string, paths string")
 
 
 @query("dynamic_dir", "SELECT 'hourly' AS entry, CAST(count(DISTINCT date_trunc('hour', ts)) AS BIGINT) AS n FROM events UNION ALL SELECT 'renamed', count(*) FROM events")
@@ -252,7 +268,7 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "events").select("user_id", "event_type").dropDuplicates()
 
 
-@query("env_subst")
+@query("env_subst", "SELECT * FROM (VALUES ('${env:HOME_DIR}/x', '/h/x'), ('${env:MISSING:-none}', 'none'), ('cost $$5 ${env:N}', 'cost $5 3')) t(text, result)")
 def _(spark, sf_dir):
     env = {"HOME_DIR": "/h", "N": "3"}
     texts = ["${env:HOME_DIR}/x", "${env:MISSING:-none}", "cost $$5 ${env:N}"]
@@ -294,11 +310,10 @@ def _(spark, sf_dir):
     return views.query_source(table(spark, sf_dir, "events"), "SELECT event_type, count(*) AS n FROM source WHERE value > 42 GROUP BY event_type")
 
 
-@query("sql_explain")
+@query("sql_explain", "SELECT * FROM (VALUES ('source', 'event_id', 'bigint'), ('source', 'ts', 'timestamp_ntz'), ('source', 'user_id', 'bigint'), ('source', 'event_type', 'string'), ('source', 'value', 'double'), ('source', 'props', 'string'), ('result', 'user_id', 'bigint'), ('result', 'value', 'double'), ('read', 'user_id', 'bigint'), ('read', 'value', 'double'), ('pushed', 'value', '>')) t(what, name, type)")
 def _(spark, sf_dir):
-    df = views.query_source(table(spark, sf_dir, "events"), "SELECT user_id, value FROM source WHERE value > 42")
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    return views.describe(df).withColumn("pushed", F.lit("Filter" in plan))
+    """Sources and result of a query by name and type, and what of them is read and filtered at the scan, without running it."""
+    return views.explain(table(spark, sf_dir, "events"), "SELECT user_id, value FROM source WHERE value > 42")
 
 
 @query("sql_view_chain", "SELECT user_id, round(max(value) * 9.0 / 5.0 + 32.0, 4) AS top_f FROM events WHERE event_type = 'view' GROUP BY user_id")
@@ -325,9 +340,9 @@ def _(spark, sf_dir):
     return transforms.within(table(spark, sf_dir, "events").select("event_id", "ts"), "ts", "2024-01-05 00:00:00", "2024-01-06 00:00:00")
 
 
-@query("ext_factory")
+@query("ext_factory", "SELECT * FROM (VALUES ('column-rename', 'in,rules'), ('sql-derived-series', 'patterns,query'), ('sql-derived-table', 'patterns,query'), ('synthetic-timeseries', 'end,interval,points,start,time_column'), ('temporal-reduce', 'aggregations,in,resolution,time_column'), ('timeseries-join', 'align,inputs,time_column'), ('timeseries-pivot', 'columns,pattern,time_column')) t(factory, keys)")
 def _(spark, sf_dir):
-    return spark.createDataFrame([(n, sorted(k)) for n, (_, k) in sorted(views.FACTORIES.known.items())], "factory string, keys array<string>")
+    return spark.createDataFrame([(n, ",".join(sorted(k))) for n, (_, k) in sorted(views.FACTORIES.known.items())], "factory string, keys string")
 
 
 @query("ext_format", "SELECT event_id, upper(event_type) AS shout FROM events")

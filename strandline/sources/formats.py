@@ -7,12 +7,14 @@ columns of other tables.  Bad lines are left out, as a log reader must.
 from __future__ import annotations
 
 import html.parser
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.operators.transforms import union_by_name
-from strandline.sources.urls import FORMATS, Url, glob_host
+from strandline.plans import scratch
+from strandline.sources.urls import COMPRESSIONS, FORMATS, Url, glob_host
 
 
 def clean_lines(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -37,10 +39,13 @@ def json_columns(lines: DataFrame, names: list[str] | None = None, column: str =
 GAUGES = "struct<resourceMetrics:array<struct<scopeMetrics:array<struct<metrics:array<struct<name:string,gauge:struct<dataPoints:array<struct<timeUnixNano:string,asDouble:double,asInt:string>>>>>>>>>>"
 
 
-def gauges(lines: DataFrame, metrics: list[str] | None = None, column: str = "value") -> DataFrame:
-    """Telemetry lines to one row a time with a double for each gauge, by name; of repeated points the last read wins."""
+def gauges(lines: DataFrame, metrics: list[str] | None = None, column: str = "value", order: str | None = None) -> DataFrame:
+    """Telemetry lines to one row a time with a double for each gauge, by name; of repeated points the last read wins.
+
+    order: a column that lines are read in the order of, where files don't give it.
+    """
     points = (
-        clean_lines(lines, column).withColumn("_line", F.monotonically_increasing_id())
+        clean_lines(lines, column).withColumn("_line", F.col(order).cast("long") if order else F.monotonically_increasing_id())
         .select("_line", F.from_json(column, GAUGES).alias("j"))
         .select("_line", F.posexplode("j.resourceMetrics").alias("a", "r"))
         .select("_line", "a", F.posexplode("r.scopeMetrics").alias("b", "s"))
@@ -56,22 +61,31 @@ def gauges(lines: DataFrame, metrics: list[str] | None = None, column: str = "va
     return last.groupBy("timestamp").pivot("name", sorted(metrics)).agg(F.first("v"))
 
 
-_LOG = r'^(\S+) \S+ (\S+) \[([^\]]+)\] "([^"]*)" (\d{3}) (\d+|-)(?: "([^"]*)" "([^"]*)")?'
+#: The fields of a line in the common log format, as a server's format string lists them, and two that the combined one adds.
+_LOG_FIELDS = ("host", "identity", "user", "day", "zone", "request", "status", "bytes", "referer", "agent", "more")
 
 
 def web_log(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Access logs in the common or combined format; a dash is null, or no bytes."""
-    part = lambda i: F.regexp_extract(column, _LOG, i)
+    """Access logs in the common or combined format; a dash is null, or no bytes.
+
+    A line is fields between spaces, some in quotes, the time in brackets: it is
+    parsed once, and lines with other fields go.
+    """
+    keep = [c for c in lines.columns if c != column]
+    parsed = F.from_csv(F.col(column), ", ".join(f"{f} string" for f in _LOG_FIELDS), {"sep": " ", "quote": '"', "escape": "\\", "mode": "PERMISSIVE"})
     known = lambda c: F.nullif(F.nullif(c, F.lit("-")), F.lit(""))
-    request = F.split(part(4), " ")
+    f = {name: F.col("_log").getField(name) for name in _LOG_FIELDS}
+    request = F.split(f["request"], " ")
     piece = lambda i: F.when(F.size(request) > i, known(request[i]))
-    keep = [c for c in lines.columns if c != column]
-    return lines.where(F.col(column).rlike(_LOG)).select(
+    timed = f["day"].startswith("[") & f["zone"].endswith("]")
+    sized = (f["bytes"] == "-") | f["bytes"].try_cast("long").isNotNull()
+    good = timed & (F.length(f["status"]) == 3) & f["status"].try_cast("int").isNotNull() & sized & f["request"].isNotNull() & f["more"].isNull()
+    return lines.withColumn("_log", parsed).where(good).select(
         *keep,
-        F.try_to_timestamp(part(3), F.lit("dd/MMM/yyyy:HH:mm:ss Z")).alias("timestamp"), part(1).alias("remote_addr"), known(part(2)).alias("remote_user"),
-        piece(0).alias("method"), piece(1).alias("path"), piece(2).alias("protocol"), part(5).cast("int").alias("status"),
-        F.coalesce(part(6).try_cast("long"), F.lit(0).cast("long")).alias("body_bytes_sent"), known(part(7)).alias("http_referer"), known(part(8)).alias("http_user_agent"),
-    )
+        F.try_to_timestamp(F.concat_ws(" ", F.substring(f["day"], F.lit(2), F.length(f["day"])), F.rtrim(f["zone"], F.lit("]"))), F.lit("dd/MMM/yyyy:HH:mm:ss Z")).alias("timestamp"),
+        f["host"].alias("remote_addr"), known(f["user"]).alias("remote_user"), piece(0).alias("method"), piece(1).alias("path"), piece(2).alias("protocol"), f["status"].cast("int").alias("status"),
+        F.coalesce(f["bytes"].try_cast("long"), F.lit(0).cast("long")).alias("body_bytes_sent"), known(f["referer"]).alias("http_referer"), known(f["agent"]).alias("http_user_agent"),
+    )
 
 
 class _Rows(html.parser.HTMLParser):
@@ -112,6 +126,22 @@ def html_rows(page: str) -> tuple[list[str], list[list[str | None]]]:
     return p.header, [[c or None for c in (r + [""] * n)[:n]] for r in p.rows]
 
 
+def html_headers(pages: DataFrame, column: str = "value") -> list[str]:
+    """The columns of all pages, each once: those of the first header, then what others have more (one row for each different header)."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        seen = set()
+        for batch in batches:
+            for page in batch.column(0).to_pylist():
+                seen.add(tuple(html_rows(page)[0]))
+        yield pa.RecordBatch.from_arrays([pa.array([list(h) for h in sorted(seen)], pa.list_(pa.string()))], names=["header"])
+
+    headers = pages.select(column).mapInArrow(run, "header array<string>").distinct().collect()
+    return list(dict.fromkeys(name for h in sorted((r.header for r in headers), key=lambda h: (-len(h), h)) for name in h))
+
+
 def html_table(pages: DataFrame, header: list[str], column: str = "value", text_columns: tuple[str, ...] = ("Date Time",)) -> DataFrame:
     """Rows of HTML table exports with a known header; all columns are doubles but the text columns."""
 
@@ -138,8 +168,47 @@ def _paths(url: Url) -> list[str]:
     return found
 
 
-def _lines(spark: SparkSession, url: Url) -> DataFrame:
-    return spark.read.text(_paths(url))
+_DECODERS = {"gzip": "gzip", "bzip2": "bz2", "zstd": "zstandard"}
+
+
+def _suffix_says(path: str) -> str | None:
+    return next((name for name, suffix in COMPRESSIONS.items() if path.endswith(f".{suffix}")), None)
+
+
+def _decoded(spark: SparkSession, url: Url, whole: bool = False) -> DataFrame:
+    """Column value: the lines (whole: the text) of files that are decoded as the address says, whatever their names say."""
+    module, kind = _DECODERS[url.compression], url.compression
+
+    def run(batches):
+        import importlib
+        import io
+
+        import pyarrow as pa
+
+        codec = importlib.import_module(module)
+        for batch in batches:
+            for data in batch.column(0):
+                raw = io.BytesIO(data.as_py())
+                stream = codec.ZstdDecompressor().stream_reader(raw, read_across_frames=True) if kind == "zstd" else codec.open(raw)
+                text = io.TextIOWrapper(io.BufferedReader(stream) if kind == "zstd" else stream, "utf-8", "replace", newline="\n")
+                if whole:
+                    yield pa.RecordBatch.from_arrays([pa.array([text.read()])], names=["value"])
+                    continue
+                while part := text.readlines(1 << 20):
+                    yield pa.RecordBatch.from_arrays([pa.array([x.rstrip("\n").removesuffix("\r") for x in part])], names=["value"])
+
+    return spark.read.format("binaryFile").load(_paths(url)).select("content").mapInArrow(run, "value string")
+
+
+def _named_otherwise(url: Url) -> bool:
+    """Whether the address names a compression that Spark's readers, which go by file names, would not undo."""
+    return url.compression is not None and any(_suffix_says(p) != url.compression for p in _paths(url))
+
+
+def _lines(spark: SparkSession, url: Url, whole: bool = False) -> DataFrame:
+    if _named_otherwise(url):
+        return _decoded(spark, url, whole)
+    return spark.read.text(_paths(url), wholetext=whole)
 
 
 @FORMATS.register("csv")
@@ -150,6 +219,12 @@ def read_csv(spark: SparkSession, url: Url) -> DataFrame:
     if "escape" in o:
         reader = reader.option("escape", o["escape"])
     reader = reader.schema(o["schema"]) if "schema" in o else reader.option("inferSchema", True).option("samplingRatio", float(o.get("sample", 1.0)))
+    if _named_otherwise(url):
+        folders = []
+        for path in _paths(url):  # a folder a file, so that each keeps its header
+            folders.append(scratch.folder(spark, "decoded"))
+            _lines(spark, replace(url, path=path)).coalesce(1).write.text(folders[-1])
+        return union_by_name([reader.csv(p) for p in folders])
     return union_by_name([reader.csv(p) for p in _paths(url)]) if len(_paths(url)) > 1 else reader.csv(_paths(url))
 
 
@@ -170,15 +245,16 @@ def read_web_log(spark: SparkSession, url: Url) -> DataFrame:
 
 @FORMATS.register("excelhtml")
 def read_html_table(spark: SparkSession, url: Url) -> DataFrame:
-    pages = spark.read.text(_paths(url), wholetext=True)
-    header = html_rows(pages.first()[0])[0]
-    return html_table(pages, header)
+    """All files' columns by name, in the order in which they come up; what a file lacks is null."""
+    pages = _lines(spark, url, whole=True)
+    return html_table(pages, html_headers(pages))
 
 
 def read(spark: SparkSession, address: str | Url, one: bool = False) -> DataFrame:
     """The table at an address; of a pattern, all matches by name (refused where `one` table is asked for).
 
-    Compressed text is decoded by the file's extension.
+    Compressed text is decoded as the address says, and without a word there by the
+    file's extension.
     """
     url = address if isinstance(address, Url) else Url.parse(address)
     if one and url.is_pattern:
