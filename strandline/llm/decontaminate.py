@@ -36,10 +36,14 @@ from pyspark.sql import functions as F
 from strandline.llm import common, tokens
 
 #: Features that words are hashed to, and latent dimensions.
-FEATURES, RANK = 1 << 14, 208
+FEATURES, RANK = 1 << 14, 144
+#: Entries of each row of the random matrix.
+SIGNS = 4
+#: A feature that occurs more often than this in a chunk of texts is frequent there.
+OFTEN = 16
 #: Words of a passage in the decomposition, and the passages' energy in it against the items'.
 PASSAGE, PASSAGE_WEIGHT = 48, 0.1
-#: Words per block; windows are 2, 4 and 6 blocks.
+#: Words per block; windows are 2, 4 and 6 blocks, even numbers.
 BLOCK = 12
 WINDOWS = (2, 4, 6)
 COSINE = 0.25
@@ -134,12 +138,28 @@ def weights(df: np.ndarray, n: int) -> np.ndarray:
     return (np.log((n + 1) / (df + 1)) + 1).astype(np.float32)
 
 
-def _random(seed: int = 3) -> np.ndarray:
-    return np.random.default_rng(seed).normal(size=(FEATURES, RANK)).astype(np.float32)
+def _random(seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """A random matrix of features by RANK with SIGNS entries of 1 or -1 a row: their columns and signs."""
+    rng = np.random.default_rng(seed)
+    return rng.integers(0, RANK, (FEATURES, SIGNS)), rng.choice(np.array([-1, 1], np.float32), (FEATURES, SIGNS))
 
 
-def sketched(passage: np.ndarray, feature: np.ndarray, n: int, idf: np.ndarray, other: float, foreign: np.ndarray, test: np.ndarray, out: np.ndarray) -> None:
-    """Adds A'(A test) to out, for n passages of unit length; passage, sorted, names the one of each feature.
+def run_sums(table: np.ndarray, index: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """The sum of table[index] over each run of index that begins at cut: the first rows of all runs, then the second ones, and so on."""
+    count = np.diff(np.append(cut, len(index)))
+    order = np.argsort(-count, kind="stable")
+    head, count = cut[order], count[order]
+    total = np.take(table, index[head], axis=0)
+    for j in range(1, int(count[0])):
+        n = int(np.searchsorted(-count, -j, side="left"))
+        total[:n] += np.take(table, index[head[:n] + j], axis=0)
+    out = np.empty_like(total)
+    out[order] = total
+    return out
+
+
+def sketched(passage: np.ndarray, feature: np.ndarray, n: int, idf: np.ndarray, other: float, foreign: np.ndarray, test, out: np.ndarray) -> None:
+    """Adds A'(A R) to out, for n passages of unit length; passage, sorted, names the one of each feature.
 
     foreign: words of each passage without a feature, which count in its length alone.
     """
@@ -147,16 +167,31 @@ def sketched(passage: np.ndarray, feature: np.ndarray, n: int, idf: np.ndarray,
     if not len(used):
         return
     weight = idf[feature]
-    y = np.add.reduceat(test[feature] * weight[:, None], cut, axis=0)
+    row = np.repeat(np.arange(len(used)), np.diff(np.append(cut, len(passage))))
+    columns, signs = test
+    place = (row[:, None] * RANK + columns[feature]).ravel()
+    y = np.bincount(place, weights=(signs[feature] * weight[:, None]).ravel(), minlength=len(used) * RANK).reshape(len(used), RANK).astype(np.float32)
     # Squared lengths: a feature that a passage repeats counts with its square.
-    key, inverse = np.unique(passage * FEATURES + feature, return_inverse=True)
-    count = np.bincount(inverse)
-    square = np.bincount(np.searchsorted(used, key // FEATURES), weights=(count * idf[key % FEATURES]) ** 2) + foreign[used] * other
+    key, times = np.unique(row * FEATURES + feature, return_counts=True)
+    square = np.bincount(key // FEATURES, weights=(times * idf[key % FEATURES]) ** 2, minlength=len(used)) + foreign[used] * other
     y /= square[:, None].astype(np.float32)  # once for each of the two factors
-    row = np.repeat(np.arange(len(used)), np.diff(np.append(cut, len(passage))))
-    order = np.argsort(feature, kind="stable")
-    names, first = np.unique(feature[order], return_index=True)
-    out[names] += np.add.reduceat(y[row[order]], first, axis=0) * idf[names][:, None]
+    # Sums of the passages of each feature: frequent ones as a product of matrices, the others row by row.
+    times = np.bincount(feature, minlength=FEATURES)
+    often = np.flatnonzero(times > OFTEN)
+    if len(often):
+        slot = np.full(FEATURES, -1)
+        slot[often] = np.arange(len(often))
+        here = slot[feature]
+        on = here >= 0
+        counts = np.bincount(here[on] * len(used) + row[on], minlength=len(often) * len(used)).reshape(len(often), len(used)).astype(np.float32)
+        out[often] += counts @ y * idf[often][:, None]
+        feature, row = feature[~on], row[~on]
+    if len(feature):
+        order = np.argsort(feature.astype(np.uint16), kind="stable")
+        feature, row = feature[order], row[order]
+        first = np.flatnonzero(np.concatenate(([True], feature[1:] != feature[:-1])))
+        names = feature[first]
+        out[names] += run_sums(y, row, first) * idf[names][:, None]
 
 
 def _sketch(shared, other: float):
@@ -338,32 +373,30 @@ class Retriever:
             return
         text_of = np.searchsorted(offsets, at, side="right") - 1
         block = first[text_of] + (at - offsets[text_of]) // BLOCK
-        used, row = np.unique(block, return_inverse=True)
-        sums = np.add.reduceat(self.space.projection[term], np.unique(row, return_index=True)[1], axis=0)
+        # Blocks lie one after the other, with as many empty ones after each text as keep windows within it.
+        gap = max(WINDOWS) - 1
+        place = np.arange(first[-1]) + gap * text
+        sums = np.zeros((first[-1] + gap * len(offsets), self.space.projection.shape[1]), np.float32)
+        cut = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
+        sums[place[block[cut]]] = run_sums(self.space.projection, term, cut)
         # Words outside the vocabulary have no place in the latent space, but count as rare ones in a window's length.
-        inside_block = np.bincount(block, minlength=first[-1])
-        foreign = np.concatenate(([0], np.cumsum(np.minimum(BLOCK, offsets[text + 1] - start) - inside_block)))
-        place = np.full(first[-1], -1, np.int64)
-        place[used] = np.arange(len(used))
-        sums = np.concatenate((sums, np.zeros((1, sums.shape[1]), np.float32)))  # -1: an empty block
-        last = first[1:][text] - 1  # last block of the block's text
+        inside = np.zeros(len(sums), np.int64)
+        inside[place] = np.bincount(block, minlength=first[-1])
+        known = np.concatenate(([0], np.cumsum(inside)))
+        twos = sums[:-1] + sums[1:]
         for size in WINDOWS:
             step = size // 2
-            begin = np.flatnonzero(((np.arange(first[-1]) - first[text]) % step) == 0)
-            index = begin[:, None] + np.arange(size)
-            inside = index <= last[begin][:, None]
-            index = np.where(inside, place[np.minimum(index, first[-1] - 1)], -1)
-            some = (index >= 0).any(axis=1)
-            # A window that only repeats the tail of the one before it adds nothing.
-            begin, index = begin[some], index[some]
+            begin = np.flatnonzero((np.arange(first[-1]) - first[text]) % step == 0)
+            terms = known[place[begin] + size] - known[place[begin]]
+            begin, terms = begin[terms > 0], terms[terms > 0]
             if not len(begin):
                 continue
-            vector = sums[index[:, 0]].copy()
-            for j in range(1, size):
-                vector += sums[index[:, j]]
+            vector = twos[place[begin]]
+            for j in range(2, size, 2):
+                vector += twos[place[begin] + j]
             end = np.minimum(start[begin] + size * BLOCK, offsets[text[begin] + 1])
-            others = foreign[np.minimum(begin + size, last[begin] + 1)] - foreign[begin]
-            yield vector, np.sqrt((vector * vector).sum(axis=1) + others * self.space.other), text[begin], start[begin], end
+            others = end - start[begin] - terms
+            yield vector, np.sqrt(np.einsum("ij,ij->i", vector, vector) + others * self.space.other), text[begin], start[begin], end
 
     def candidates(self, h: np.ndarray, offsets: np.ndarray):
         """(text, item, first word, end) of every window and item whose latent cosine reaches COSINE."""
@@ -371,7 +404,7 @@ class Retriever:
             return
         for vector, norm, text, start, end in self.windows(h, offsets):
             # No cosine is above the share of a window's length that lies in the latent space.
-            may = np.flatnonzero((vector * vector).sum(axis=1) >= (COSINE * norm) ** 2)
+            may = np.flatnonzero(np.einsum("ij,ij->i", vector, vector) >= (COSINE * norm) ** 2)
             vector, norm, text, start, end = vector[may], norm[may], text[may], start[may], end[may]
             for at in range(0, len(vector), 8192):
                 part = slice(at, at + 8192)
@@ -450,6 +483,7 @@ def _search(shared, kind):
                 [batch.column(0).take(rows), *(pa.array([x[j] for x in out], t) for j, t in ((1, pa.int64()), (2, pa.int64()), (3, pa.float64()), (4, pa.float64()), (5, pa.float64())))],
                 names=["doc_id", "item_id", "first_word", "cosine", "lcs_share", "answer_share"],
             )
+        common.trim()
 
     return run
 
