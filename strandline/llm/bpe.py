@@ -524,6 +524,7 @@ class Encoder:
     def forget(self) -> None:
         """Lets go of the memos: an idle worker keeps the lexicon alone."""
         self.memo, self.merger.memo = {}, {}
+        common.trim()
 
 
 class _Joined:
@@ -568,7 +569,10 @@ def prepare(docs: DataFrame, tokenizer_path: str, units: int = LEXICON_UNITS):
     def compile_all(batches):
         words = [u for batch in batches for u in batch.column(0).to_pylist()]
         file = lexicon_file(Merger(spec.value), words)
-        yield pa.RecordBatch.from_arrays([pa.array([len(file)]), pa.array([pa.compress(file, "zstd", asbytes=True)], pa.binary())], names=["size", "file"])
+        size, file = len(file), pa.compress(file, "zstd", asbytes=True)
+        del words
+        common.trim()
+        yield pa.RecordBatch.from_arrays([pa.array([size]), pa.array([file], pa.binary())], names=["size", "file"])
 
     with common.Scratch(spark) as scratch:
         made = frequent_units(docs, scratch, units).repartition(1).mapInArrow(compile_all, "size long, file binary").first()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import math
 import tempfile
@@ -110,10 +112,16 @@ def settings(spark: SparkSession) -> None:
 
 
 def plain_memory() -> None:
-    """In a Python worker: Arrow's buffers from the system's allocator, which gives free ones back."""
+    """In a Python worker: Arrow's buffers come from the system's allocator, which `trim` clears."""
     pa.set_memory_pool(pa.system_memory_pool())
 
 
+def trim() -> None:
+    """In a Python worker that is done with a task: what was freed goes back to the system, for workers wait long for the next one."""
+    with contextlib.suppress(AttributeError, OSError):  # the C library can, or does so by itself
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_bytes(df: DataFrame, column: str = "text") -> int:
     return df.agg(F.sum(F.octet_length(F.col(column).cast("string")))).first()[0] or 0
 

@@ -109,6 +109,7 @@ def _signatures(k: int):
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
                 names=["doc_id", "n_shingles", "set_id", "bands"],
             )
+        common.trim()
 
     return run
 
@@ -121,6 +122,7 @@ def _sets(k: int):
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
             flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([digest(x) for x in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["id", "set_id", "items"])
+        common.trim()
 
     return run
 

@@ -289,7 +289,9 @@ def train(docs: DataFrame, labels: DataFrame, may_learn, rows: int = TRAIN_ROWS)
     def run(batches):
         batches = list(batches)
         if batches:
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(pa.Table.from_batches(batches)))], pa.binary())], names=["model"])
+            made = pickle.dumps(fit(pa.Table.from_batches(batches)))
+            common.trim()
+            yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], names=["model"])
 
     made = sample.repartition(1).mapInArrow(run, "model binary").first()
     return pickle.loads(bytes(made.model)) if made else Model()
@@ -304,6 +306,7 @@ def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
         for batch in batches:
             s = shared.value.scores(batch.column(batch.num_columns - 1))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*batch.schema.names[:-1], "score", "predicted"])
+        common.trim()
 
     kept = docs.select(*[F.col(f"`{c}`") for c in keep])
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
@@ -320,6 +323,7 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
         common.plain_memory()
         for batch in batches:
             yield batch.filter(pa.array(shared.value.scores(batch.column(at).cast(pa.string())) < 0.5))
+        common.trim()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -143,11 +143,11 @@ def test_lm_matches_brute_force(odd, none, monkeypatch):
 
 def automaton_of(texts, trained):
     """The whole automaton of a few texts, as one shard makes it."""
-    shard = lm.Shard(pa.chunked_array([texts]), pa.chunked_array([[not x for x in trained]]))
-    counts = np.bincount(shard.words[shard.trained], minlength=len(shard.hashes))
-    shard.number(np.arange(1, len(counts) + 1), counts)
-    grams = (np.bincount(shard.pair_of[shard.trained], minlength=len(shard.pairs)), np.bincount(shard.triple_of[shard.trained[shard.inner]], minlength=len(shard.triples)))
-    return shard, lm.Automaton(shard, *grams, int(counts.sum()), int((counts > 0).sum()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([not x for x in trained]), pa.array(texts)], names=["doc_id", "held_out", "text"])
+    shard = lm.Shard(lm._encoded([batch], 0).to_pylist()[0])
+    counts = shard.own_counts
+    shard.number(np.arange(1, len(counts) + 1), counts, np.zeros(len(counts), bool))
+    return shard, lm.Automaton(shard, int(counts.sum()), int((counts > 0).sum()))
 
 
 def test_automaton_is_a_distribution():
@@ -475,6 +475,38 @@ def test_latent_search_recalls_what_brute_force_finds(spark):
     assert len(true) > 10 and len(true & got) >= 0.9 * len(true)
 
 
+def test_paraphrases_are_found(spark):
+    """Items of the benchmark with a fifth to two fifths of their words changed, the answer kept, within texts of the corpus."""
+    rng = random.Random(11)
+    sf = "/root/testdata/sf0.01"
+    docs, bench = common.table(spark, sf, "documents").select("doc_id", "text"), common.table(spark, sf, "benchmark")
+    items, texts = [tuple(r) for r in bench.select("item_id", "text").collect()], [r.text.split() for r in docs.collect() if r.text and len(r.text) > 2000]
+    vocabulary = sorted({w for t in texts for w in t})
+    rows, planted = [], set()
+    for d in range(10**6, 10**6 + 200):
+        item, text = rng.choice(items)
+        w = words(text)
+        cut = len(re.split(r"[.!?]\s+", text.rstrip(" .!?"))[-1].split())
+        if len(w) - cut < 8:
+            continue
+        for j in rng.sample(range(len(w) - cut), min(len(w) - cut, int(rng.uniform(0.2, 0.4) * len(w)))):
+            w[j] = rng.choice(vocabulary)
+        base = rng.choice(texts)[:300]
+        at = rng.randint(0, len(base))
+        rows.append((d, " ".join([*base[:at], *w, *base[at:]])))
+        planted.add((d, item))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs.union(spark.createDataFrame(rows, "doc_id long, text string")), bench).collect()}
+    assert len(planted) > 100 and len(planted & got) >= 0.95 * len(planted)
+
+
+def test_result_does_not_depend_on_passes(spark, monkeypatch):
+    """A benchmark searched for in many passes, and documents dealt otherwise, give the same rows."""
+    docs, bench = common.table(spark, SF, "documents"), common.table(spark, SF, "benchmark")
+    want = sorted(map(tuple, decontaminate.contaminated(docs, bench).collect()))
+    monkeypatch.setattr(decontaminate, "MAX_ITEMS", 30)
+    assert want and [r[:3] for r in sorted(map(tuple, decontaminate.contaminated(docs.repartition(7), bench).collect()))] == [r[:3] for r in want]
+
+
 def test_toxicity_learns_and_ignores_other_columns(spark, odd, none):
     rng = random.Random(6)
     fill = ["".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(400)]
@@ -501,6 +533,26 @@ def test_toxicity_learns_and_ignores_other_columns(spark, odd, none):
     assert {r.score for r in toxicity.score(docs, toxicity.train(docs, labels.where("false"), F.lit(True)), "doc_id").collect()} == {0.0}
 
 
+def test_toxicity_of_odd_labels(spark, odd):
+    """Null, repeated and contradictory labels, labels of no document, and labels of one class."""
+    rows = [(0, 1), (0, 1), (1, 0), (2, 1), (2, 0), (3, None), (None, 1), (99999, 1), *((i, i % 2) for i in range(4, 14))]
+    labels = spark.createDataFrame(rows, "doc_id long, toxic int").withColumn("text", F.lit("clash"))
+    for l in (labels, labels.where("toxic = 1"), labels.where("false")):
+        model = toxicity.train(odd, l, F.lit(True))
+        got = toxicity.score(odd, model, "doc_id").collect()
+        assert len(got) == odd.count() and all(0 <= r.score <= 1 for r in got)
+    same = toxicity.train(odd, labels, F.lit(True)), toxicity.train(odd.repartition(5), labels.repartition(3), F.lit(True))
+    assert all(np.array_equal(a, b) for a, b in zip(same[0].p.values(), same[1].p.values(), strict=True))
+
+
+def test_toxicity_on_held_out_labels(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = common.table(spark, sf, "documents"), common.table(spark, sf, "labels")
+    got = toxicity.op7(spark, sf).where("held_out").join(labels, "doc_id").collect()
+    assert len(got) > 500 and sum(r.predicted == r.toxic for r in got) >= 0.98 * len(got)
+    assert sum(r.predicted for r in got if r.toxic) >= 0.9 * sum(r.toxic for r in got)
+
+
 def test_forward_passes_agree():
     model = toxicity.Model()
     for rows, offsets, _ in toxicity.features(pa.array(["some words here and there", "", "x", "a b " * 50])):
@@ -536,7 +588,8 @@ def noisy(spark):
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(800)]
     texts += [None, "", "7" * 100_000, "+1" + "(" * 50_000, "a" * 100_000 + "@", "token" + " " * 20_000, "secret=token: abcdefgh"]
     rows = [(i, t, f"s{i % 5}" if i % 7 else None, "clash") for i, t in enumerate(texts)]
-    return spark.createDataFrame([*rows, rows[3]], "doc_id long, text string, source string, row string").repartition(4)
+    df = spark.createDataFrame([*rows, rows[3]], "doc_id long, text string, source string, row string").repartition(4)
+    return df.withColumns({c: F.lit("clash") for c in "found s value random owners repository kind start _row _found spans n_email top_score".split()})
 
 
 def test_pii_matches_brute_force(noisy):
@@ -601,6 +654,21 @@ def test_sharding(spark, odd, none):
         sharding.fill([])
 
 
+def test_turns_of_shards():
+    """Each shard's whole order of slots written out; in turn, each takes the first that is still free."""
+    names, size = [f"s{i}" for i in range(5)], 101
+    orders = []
+    for name in names:
+        h = hashlib.md5(name.encode()).hexdigest()
+        orders.append([(int(h[:16], 16) % size + k * (int(h[16:], 16) % (size - 1) + 1)) % size for k in range(size)])
+    assert all(sorted(o) == list(range(size)) for o in orders)
+    owner = {}
+    for turn in range(size):
+        i = turn % 5
+        owner[next(x for x in orders[i] if x not in owner)] = i
+    assert sharding.fill(names, size) == [owner[x] for x in range(size)]
+
+
 def page_text(page):
     m = re.search(r"<article>(.*?)(</article>|$)", page, re.S)
     return " ".join(html.unescape(re.sub(r"</?b>", "", re.sub(r"</?(p|h1|br)[^>]*>", " ", m[1]))).split())
@@ -709,6 +777,16 @@ def test_pipeline(spark):
     assert last.count() == len(texts) and "ids" in last.columns
 
 
+def test_pipeline_on_odd_rows(spark, odd, none):
+    """Nulls, repeats, long texts and columns of any name, and no rows at all, go through every stage."""
+    for docs in (odd, none):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            before = docs
+            docs = common.written(stage(spark, docs, SF), name)
+            same_rows(docs, before)
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_run(name, spark):
     table = {"op2_host_suffix_extraction": "pages"}.get(name, "documents")
