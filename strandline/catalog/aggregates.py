@@ -135,9 +135,27 @@ def _digests(spark, sf_dir, name, *columns):
     return table(spark, sf_dir, name).withColumn("digest", integrity.row_digest(list(columns)))
 
 
-@query("ck_fsck", f"SELECT n_regionkey, CAST(count(*) AS BIGINT) AS n, sha256(string_agg(d, '' ORDER BY d)) AS digest FROM (SELECT *, {_DIGEST.format('n_nationkey', 'n_name')} AS d FROM nation) GROUP BY 1")
+_TREE = "SELECT *, {} AS d, (SELECT r_name FROM region WHERE r_regionkey = n_regionkey) AS owner, CAST(n_nationkey % 2 AS INTEGER) AS part FROM nation".format(_DIGEST.format("n_nationkey", "n_name"))
+
+
+@query(
+    "ck_fsck",
+    f"WITH t AS ({_TREE}), p AS (SELECT owner, part, CAST(count(*) AS BIGINT) AS n, sha256(string_agg(d, '' ORDER BY d)) AS digest FROM t GROUP BY ALL), o AS (SELECT owner, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(digest, '' ORDER BY digest)) AS digest FROM p GROUP BY 1) "
+    "SELECT owner, part, n, digest FROM p UNION ALL SELECT owner, NULL, n, digest FROM o UNION ALL SELECT NULL, NULL, CAST(sum(n) AS BIGINT), sha256(string_agg(digest, '' ORDER BY digest)) FROM o",
+)
+def _(spark, sf_dir):
+    """Digests of each part, each owner over its parts, and the root over all owners."""
+    names = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("owner"))
+    rows = _digests(spark, sf_dir, "nation", "n_nationkey", "n_name").join(names, "n_regionkey").withColumn("part", (F.col("n_nationkey") % 2).cast("int"))
+    return integrity.tree(rows, ["owner", "part"])
+
+
+@query("ck_fsck_content", "SELECT c_custkey FROM customer WHERE c_custkey % 40 = 7 OR c_custkey % 90 = 11")
 def _(spark, sf_dir):
-    return integrity.fold_digests(_digests(spark, sf_dir, "nation", "n_nationkey", "n_name"), ["n_regionkey"])
+    """The second pass: contents hashed again and held against stored digests, some of which were changed, some lost."""
+    key = F.col("c_custkey")
+    stored = _digests(spark, sf_dir, "customer", "c_custkey", "c_name").withColumn("digest", F.when(key % 40 == 7, F.reverse("digest")).when(key % 90 == 11, None).otherwise(F.col("digest")))
+    return integrity.wrong_rows(stored, integrity.row_digest(["c_custkey", "c_name"]), "digest").select("c_custkey")
 
 
 _LIMB_SQL = ", ".join(f"CAST(sum(CAST('0x' || substr(d, {1 + 8 * i}, 8) AS BIGINT)) AS BIGINT) AS limb{i}" for i in range(8))

@@ -285,7 +285,7 @@ def _levels(frames):
 
 @query("tr_multi_resolution", ALL_LEVELS)
 def _(spark, sf_dir):
-    return _levels(reduce.resolutions(_events(spark, sf_dir), "ts", list(LEVELS), SPEC))
+    return _levels(reduce.resolutions(_events(spark, sf_dir), "ts", list(LEVELS), SPEC, ordered=False))
 
 
 @query("tr_partials", f'SELECT {HOUR} AS _bucket, count(*) AS "*#rows", round(sum(value), 4) AS "value#sum", count(value) AS "value#count" FROM events GROUP BY 1')
@@ -359,7 +359,7 @@ def _rolled(spark, versions, lateness="1d", steps=None):
 @query("st_cascade", ALL_LEVELS)
 def _(spark, sf_dir):
     r, _ = _rolled(spark, _versions(spark, sf_dir))
-    return _levels({n: r.read(n) for n in LEVELS})
+    return _levels({n: r.read(n, ordered=False) for n in LEVELS})
 
 
 @query("st_seal", _level_sql("6h"))
@@ -367,7 +367,7 @@ def _(spark, sf_dir):
     """Four builds, each with one version more: sealed runs and the hot part are the single pass."""
     v = _versions(spark, sf_dir)
     r, _ = _rolled(spark, v, steps=[list(v)[: k + 1] for k in range(len(v))])
-    return _levels({"6h": r.read("6h")})
+    return _levels({"6h": r.read("6h", ordered=False)})
 
 
 @query("st_hot", "SELECT '1h' AS resolution, CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT " + HOUR + " AS b FROM events) WHERE b >= (SELECT max(" + HOUR + ") - INTERVAL 1 DAY FROM events)")

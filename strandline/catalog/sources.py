@@ -162,8 +162,14 @@ for _name, (_parts, _sql) in _WAVES.items():
 
 @query("src_device_api", "SELECT time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '1970-01-01') AS timestamp, " + ", ".join(f"max(CASE WHEN event_type = '{t}' THEN value END) AS \"{t}\"" for t in TYPES) + " FROM events GROUP BY 1")
 def _(spark, sf_dir):
-    """Long readings to a wide series, a nullable double for each parameter."""
-    long = table(spark, sf_dir, "events").select(F.window("ts", "1 hour")["start"].alias("timestamp"), "event_type", "value")
+    """Long readings to a wide series, a nullable double for each parameter, collected twice: the second time from the youngest one that is there."""
+    where = scratch.folder(spark, "readings")
+    readings = table(spark, sf_dir, "events").select("ts", "event_type", "value")
+    for until in ("2024-01-15", "2025-01-01"):
+        served = readings.where(F.col("ts") < F.lit(until).cast("timestamp_ntz"))
+        youngest = formats.latest_time(spark.read.parquet(where), F.col("ts")).first()[0] if scratch.Store(spark, where).files("") else None
+        (served if youngest is None else served.where(F.col("ts") > F.lit(youngest))).write.mode("append").parquet(where)
+    long = spark.read.parquet(where).select(F.window("ts", "1 hour")["start"].alias("timestamp"), "event_type", "value")
     return long.groupBy("timestamp").pivot("event_type", list(TYPES)).agg(F.max("value"))
 
 
@@ -201,12 +207,18 @@ def _(spark, sf_dir):
     return views.describe(table(spark, sf_dir, "nation")).drop("nullable")
 
 
-@query("src_hostmount", "SELECT 'tables/region' AS path, CAST(count(*) AS BIGINT) AS n FROM region UNION ALL SELECT 'tables/nation', count(*) FROM nation")
+@query("src_hostmount", "SELECT 'host/region' AS path, CAST(count(*) AS BIGINT) AS n FROM region UNION ALL SELECT 'host/nation', count(*) FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 'host/sums/by_region', count(DISTINCT n_regionkey) FROM nation")
 def _(spark, sf_dir):
+    """A folder mounted under a prefix, another mounted over it that hides one table, and a directory of views beside them."""
+    over = scratch.folder(spark, "over")
+    table(spark, sf_dir, "nation").where("n_regionkey = 1").write.parquet(f"{over}/nation.parquet")
     c = views.Catalog(spark)
-    for n in ("region", "nation"):
-        c.add(f"tables/{n}", table(spark, sf_dir, n))
-    return transforms.union_by_name([df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("path"), "n") for n, df in c.match("tables/*").items()])
+    c.mount("all", sf_dir)
+    c.mount("host", sf_dir)
+    c.mount("host", over)
+    c.define("host/sums", "dynamic-dir", {"entries": [{"name": "by_region", "factory": "sql-derived-table", "config": {"patterns": {"n": "all/nation"}, "query": "SELECT n_regionkey, count(*) AS n FROM n GROUP BY 1"}}]})
+    found = c.match("host/*ion") | c.match("host/sums/*")
+    return transforms.union_by_name([df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("path"), "n") for n, df in found.items()])
 
 
 _PATHS = ["/a/b.csv", "/a/b/c.csv", "/data/site1/temp.series", "/data/site2/temp.series", "/data/x/y/z.log"]
@@ -254,13 +266,16 @@ def _(spark, sf_dir):
     return spark.createDataFrame([(name, ",".join(paths)) for name, paths in sorted(urls.group_outputs("reduced/$1/$0", found).items())], "name string, paths string")
 
 
-@query("dynamic_dir", "SELECT 'hourly' AS entry, CAST(count(DISTINCT date_trunc('hour', ts)) AS BIGINT) AS n FROM events UNION ALL SELECT 'renamed', count(*) FROM events")
+@query("dynamic_dir", "SELECT 'hourly' AS entry, CAST(count(DISTINCT date_trunc('hour', ts)) AS BIGINT) AS n FROM events UNION ALL SELECT 'deep/renamed', count(*) FROM events")
 def _(spark, sf_dir):
     c = views.Catalog(spark)
     c.add("events", table(spark, sf_dir, "events"))
-    c.define("dir/hourly", "temporal-reduce", {"in": "events", "time_column": "ts", "resolution": "1h", "aggregations": [{"type": "count", "columns": ["*"]}]})
-    c.define("dir/renamed", "column-rename", {"in": "events", "rules": [{"type": "direct", "from": "value", "to": "v"}]})
-    return transforms.union_by_name([df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(n.split("/")[1]).alias("entry"), "n") for n, df in c.match("dir/*").items()])
+    hourly = {"in": "events", "time_column": "ts", "resolution": "1h", "aggregations": [{"type": "count", "columns": ["*"]}]}
+    renamed = {"name": "renamed", "factory": "column-rename", "config": {"in": "events", "rules": [{"type": "direct", "from": "value", "to": "v"}]}}
+    c.define("dir", "dynamic-dir", {"entries": [{"name": "hourly", "factory": "temporal-reduce", "config": hourly}, {"name": "deep", "factory": "dynamic-dir", "config": {"entries": [renamed]}}]})
+    found = c.match("dir/**")
+    assert all(c.get(n) is df for n, df in found.items())  # built once
+    return transforms.union_by_name([df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(n.removeprefix("dir/")).alias("entry"), "n") for n, df in found.items()])
 
 
 @query("dedup_nodes", "SELECT DISTINCT user_id, event_type FROM events")
@@ -340,7 +355,7 @@ def _(spark, sf_dir):
     return transforms.within(table(spark, sf_dir, "events").select("event_id", "ts"), "ts", "2024-01-05 00:00:00", "2024-01-06 00:00:00")
 
 
-@query("ext_factory", "SELECT * FROM (VALUES ('column-rename', 'in,rules'), ('sql-derived-series', 'patterns,query'), ('sql-derived-table', 'patterns,query'), ('synthetic-timeseries', 'end,interval,points,start,time_column'), ('temporal-reduce', 'aggregations,in,resolution,time_column'), ('timeseries-join', 'align,inputs,time_column'), ('timeseries-pivot', 'columns,pattern,time_column')) t(factory, keys)")
+@query("ext_factory", "SELECT * FROM (VALUES ('column-rename', 'in,rules'), ('file', 'format,path'), ('sql-derived-series', 'patterns,query'), ('sql-derived-table', 'patterns,query'), ('synthetic-timeseries', 'end,interval,points,start,time_column'), ('temporal-reduce', 'aggregations,in,resolution,time_column'), ('timeseries-join', 'align,inputs,time_column'), ('timeseries-pivot', 'columns,pattern,time_column')) t(factory, keys)")
 def _(spark, sf_dir):
     return spark.createDataFrame([(n, ",".join(sorted(k))) for n, (_, k) in sorted(views.FACTORIES.known.items())], "factory string, keys string")
 

@@ -37,6 +37,26 @@ def fold_digests(df: DataFrame, by: list[str], column: str = "digest") -> DataFr
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list(column)), ""), 256).alias("digest"))
 
 
+def tree(df: DataFrame, levels: list[str], column: str = "digest") -> DataFrame:
+    """Digests of every directory of a tree, from the deepest level to the root: levels, n (rows below it) and digest.
+
+    Two replicas are equal if their roots are; where they aren't, the first levels
+    that differ lead to the difference.
+    """
+    out, below = None, df.select(*levels, column).withColumn("n", F.lit(1).cast("long"))
+    for depth in range(len(levels), -1, -1):
+        by = levels[:depth]
+        below = below.groupBy(*by).agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list(column)), ""), 256).alias(column))
+        whole = below.select(*by, *[F.lit(None).cast(df.schema[c].dataType).alias(c) for c in levels[depth:]], "n", column)
+        out = whole if out is None else out.unionByName(whole)
+    return out
+
+
+def wrong_rows(df: DataFrame, digest: Column, stored: str) -> DataFrame:
+    """The rows whose content doesn't have the digest that is stored with it, all of them: one doesn't stop the search."""
+    return df.where(~digest.eqNullSafe(F.col(stored)))
+
+
 def diff(old: DataFrame, new: DataFrame, key: str, kind: str = "kind", digest: str = "digest") -> DataFrame:
     """key, change (added, removed, type_changed, modified) of everything that differs, by key."""
     a = old.select(F.col(key).alias("_k"), F.col(kind).alias("_kind"), F.col(digest).alias("_digest"))

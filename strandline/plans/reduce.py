@@ -52,12 +52,13 @@ def bucketed(df: DataFrame, time_column: str, resolution: str) -> DataFrame:
     return df.where(column(time_column).isNotNull()).withColumn("_bucket", F.window(column(time_column), f"{seconds(resolution)} seconds")["start"])
 
 
-def single_pass(df: DataFrame, time_column: str, resolution: str, aggregations: list[dict]) -> DataFrame:
-    """One row for each non-empty bucket: its start and the aggregates, ordered by time."""
+def single_pass(df: DataFrame, time_column: str, resolution: str, aggregations: list[dict], ordered: bool = True) -> DataFrame:
+    """One row for each non-empty bucket: its start and the aggregates, ordered by time unless a join or union goes on from here."""
     wanted = expand(df, aggregations, time_column)
     exprs = [F.count(F.lit(1)).alias(ROWS) if n == "*" else getattr(F, k)(column(n)).alias(_name(k, n)) for k, n in wanted]
     out = bucketed(df, time_column, resolution).groupBy("_bucket").agg(*exprs)
-    return out.withColumnRenamed("_bucket", time_column).orderBy(time_column)
+    out = out.withColumnRenamed("_bucket", time_column)
+    return out.orderBy(time_column) if ordered else out
 
 
 def partial_columns(wanted: list[tuple[str, str]]) -> list[tuple[str, str]]:
@@ -97,7 +98,7 @@ def merge(parts: DataFrame, resolution: str, wanted: list[tuple[str, str]], low:
     return out.withColumn("_b", F.window("_bucket", f"{seconds(resolution)} seconds")["start"]).groupBy("_b").agg(*exprs).withColumnRenamed("_b", "_bucket")
 
 
-def reconstruct(parts: DataFrame, wanted: list[tuple[str, str]], time_column: str) -> DataFrame:
+def reconstruct(parts: DataFrame, wanted: list[tuple[str, str]], time_column: str, ordered: bool = True) -> DataFrame:
     """The configured outputs from partials."""
 
     def value(kind: str, name: str) -> Column:
@@ -108,7 +109,8 @@ def reconstruct(parts: DataFrame, wanted: list[tuple[str, str]], time_column: st
             return part("sum").cast("double") / F.nullif(part("count"), F.lit(0).cast("long"))
         return part(kind)
 
-    return parts.select(F.col("_bucket").alias(time_column), *[value(k, n).alias(_name(k, n)) for k, n in wanted]).orderBy(time_column)
+    out = parts.select(F.col("_bucket").alias(time_column), *[value(k, n).alias(_name(k, n)) for k, n in wanted])
+    return out.orderBy(time_column) if ordered else out
 
 
 def check_nesting(resolutions: list[str]) -> list[str]:
@@ -122,7 +124,7 @@ def check_nesting(resolutions: list[str]) -> list[str]:
     return ordered
 
 
-def resolutions(df: DataFrame, time_column: str, names: list[str], aggregations: list[dict]) -> dict[str, DataFrame]:
+def resolutions(df: DataFrame, time_column: str, names: list[str], aggregations: list[dict], ordered: bool = True) -> dict[str, DataFrame]:
     """One reduced table for each resolution, all from the finest one's partials."""
     ordered = check_nesting(names)
     wanted = expand(df, aggregations, time_column)
@@ -131,7 +133,7 @@ def resolutions(df: DataFrame, time_column: str, names: list[str], aggregations:
     for name in ordered[1:]:
         parts = merge(parts, name, wanted)
         levels[name] = parts
-    return {name: reconstruct(levels[name], wanted, time_column) for name in names}
+    return {name: reconstruct(levels[name], wanted, time_column, ordered) for name in names}
 
 
 def flagship(spark, sf_dir: str) -> DataFrame:
@@ -139,6 +141,6 @@ def flagship(spark, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("ts", "value")
     spec = [{"type": "count", "columns": ["*"]}, *({"type": k, "columns": ["value"]} for k in ("avg", "min", "max"))]
     frames = []
-    for name, df in resolutions(events, "ts", ["1h", "6h", "1d"], spec).items():
+    for name, df in resolutions(events, "ts", ["1h", "6h", "1d"], spec, ordered=False).items():
         frames.append(df.select(F.lit(name).alias("resolution"), F.col("ts"), column(ROWS).alias("n"), *[F.round(column(f"value.{k}"), 4).alias(f"{k}_value") for k in ("avg", "min", "max")]))
     return fold(DataFrame.union, frames)

@@ -183,11 +183,11 @@ class Rollup:
             run = {"file": merged, "digest": self.store.digest(merged), "rows": sum(r["rows"] for r in together), "low": together[0]["low"], "high": run["high"]}
         level["runs"].append(run)
 
-    def read(self, resolution: str) -> DataFrame:
+    def read(self, resolution: str, ordered: bool = True) -> DataFrame:
         """The reduced table at a resolution: equal to a single pass over all versions."""
         manifest = self.manifest()
         if manifest is None:
             raise CorruptRollup("not built yet")
         if manifest["config"] != self.config:
             raise CorruptRollup("built for another configuration")
-        return reduce.reconstruct(self._read(self._parts(manifest["levels"][resolution])), [tuple(x) for x in manifest["wanted"]], self.time)
+        return reduce.reconstruct(self._read(self._parts(manifest["levels"][resolution])), [tuple(x) for x in manifest["wanted"]], self.time, ordered)

@@ -61,6 +61,13 @@ class Store:
         found = [(s.getPath().getName(), s.getLen()) for s in self._fs.listStatus(self._path(where)) if s.isFile()]
         return sorted(x for x in found if not x[0].startswith(("_", ".")))
 
+    def entries(self) -> list[str]:
+        """Files and folders directly below, by name."""
+        if not self._fs.exists(self._path(self.folder)):
+            raise FileNotFoundError(self.folder)
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.folder))]
+        return sorted(n for n in names if not n.startswith(("_", ".")))
+
     def digest(self, name: str) -> str:
         """A digest of the names and lengths of a folder's files: writers name each file anew, so a lost, added or cut one shows."""
         return hashlib.sha256(repr(self.files(name)).encode()).hexdigest()

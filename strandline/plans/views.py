@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strandline.operators import joins, transforms
 from strandline.plans import reduce
+from strandline.plans.scratch import Store
 
 
 class FactoryRegistry:
@@ -49,10 +50,32 @@ class Catalog:
         self.tables[name] = df
 
     def define(self, name: str, factory: str, config: dict) -> None:
+        """A dynamic table, or with dynamic-dir a directory of them: entries of a name, a factory and its configuration, which may be directories again."""
+        if factory == "dynamic-dir":
+            if set(config) != {"entries"}:
+                raise ValueError(f"{factory} knows entries alone")
+            names = [e["name"] for e in config["entries"]]
+            if len(set(names)) < len(names) or any("/" in n or not n for n in names):
+                raise ValueError(f"entries of {name!r} need names of their own, without slashes")
+            for entry in config["entries"]:
+                self.define(f"{name}/{entry['name']}", entry["factory"], entry.get("config", {}))
+            return
         if factory not in FACTORIES.known:
             raise ValueError(f"unknown factory {factory!r}")
         self.dynamic[name] = (factory, config)
 
+    def mount(self, prefix: str, folder: str, schemes: dict[str, str] | None = None) -> None:
+        """Tables of a folder of any of Spark's stores under a prefix, by file name without its ending; later mounts lie over earlier ones.
+
+        schemes: the format of each ending (parquet without a word).  Nothing is read before it is asked for.
+        """
+        known = {"parquet": "file"} | (schemes or {})
+        for entry in Store(self.spark, folder).entries():
+            stem, _, ending = entry.rpartition(".")
+            if stem and ending in known:
+                self.tables.pop(f"{prefix}/{stem}", None)
+                self.dynamic[f"{prefix}/{stem}"] = ("file", {"format": known[ending], "path": f"{folder.rstrip('/')}/{entry}"})
+
     def names(self) -> list[str]:
         return sorted({*self.tables, *self.dynamic})
 
@@ -189,6 +212,13 @@ def _rename(catalog: Catalog, config: dict) -> DataFrame:
     return transforms.rename(catalog.get(config["in"]), config["rules"])
 
 
+@FACTORIES.register("file", "format path")
+def _file(catalog: Catalog, config: dict) -> DataFrame:
+    from strandline.sources import formats, urls
+
+    return formats.read(catalog.spark, urls.Url(config["format"], config["path"]))
+
+
 @FACTORIES.register("synthetic-timeseries", "start end interval points time_column")
 def _synthetic(catalog: Catalog, config: dict) -> DataFrame:
     from strandline.sources import synthetic

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from strandline.functions import money
 from strandline.functions.timebin import seconds
 from strandline.operators import integrity, joins, ledger, overlap, transforms
-from strandline.plans import export, reduce, rollup, scratch, views
+from strandline.plans import export, reduce, rollup, scratch, tablelog, views
 from strandline.sources import formats, synthetic, urls
+from strandline.streaming import fold
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -233,3 +234,141 @@ def test_renames(spark):
     df = spark.createDataFrame([(1, 2, "3")], "a_x int, a_y int, b string")
     rules = [{"type": "direct", "from": "a_x", "to": "first"}, {"type": "pattern", "pattern": "^a_(.)", "replacement": "$1_"}, {"type": "direct", "from": "b", "to": "n", "cast": "odd"}]
     assert transforms.rename(df, rules).dtypes == [("first", "int"), ("y_", "int"), ("n", "string")]
+
+
+def test_status_goes_on_after_a_restart(spark):
+    where = scratch.folder(spark, "status")
+    entries = lambda rows: spark.createDataFrame(rows, "key string, time timestamp_ntz, message string, version int")
+    t = [T0 + dt.timedelta(hours=h) for h in range(9)]
+    fold.StatusFold(spark, where).fold(entries([("a", t[5], "new", 1), ("b", t[1], "one", 1)]))
+    fold.StatusFold(spark, where).fold(entries([("a", t[3], "old", 2), ("b", t[1], "later fold", 2)]))
+    fold.StatusFold(spark, where).fold(entries([("a", t[8], "again", 1)]))  # a version that was folded
+    assert {(r.key, r.message) for r in fold.StatusFold(spark, where).latest().collect()} == {("a", "new"), ("b", "later fold")}
+    assert {(r.key, r.message) for r in fold.StatusFold(spark, where).newest().collect()} == {("a", "new"), ("a", "old"), ("b", "one"), ("b", "later fold")}
+    hot = fold.StatusFold(spark, scratch.folder(spark, "status"), backfill=3600)
+    hot.fold(entries([("a", t[8], "now", 1), ("b", t[1], "long ago", 1)]))
+    assert [r.key for r in hot.latest().collect()] == ["a"]
+
+
+def test_journal_takes_an_entry_once(spark):
+    where = scratch.folder(spark, "journal")
+    rows = [(i, T0 + dt.timedelta(minutes=i), f"unit{i % 3}", f"m{i}") for i in range(30)]
+    entries = spark.createDataFrame(rows, "cursor long, time timestamp_ntz, series string, message string")
+    assert [fold.JournalIngest(spark, where).ingest(entries.where(f"cursor < {n}")) for n in (10, 10, 30)] == [10, 0, 20]
+    # A batch that broke off before the cursor moved has written files that no one reads, and is written again.
+    broken = fold.JournalIngest(spark, where)
+    entries.write.mode("overwrite").partitionBy("series").parquet(broken.store.at("batches/2"))
+    assert fold.JournalIngest(spark, where).read().count() == 30
+    more = spark.createDataFrame([(40, T0, "unit9", "m40")], entries.schema)
+    assert fold.JournalIngest(spark, where).ingest(more) == 1
+    assert {r.series: r.n for r in fold.JournalIngest(spark, where).spans().collect()} == {"unit0": 10, "unit1": 10, "unit2": 10, "unit9": 1}
+
+
+def test_log_lines_come_once(spark):
+    """A log that grows at random and rotates at random: the lines taken are the lines written."""
+    rng, where = random.Random(3), scratch.folder(spark, "logs")
+    files, written, current, archives = scratch.Store(spark, where), [], "", 0
+    for _ in range(8):
+        for _ in range(rng.randint(0, 4)):
+            written.append(f"line {len(written)} {'x' * rng.randint(0, 5)}")
+            current += written[-1] + "\n"
+        if rng.random() < 0.4 and current:
+            archives += 1
+            files.put(f"app.log.{archives}", current)
+            written.append(f"line {len(written)} after")
+            current = written[-1] + "\n"
+        files.put("app.log", current + ("unfinish" if rng.random() < 0.5 else ""))
+        fold.LogTail(spark, f"{where}-tail").ingest(f"{where}/app.log", f"{where}/app.log.[0-9]*" if archives else None)
+    files.put("app.log", current)
+    fold.LogTail(spark, f"{where}-tail").ingest(f"{where}/app.log", f"{where}/app.log.[0-9]*" if archives else None)
+    assert sorted(r.line for r in fold.LogTail(spark, f"{where}-tail").lines().collect()) == sorted(written)
+    if archives:
+        files.put("app.log.1", "changed\n")
+        with pytest.raises(ValueError):
+            fold.LogTail(spark, f"{where}-tail").ingest(f"{where}/app.log", f"{where}/app.log.[0-9]*")
+
+
+def test_exports_don_t_reuse_lost_files(spark):
+    where, df = scratch.folder(spark, "export"), _points(spark, range(0, 96))
+    days = export.export_changed(df, where, "ts", ["year", "month", "day"])[1]
+    assert len(days) == 4 and export.export_changed(df, where, "ts", ["year", "month", "day"]) == (days, [], [])
+    store = scratch.Store(spark, where)
+    store.delete(days[1])
+    with pytest.raises(export.CorruptExport):
+        export.export_changed(df, where, "ts", ["year", "month", "day"])
+    more = df.union(_points(spark, [200]))
+    kept, written, _ = export.export_changed(more, where, "ts", ["year", "month", "day"])
+    assert days[1] in written and len(kept) == 3 and spark.read.parquet(where).count() == 97
+
+
+def test_table_log(spark):
+    log = tablelog.TableLog(spark, scratch.folder(spark, "log"))
+    for k in range(5):
+        log.append(spark.range(10 * k, 10 * k + 10).coalesce(1))
+    ids = lambda df: sorted(r.id for r in df.collect())
+    assert ids(log.read()) == list(range(50)) and ids(log.read(1)) == list(range(20))
+    many = len(log.live())
+    log.checkpoint()
+    assert log.compact(1 << 20) == 5 and len(log.live()) == 1 and ids(log.read()) == list(range(50)) and ids(log.read(2)) == list(range(30))
+    assert log.compact(1 << 20) is None
+    with pytest.raises(tablelog.ConcurrentCommit):
+        log._commit(5, "append", {}, [])
+    assert len(log.vacuum()) == many and ids(log.read()) == list(range(50))
+    log.append(spark.range(50, 60).coalesce(1))
+    assert ids(log.read()) == list(range(60)) and log.history().where("not added").count() == many
+
+
+def test_queries_hold_braces(spark):
+    df = spark.createDataFrame([(1, '{"a": 5}')], "id int, j string")
+    assert views.sql_view(spark, {"t": df}, """SELECT id, get_json_object(j, '$.a') AS a FROM t WHERE j = '{"a": 5}' AND '{x}' <> '}'""").collect() == [(1, "5")]
+    assert views.sql_view(spark, {"t": df}, "with u as (select id + 1 as k from t) select k from u").first().k == 2
+    assert not [v for v in spark.catalog.listTables() if v.name.startswith("strandline_")]
+
+
+@pytest.mark.parametrize("kind", ["gzip", "bzip2", "zstd"])
+def test_addresses_decide_on_compression(spark, tmp_path, kind):
+    import bz2
+    import gzip
+
+    import zstandard
+
+    pack = {"gzip": gzip.compress, "bzip2": bz2.compress, "zstd": zstandard.ZstdCompressor().compress}[kind]
+    (tmp_path / "c.dat").write_bytes(pack(b'{"a": 1}\n{"a": "\xc3\xa9"}\n'))
+    (tmp_path / "t.dat").write_bytes(pack(b"a;b\n1;2\n3;4\n"))
+    (tmp_path / "p.dat").write_bytes(pack(b'<table><tr class="dataHeader"><td>Date Time</td><td>x</td></tr>\n<tr class="data"><td>d</td><td>2.5</td></tr></table>'))
+    assert [r.a for r in formats.read(spark, f"jsonlogs+{kind}://{tmp_path}/c.dat").collect()] == ["1", "é"]
+    assert [tuple(r) for r in formats.read(spark, f"csv+{kind}://{tmp_path}/t.dat?delimiter=;").collect()] == [(1, 2), (3, 4)]
+    assert formats.read(spark, f"excelhtml+{kind}://{tmp_path}/p.dat").first().x == 2.5
+
+
+def test_web_log_lines(spark):
+    good = '1.2.3.4 - bob [10/Oct/2000:13:55:36 -0700] "GET /a.gif HTTP/1.0" 200 2326'
+    lines = [good, good + ' "http://x/ y" "Mozilla/4.08 [en] (Win98; I)"', good + ' "-" "a \\"b\\" c"', good + ' "http://x"', good + " and more than that", "no log", good.replace("200", "ok"), good.replace("2326", "-"), good.replace("[", "")]
+    got = formats.web_log(spark.createDataFrame([(x,) for x in lines], "value string")).collect()
+    assert [r.http_user_agent for r in got] == [None, "Mozilla/4.08 [en] (Win98; I)", 'a "b" c', None, None]
+    assert [r.http_referer for r in got] == [None, "http://x/ y", None, "http://x", None] and [r.body_bytes_sent for r in got] == [2326] * 4 + [0]
+    assert all((r.remote_addr, r.remote_user, r.method, r.path, r.protocol, r.status) == ("1.2.3.4", "bob", "GET", "/a.gif", "HTTP/1.0", 200) for r in got)
+
+
+def test_overlaps_match_brute_force(spark):
+    rng = random.Random(6)
+    day = lambda n: dt.date(2020, 1, 1) + dt.timedelta(days=n)
+    rows = []
+    for i in range(80):
+        a = rng.randrange(900)
+        rows.append((i % 5, i, day(a), None if rng.random() < 0.2 else day(a + rng.randrange(200))))
+    got = {(r.k, r.a_id, r.b_id) for r in joins.overlapping(spark.createDataFrame(rows, "k int, i int, b date, e date"), "k", "i", "b", "e").collect()}
+    far = dt.date(9999, 1, 1)
+    assert got == {(x[0], x[1], y[1]) for x in rows for y in rows if x[0] == y[0] and x[1] < y[1] and x[2] <= (y[3] or far) and y[2] <= (x[3] or far)}
+    assert joins.overlapping(spark.createDataFrame([], "k int, i int, b date, e date"), "k", "i", "b", "e").count() == 0
+
+
+def test_bills_are_posted_and_undone(spark):
+    bills = spark.createDataFrame([(1, 7, 500), (2, 8, 250)], "connection_id long, customer_id long, bill_cents long")
+    legs = ledger.issue(bills, 9, "2024-01-31")
+    assert [(r.leg_seq, r.account_code, r.customer_id, r.debit_cents, r.credit_cents) for r in legs.orderBy("leg_seq").collect()] == [(0, 1100, 7, 500, 0), (1, 4000, None, 0, 500), (2, 1100, 8, 250, 0), (3, 4000, None, 0, 250)]
+    back = ledger.reverse(legs, 9, 10, "2024-02-01")
+    assert ledger.unbalanced(back).count() == 0 and all(r.balance_cents == 0 for r in ledger.balances(legs.union(back)).collect())
+    for wrong in (lambda: ledger.reverse(legs, 11, 12, "2024-02-01"), lambda: ledger.issue(bills.withColumn("customer_id", F.lit(None).cast("long")), 1, "2024-01-31")):
+        with pytest.raises(ValueError):
+            wrong()
