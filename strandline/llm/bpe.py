@@ -582,6 +582,7 @@ def prepare(docs: DataFrame, tokenizer_path: str, units: int = LEXICON_UNITS):
     with open(path, "wb") as f:
         f.write(file)
     spark.sparkContext.addFile(path)
+    common.tidy(spark)
     return name, spec
 
 

@@ -158,7 +158,7 @@ def run_sums(table: np.ndarray, index: np.ndarray, cut: np.ndarray) -> np.ndarra
     return out
 
 
-def sketched(passage: np.ndarray, feature: np.ndarray, n: int, idf: np.ndarray, other: float, foreign: np.ndarray, test, out: np.ndarray) -> None:
+def sketched(passage: np.ndarray, feature: np.ndarray, idf: np.ndarray, other: float, foreign: np.ndarray, test, out: np.ndarray) -> None:
     """Adds A'(A R) to out, for n passages of unit length; passage, sorted, names the one of each feature.
 
     foreign: words of each passage without a feature, which count in its length alone.
@@ -212,7 +212,7 @@ def _sketch(shared, other: float):
                 owner = np.repeat(np.arange(len(per_text)), per_text)
                 begin = offsets[owner] + (np.arange(first[-1]) - first[owner]) * PASSAGE
                 foreign = np.minimum(PASSAGE, offsets[owner + 1] - begin) - np.bincount(passage, minlength=first[-1])
-                sketched(passage, feature, int(first[-1]), idf, other, foreign, test, out)
+                sketched(passage, feature, idf, other, foreign, test, out)
                 total += int(first[-1])
         if total:
             out = np.round(out / _STEP) * np.float32(_STEP)
@@ -511,13 +511,18 @@ def latent_space(docs: DataFrame, benchmark: DataFrame) -> Space | None:
         n_items += len(items)
     if not n_items:
         return None
-    space = Space(features, *document_frequencies(docs, context.broadcast(features)))
-    passages, n = passages_sketch(docs, context.broadcast((features, space.idf)), space.foreign)
+    shared = context.broadcast(features)
+    space = Space(features, *document_frequencies(docs, shared))
+    shared.unpersist()
+    shared = context.broadcast((features, space.idf))
+    passages, n = passages_sketch(docs, shared, space.foreign)
+    shared.unpersist()
+    common.tidy(docs.sparkSession)
     own, test = np.zeros((FEATURES, RANK), np.float32), _random()
     for items in _parts(benchmark):
         h, sizes = np.concatenate([h for _, h, _ in items]), [len(h) for _, h, _ in items]
         at, feature = features.find(h)
-        sketched(np.repeat(np.arange(len(items)), sizes)[at], feature, len(items), space.idf, 0.0, np.zeros(len(items)), test, own)
+        sketched(np.repeat(np.arange(len(items)), sizes)[at], feature, space.idf, 0.0, np.zeros(len(items)), test, own)
     space.fit(passages, n, own, n_items)
     # A foreign word would keep as small a share of its energy in the latent space as the items keep of theirs.
     kept = np.concatenate([[float(v @ v) / max(space.energy(h), 1e-9) for _, h, _ in items for v in (space.vector(h),)] for items in _parts(benchmark)])

@@ -130,6 +130,7 @@ def _groups(docs: DataFrame, files_per_batch: int | None = None, digest=_digest)
     named.observe(seen, F.count(F.lit(1)).alias("n")).write.option("compression", "zstd").parquet(source)
     rows = spark.read.schema(named.schema).parquet(source)
     states = stream_states(spark, source, kind, files_per_batch, rows=seen.get.get("n", 0))
+    common.tidy(spark)
     out = common.written(rows.join(states.withColumnRenamed("locator", "keep_locator"), "digest", "left"), "dedup-groups")
     common.tidy(spark)
     # Full bytes of all rows whose digest was hit: they are one text if the least and the greatest of them are.
@@ -169,6 +170,7 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """
     packed, groups = _groups(docs)
     gone = common.written(groups.where("locator <> keep_locator").select("locator"), "dedup-gone")
+    common.tidy(docs.sparkSession)
     some = common.may_hit(packed, gone, "locator").join(gone, F.col("key") == F.col("locator"), "left_anti").select("row", "key")
     return common.unpacked(common.cannot_hit(packed, gone, "locator").union(some), docs)
 

@@ -44,7 +44,7 @@ from strandline.llm import common, tokens
 #: Strength of the back-off distribution against the counts of a word's and a pair's state.
 MU = (400.0, 2.0)
 #: Text bytes of a shard.  A shard's texts and its part of the automaton are in one task's memory.
-SHARD_BYTES = 10 << 20
+SHARD_BYTES = 8 << 20
 #: Tokens that a segment reads.
 SEGMENT = 64
 #: Shards whose words one owner numbers for each shard of n-grams.
@@ -360,7 +360,7 @@ def _count_grams(table: pa.Table) -> pa.Table:
         asked.append(n)
     totals = []
     for kind in (0, 1):
-        key, room = None, 1
+        key = None
         for column in range(kind + 2):
             c = np.concatenate([g[column] for g in grams[kind]])
             names, rank = np.unique(c, return_inverse=True)

@@ -135,23 +135,24 @@ def components(edges: DataFrame, keep: common.Scratch) -> DataFrame:
     """
     spark = edges.sparkSession
     with common.Scratch(spark) as scratch:
-        now = scratch.written(edges.select("a", "b").where("a <> b").distinct(), "links")
+        now = scratch.written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
         before = None
         while True:
             # Large star: neighbours above a node hang on the smallest neighbour or itself.
             both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
             low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-            large = both.join(low, "u").where("v > u").select(F.col("m").alias("b"), F.col("v").alias("a")).where("a <> b").distinct()
+            # Each step is a plan of its own: a join of two scans at most.
+            large = scratch.written(both.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "large")
             # Small star: a node and its smaller neighbours hang on the smallest of them.
-            down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-            least = down.groupBy("u").agg(F.min("v").alias("m"))
-            small = down.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
+            least = large.groupBy("a").agg(F.min("b").alias("m"))
+            small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least).distinct()
             now, state = scratch.measured(small, "links", F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum"))
             if state == before:
                 break
             before = state
-        roots = now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
-        return keep.written(roots, "roots")
+            common.tidy(spark)
+        # Every node hangs on its root now, and roots hang on none.
+        return keep.written(now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()), "roots")
 
 
 def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -171,7 +172,7 @@ def stars(crowded: DataFrame) -> DataFrame:
     return crowded.join(weight, "rep").groupBy("key").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("centre"))
 
 
-def postings(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def postings(open_: DataFrame, sets: DataFrame, percent: int, scratch: common.Scratch) -> DataFrame:
     """item, rep, root, size and place of the items in the prefixes of open classes.
 
     open_: key, rep, root.  The items of all open sets are in one order, rare ones
@@ -179,12 +180,12 @@ def postings(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     items in common share one among the first size - m + 1 of each; m follows from
     the least size of a partner in the set's buckets.
     """
-    sized = open_.join(sets.select(F.col("id").alias("rep"), "set_id", F.size("items").alias("size")), "rep")
+    sized = scratch.written(open_.join(sets.select(F.col("id").alias("rep"), "set_id", F.size("items").alias("size")), "rep"), "sized")
     smallest = sized.groupBy("key").agg(F.min("size").alias("smallest"))
     nodes = sized.join(smallest, "key").groupBy("rep", "set_id", "root", "size").agg(F.min("smallest").alias("smallest"))
     partner = F.greatest(F.col("smallest").cast("double"), F.col("size") * percent / 100.0)
     need = F.ceil((F.col("size") + partner) * percent / (100.0 + percent) - 1e-6)
-    nodes = nodes.withColumn("prefix", F.col("size") - need + 1)
+    nodes = scratch.written(nodes.withColumn("prefix", F.col("size") - need + 1), "nodes")
     items = nodes.join(sets.withColumnRenamed("id", "rep"), ["rep", "set_id"]).select("rep", "set_id", "root", "size", "prefix", F.explode("items").alias("item"))
     often = items.groupBy("item").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     # Items that one set alone has come before all others, so they move the others' places.
@@ -228,6 +229,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         # Only buckets with two classes or more go on.
         crowded = scratch.written(members.join(full, "key"), "crowded")
         buckets = scratch.written(crowded.select("key", "rep").join(scratch.written(stars(crowded), "centres"), "key"), "buckets")
+        common.tidy(spark)
         # Full sets of the classes in them.  A doc_id that rows repeat with other texts has a set for each; one shuffle by id serves this and the joins.
         ids = buckets.select(F.col("rep").alias("id")).distinct()
         some = common.may_hit(common.keyed(docs, F.col("doc_id")), ids, "id").select("row.doc_id", "row.text")
@@ -239,12 +241,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         links = scratch.written(confirmed(edges, sets, percent), "confirmed")
         common.tidy(spark)
         roots = components(links, scratch)
+        common.tidy(spark)
         # Members other than the centre, which has met everyone in its bucket.
         left = buckets.where("rep <> centre").join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
+        left = scratch.written(left, "left")
         spread = left.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
         open_ = scratch.written(left.join(spread, "key", "left_semi"), "open")
+        common.tidy(spark)
         # Written before they are joined: adaptive execution splits an item that many have only in a plain join of two tables.
-        posts = scratch.written(divided(scratch.written(postings(open_, sets, percent), "postings")), "posts")
+        posts = scratch.written(divided(scratch.written(postings(open_, sets, percent, scratch), "postings")), "posts")
         more = scratch.written(prefix_pairs(posts, percent).distinct().join(edges, ["a", "b"], "left_anti"), "more")
         fresh, found = scratch.measured(confirmed(more, sets, percent), "fresh", F.count(F.lit(1)).alias("n"))
         common.tidy(spark)

@@ -294,6 +294,7 @@ def train(docs: DataFrame, labels: DataFrame, may_learn, rows: int = TRAIN_ROWS)
             yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], names=["model"])
 
     made = sample.repartition(1).mapInArrow(run, "model binary").first()
+    common.tidy(docs.sparkSession)
     return pickle.loads(bytes(made.model)) if made else Model()
 
 

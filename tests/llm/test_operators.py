@@ -305,6 +305,28 @@ def test_pairs_of_a_crowd_grow_with_it(spark, monkeypatch):
     assert met[600] < 8 * max(met[150], 150)
 
 
+def test_near_duplicates_of_the_corpus_match_brute_force(spark):
+    """All documents of a whole table: every pair that shares a shingle is counted out."""
+    sf = "/root/testdata/sf0.01"
+    texts = sorted(rows_of(common.table(spark, sf, "documents").select("doc_id", "text")))
+    sets, root, posts = {i: frozenset(shingles(t, 4)) for i, t in texts}, {i: i for i, _ in texts}, defaultdict(list)
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, s in sets.items():
+        for j, n in Counter(j for g in s for j in posts[g]).items():
+            if 100 * n >= 80 * (len(s) + len(sets[j]) - n):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+        for g in s:
+            posts[g].append(i)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.op9(spark, sf).collect()}
+    assert got == {i: (len(s), find(i), find(i) == i) for i, s in sets.items()} and len({find(i) for i in sets}) < len(sets)
+
+
 def test_drop_near_duplicates_keeps_columns(odd):
     kept = near_dedup.drop_near_duplicates(odd, k=4)
     same_rows(kept, odd)
