@@ -269,10 +269,23 @@ def _(spark, sf_dir):
     return _events(spark, sf_dir).select("event_id", F.lpad(u, 6, "0").alias("u"), F.concat("event_type", F.lit("-"), u).alias("k"), F.col("event_type").like("%i%").alias("i"))
 
 
+def _log10(x):
+    """As the SQL has it: minus infinity of zero, NaN below zero, where Spark's is null."""
+    return F.when(x > 0, F.log10(x)).when(x == 0, float("-inf")).when(x < 0, float("nan"))
+
+
+def _rounded(x, digits):
+    """As the SQL rounds: the scaled double, halves away from zero; Spark's rounds the shortest decimal that stands for x."""
+    scaled = x * float(10**digits)
+    near = F.rint(scaled)
+    out = F.when(F.abs(scaled - near) == 0.5, scaled + F.signum(scaled) * 0.5).otherwise(near) / float(10**digits)
+    return F.when(F.isnan(scaled) | (F.abs(scaled) == float("inf")), x).otherwise(out)
+
+
 @query("fn_math", "SELECT event_id, round(log10(value), 6) AS l, abs(value - 50) AS a, round(value * 9.0 / 5.0 + 32.0, 4) AS f FROM events")
 def _(spark, sf_dir):
     v = F.col("value")
-    return _events(spark, sf_dir).select("event_id", F.round(F.log10(v), 6).alias("l"), F.abs(v - 50).alias("a"), F.round(v * 9.0 / 5.0 + 32.0, 4).alias("f"))
+    return _events(spark, sf_dir).select("event_id", _rounded(_log10(v), 6).alias("l"), F.abs(v - 50).alias("a"), _rounded(v * 9.0 / 5.0 + 32.0, 4).alias("f"))
 
 
 @query("fn_json", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.none') AS none FROM events")

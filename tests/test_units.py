@@ -4,9 +4,11 @@ import datetime as dt
 import decimal
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from strandline import catalog
 from strandline.functions import money
 from strandline.functions.timebin import seconds
 from strandline.operators import integrity, joins, ledger, overlap, transforms
@@ -372,3 +374,13 @@ def test_bills_are_posted_and_undone(spark):
     for wrong in (lambda: ledger.reverse(legs, 11, 12, "2024-02-01"), lambda: ledger.issue(bills.withColumn("customer_id", F.lit(None).cast("long")), 1, "2024-01-31")):
         with pytest.raises(ValueError):
             wrong()
+
+
+def test_logarithms_and_halves_as_sql_has_them(spark, tmp_path):
+    odd = [0.0, -0.0, -2.5, None, float("nan"), float("inf"), float("-inf"), 1.7e308, 5e-324, 430.88075, 121.81925, -318.61625, 0.00003, 1000.0]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE events AS SELECT unnest(range(len($v))) AS event_id, unnest($v::DOUBLE[]) AS value", {"v": odd})
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet'")
+    queries, sql = catalog.load()
+    got = {r.event_id: tuple(map(repr, r)) for r in queries["fn_math"](spark, str(tmp_path)).collect()}
+    assert got == {r[0]: tuple(map(repr, r)) for r in con.execute(sql["fn_math"]).fetchall()}
