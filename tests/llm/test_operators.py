@@ -814,3 +814,14 @@ def test_queries_run(name, spark):
     table = {"op2_host_suffix_extraction": "pages"}.get(name, "documents")
     got = queries.QUERIES[name](spark, SF).count()
     assert got == common.table(spark, SF, table).count() if name != "op6_latent_decontamination" else got > 0
+
+
+def test_driver_gives_native_memory_back(spark, odd, monkeypatch):
+    """After every table that an operator writes, and when it tidies up."""
+    said, trim = [], common.trim_driver
+    monkeypatch.setattr(common, "trim_driver", lambda s: said.append(trim(s)))
+    near_dedup.near_duplicates(odd.select("doc_id", "text"))
+    assert len(said) > 10 and all(x.startswith("Trim native heap") for x in said)
+    before = len(said)
+    common.tidy(spark)
+    assert len(said) == before + 1
